@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from candidate_funnel.functions.scalars import atom_radii, axis_sorted
-from candidate_funnel.operators.neighbours import GROUP_LIMIT, matrix, pair_rmsd
+from candidate_funnel.operators.neighbours import Gate, matrix, near_pairs, pair_rmsd
 
-# Pairs one task compares under every mapping of their key.
+# Rows of a key (or block of one) per task: comparing takes one decomposition
+# per pair and mapping, so tasks are smaller than for plain distances.
+GROUP_LIMIT = 256
+
+# Pairs measured at a time inside a task.
 CHUNK_PAIRS = 8192
 
 # Headroom of the index distance over the exact one, for rounding.
@@ -61,7 +62,6 @@ def pair_best_rmsd(
     dims: int = 3,
     bound: int | None = None,
     group_limit: int = GROUP_LIMIT,
-    chunk_pairs: int = CHUNK_PAIRS,
 ) -> DataFrame:
     """Pairs ``(keys, a, b, dist)``, ``a < b``, whose best RMSD is in range.
 
@@ -72,71 +72,27 @@ def pair_best_rmsd(
     keys = list(keys)
     if align and dims != 3:
         raise ValueError("alignment needs three values per atom")
-    index = atom_radii(coords, dims) if align else axis_sorted(coords, dims)
-    per_atom = 1 if align else dims
     if mappings is None and not align:
-        return pair_rmsd(df, keys, ident, coords, max_dist, dims, bound, group_limit)
-    found = pair_rmsd(
-        df.withColumn("_index", index),
-        keys,
-        ident,
-        "_index",
-        max_dist * (1 + INDEX_SLACK) + INDEX_SLACK,
-        per_atom,
-        bound,
-        group_limit,
-    ).drop("dist")
-    where = df.select(*keys, ident, coords)
-    wide = found.join(where.withColumnsRenamed({ident: "a", coords: "_xa"}), [*keys, "a"]).join(
-        where.withColumnsRenamed({ident: "b", coords: "_xb"}), [*keys, "b"]
-    )
-    schema = T.StructType(
-        [
-            *[df.schema[k] for k in keys],
-            T.StructField("a", T.LongType()),
-            T.StructField("b", T.LongType()),
-            T.StructField("dist", T.DoubleType()),
+        return pair_rmsd(df, keys, ident, coords, max_dist, dims, bound)
+    index = atom_radii(coords, dims) if align else axis_sorted(coords, dims)
+    gate = Gate(max_dist * (1 + INDEX_SLACK) + INDEX_SLACK, dims=1 if align else dims)
+
+    def measure(
+        a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, maps: pa.Table | None
+    ) -> np.ndarray:
+        x, y = (matrix(t[coords]).reshape(t.num_rows, -1, dims) for t in (a, b))
+        if maps is not None and maps.num_rows:
+            orders = matrix(maps["perm"]).astype(np.int64)
+        else:
+            orders = np.arange(x.shape[1])[None, :]
+        parts = [
+            best_rmsd(x[i[at : at + CHUNK_PAIRS]], y[j[at : at + CHUNK_PAIRS]], orders, align)
+            for at in range(0, len(i), CHUNK_PAIRS)
         ]
-    )
-
-    def measured(rows: pa.Table, maps: np.ndarray | None) -> pa.Table:
-        x, y = (matrix(rows[c]).reshape(rows.num_rows, -1, dims) for c in ("_xa", "_xb"))
-        if maps is None:
-            maps = np.arange(x.shape[1])[None, :]
-        dist = best_rmsd(x, y, maps, align)
-        kept = rows.select([*keys, "a", "b"]).append_column("dist", pa.array(dist, pa.float64()))
-        return kept.filter(pa.array(dist <= max_dist))
-
-    if mappings is None:
-
-        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    widths = pc.list_value_length(batch["_xa"])
-                    for width in pc.unique(widths):
-                        same = pa.table(batch).filter(pc.equal(widths, width))
-                        yield from measured(same, None).to_batches()
-
-        return wide.mapInArrow(alone, schema)
-
-    # Pairs of one key are dealt to chunks, each with its own copy of the maps.
-    chunks = found.groupBy(*keys).agg(F.ceil(F.count("*") / chunk_pairs).cast("int").alias("_chunks"))
-    dealt = wide.join(chunks, keys).withColumn(
-        "_chunk", F.pmod(F.xxhash64("a", "b"), F.col("_chunks")).cast("int")
-    )
-    copies = mappings.select(*keys, "perm").join(chunks, keys).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    )
+        return np.concatenate(parts)
 
-    def mapped(rows: pa.Table, maps: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return rows.select([*keys, "a", "b"]).append_column("dist", pa.array([], pa.float64()))
-        perms = matrix(maps["perm"]).astype(np.int64) if maps.num_rows else None
-        return measured(rows, perms)
-
-    return (
-        dealt.drop("_chunks")
-        .groupBy(*keys, "_chunk")
-        .cogroup(copies.drop("_chunks").groupBy(*keys, "_chunk"))
-        .applyInArrow(mapped, schema)
+    rows = df.select(*keys, ident, coords, index.alias("_index"))
+    perms = None if mappings is None else mappings.select(*keys, "perm")
+    return near_pairs(
+        rows, keys, ident, "_index", gate, measure, max_dist, perms, bound, group_limit
     )

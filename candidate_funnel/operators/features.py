@@ -36,7 +36,9 @@ def validate(
     vector: str = "features",
 ) -> DataFrame:
     """``(keys, outcome)``: ok, not_a_matrix, or count_mismatch."""
-    rows = features.select(*keys, F.size(vector).alias("_w"), F.lit(1).alias("_f"), F.lit(0).alias("_e"))
+    rows = features.select(
+        *keys, F.coalesce(F.size(vector), F.lit(-1)).alias("_w"), F.lit(1).alias("_f"), F.lit(0).alias("_e")
+    )
     members = ensemble.select(
         *keys, F.lit(None).cast("int").alias("_w"), F.lit(0).alias("_f"), F.lit(1).alias("_e")
     )
@@ -46,7 +48,6 @@ def validate(
         F.sum("_f").alias("_f"),
         F.sum("_e").alias("_e"),
     )
-    # Equal minimum and maximum also rejects null vectors, whose size is -1 or null.
     outcome = (
         F.when((F.col("_low") != F.col("_high")) | (F.col("_low") < 1), "not_a_matrix")
         .when(F.col("_f") != F.col("_e"), "count_mismatch")

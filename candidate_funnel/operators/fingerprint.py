@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.operators.graph import NODE, both_ways
+from candidate_funnel.session import cut
 
 
 def code(*parts: Column) -> Column:
@@ -24,8 +27,8 @@ def _closing(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     Edges run from the end of lower degree to the other, which leaves even a
     hub few outgoing ones to pair up.
     """
-    low = degrees.select("graph_id", F.col("node_id").alias("src"), F.col("degree").alias("_ds"))
-    high = degrees.select("graph_id", F.col("node_id").alias("dst"), F.col("degree").alias("_dd"))
+    low = degrees.select("graph_id", F.col("node_id").alias("src"), F.col("size").alias("_ds"))
+    high = degrees.select("graph_id", F.col("node_id").alias("dst"), F.col("size").alias("_dd"))
     turned = F.struct("_ds", "src") > F.struct("_dd", "dst")
     directed = (
         edges.join(low, ["graph_id", "src"])
@@ -55,43 +58,17 @@ def _closing(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     )
 
 
-def _spans(edges: DataFrame, radius: int) -> list[DataFrame]:
-    """Per radius, number and code sum of the edges each environment covers.
+def _listed(links: DataFrame, radius: int) -> DataFrame:
+    """Number and code sum of the edges within ``radius``, listed as rows.
 
-    Radius 1 is the incident edges. Radius 2 adds those of the neighbours and
-    takes back what that counts twice, so no edge set is ever listed. Larger
-    radii list the covered edges as rows, a product of degrees in size.
+    The rows grow with the product of degrees; only radii above 2 need them.
     """
-    ends = both_ways(edges, "edge")
-    first = ends.groupBy(*NODE).agg(F.count("*").alias("degree"), _total("edge").alias("covered"))
-    spans = [first.select(*NODE, F.col("degree").alias("size"), "covered")]
-    if radius >= 2:
-        beyond = (
-            ends.join(first.withColumnRenamed("node_id", "other"), ["graph_id", "other"])
-            .groupBy(*NODE)
-            .agg(
-                F.sum(F.col("degree") - 1).alias("_more"),
-                F.sum(F.col("covered") - F.col("edge")).alias("_further"),
-            )
-        )
-        zero = F.lit(0)
-        spans.append(
-            first.join(beyond, NODE)
-            .join(_closing(edges, first), NODE, "left")
-            .select(
-                *NODE,
-                (F.col("degree") + F.col("_more") - F.coalesce("_closing", zero)).alias("size"),
-                (F.col("covered") + F.col("_further") - F.coalesce("_closed", zero)).alias("covered"),
-            )
-        )
-    listed = ends.select(*NODE, "edge")
-    links = ends.select(*NODE, "other")
-    for reach in range(2, radius + 1):
-        step = links.join(listed.withColumnRenamed("node_id", "other"), ["graph_id", "other"])
-        listed = listed.unionByName(step.select(*NODE, "edge")).distinct()
-        if reach >= 3:
-            spans.append(listed.groupBy(*NODE).agg(F.count("*").alias("size"), _total("edge").alias("covered")))
-    return spans
+    covered = links.select(*NODE, "edge")
+    for _ in range(radius - 1):
+        nearer = covered.withColumnRenamed("node_id", "other")
+        further = links.select(*NODE, "other").join(nearer, ["graph_id", "other"])
+        covered = covered.unionByName(further.select(*NODE, "edge")).distinct()
+    return covered.groupBy(*NODE).agg(F.count("*").alias("size"), _total("edge").alias("covered"))
 
 
 def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFrame:
@@ -101,40 +78,66 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
     multiset of its neighbours' codes, as a count and a sum. Environments that
     cover the same edges of a graph count once: the smallest radius wins, then
     the smallest code. Single nodes cover no edge and always count.
+
+    What an environment covers is known by the number of its edges and the sum
+    of their codes: at radius 1 the incident edges; at radius 2 also those of
+    the neighbours, less what that counts twice, so no edge set is listed.
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
     labelled = edges.withColumn(
         "edge", code(F.least("src", "dst"), F.greatest("src", "dst"))
     ).withColumnRenamed("label", "bond")
-    links = both_ways(labelled, "bond")
-    current = nodes.select(*NODE, code(F.col("label")).alias("code"))
-    found = current.select("graph_id", F.lit(0).alias("radius"), "code").distinct()
-    grown = None
-    for reach, span in enumerate(_spans(labelled, radius) if radius else [], 1):
+    links = both_ways(labelled, "bond", "edge")
+    none = F.lit(0)
+    current = nodes.select(
+        *NODE,
+        code(F.col("label")).alias("code"),
+        none.cast("bigint").alias("size"),
+        none.cast("decimal(38,0)").alias("covered"),
+    )
+    rounds = [current]
+    for reach in range(1, radius + 1):
+        message = code(F.col("bond"), F.col("code"))
         around = (
             links.join(current.withColumnRenamed("node_id", "other"), ["graph_id", "other"])
             .groupBy(*NODE)
             .agg(
                 F.count("*").alias("_n"),
-                _total(code(F.col("bond"), F.col("code"))).cast("decimal(38,0)").alias("_sum"),
+                _total(message).cast("decimal(38,0)").alias("_sum"),
+                _total("edge").alias("_edges"),
+                F.sum("size").alias("_sizes"),
+                F.sum("covered").alias("_covers"),
             )
         )
-        current = current.join(around, NODE).select(
-            *NODE, code(F.lit(reach), F.col("code"), F.col("_n"), F.col("_sum")).alias("code")
-        )
-        rows = current.join(span, NODE).select(
-            "graph_id",
-            F.lit(reach).alias("radius"),
-            "code",
-            "size",
-            F.col("covered").cast("decimal(38,0)").alias("covered"),
+        grown = current.join(around, NODE)
+        if reach == 1:
+            size, covered = F.col("_n"), F.col("_edges")
+        elif reach == 2:
+            # A neighbour's own edges, without the one that leads to it.
+            grown = grown.join(_closing(labelled, current), NODE, "left")
+            size = F.col("size") + F.col("_sizes") - F.col("_n") - F.coalesce("_closing", none)
+            covered = F.col("covered") + F.col("_covers") - F.col("_edges") - F.coalesce("_closed", none)
+        else:
+            grown = grown.drop("size", "covered").join(_listed(links, reach), NODE)
+            size, covered = F.col("size"), F.col("covered")
+        current = grown.select(
+            *NODE,
+            code(F.lit(reach), F.col("code"), F.col("_n"), F.col("_sum")).alias("code"),
+            size.alias("size"),
+            covered.cast("decimal(38,0)").alias("covered"),
         )
-        grown = rows if grown is None else grown.unionByName(rows)
-    if grown is None:
+        if radius > 2:
+            current = cut(current)
+        rounds.append(current)
+    found = rounds[0].select("graph_id", none.alias("radius"), "code").distinct()
+    if radius == 0:
         return found
-    once = grown.groupBy("graph_id", "size", "covered").agg(
-        F.min(F.struct("radius", "code")).alias("_first")
+    rows = [df.withColumn("radius", F.lit(r)) for r, df in enumerate(rounds) if r]
+    once = (
+        reduce(DataFrame.unionByName, rows)
+        .groupBy("graph_id", "size", "covered")
+        .agg(F.min(F.struct("radius", "code")).alias("_first"))
     )
     return found.unionByName(once.select("graph_id", "_first.radius", "_first.code"))
 

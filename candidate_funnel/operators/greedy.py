@@ -1,7 +1,7 @@
 """Order-dependent selection: first-come de-duplication and threshold clusters.
 
 Both are sequential by definition. Inside a small key the sequence is simply
-followed. A large key is worked off in rounds over all its rows at once, each
+followed. A large key is worked off in rounds over many rows at once, each
 deciding exactly those rows whose outcome no undecided row can still change,
 so the result is the sequential one.
 """
@@ -20,13 +20,13 @@ from pyspark.sql import types as T
 from candidate_funnel.operators.neighbours import (
     GROUP_LIMIT,
     Gate,
-    Reach,
+    Neighbourhood,
     alike,
+    by_distance,
+    by_pairs,
     matrix,
     numbers,
-    pair_reach,
     split_by_size,
-    tile_reach,
 )
 from candidate_funnel.operators.select import rank
 from candidate_funnel.session import cut
@@ -113,23 +113,47 @@ def _any(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def keep_rounds(state: DataFrame, keys: Sequence[str], reach: Reach) -> DataFrame:
-    """Positions kept: rows before all their open neighbours, round by round."""
-    keys = list(keys)
+def _settle(state: DataFrame, keys: list[str], near: Neighbourhood) -> list[DataFrame]:
+    """Rows kept among ``state`` alone: those before all their open neighbours."""
     spot = [*keys, "pos"]
     kept = []
     while not state.isEmpty():
-        earliest = cut(reach(state.withColumn("value", F.col("pos")), "min"))
-        kept.append(earliest.where(F.col("value") == F.col("pos")).select(*spot))
-        marked = state.join(
-            earliest.select(*spot, (F.col("value") == F.col("pos")).cast("bigint").alias("value")), spot
+        earliest = near.reach(state.withColumn("value", F.col("pos")), "min")
+        marked = cut(
+            state.join(
+                earliest.select(*spot, (F.col("value") == F.col("pos")).cast("bigint").alias("value")),
+                spot,
+            )
         )
-        untouched = reach(marked, "max").where(F.col("value") == 0).select(*spot)
-        state = cut(state.join(untouched, spot, "left_semi"))
-    return _any(kept)
+        kept.append(marked.where("value = 1").drop("value"))
+        untouched = near.reach(marked, "max").where("value = 0").select(*spot)
+        state = cut(marked.drop("value").join(untouched, spot, "left_semi"))
+    return kept
+
 
+def keep_rounds(
+    state: DataFrame, keys: Sequence[str], near: Neighbourhood, first: int
+) -> DataFrame:
+    """Rows of ``state`` to keep, taken in prefixes of doubling length.
 
-def cluster_rounds(state: DataFrame, keys: Sequence[str], reach: Reach) -> DataFrame:
+    Each prefix first loses what is near a row kept so far, so a crowded key
+    compares its rows with the few it keeps and not with each other.
+    """
+    keys = list(keys)
+    spot = [*keys, "pos"]
+    last = state.agg(F.max("pos")).first()[0]
+    kept: list[DataFrame] = []
+    low, high = 0, first
+    while low < last:
+        part = state.where((F.col("pos") > low) & (F.col("pos") <= high))
+        if kept:
+            part = cut(part.join(near.touch(part, _any(kept)), spot, "left_anti"))
+        kept += _settle(part, keys, near)
+        low, high = high, high * 2
+    return _any(kept).select(*spot)
+
+
+def cluster_rounds(state: DataFrame, keys: Sequence[str], near: Neighbourhood) -> DataFrame:
     """Centre position of every row: ``(keys, pos, centre)``.
 
     A row becomes a centre when it outranks every open row up to two steps
@@ -142,14 +166,14 @@ def cluster_rounds(state: DataFrame, keys: Sequence[str], reach: Reach) -> DataF
     none = np.iinfo(np.int64).max
     done = []
     while not state.isEmpty():
-        count = reach(state.withColumn("value", F.col("weight")), "sum")
+        count = near.reach(state.withColumn("value", F.col("weight")), "sum")
         priority = F.shiftleft(F.col("value"), POSITION_BITS).bitwiseOR(F.lit(last) - F.col("pos"))
         ranked = cut(count.select(*spot, priority.alias("priority")))
-        one_step = reach(state.join(ranked.withColumnRenamed("priority", "value"), spot), "max")
-        two_steps = reach(state.join(one_step, spot), "max").join(ranked, spot)
+        one_step = near.reach(state.join(ranked.withColumnRenamed("priority", "value"), spot), "max")
+        two_steps = near.reach(state.join(one_step, spot), "max").join(ranked, spot)
         chosen = F.when(F.col("value") == F.col("priority"), F.col("pos")).otherwise(F.lit(none))
         centres = cut(two_steps.select(*spot, chosen.alias("value")))
-        taken = cut(reach(state.join(centres, spot), "min"))
+        taken = cut(near.reach(state.join(centres, spot), "min"))
         done.append(
             taken.where(F.col("value") < none).select(*spot, F.col("value").alias("centre"))
         )
@@ -199,7 +223,7 @@ def keep_first(
         if pairs is None:
             same = [*keys, coords, *([score] if score else [])]
             state = cut(placed.groupBy(*same).agg(F.min("pos").alias("pos")))
-            reach = tile_reach(keys, gate, coords, score, group_limit)
+            near = by_distance(keys, gate, coords, score, group_limit)
         else:
             state = placed.select(*keys, "pos")
             ends = _present(near_pairs, placed, keys, ident)
@@ -210,8 +234,8 @@ def keep_first(
                 ).join(scores.withColumnsRenamed({"pos": "pos_b", score: "_sb"}), [*keys, "pos_b"])
                 ends = ends.where(F.abs(F.col("_sa") - F.col("_sb")) < gate.score)
             ends = ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b"))
-            reach = pair_reach(cut(ends), keys)
-        kept = keep_rounds(state, keys, reach)
+            near = by_pairs(cut(ends), keys)
+        kept = keep_rounds(state, keys, near, group_limit)
         result = result.unionByName(placed.join(kept, [*keys, "pos"], "left_semi"))
     return result.drop("pos")
 
@@ -260,15 +284,15 @@ def leader_cluster(
                     F.min("pos").alias("pos"), F.sum(heavy).alias("weight")
                 )
             )
-            reach = tile_reach(keys, gate, coords, block_rows=group_limit)
-            centres = cluster_rounds(state, keys, reach)
+            near = by_distance(keys, gate, coords, block_rows=group_limit)
+            centres = cluster_rounds(state, keys, near)
             spots = state.join(centres, [*keys, "pos"]).select(*keys, coords, "centre")
             members = placed.join(spots, [*keys, coords])
         else:
             state = cut(placed.select(*keys, "pos", heavy.alias("weight")))
             ends = _present(near_pairs, placed, keys, ident)
             ends = ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b"))
-            centres = cluster_rounds(state, keys, pair_reach(cut(ends), keys))
+            centres = cluster_rounds(state, keys, by_pairs(cut(ends), keys))
             members = placed.join(centres, [*keys, "pos"])
         names = placed.select(*keys, F.col("pos").alias("centre"), F.col(ident).alias("cluster_id"))
         result = result.unionByName(members.join(names, [*keys, "centre"]).drop("centre"))

@@ -30,9 +30,11 @@ GROUP_LIMIT = 2048
 CELL_SLACK = 1.001
 
 AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}
-IDENTITY = {"min": np.iinfo(np.int64).max, "max": np.iinfo(np.int64).min, "sum": 0}
-
-Reach = Callable[[DataFrame, str], DataFrame]
+FOLDS = {
+    "min": (np.min, np.iinfo(np.int64).max),
+    "max": (np.max, np.iinfo(np.int64).min),
+    "sum": (np.sum, 0),
+}
 
 
 @dataclass(frozen=True)
@@ -126,6 +128,11 @@ def _cell(gate: Gate, coords: str, score: str | None) -> Column:
     return F.array(*[F.floor(lane).cast("bigint") for lane in lanes])
 
 
+def _cells(placed: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    blocks = F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks")
+    return placed.groupBy(*keys, "_cell").agg(blocks)
+
+
 def tiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -134,61 +141,67 @@ def tiles(
     coords: str,
     score: str | None = None,
     block_rows: int = GROUP_LIMIT,
+    against: DataFrame | None = None,
 ) -> DataFrame:
     """Copy each row to every tile that may hold a neighbour of it.
 
     Adds ``_cell_a, _block_a, _cell_b, _block_b`` naming the tile and
     ``_side``: 0 or 1, or 2 for both sides of a block compared with itself.
+    With ``against``, only tiles between rows of ``df`` (side 0) and of the
+    other table (side 1) are made.
     """
     keys = list(keys)
-    placed = df.withColumn("_cell", _cell(gate, coords, score))
+    itself = against is None
+    placed_a = df.withColumn("_cell", _cell(gate, coords, score))
+    placed_b = placed_a if itself else against.withColumn("_cell", _cell(gate, coords, score))
     lanes = 3 if gate.score is not None else 2
-    cells = (
-        placed.groupBy(*keys, "_cell")
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, "_cell", F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
-    )
-    forward = [step for step in product((-1, 0, 1), repeat=lanes) if step >= (0,) * lanes]
-    steps = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in step]) for step in forward])
-    shifted = F.transform(steps, lambda s: F.zip_with("_cell_a", s, lambda x, y: x + y))
+    steps = [s for s in product((-1, 0, 1), repeat=lanes) if not itself or s >= (0,) * lanes]
+    moves = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in steps])
+    shifted = F.transform(moves, lambda s: F.zip_with("_cell_a", s, lambda x, y: x + y))
     touching = (
-        cells.withColumnsRenamed({"_cell": "_cell_a", "_blocks": "_blocks_a"})
+        _cells(placed_a, keys, block_rows)
+        .withColumnsRenamed({"_cell": "_cell_a", "_blocks": "_blocks_a"})
         .withColumn("_cell_b", F.explode(shifted))
         .join(
-            cells.withColumnsRenamed({"_cell": "_cell_b", "_blocks": "_blocks_b"}),
+            _cells(placed_b, keys, block_rows).withColumnsRenamed(
+                {"_cell": "_cell_b", "_blocks": "_blocks_b"}
+            ),
             [*keys, "_cell_b"],
         )
     )
-    first = touching.select(
-        *keys,
-        F.col("_cell_a").alias("_cell"),
-        "_cell_a",
-        "_cell_b",
-        F.lit(True).alias("_first"),
-        F.col("_blocks_a").alias("_own"),
-        F.col("_blocks_b").alias("_other"),
-    )
-    second = touching.where(F.col("_cell_a") != F.col("_cell_b")).select(
-        *keys,
-        F.col("_cell_b").alias("_cell"),
-        "_cell_a",
-        "_cell_b",
-        F.lit(False).alias("_first"),
-        F.col("_blocks_b").alias("_own"),
-        F.col("_blocks_a").alias("_other"),
-    )
-    member = (
-        placed.join(first.unionByName(second), [*keys, "_cell"])
-        .withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_own")).cast("int"))
-        .withColumn("_partner", F.explode(F.sequence(F.lit(0), F.col("_other") - 1)))
-    )
-    inner = F.col("_cell_a") == F.col("_cell_b")
-    low = F.least("_block", "_partner")
-    high = F.greatest("_block", "_partner")
+
+    def side(cell: str, own: str, other: str, first: bool) -> DataFrame:
+        return touching.select(
+            *keys,
+            F.col(cell).alias("_cell"),
+            "_cell_a",
+            "_cell_b",
+            F.lit(first).alias("_first"),
+            F.col(own).alias("_own"),
+            F.col(other).alias("_other"),
+        )
+
+    side_a = side("_cell_a", "_blocks_a", "_blocks_b", True)
+    side_b = side("_cell_b", "_blocks_b", "_blocks_a", False)
+    if itself:
+        outer = side_b.where(F.col("_cell_a") != F.col("_cell_b"))
+        member = placed_a.join(side_a.unionByName(outer), [*keys, "_cell"])
+        inner = F.col("_cell_a") == F.col("_cell_b")
+    else:
+        member = placed_a.join(side_a, [*keys, "_cell"]).unionByName(
+            placed_b.join(side_b, [*keys, "_cell"])
+        )
+        inner = F.lit(False)
     own, other, leads = F.col("_block"), F.col("_partner"), F.col("_first")
     return (
-        member.withColumn("_block_a", F.when(inner, low).when(leads, own).otherwise(other))
-        .withColumn("_block_b", F.when(inner, high).when(leads, other).otherwise(own))
+        member.withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_own")).cast("int"))
+        .withColumn("_partner", F.explode(F.sequence(F.lit(0), F.col("_other") - 1)))
+        .withColumn(
+            "_block_a", F.when(inner, F.least(own, other)).when(leads, own).otherwise(other)
+        )
+        .withColumn(
+            "_block_b", F.when(inner, F.greatest(own, other)).when(leads, other).otherwise(own)
+        )
         .withColumn(
             "_side",
             F.when(inner & (own == other), 2)
@@ -213,81 +226,112 @@ def _scores(table: pa.Table, score: str | None) -> np.ndarray | None:
     return numbers(table[score]) if score else None
 
 
-def tile_reach(
+@dataclass(frozen=True)
+class Neighbourhood:
+    """How the rows of ``(keys, pos, ...)`` tables reach their neighbours.
+
+    ``reach(df, how)`` aggregates ``value`` over each row's neighbours, itself
+    included. ``touch(df, others)`` lists the rows near any of the others.
+    """
+
+    reach: Callable[[DataFrame, str], DataFrame]
+    touch: Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def by_distance(
     keys: Sequence[str],
     gate: Gate,
     coords: str,
     score: str | None = None,
     block_rows: int = GROUP_LIMIT,
-) -> Reach:
-    """Aggregate ``value`` over each row's neighbours, itself included.
+) -> Neighbourhood:
+    """Neighbours found by distance, tile by tile.
 
-    Tiles send on one partial value per row, never the pairs themselves.
+    Tiles send on at most one partial result per row, never pairs.
     """
     keys = list(keys)
+    spot = [*keys, "pos"]
+    carried = [*spot, coords, *([score] if score else [])]
+
+    def near(a: pa.Table, b: pa.Table) -> np.ndarray:
+        return alike(matrix(a[coords]), matrix(b[coords]), gate, _scores(a, score), _scores(b, score))
 
     def reach(df: DataFrame, how: str) -> DataFrame:
-        fold = {"min": np.min, "max": np.max, "sum": np.sum}[how]
-        blank = IDENTITY[how]
-        schema = T.StructType(
-            [*[df.schema[k] for k in keys], T.StructField("pos", T.LongType()), T.StructField("value", T.LongType())]
-        )
+        fold, blank = FOLDS[how]
 
         def compare(table: pa.Table) -> pa.Table:
             a, b, same = _sides(table)
-            near = alike(matrix(a[coords]), matrix(b[coords]), gate, _scores(a, score), _scores(b, score))
-            parts = []
-            for rows, mask, other in ((a, near, b),) if same else ((a, near, b), (b, near.T, a)):
-                values = np.where(mask, numbers(other["value"])[None, :], blank)
-                parts.append(
-                    rows.select([*keys, "pos"]).append_column(
-                        "value", pa.array(fold(values, axis=1, initial=blank), pa.int64())
-                    )
-                )
+            parts = [table.select(spot).slice(0, 0).append_column("value", pa.array([], pa.int64()))]
+            if a.num_rows and b.num_rows:
+                mask = near(a, b)
+                sides = [(a, mask, b)] if same else [(a, mask, b), (b, mask.T, a)]
+                for rows, within, others in sides:
+                    values = np.where(within, numbers(others["value"])[None, :], blank)
+                    folded = pa.array(fold(values, axis=1), pa.int64())
+                    parts.append(rows.select(spot).append_column("value", folded))
             return pa.concat_tables(parts)
 
-        carried = [*keys, "pos", "value", coords, *([score] if score else [])]
-        spread = tiles(df.select(*carried), keys, "pos", gate, coords, score, block_rows)
+        schema = T.StructType([*[df.schema[c] for c in spot], T.StructField("value", T.LongType())])
+        spread = tiles(df.select(*carried, "value"), keys, "pos", gate, coords, score, block_rows)
         partial = spread.groupBy(*keys, *TILE).applyInArrow(compare, schema)
-        return partial.groupBy(*keys, "pos").agg(AGGREGATES[how]("value").alias("value"))
+        return partial.groupBy(*spot).agg(AGGREGATES[how]("value").alias("value"))
 
-    return reach
+    def touch(df: DataFrame, others: DataFrame) -> DataFrame:
+        def compare(table: pa.Table) -> pa.Table:
+            a, b, _ = _sides(table)
+            if not a.num_rows or not b.num_rows:
+                return table.select(spot).slice(0, 0)
+            return a.select(spot).filter(pa.array(near(a, b).any(axis=1)))
 
+        spread = tiles(
+            df.select(*carried), keys, "pos", gate, coords, score, block_rows, others.select(*carried)
+        )
+        schema = T.StructType([df.schema[c] for c in spot])
+        return spread.groupBy(*keys, *TILE).applyInArrow(compare, schema).distinct()
+
+    return Neighbourhood(reach, touch)
 
-def pair_reach(pairs: DataFrame, keys: Sequence[str]) -> Reach:
-    """The same aggregate over neighbours listed as ``(keys, a, b)`` positions."""
+
+def by_pairs(pairs: DataFrame, keys: Sequence[str]) -> Neighbourhood:
+    """Neighbours listed as ``(keys, a, b)`` positions."""
     keys = list(keys)
     both = pairs.select(*keys, "a", "b").unionByName(
         pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))
     )
 
+    def around(df: DataFrame, *extra: str) -> DataFrame:
+        ends = df.select(*keys, F.col("pos").alias("b"), *extra)
+        return both.join(ends, [*keys, "b"]).select(*keys, F.col("a").alias("pos"), *extra)
+
     def reach(df: DataFrame, how: str) -> DataFrame:
-        own = df.select(*keys, "pos", "value")
-        around = both.join(own.withColumnRenamed("pos", "b"), [*keys, "b"]).select(
-            *keys, F.col("a").alias("pos"), "value"
-        )
-        return own.unionByName(around).groupBy(*keys, "pos").agg(AGGREGATES[how]("value").alias("value"))
+        rows = df.select(*keys, "pos", "value").unionByName(around(df, "value"))
+        return rows.groupBy(*keys, "pos").agg(AGGREGATES[how]("value").alias("value"))
 
-    return reach
+    def touch(df: DataFrame, others: DataFrame) -> DataFrame:
+        return around(others).distinct().join(df.select(*keys, "pos"), [*keys, "pos"], "left_semi")
 
+    return Neighbourhood(reach, touch)
 
-def pair_rmsd(
+
+def near_pairs(
     df: DataFrame,
     keys: Sequence[str],
-    ident: str = "cand_id",
-    coords: str = "coords",
-    max_dist: float = 0.3,
-    dims: int = 1,
+    ident: str,
+    index: str,
+    gate: Gate,
+    measure: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray, pa.Table | None], np.ndarray],
+    max_dist: float,
+    per_key: DataFrame | None = None,
     bound: int | None = None,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """Pairs ``(keys, a, b, dist)`` with ``a < b`` at most ``max_dist`` apart.
+    """Pairs ``(keys, a, b, dist)``, ``a < b``, with a measured distance in range.
 
-    Exact copies would make every pair of their group a result row, so pass
-    ``structures`` of the candidates when copies may be frequent.
+    ``gate`` on the ``index`` vectors picks the pairs to measure and must let
+    every pair in range pass. ``measure`` gets the rows of both sides, the row
+    numbers of each pair, and the rows of ``per_key`` of that key.
     """
     keys = list(keys)
-    gate = Gate(max_dist, dims=dims)
     schema = T.StructType(
         [
             *[df.schema[k] for k in keys],
@@ -297,23 +341,66 @@ def pair_rmsd(
         ]
     )
 
-    def emit(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
-        x, y = matrix(a[coords]), matrix(b[coords])
-        near = alike(x, y, gate)
-        i, j = np.nonzero(np.triu(near, 1) if same else near)
+    def emit(a: pa.Table, b: pa.Table, same: bool, extra: pa.Table | None = None) -> pa.Table:
+        i = j = np.empty(0, dtype=np.int64)
+        dist = np.empty(0)
+        if a.num_rows and b.num_rows:
+            near = alike(matrix(a[index]), matrix(b[index]), gate)
+            i, j = np.nonzero(np.triu(near, 1) if same else near)
+        if len(i):
+            dist = measure(a, b, i, j, extra)
+            i, j, dist = (v[dist <= max_dist] for v in (i, j, dist))
         left, right = numbers(a[ident])[i], numbers(b[ident])[j]
         columns = {k: a[k].take(pa.array(i)) for k in keys}
         columns["a"] = pa.array(np.minimum(left, right), pa.int64())
         columns["b"] = pa.array(np.maximum(left, right), pa.int64())
-        columns["dist"] = pa.array(rmsd(x[i], y[j], dims), pa.float64())
+        columns["dist"] = pa.array(dist, pa.float64())
         return pa.table(columns)
 
-    rows = df.select(*keys, ident, coords)
-    small, large = split_by_size(rows, keys, group_limit, bound)
-    result = small.groupBy(*keys).applyInArrow(lambda t: emit(t, t, True), schema)
+    def grouped(rows: DataFrame, by: list[str], run: Callable, extra: DataFrame | None) -> DataFrame:
+        if extra is None:
+            return rows.groupBy(*by).applyInArrow(lambda t: run(t), schema)
+        # The other side's grouping columns stand first, in the same order.
+        others = extra.groupBy(*extra.columns[: len(by)])
+        return rows.groupBy(*by).cogroup(others).applyInArrow(lambda t, x: run(t, x), schema)
+
+    values = [] if per_key is None else [c for c in per_key.columns if c not in keys]
+    extra = None if per_key is None else per_key.select(*keys, *values)
+    small, large = split_by_size(df, keys, group_limit, bound)
+    result = grouped(small, keys, lambda t, x=None: emit(t, t, True, x), extra)
     if large is not None:
-        spread = tiles(large, keys, ident, gate, coords, block_rows=group_limit)
-        result = result.unionByName(
-            spread.groupBy(*keys, *TILE).applyInArrow(lambda t: emit(*_sides(t)), schema)
-        )
+        spread = tiles(large, keys, ident, gate, index, block_rows=group_limit)
+        if extra is not None:
+            # Every tile of a key gets its own copy, so no task serves a whole key.
+            named = {c: f"{c}_of" for c in TILE}
+            each = spread.select(*keys, *TILE).distinct().withColumnsRenamed(named)
+            extra = extra.join(each, keys).select(*keys, *named.values(), *values)
+        tiled = grouped(spread, [*keys, *TILE], lambda t, x=None: emit(*_sides(t), x), extra)
+        result = result.unionByName(tiled)
     return result
+
+
+def pair_rmsd(
+    df: DataFrame,
+    keys: Sequence[str],
+    ident: str = "cand_id",
+    coords: str = "coords",
+    max_dist: float = 0.3,
+    dims: int = 1,
+    bound: int | None = None,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Pairs ``(keys, a, b, dist)`` with ``a < b`` at most ``max_dist`` apart.
+
+    Exact copies would make every pair of their group a result row, so pass
+    ``structures`` of the candidates when copies may be frequent.
+    """
+
+    def measure(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, _: None) -> np.ndarray:
+        return rmsd(matrix(a[coords])[i], matrix(b[coords])[j], dims)
+
+    gate = Gate(max_dist, dims=dims)
+    rows = df.select(*keys, ident, coords)
+    return near_pairs(
+        rows, keys, ident, coords, gate, measure, max_dist, None, bound, group_limit
+    )
