@@ -24,7 +24,7 @@ from candidate_funnel.operators import (
 )
 from candidate_funnel.operators.neighbours import Gate
 from candidate_funnel.plans.funnel import run_funnel
-from candidate_funnel.session import tune
+from candidate_funnel.session import cut, tune
 from candidate_funnel.sources import spec
 from candidate_funnel.sources.spec import SourceSpec
 
@@ -98,6 +98,8 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         )
         .distinct()
     )
+    # Read several times below, so written once.
+    edges = cut(edges)
     ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id"))
     return ends.distinct(), edges
 

@@ -27,13 +27,16 @@ from candidate_funnel.operators.neighbours import (
     matrix,
     numbers,
     split_by_size,
+    with_cells,
 )
-from candidate_funnel.operators.select import rank
+from candidate_funnel.operators.select import largest_group, rank
 from candidate_funnel.session import cut
 
 # Position and neighbour count share one bigint when clusters compete.
 POSITION_BITS = 31
 
+Decide = Callable[[pa.Table, pa.Table | None], pa.Table]
+
 
 def first_kept(near: np.ndarray) -> np.ndarray:
     """Keep each row, in order, unless it is near one already kept."""
@@ -91,7 +94,7 @@ def _follow(
     keys: list[str],
     ident: str,
     schema: T.StructType,
-    decide: Callable[[pa.Table, pa.Table | None], pa.Table],
+    decide: Decide,
     pairs: DataFrame | None,
 ) -> DataFrame:
     """Run ``decide`` over each small key in order, with its pairs if listed."""
@@ -113,59 +116,103 @@ def _any(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _settle(state: DataFrame, keys: list[str], near: Neighbourhood) -> list[DataFrame]:
-    """Rows kept among ``state`` alone: those before all their open neighbours."""
+def _keeper(gate: Gate, ident: str, coords: str, score: str | None) -> Decide:
+    """De-duplication of one small key."""
+
+    def decide(points: pa.Table, listed: pa.Table | None) -> pa.Table:
+        s = numbers(points[score]) if score else None
+        if listed is None:
+            x = matrix(points[coords])
+            near = alike(x, x, gate, s, s)
+        else:
+            near = _listed(points, listed, ident)
+            if score:
+                near &= np.abs(s[:, None] - s[None, :]) < gate.score
+        return points.filter(pa.array(first_kept(near)))
+
+    return decide
+
+
+def _clusterer(gate: Gate, ident: str, coords: str, weight: str | None, name: str) -> Decide:
+    """Clustering of one small key; ``name`` is filled with the centre's id."""
+
+    def decide(points: pa.Table, listed: pa.Table | None) -> pa.Table:
+        if listed is None:
+            x = matrix(points[coords])
+            near = alike(x, x, gate)
+        else:
+            near = _listed(points, listed, ident)
+        heavy = numbers(points[weight]) if weight else np.ones(points.num_rows, dtype=np.int64)
+        centre = pa.array(crowded_first(near, heavy))
+        return points.append_column(name, points[ident].take(centre))
+
+    return decide
+
+
+def keep_in_rounds(state: DataFrame, keys: list[str], near: Neighbourhood) -> list[DataFrame]:
+    """Rows kept among ``state`` alone: each round, those before all open neighbours."""
     spot = [*keys, "pos"]
     kept = []
     while not state.isEmpty():
         earliest = near.reach(state.withColumn("value", F.col("pos")), "min")
-        marked = cut(
-            state.join(
-                earliest.select(*spot, (F.col("value") == F.col("pos")).cast("bigint").alias("value")),
-                spot,
-            )
-        )
+        first = (F.col("value") == F.col("pos")).cast("bigint").alias("value")
+        marked = cut(state.join(earliest.select(*spot, first), spot))
         kept.append(marked.where("value = 1").drop("value"))
         untouched = near.reach(marked, "max").where("value = 0").select(*spot)
         state = cut(marked.drop("value").join(untouched, spot, "left_semi"))
     return kept
 
 
-def keep_rounds(
-    state: DataFrame, keys: Sequence[str], near: Neighbourhood, first: int
+def keep_in_prefixes(
+    state: DataFrame,
+    keys: list[str],
+    near: Neighbourhood,
+    decide: Decide,
+    pairs: DataFrame | None,
+    limit: int,
 ) -> DataFrame:
-    """Rows of ``state`` to keep, taken in prefixes of doubling length.
+    """Positions to keep, settled in prefixes of doubling length.
 
     Each prefix first loses what is near a row kept so far, so a crowded key
-    compares its rows with the few it keeps and not with each other.
+    compares its rows with the few it keeps and not with each other. What is
+    left of a key is settled at once if it is small, or else in rounds.
     """
-    keys = list(keys)
     spot = [*keys, "pos"]
     last = state.agg(F.max("pos")).first()[0]
     kept: list[DataFrame] = []
-    low, high = 0, first
+    low, high = 0, limit
     while low < last:
         part = state.where((F.col("pos") > low) & (F.col("pos") <= high))
         if kept:
             part = cut(part.join(near.touch(part, _any(kept)), spot, "left_anti"))
-        kept += _settle(part, keys, near)
+        if largest_group(part, keys) <= limit:
+            kept.append(cut(_follow(part, keys, "pos", part.schema, decide, pairs)))
+        else:
+            kept += keep_in_rounds(part, keys, near)
         low, high = high, high * 2
     return _any(kept).select(*spot)
 
 
-def cluster_rounds(state: DataFrame, keys: Sequence[str], near: Neighbourhood) -> DataFrame:
+def cluster_in_rounds(
+    state: DataFrame,
+    keys: list[str],
+    near: Neighbourhood,
+    decide: Decide,
+    pairs: DataFrame | None,
+    limit: int,
+) -> DataFrame:
     """Centre position of every row: ``(keys, pos, centre)``.
 
     A row becomes a centre when it outranks every open row up to two steps
     away. Clusters change neighbour counts only that far, and counts only
-    fall, so its turn would come with exactly these members.
+    fall, so its turn would come with exactly these members. Once no key has
+    more than ``limit`` open rows, the rest is settled at once.
     """
-    keys = list(keys)
     spot = [*keys, "pos"]
     last = 2**POSITION_BITS - 1
     none = np.iinfo(np.int64).max
     done = []
-    while not state.isEmpty():
+    while largest_group(state, keys) > limit:
         count = near.reach(state.withColumn("value", F.col("weight")), "sum")
         priority = F.shiftleft(F.col("value"), POSITION_BITS).bitwiseOR(F.lit(last) - F.col("pos"))
         ranked = cut(count.select(*spot, priority.alias("priority")))
@@ -179,7 +226,9 @@ def cluster_rounds(state: DataFrame, keys: Sequence[str], near: Neighbourhood) -
         )
         rest = taken.where(F.col("value") == none).select(*spot)
         state = cut(state.join(rest, spot, "left_semi"))
-    return _any(done)
+    schema = T.StructType([*state.schema.fields, T.StructField("centre", T.LongType())])
+    done.append(_follow(state, keys, "pos", schema, decide, pairs).select(*spot, "centre"))
+    return cut(_any(done))
 
 
 def keep_first(
@@ -205,25 +254,17 @@ def keep_first(
     small, large = split_by_size(df, keys, group_limit, bound)
     ordered = rank(small, keys, order, "pos", bound=group_limit)
 
-    def decide(points: pa.Table, listed: pa.Table | None) -> pa.Table:
-        s = numbers(points[score]) if score else None
-        if listed is None:
-            x = matrix(points[coords])
-            near = alike(x, x, gate, s, s)
-        else:
-            near = _listed(points, listed, ident)
-            if score:
-                near &= np.abs(s[:, None] - s[None, :]) < gate.score
-        return points.filter(pa.array(first_kept(near)))
-
+    decide = _keeper(gate, ident, coords, score)
     near_pairs = None if pairs is None else _in_range(pairs, gate)
     result = _follow(ordered, keys, ident, ordered.schema, decide, near_pairs)
     if large is not None:
         placed = cut(rank(large, keys, order, "pos"))
         if pairs is None:
             same = [*keys, coords, *([score] if score else [])]
-            state = cut(placed.groupBy(*same).agg(F.min("pos").alias("pos")))
-            near = by_distance(keys, gate, coords, score, group_limit)
+            first = placed.groupBy(*same).agg(F.min("pos").alias("pos"))
+            state = cut(with_cells(first, keys, gate, coords, score, group_limit))
+            near, ends = by_distance(keys, gate, coords, score, group_limit), None
+            decide = _keeper(gate, "pos", coords, score)
         else:
             state = placed.select(*keys, "pos")
             ends = _present(near_pairs, placed, keys, ident)
@@ -233,9 +274,9 @@ def keep_first(
                     scores.withColumnsRenamed({"pos": "pos_a", score: "_sa"}), [*keys, "pos_a"]
                 ).join(scores.withColumnsRenamed({"pos": "pos_b", score: "_sb"}), [*keys, "pos_b"])
                 ends = ends.where(F.abs(F.col("_sa") - F.col("_sb")) < gate.score)
-            ends = ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b"))
-            near = by_pairs(cut(ends), keys)
-        kept = keep_rounds(state, keys, near, group_limit)
+            ends = cut(ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b")))
+            near, decide = by_pairs(ends, keys), _keeper(gate, "pos", coords, None)
+        kept = keep_in_prefixes(state, keys, near, decide, ends, group_limit)
         result = result.unionByName(placed.join(kept, [*keys, "pos"], "left_semi"))
     return result.drop("pos")
 
@@ -262,37 +303,29 @@ def leader_cluster(
     ordered = rank(small, keys, order, "pos", bound=group_limit)
     schema = T.StructType([*ordered.schema.fields, T.StructField("cluster_id", T.LongType())])
 
-    def decide(points: pa.Table, listed: pa.Table | None) -> pa.Table:
-        if listed is None:
-            x = matrix(points[coords])
-            near = alike(x, x, gate)
-        else:
-            near = _listed(points, listed, ident)
-        heavy = numbers(points[weight]) if weight else np.ones(points.num_rows, dtype=np.int64)
-        centre = crowded_first(near, heavy)
-        return points.append_column("cluster_id", points[ident].take(pa.array(centre)))
-
+    decide = _clusterer(gate, ident, coords, weight, "cluster_id")
     near_pairs = None if pairs is None else _in_range(pairs, gate)
     result = _follow(ordered, keys, ident, schema, decide, near_pairs)
     if large is not None:
         placed = cut(rank(large, keys, order, "pos"))
         heavy = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+        decide = _clusterer(gate, "pos", coords, "weight", "centre")
         if pairs is None:
             # Copies share their neighbours, so one row stands for all of them.
-            state = cut(
-                placed.groupBy(*keys, coords).agg(
-                    F.min("pos").alias("pos"), F.sum(heavy).alias("weight")
-                )
+            first = placed.groupBy(*keys, coords).agg(
+                F.min("pos").alias("pos"), F.sum(heavy).alias("weight")
             )
+            state = cut(with_cells(first, keys, gate, coords, block_rows=group_limit))
             near = by_distance(keys, gate, coords, block_rows=group_limit)
-            centres = cluster_rounds(state, keys, near)
+            centres = cluster_in_rounds(state, keys, near, decide, None, group_limit)
             spots = state.join(centres, [*keys, "pos"]).select(*keys, coords, "centre")
             members = placed.join(spots, [*keys, coords])
         else:
             state = cut(placed.select(*keys, "pos", heavy.alias("weight")))
             ends = _present(near_pairs, placed, keys, ident)
-            ends = ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b"))
-            centres = cluster_rounds(state, keys, by_pairs(cut(ends), keys))
+            ends = cut(ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b")))
+            near = by_pairs(ends, keys)
+            centres = cluster_in_rounds(state, keys, near, decide, ends, group_limit)
             members = placed.join(centres, [*keys, "pos"])
         names = placed.select(*keys, F.col("pos").alias("centre"), F.col(ident).alias("cluster_id"))
         result = result.unionByName(members.join(names, [*keys, "centre"]).drop("centre"))

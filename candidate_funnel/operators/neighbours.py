@@ -26,6 +26,9 @@ from candidate_funnel.session import cut
 # Rows of one key (or one block of a large key) that a single task compares.
 GROUP_LIMIT = 2048
 
+# Factors by which thinly filled cells are merged.
+MERGES = (1, 2, 4, 8, 16, 32, 64)
+
 # Widening of a cell that keeps rounding from separating true neighbours.
 CELL_SLACK = 1.001
 
@@ -51,6 +54,10 @@ class Gate:
     score: float | None = None
     dims: int = 1
 
+    @property
+    def lanes(self) -> int:
+        return 2 if self.score is None else 3
+
 
 def matrix(values: pa.ChunkedArray) -> np.ndarray:
     """Equal-length lists as a float matrix."""
@@ -116,7 +123,7 @@ def structures(
     return df.groupBy(*keys, coords).agg(F.min(ident).alias(ident), F.count("*").alias("n"))
 
 
-def _cell(gate: Gate, coords: str, score: str | None) -> Column:
+def _lanes(gate: Gate, coords: str, score: str | None) -> Column:
     atoms = F.size(coords) / gate.dims
     width = F.lit(gate.rmsd * CELL_SLACK)
     lanes = [
@@ -128,6 +135,39 @@ def _cell(gate: Gate, coords: str, score: str | None) -> Column:
     return F.array(*[F.floor(lane).cast("bigint") for lane in lanes])
 
 
+def with_cells(
+    df: DataFrame,
+    keys: Sequence[str],
+    gate: Gate,
+    coords: str,
+    score: str | None = None,
+    block_rows: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Add ``_cell``: rows in range of each other lie in touching cells.
+
+    Cells start as wide as the gate. Where that would leave a key with many
+    nearly empty ones, all its cells are merged by the smallest power of two
+    that fills them.
+    """
+    keys = list(keys)
+    fine = df.withColumn("_lane", _lanes(gate, coords, score))
+
+    def merged(factor: int | Column) -> Column:
+        return F.transform("_lane", lambda x: F.floor(x / factor).cast("bigint"))
+
+    occupied = [F.approx_count_distinct(merged(f)).alias(f"_at{f}") for f in MERGES]
+    filled = [
+        F.when(F.col("_n") >= F.col(f"_at{f}") * (block_rows / 8), F.lit(f)) for f in MERGES
+    ]
+    factors = (
+        fine.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), *occupied)
+        .select(*keys, F.coalesce(*filled, F.lit(MERGES[-1])).alias("_factor"))
+    )
+    placed = fine.join(factors, keys).withColumn("_cell", merged(F.col("_factor")))
+    return placed.drop("_lane", "_factor")
+
+
 def _cells(placed: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     blocks = F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks")
     return placed.groupBy(*keys, "_cell").agg(blocks)
@@ -137,14 +177,13 @@ def tiles(
     df: DataFrame,
     keys: Sequence[str],
     ident: str,
-    gate: Gate,
-    coords: str,
-    score: str | None = None,
+    lanes: int,
     block_rows: int = GROUP_LIMIT,
     against: DataFrame | None = None,
 ) -> DataFrame:
     """Copy each row to every tile that may hold a neighbour of it.
 
+    Rows carry the ``_cell`` of ``with_cells``, which has ``lanes`` values.
     Adds ``_cell_a, _block_a, _cell_b, _block_b`` naming the tile and
     ``_side``: 0 or 1, or 2 for both sides of a block compared with itself.
     With ``against``, only tiles between rows of ``df`` (side 0) and of the
@@ -152,9 +191,7 @@ def tiles(
     """
     keys = list(keys)
     itself = against is None
-    placed_a = df.withColumn("_cell", _cell(gate, coords, score))
-    placed_b = placed_a if itself else against.withColumn("_cell", _cell(gate, coords, score))
-    lanes = 3 if gate.score is not None else 2
+    placed_a, placed_b = df, df if itself else against
     steps = [s for s in product((-1, 0, 1), repeat=lanes) if not itself or s >= (0,) * lanes]
     moves = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in steps])
     shifted = F.transform(moves, lambda s: F.zip_with("_cell_a", s, lambda x, y: x + y))
@@ -230,6 +267,8 @@ def _scores(table: pa.Table, score: str | None) -> np.ndarray | None:
 class Neighbourhood:
     """How the rows of ``(keys, pos, ...)`` tables reach their neighbours.
 
+    By distance, the tables carry coordinates and the ``_cell`` they lie in.
+
     ``reach(df, how)`` aggregates ``value`` over each row's neighbours, itself
     included. ``touch(df, others)`` lists the rows near any of the others.
     """
@@ -251,7 +290,7 @@ def by_distance(
     """
     keys = list(keys)
     spot = [*keys, "pos"]
-    carried = [*spot, coords, *([score] if score else [])]
+    carried = [*spot, "_cell", coords, *([score] if score else [])]
 
     def near(a: pa.Table, b: pa.Table) -> np.ndarray:
         return alike(matrix(a[coords]), matrix(b[coords]), gate, _scores(a, score), _scores(b, score))
@@ -272,7 +311,7 @@ def by_distance(
             return pa.concat_tables(parts)
 
         schema = T.StructType([*[df.schema[c] for c in spot], T.StructField("value", T.LongType())])
-        spread = tiles(df.select(*carried, "value"), keys, "pos", gate, coords, score, block_rows)
+        spread = tiles(df.select(*carried, "value"), keys, "pos", gate.lanes, block_rows)
         partial = spread.groupBy(*keys, *TILE).applyInArrow(compare, schema)
         return partial.groupBy(*spot).agg(AGGREGATES[how]("value").alias("value"))
 
@@ -284,7 +323,7 @@ def by_distance(
             return a.select(spot).filter(pa.array(near(a, b).any(axis=1)))
 
         spread = tiles(
-            df.select(*carried), keys, "pos", gate, coords, score, block_rows, others.select(*carried)
+            df.select(*carried), keys, "pos", gate.lanes, block_rows, others.select(*carried)
         )
         schema = T.StructType([df.schema[c] for c in spot])
         return spread.groupBy(*keys, *TILE).applyInArrow(compare, schema).distinct()
@@ -369,7 +408,8 @@ def near_pairs(
     small, large = split_by_size(df, keys, group_limit, bound)
     result = grouped(small, keys, lambda t, x=None: emit(t, t, True, x), extra)
     if large is not None:
-        spread = tiles(large, keys, ident, gate, index, block_rows=group_limit)
+        placed = with_cells(large, keys, gate, index, block_rows=group_limit)
+        spread = tiles(placed, keys, ident, gate.lanes, group_limit)
         if extra is not None:
             # Every tile of a key gets its own copy, so no task serves a whole key.
             named = {c: f"{c}_of" for c in TILE}
