@@ -43,14 +43,13 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Start the JVM code paths and the Python workers before the clock.
-    QUERIES["top_k"](spark, sf_dir).count()
-    QUERIES["pair_rmsd"](spark, sf_dir).count()
     seconds = {}
-    for name in HEADLINE:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+    # The first round compiles code and starts Python workers; the second counts.
+    for _ in range(2):
+        for name in HEADLINE:
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(
         json.dumps(

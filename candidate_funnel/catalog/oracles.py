@@ -273,6 +273,9 @@ qualify l_extendedprice - min(l_extendedprice) over (partition by l_suppkey) <=
 select e.* from edges e
 join nodes a on a.graph_id = e.graph_id and a.node_id = e.src and a.label <> 'system'
 join nodes b on b.graph_id = e.graph_id and b.node_id = e.dst and b.label <> 'system'""",
+    "graph_malformed": f"""with {CHAIN}
+select distinct graph_id from edges e join nodes n using (graph_id)
+where n.label = 'system' and n.node_id in (e.src, e.dst)""",
     "strip_leaves": f"""with {TRADE}
 select distinct graph_id, node_id from ends anti join leaves using (graph_id, node_id)""",
     "strip_leaves_edges": f"""with {TRADE}
@@ -390,6 +393,13 @@ select label, pos::int pos, round(lo, 8) as value from s
 union all select label, (64 + pos)::int, round(hi, 8) from s
 union all select label, (128 + pos)::int, round(mean, 8) from s
 union all select label, (192 + pos)::int, round(std, 8) from s""",
+    "agg_columns": f"with {POOL} select label, "
+    + ", ".join(
+        f"round({fn}(emb[{i + 1}]::double), 8) {name}_{i}"
+        for name, fn in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop"))
+        for i in range(64)
+    )
+    + " from pool group by 1",
     "agg_validate": """select vec_id // 10 grp,
        case when grp % 3 = 0 and bool_or(vec_id % 10 = 4) then 'not_a_matrix'
             when grp % 2 = 1 then 'count_mismatch' else 'ok' end outcome

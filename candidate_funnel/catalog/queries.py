@@ -279,6 +279,13 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.select("graph_id", "src", "dst")
 
 
+@query
+def graph_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains whose edges still name the system turns taken out of the nodes."""
+    nodes, edges = chains(spark, sf_dir)
+    return graph.malformed(nodes.where("label <> 'system'"), edges)
+
+
 @query
 def strip_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = graph.strip_leaves(*trade_graph(spark, sf_dir))
@@ -567,6 +574,13 @@ def agg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aggregate(spark, sf_dir, "ensemble_stats")
 
 
+@query
+def agg_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics as 256 labelled columns."""
+    packed = features.vectors(_aggregate(spark, sf_dir, "ensemble_stats"), KEY)
+    return features.to_columns(packed, KEY, 64, "ensemble_stats")
+
+
 @query
 def agg_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd groups lose a member, every third one has a longer vector."""

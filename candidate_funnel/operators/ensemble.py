@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import EV_TO_KCAL, column
 from candidate_funnel.operators.select import top_k
+from candidate_funnel.operators.skew import hot_join
 
 
 def assemble(
@@ -87,12 +88,10 @@ def as_atoms(
     number)`` numbered from 0.
     """
     keys = list(keys)
-    at = lambda: F.slice("coords", (F.col("node_id") * dims + 1).cast("int"), F.lit(dims))
-    return (
-        nodes.select(*keys, "node_id", "number")
-        .join(lowest(ens).select(*keys, "coords", "charge"), keys)
-        .select(*keys, "node_id", "number", at().alias("xyz"), "charge")
-    )
+    xyz = F.slice("coords", (F.col("node_id") * dims + 1).cast("int"), F.lit(dims)).alias("xyz")
+    atoms = nodes.select(*keys, "node_id", "number")
+    first = lowest(ens).select(*keys, "coords", "charge")
+    return hot_join(atoms, first, keys).select(*keys, "node_id", "number", xyz, "charge")
 
 
 def relative_energies(energies: str | Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import AGGREGATIONS, STATISTICS
 from candidate_funnel.operators.select import boltzmann
+from candidate_funnel.operators.skew import hot_join
 
 
 def _known(mode: str) -> None:
@@ -80,7 +81,7 @@ def aggregate(
         valid = checked.where(ok).select(*keys)
     else:
         valid = checked.where(F.col("outcome") == "ok").select(*keys)
-    rows = features.select(*keys, ident, F.col(vector).alias("_v")).join(valid, keys, "left_semi")
+    rows = hot_join(features.select(*keys, ident, F.col(vector).alias("_v")), valid, keys, "left_semi")
     scores = ensemble.select(*keys, ident, score)
     values = F.posexplode("_v").alias("pos", "value")
 
@@ -119,3 +120,11 @@ def vectors(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Array form of long vectors; its length is the width of the features."""
     cells = F.sort_array(F.collect_list(F.struct("pos", "value")))
     return long.groupBy(*keys).agg(F.transform(cells, lambda c: c["value"]).alias("features"))
+
+
+def to_columns(
+    packed: DataFrame, keys: Sequence[str], n_features: int, mode: str, vector: str = "features"
+) -> DataFrame:
+    """Array vectors as one labelled column per value."""
+    labels = feature_columns(n_features, mode)
+    return packed.select(*keys, *[F.get(vector, F.lit(i)).alias(c) for i, c in enumerate(labels)])

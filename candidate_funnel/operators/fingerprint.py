@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.operators.graph import NODE, both_ways
+from candidate_funnel.operators.skew import hot_join, hot_keys
 from candidate_funnel.session import cut
 
 
@@ -31,8 +32,7 @@ def _closing(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     high = degrees.select("graph_id", F.col("node_id").alias("dst"), F.col("size").alias("_dd"))
     turned = F.struct("_ds", "src") > F.struct("_dd", "dst")
     directed = (
-        edges.join(low, ["graph_id", "src"])
-        .join(high, ["graph_id", "dst"])
+        hot_join(hot_join(edges, low, ["graph_id", "src"]), high, ["graph_id", "dst"])
         .select(
             "graph_id",
             F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("p"),
@@ -89,6 +89,8 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
         "edge", code(F.least("src", "dst"), F.greatest("src", "dst"))
     ).withColumnRenamed("label", "bond")
     links = both_ways(labelled, "bond", "edge")
+    end = ["graph_id", "other"]
+    hubs = hot_keys(links, end)
     none = F.lit(0)
     current = nodes.select(
         *NODE,
@@ -100,7 +102,7 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
     for reach in range(1, radius + 1):
         message = code(F.col("bond"), F.col("code"))
         around = (
-            links.join(current.withColumnRenamed("node_id", "other"), ["graph_id", "other"])
+            hot_join(links, current.withColumnRenamed("node_id", "other"), end, hot=hubs)
             .groupBy(*NODE)
             .agg(
                 F.count("*").alias("_n"),

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candidate_funnel.operators.skew import hot_join
+
 NODE = ["graph_id", "node_id"]
 
 
@@ -30,11 +32,18 @@ def induced(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame
     """Nodes that satisfy the condition and the edges among them."""
     kept = nodes.where(keep)
     ends = kept.select(*NODE)
-    inside = edges.join(ends.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi")
-    inside = inside.join(ends.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_semi")
+    inside = edges
+    for end in ("src", "dst"):
+        inside = hot_join(inside, ends.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
     return kept, inside.select(*edges.columns)
 
 
+def malformed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Graphs with an edge to a node that is not listed: ``(graph_id)``."""
+    ends = both_ways(edges).select(*NODE).distinct()
+    return ends.join(nodes.select(*NODE), NODE, "left_anti").select("graph_id").distinct()
+
+
 def strip_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove every node of degree one, once, with its edge.
 
@@ -89,7 +98,7 @@ def node_coords(
     )
     empty = F.slice(coords, 1, 0)
     return (
-        df.join(listed, list(keys), "left")
+        hot_join(df, listed, keys, "left")
         .withColumn(name, F.when(F.col("_atoms").isNull(), empty).otherwise(chosen))
         .drop("_atoms")
     )

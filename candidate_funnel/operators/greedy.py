@@ -29,12 +29,16 @@ from candidate_funnel.operators.neighbours import (
     split_by_size,
     with_cells,
 )
-from candidate_funnel.operators.select import largest_group, rank
+from candidate_funnel.operators.select import rank
+from candidate_funnel.operators.skew import largest_group
 from candidate_funnel.session import cut
 
 # Position and neighbour count share one bigint when clusters compete.
 POSITION_BITS = 31
 
+# Growth of the prefixes a large key is de-duplicated in.
+PREFIX_GROWTH = 4
+
 Decide = Callable[[pa.Table, pa.Table | None], pa.Table]
 
 
@@ -149,18 +153,30 @@ def _clusterer(gate: Gate, ident: str, coords: str, weight: str | None, name: st
     return decide
 
 
-def keep_in_rounds(state: DataFrame, keys: list[str], near: Neighbourhood) -> list[DataFrame]:
-    """Rows kept among ``state`` alone: each round, those before all open neighbours."""
+def keep_in_rounds(
+    state: DataFrame,
+    keys: list[str],
+    near: Neighbourhood,
+    decide: Decide,
+    pairs: DataFrame | None,
+    limit: int,
+) -> list[DataFrame]:
+    """Rows kept among ``state`` alone.
+
+    Each round keeps the rows that come before all their open neighbours and
+    drops what is near them. Once no key has more than ``limit`` open rows,
+    the rest is settled at once.
+    """
     spot = [*keys, "pos"]
     kept = []
-    while not state.isEmpty():
+    while largest_group(state, keys) > limit:
         earliest = near.reach(state.withColumn("value", F.col("pos")), "min")
         first = (F.col("value") == F.col("pos")).cast("bigint").alias("value")
         marked = cut(state.join(earliest.select(*spot, first), spot))
         kept.append(marked.where("value = 1").drop("value"))
         untouched = near.reach(marked, "max").where("value = 0").select(*spot)
         state = cut(marked.drop("value").join(untouched, spot, "left_semi"))
-    return kept
+    return [*kept, cut(_follow(state, keys, "pos", state.schema, decide, pairs))]
 
 
 def keep_in_prefixes(
@@ -171,26 +187,21 @@ def keep_in_prefixes(
     pairs: DataFrame | None,
     limit: int,
 ) -> DataFrame:
-    """Positions to keep, settled in prefixes of doubling length.
+    """Positions to keep, settled in prefixes of growing length.
 
     Each prefix first loses what is near a row kept so far, so a crowded key
-    compares its rows with the few it keeps and not with each other. What is
-    left of a key is settled at once if it is small, or else in rounds.
+    compares its rows with the few it keeps and not with each other.
     """
-    spot = [*keys, "pos"]
     last = state.agg(F.max("pos")).first()[0]
     kept: list[DataFrame] = []
     low, high = 0, limit
     while low < last:
         part = state.where((F.col("pos") > low) & (F.col("pos") <= high))
         if kept:
-            part = cut(part.join(near.touch(part, _any(kept)), spot, "left_anti"))
-        if largest_group(part, keys) <= limit:
-            kept.append(cut(_follow(part, keys, "pos", part.schema, decide, pairs)))
-        else:
-            kept += keep_in_rounds(part, keys, near)
-        low, high = high, high * 2
-    return _any(kept).select(*spot)
+            part = cut(part.join(near.touch(part, _any(kept)), [*keys, "pos"], "left_anti"))
+        kept += keep_in_rounds(part, keys, near, decide, pairs, limit)
+        low, high = high, high * PREFIX_GROWTH
+    return _any(kept).select(*keys, "pos")
 
 
 def cluster_in_rounds(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candidate_funnel.functions.scalars import dot_sum, squared_norm
-from candidate_funnel.operators.select import largest_group
+from candidate_funnel.operators.skew import hot_join, largest_group
 from candidate_funnel.session import cut
 
 # Rows of one key (or one block of a large key) that a single task compares.
@@ -164,7 +164,7 @@ def with_cells(
         .agg(F.count("*").alias("_n"), *occupied)
         .select(*keys, F.coalesce(*filled, F.lit(MERGES[-1])).alias("_factor"))
     )
-    placed = fine.join(factors, keys).withColumn("_cell", merged(F.col("_factor")))
+    placed = hot_join(fine, factors, keys).withColumn("_cell", merged(F.col("_factor")))
     return placed.drop("_lane", "_factor")
 
 
@@ -222,11 +222,11 @@ def tiles(
     side_b = side("_cell_b", "_blocks_b", "_blocks_a", False)
     if itself:
         outer = side_b.where(F.col("_cell_a") != F.col("_cell_b"))
-        member = placed_a.join(side_a.unionByName(outer), [*keys, "_cell"])
+        member = hot_join(placed_a, side_a.unionByName(outer), [*keys, "_cell"])
         inner = F.col("_cell_a") == F.col("_cell_b")
     else:
-        member = placed_a.join(side_a, [*keys, "_cell"]).unionByName(
-            placed_b.join(side_b, [*keys, "_cell"])
+        member = hot_join(placed_a, side_a, [*keys, "_cell"]).unionByName(
+            hot_join(placed_b, side_b, [*keys, "_cell"])
         )
         inner = F.lit(False)
     own, other, leads = F.col("_block"), F.col("_partner"), F.col("_first")

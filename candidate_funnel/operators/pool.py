@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candidate_funnel.operators.skew import hot_join
+
 
 def expand(
     df: DataFrame, keys: Sequence[str], allowance: str, seed: int = 0xF00D
@@ -26,8 +28,7 @@ def route(items: DataFrame, keys: Sequence[str], item: str, table: DataFrame) ->
     """
     covered = table.select(item).distinct().withColumn("_known", F.lit(True))
     return (
-        items.select(*keys, item)
-        .join(covered, item, "left")
+        hot_join(items.select(*keys, item), covered, [item], "left")
         .groupBy(*keys)
         .agg(F.bool_and(F.col("_known").isNotNull()).alias("_all"))
         .select(*keys, F.when(F.col("_all"), "primary").otherwise("fallback").alias("route"))
@@ -40,7 +41,7 @@ def apply_route(
     """Take every row of a key from the one table its route names."""
 
     def chosen(rows: DataFrame, name: str) -> DataFrame:
-        return rows.join(routes.where(F.col("route") == name), list(keys), "left_semi")
+        return hot_join(rows, routes.where(F.col("route") == name), keys, "left_semi")
 
     return chosen(primary, "primary").unionByName(chosen(fallback, "fallback"))
 

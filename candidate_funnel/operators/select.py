@@ -1,8 +1,8 @@
 """Filters and rankings within a key.
 
 A key may hold a large share of all rows, so nothing here hands a whole key to
-one task: per-key minima and totals are aggregated map-side and joined back,
-top-k keeps only k rows per key and map task before its shuffle, and full
+one task: per-key minima and totals are aggregated map-side and joined back
+with salt, top-k keeps only k rows per key and map task before its shuffle, and full
 ranks of very large keys are computed over range slices.
 """
 
@@ -14,17 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import BOLTZMANN_EV_PER_K, EV_TO_KCAL, column
+from candidate_funnel.operators import skew
 from candidate_funnel.session import cut
 
-# Rows of one key that a single task may sort.
-HOT_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key (one narrow, map-side combined job)."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-
 
 def converged(df: DataFrame, flag: str = "status") -> DataFrame:
     """Keep rows whose status is zero, or whose boolean flag is set."""
@@ -33,7 +25,7 @@ def converged(df: DataFrame, flag: str = "status") -> DataFrame:
 
 
 def _bounded(bound: int | None) -> bool:
-    return bound is not None and bound <= HOT_ROWS
+    return bound is not None and bound <= skew.HOT_ROWS
 
 
 def with_lowest(
@@ -47,7 +39,7 @@ def with_lowest(
     if _bounded(bound):
         return df.withColumn(name, F.min(score).over(Window.partitionBy(*keys)))
     lowest = df.groupBy(*keys).agg(F.min(score).alias(name))
-    return df.join(lowest, list(keys))
+    return skew.hot_join(df, lowest, keys)
 
 
 def within(
@@ -102,7 +94,7 @@ def boltzmann(
         .agg(F.min("_lowest").alias("_lowest"), F.sum(factor).alias("_total"))
     )
     return (
-        df.join(totals, list(keys))
+        skew.hot_join(df, totals, keys)
         .withColumn(name, factor / F.col("_total"))
         .drop("_lowest", "_total")
     )
@@ -117,7 +109,7 @@ def rank(
     keys: Sequence[str],
     order: Sequence[str | Column],
     name: str = "rank",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     bound: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 1 in the given total order.
@@ -126,7 +118,8 @@ def rank(
     are range-partitioned on key and order, numbered inside their slice, and
     shifted by the rows of the same key in earlier slices.
     """
-    if (largest_group(df, keys) if bound is None else bound) <= hot_rows:
+    size = skew.largest_group(df, keys) if bound is None else bound
+    if size <= (hot_rows or skew.HOT_ROWS):
         window = Window.partitionBy(*keys).orderBy(*_ordering(order))
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

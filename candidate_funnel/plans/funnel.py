@@ -16,12 +16,12 @@ from candidate_funnel.operators.neighbours import Gate
 from candidate_funnel.operators.outcomes import funnel_report, outcomes
 from candidate_funnel.operators.select import (
     converged,
-    largest_group,
     relative,
     representatives,
     top_k,
     within,
 )
+from candidate_funnel.operators.skew import largest_group
 from candidate_funnel.session import cut
 
 
@@ -58,6 +58,7 @@ class Funnel:
         """``ok`` or the first failing stage of every key in ``keyed``."""
         stages = {
             "no_candidate": self.pool,
+            "bad_score": self.pool.where(~F.isnan("score")),
             "none_converged_first": self.converged,
             "empty_metric": self.in_window,
             "none_converged_second": self.relaxed,
@@ -126,7 +127,7 @@ def run_funnel(
 
     # From here on max_selected bounds every key.
     relaxed = relative(
-        converged(scored, "converged"), keys, "score2", EV_TO_KCAL, "rel", max_selected
+        converged(scored.where(~F.isnan("score2")), "converged"), keys, "score2", EV_TO_KCAL, "rel", max_selected
     )
     coords = "coords" if dedup_metric is None else "metric"
     compared = relaxed if dedup_metric is None else dedup_metric(relaxed)

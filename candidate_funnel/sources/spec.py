@@ -10,6 +10,8 @@ from typing import Literal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candidate_funnel.operators.skew import hot_join
+
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -111,7 +113,7 @@ def restrict_long(
     if allowed is None:
         return df
     foreign = tokens.where(~F.col(token).isin(*sorted(allowed))).select(*keys).distinct()
-    return df.join(foreign, list(keys), "left_anti")
+    return hot_join(df, foreign, keys, "left_anti")
 
 
 def sweep(

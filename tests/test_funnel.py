@@ -98,14 +98,21 @@ def test_scorer_replaces_coordinates(pool):
 
 
 def test_large_and_small_keys_agree(pool, monkeypatch):
-    import candidate_funnel.operators.select as select
+    from candidate_funnel.operators import skew
 
     want = {(r.key, r.cand_id) for r in run_funnel(pool, ["key"]).ensemble.collect()}
-    monkeypatch.setattr(select, "HOT_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
     got = {(r.key, r.cand_id) for r in run_funnel(pool, ["key"], bound=10**9).ensemble.collect()}
     assert got == want
 
 
+def test_bad_scores_are_reported(spark):
+    rows = [("nan", 1, 0, float("nan"), [0.0] * 3), ("good", 2, 0, 1.0, [0.0] * 3), ("good", 3, 0, float("nan"), [1.0] * 3)]
+    done = run_funnel(spark.createDataFrame(rows, SCHEMA), ["key"])
+    assert {r.key: r.outcome for r in done.outcomes().collect()} == {"nan": "bad_score", "good": "ok"}
+    assert [r.cand_id for r in done.ensemble.collect()] == [2]
+
+
 def test_report_and_outcome_helpers(spark):
     a = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", 0.5)], "key string, rel double")
     b = a.where("rel > 0.7")

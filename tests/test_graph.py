@@ -72,6 +72,12 @@ def test_kept_atoms_keep_their_coordinates(spark):
     assert out["joined"].metric == []
 
 
+def test_malformed(spark):
+    nodes, edges = frames(spark, GRAPHS)
+    bad = graph.malformed(nodes.where("not (graph_id = 'plain' and node_id = 3)"), edges)
+    assert [r.graph_id for r in bad.collect()] == ["plain"]
+
+
 def test_totals(spark):
     nodes = spark.createDataFrame(
         [("a", 0, 1, 0), ("a", 1, -2, 1), ("b", 0, 0, 0)], "graph_id string, node_id int, charge int, radicals int"

@@ -70,7 +70,7 @@ GATES = [
 
 
 @pytest.mark.parametrize("gate", GATES)
-@pytest.mark.parametrize("limit", [2048, 10])
+@pytest.mark.parametrize("limit", [2048, 5])
 def test_keep_first_is_sequential(spark, gate, limit):
     pool = make_pool(3, [30, 9, 1, 14], copies=7, crowd=7)
     df = spark.createDataFrame(pool, SCHEMA)
