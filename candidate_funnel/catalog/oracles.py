@@ -102,7 +102,7 @@ edges as (
 TRADE = """
 edges as (
   select distinct year(l_shipdate) * 12 + month(l_shipdate) graph_id,
-         's' || l_suppkey src, 'p' || l_partkey dst
+         l_suppkey * 2 src, l_partkey * 2 + 1 dst
   from lineitem
 ),
 ends as (select graph_id, src node_id from edges union all select graph_id, dst from edges),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.operators.graph import NODE, both_ways
-from candidate_funnel.operators.skew import hot_join, hot_keys
+from candidate_funnel.operators.skew import find_hot, hot_join
 from candidate_funnel.session import cut
 
 
@@ -22,7 +22,7 @@ def _total(c: str | Column) -> Column:
     return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(20,0)"))
 
 
-def _closing(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+def _closing(edges: DataFrame, degrees: DataFrame, hubs: DataFrame | bool) -> DataFrame:
     """Per node, count and sum of the edges that join two of its neighbours.
 
     Edges run from the end of lower degree to the other, which leaves even a
@@ -30,9 +30,12 @@ def _closing(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     """
     low = degrees.select("graph_id", F.col("node_id").alias("src"), F.col("size").alias("_ds"))
     high = degrees.select("graph_id", F.col("node_id").alias("dst"), F.col("size").alias("_dd"))
+    with_low = hot_join(
+        edges, low, ["graph_id", "src"], hot=hubs and hubs.withColumnRenamed("other", "src")
+    )
     turned = F.struct("_ds", "src") > F.struct("_dd", "dst")
     directed = (
-        hot_join(hot_join(edges, low, ["graph_id", "src"]), high, ["graph_id", "dst"])
+        hot_join(with_low, high, ["graph_id", "dst"], hot=hubs and hubs.withColumnRenamed("other", "dst"))
         .select(
             "graph_id",
             F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("p"),
@@ -90,7 +93,7 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
     ).withColumnRenamed("label", "bond")
     links = both_ways(labelled, "bond", "edge")
     end = ["graph_id", "other"]
-    hubs = hot_keys(links, end)
+    hubs = find_hot(links, end)
     none = F.lit(0)
     current = nodes.select(
         *NODE,
@@ -117,7 +120,7 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
             size, covered = F.col("_n"), F.col("_edges")
         elif reach == 2:
             # A neighbour's own edges, without the one that leads to it.
-            grown = grown.join(_closing(labelled, current), NODE, "left")
+            grown = grown.join(_closing(labelled, current, hubs), NODE, "left")
             size = F.col("size") + F.col("_sizes") - F.col("_n") - F.coalesce("_closing", none)
             covered = F.col("covered") + F.col("_covers") - F.col("_edges") - F.coalesce("_closed", none)
         else:
@@ -129,7 +132,7 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
             size.alias("size"),
             covered.cast("decimal(38,0)").alias("covered"),
         )
-        if radius > 2:
+        if reach < radius:
             current = cut(current)
         rounds.append(current)
     found = rounds[0].select("graph_id", none.alias("radius"), "code").distinct()

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candidate_funnel.session import cut
+
 # Rows of one key that a single task may hold.
 HOT_ROWS = 1_000_000
 
@@ -33,20 +35,28 @@ def hot_keys(df: DataFrame, on: Sequence[str], limit: int | None = None) -> Data
     return counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_slots"))
 
 
+def find_hot(df: DataFrame, on: Sequence[str]) -> DataFrame | bool:
+    """``hot_keys`` written out for several joins to share, or False if there are none."""
+    found = cut(hot_keys(df, on))
+    return False if found.isEmpty() else found
+
+
 def hot_join(
     df: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    hot: DataFrame | None = None,
+    hot: DataFrame | bool | None = None,
 ) -> DataFrame:
     """Join ``right`` to ``df``, whose hot keys are spread over several tasks.
 
     Rows of a hot key get a slot from a hash of the whole row, and the rows of
     ``right`` with that key, few by assumption, go to every slot. ``hot`` is
-    ``hot_keys`` of ``df`` where several joins share it.
+    the ``find_hot`` of ``df`` where several joins share it.
     """
     on = list(on)
+    if hot is False:
+        return df.join(right, on, how)
     hot = F.broadcast(hot_keys(df, on) if hot is None else hot)
     slot = F.pmod(F.xxhash64(*df.columns), F.col("_slots")).cast("int")
     salted = df.join(hot, on, "left").withColumn(
