@@ -89,10 +89,14 @@ def node_coords(
 ) -> DataFrame:
     """Add ``name``, the coordinates of the kept nodes only, in node order.
 
-    ``kept(keys, node_id)`` numbers the atoms from 0; there are at most as
-    many per key as one coordinate array of that key is long.
+    ``kept(keys, node_id)`` numbers the atoms from 0. Nodes past the end of the
+    coordinates of their key have none to keep, so the list of a key is never
+    longer than one of its arrays.
     """
-    listed = kept.groupBy(*keys).agg(F.sort_array(F.collect_set("node_id")).alias("_atoms"))
+    keys = list(keys)
+    atoms = df.groupBy(*keys).agg(F.max(F.size(coords) / dims).alias("_size"))
+    inside = hot_join(kept.select(*keys, "node_id"), atoms, keys).where("node_id < _size")
+    listed = inside.groupBy(*keys).agg(F.sort_array(F.collect_set("node_id")).alias("_atoms"))
     chosen = F.flatten(
         F.transform("_atoms", lambda a: F.slice(coords, (a * dims + 1).cast("int"), F.lit(dims)))
     )

@@ -33,9 +33,6 @@ from candidate_funnel.operators.select import rank
 from candidate_funnel.operators.skew import largest_group
 from candidate_funnel.session import cut
 
-# Position and neighbour count share one bigint when clusters compete.
-POSITION_BITS = 31
-
 # Growth of the prefixes a large key is de-duplicated in.
 PREFIX_GROWTH = 4
 
@@ -220,12 +217,17 @@ def cluster_in_rounds(
     more than ``limit`` open rows, the rest is settled at once.
     """
     spot = [*keys, "pos"]
-    last = 2**POSITION_BITS - 1
     none = np.iinfo(np.int64).max
+    # Neighbour count and position compete as one bigint.
+    largest = state.groupBy(*keys).agg(F.sum("weight").alias("_w"), F.max("pos").alias("_p"))
+    heaviest, last = largest.agg(F.max("_w"), F.max("_p")).first()
+    shift = int(last).bit_length()
+    if int(heaviest).bit_length() + shift > 62:
+        raise ValueError("a key has too many distinct candidates to cluster")
     done = []
     while largest_group(state, keys) > limit:
         count = near.reach(state.withColumn("value", F.col("weight")), "sum")
-        priority = F.shiftleft(F.col("value"), POSITION_BITS).bitwiseOR(F.lit(last) - F.col("pos"))
+        priority = F.shiftleft(F.col("value"), shift).bitwiseOR(F.lit(last) - F.col("pos"))
         ranked = cut(count.select(*spot, priority.alias("priority")))
         one_step = near.reach(state.join(ranked.withColumnRenamed("priority", "value"), spot), "max")
         two_steps = near.reach(state.join(one_step, spot), "max").join(ranked, spot)

@@ -26,6 +26,9 @@ from candidate_funnel.session import cut
 # Rows of one key (or one block of a large key) that a single task compares.
 GROUP_LIMIT = 2048
 
+# Pairs whose differences are held at a time.
+SLICE_PAIRS = 65_536
+
 # Factors by which thinly filled cells are merged.
 MERGES = (1, 2, 4, 8, 16, 32, 64)
 
@@ -69,9 +72,13 @@ def numbers(values: pa.ChunkedArray) -> np.ndarray:
     return values.to_numpy()
 
 
-def rmsd(a: np.ndarray, b: np.ndarray, dims: int) -> np.ndarray:
-    """Row-wise fixed-frame RMSD."""
-    return np.sqrt(((a - b) ** 2).sum(axis=1) / (a.shape[1] / dims))
+def rmsd(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, dims: int) -> np.ndarray:
+    """Fixed-frame RMSD of the listed pairs of rows, a slice at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), SLICE_PAIRS):
+        part = slice(at, at + SLICE_PAIRS)
+        out[part] = ((a[i[part]] - b[j[part]]) ** 2).sum(axis=1)
+    return np.sqrt(out / (a.shape[1] / dims))
 
 
 def alike(
@@ -86,14 +93,16 @@ def alike(
     A matrix product decides the clear cases; the few close to the threshold
     are measured again from the differences.
     """
-    square_a, square_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    apart = square_a[:, None] + square_b[None, :] - 2.0 * (a @ b.T)
+    # Distances do not change with the origin; a near one keeps digits.
+    x, y = a - a.mean(axis=0), b - a.mean(axis=0)
+    square_a, square_b = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    apart = square_a[:, None] + square_b[None, :] - 2.0 * (x @ y.T)
     limit = gate.rmsd**2 * (a.shape[1] / gate.dims)
     doubt = 1e-9 * (limit + square_a.max(initial=0.0) + square_b.max(initial=0.0))
     near = apart <= limit
     i, j = np.nonzero(np.abs(apart - limit) <= doubt)
     if len(i):
-        measured = rmsd(a[i], b[j], gate.dims)
+        measured = rmsd(a, b, i, j, gate.dims)
         near[i, j] = measured < gate.rmsd if gate.strict else measured <= gate.rmsd
     if gate.score is not None:
         near &= np.abs(score_a[:, None] - score_b[None, :]) < gate.score
@@ -437,7 +446,7 @@ def pair_rmsd(
     """
 
     def measure(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, _: None) -> np.ndarray:
-        return rmsd(matrix(a[coords])[i], matrix(b[coords])[j], dims)
+        return rmsd(matrix(a[coords]), matrix(b[coords]), i, j, dims)
 
     gate = Gate(max_dist, dims=dims)
     rows = df.select(*keys, ident, coords)

@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import DEFAULTS, EV_TO_KCAL
 from candidate_funnel.operators.alignment import pair_best_rmsd
 from candidate_funnel.operators.ensemble import assemble
+from candidate_funnel.operators.graph import (
+    induced,
+    node_coords,
+    strip_leaves,
+    symmetry_guard,
+)
 from candidate_funnel.operators.greedy import keep_first, leader_cluster
 from candidate_funnel.operators.neighbours import Gate
 from candidate_funnel.operators.outcomes import funnel_report, outcomes
@@ -21,7 +27,7 @@ from candidate_funnel.operators.select import (
     top_k,
     within,
 )
-from candidate_funnel.operators.skew import largest_group
+from candidate_funnel.operators.skew import hot_join, largest_group
 from candidate_funnel.session import cut
 
 
@@ -154,6 +160,34 @@ def run_funnel(
     )
 
 
+def guarded_metric(
+    nodes: DataFrame,
+    edges: DataFrame,
+    mappings: DataFrame,
+    key: str = "key",
+    heavy: Column | None = None,
+    cap: int = DEFAULTS["max_mappings"],
+    dims: int = 3,
+) -> tuple[Metric, DataFrame]:
+    """The cluster metric under the symmetry guard, and the guard's report.
+
+    Distances use the ``heavy`` nodes, or those without leaves for keys that
+    reach ``cap`` mappings. Graphs carry the candidates' ``key`` as graph_id,
+    and so do ``mappings``, one row per symmetry mapping.
+    """
+    if heavy is not None:
+        nodes, edges = induced(nodes, edges, heavy)
+    core, _ = strip_leaves(nodes, edges)
+    guard = symmetry_guard(nodes.select("graph_id"), mappings, ["graph_id"], cap)
+
+    def chosen(rows: DataFrame, use_core: bool) -> DataFrame:
+        picked = guard.where(F.col("use_core") == use_core)
+        return hot_join(rows.select("graph_id", "node_id"), picked, ["graph_id"], "left_semi")
+
+    kept = chosen(nodes, False).unionByName(chosen(core, True)).withColumnRenamed("graph_id", key)
+    return (lambda df: node_coords(df, [key], kept, dims=dims)), guard
+
+
 def _mapped_clusters(
     measured: DataFrame,
     keys: list[str],

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from candidate_funnel.operators.graph import node_coords
 from candidate_funnel.operators.outcomes import funnel_report, outcomes
 from candidate_funnel.operators.score import apply_scorer
-from candidate_funnel.plans.funnel import run_funnel
+from candidate_funnel.plans.funnel import guarded_metric, run_funnel
 
 SCHEMA = "key string, cand_id bigint, status int, score double, coords array<double>"
 
@@ -76,6 +76,24 @@ def test_metric_on_some_atoms(spark, pool):
     assert run_funnel(noisy, ["key"]).report().where("key = 'a'").first().clusters > 20
 
 
+def test_guard_switches_the_metric(spark):
+    """Two keys of the same star graph; only one reaches the cap."""
+    nodes = spark.createDataFrame(
+        [(g, i, "H" if i == 5 else "C") for g in ("few", "many") for i in range(6)],
+        "graph_id string, node_id int, label string",
+    )
+    edges = spark.createDataFrame(
+        [(g, a, b) for g in ("few", "many") for a, b in ((0, 1), (1, 2), (2, 0), (0, 3), (1, 4), (2, 5))],
+        "graph_id string, src int, dst int",
+    )
+    mappings = spark.createDataFrame([("few", 0)] + [("many", i) for i in range(3)], "graph_id string, m int")
+    metric, guard = guarded_metric(nodes, edges, mappings, heavy=F.col("label") == "C", cap=3)
+    assert {r.graph_id: r.use_core for r in guard.collect()} == {"few": False, "many": True}
+    rows = [(g, i, 0, 0.0, [float(x) for x in range(18)]) for i, g in enumerate(("few", "many"))]
+    df = metric(spark.createDataFrame(rows, SCHEMA))
+    assert {r.key: len(r.metric) // 3 for r in df.collect()} == {"few": 5, "many": 3}
+
+
 def test_scorer_replaces_coordinates(pool):
     def open_model():
         def run(batch, steps):
