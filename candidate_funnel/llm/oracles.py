@@ -1,3 +1,63 @@
 """The same results in SQL, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+ESCAPED = "(length({0}) + length({0}) * 3 - length(replace({0}, '~', '')) - length(replace({0}, '<', '')) - length(replace({0}, '[', '')))"
+
+CHAT = f"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), placed AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM every
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({ESCAPED.format("text")} + CASE WHEN before = role THEN 6 ELSE 20 + {ESCAPED.format("role")} END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+MIX = rf"""
+WITH docs AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+         CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         list_extract([3, 1, 2], 1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)) AS w
+  FROM docs GROUP BY source
+), ranked AS (
+  SELECT *, CAST(source_size * 2 AS DOUBLE) AS bound,
+         CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS everything,
+         coalesce(sum(CAST(source_size * 2 AS DOUBLE)) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+         CAST(sum(w) OVER (up ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS weights
+  FROM sources
+  WINDOW up AS (ORDER BY CAST(source_size * 2 AS DOUBLE) / w, source NULLS LAST)
+), judged AS (
+  SELECT *, (everything - gone) * w >= bound * weights AS bounded FROM ranked
+), rest AS (
+  SELECT everything - gone AS lft, weights AS among FROM judged WHERE NOT bounded
+  ORDER BY bound / w, source NULLS LAST LIMIT 1
+), budget AS (
+  SELECT source, source_size,
+         CASE WHEN bounded THEN bound ELSE (SELECT lft FROM rest) * w / (SELECT among FROM rest) END AS target
+  FROM judged
+), placed AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS before,
+         CAST(floor(b.target / greatest(b.source_size, 1)) AS BIGINT) AS epochs
+  FROM docs d JOIN budget b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + least(greatest(CAST(round(target) AS BIGINT) - epochs * source_size - before, 0), size) AS BIGINT) AS taken,
+       before
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT, "op3_mix_sources": MIX}

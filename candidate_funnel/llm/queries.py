@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candidate_funnel.llm import (
-    decontaminate, language, prefix_hash, quality, secret_battery, toxicity,
+    chat, decontaminate, language, mixture, prefix_hash, quality, secret_battery, toxicity,
 )
 from candidate_funnel.llm.common import held_out, table
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.planted(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.format_chat(rows))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = held_out("doc_id", 3, 1)
@@ -46,6 +55,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
+    "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
