@@ -108,7 +108,7 @@ class Memo(dict):
     stay the same.
     """
 
-    def __init__(self, function: Callable, most: int = 1_000_000):
+    def __init__(self, function: Callable, most: int = 400_000):
         super().__init__()
         self.function, self.most = function, most
 

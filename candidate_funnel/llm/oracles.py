@@ -60,4 +60,34 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": CHAT, "op3_mix_sources": MIX}
+NEAR = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+), least AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.x = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT, "op3_mix_sources": MIX, "op8_minhash": NEAR}

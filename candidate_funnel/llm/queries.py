@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candidate_funnel.llm import (
-    chat, decontaminate, language, mixture, prefix_hash, quality, secret_battery, toxicity,
+    chat, decontaminate, language, mixture, odd_sketch, prefix_hash, quality, secret_battery, toxicity,
 )
 from candidate_funnel.llm.common import held_out, table
 
@@ -45,6 +45,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edited(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_battery.digest(secret_battery.scan(table(spark, sf_dir, "documents")))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op8_minhash": op8_minhash,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
