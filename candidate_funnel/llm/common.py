@@ -152,3 +152,29 @@ def add_constant(x: np.ndarray) -> np.ndarray:
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+
+
+class Plain:
+    """``docs`` under names of our own, so that what is added cannot clash.
+
+    ``frame`` has the columns ``names``; ``back`` restores the originals, some of
+    them replaced.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.types = [f.dataType for f in docs.schema.fields]
+        self.names = [f"_k{i}" for i in range(len(self.columns))]
+        self.frame = docs.toDF(*self.names)
+
+    def name(self, column: str) -> str:
+        return self.names[self.columns.index(column)]
+
+    def back(self, frame: DataFrame, replaced: dict[str, Column] | None = None) -> DataFrame:
+        replaced = replaced or {}
+        return frame.select(
+            *[
+                replaced[c].cast(t).alias(c) if c in replaced else F.col(n).alias(c)
+                for c, n, t in zip(self.columns, self.names, self.types, strict=True)
+            ]
+        )

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candidate_funnel.llm.common import Memo, per_text
+from candidate_funnel.llm.common import Memo, Plain, per_text
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -283,3 +283,10 @@ def report(found: DataFrame) -> DataFrame:
             "similarity"
         ),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item."""
+    plain = Plain(docs)
+    found = find(plain.frame, benchmark, plain.names, plain.name(text))
+    return plain.back(found.where(F.size("hits") == 0))

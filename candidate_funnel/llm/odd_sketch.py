@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candidate_funnel.llm.common import Memo, mix64, per_text
+from candidate_funnel.llm.common import Memo, Plain, mix64, per_text
 from candidate_funnel.llm.components import components
 from candidate_funnel.session import cut
 
@@ -336,3 +336,18 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` per group of near-duplicates, the one of the smallest id.
+
+    Of several rows of one id the first by text stays; rows without an id all do.
+    """
+    plain = Plain(docs)
+    own, held = plain.name(id_column), plain.name(text)
+    found = near_duplicates(docs.select(id_column, text), id_column, text)
+    stays = found.where(F.col(id_column).isNotNull() & F.col("kept")).select(F.col(id_column).alias(own))
+    rows = plain.frame.where(F.col(own).isNotNull()).join(stays.distinct(), own, "left_semi")
+    first = Window.partitionBy(own).orderBy(held)
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*plain.names)
+    return plain.back(rows.union(plain.frame.where(F.col(own).isNull())))

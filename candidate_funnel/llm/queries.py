@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candidate_funnel.llm import (
-    chat, decontaminate, language, mixture, odd_sketch, prefix_hash, quality, secret_battery, toxicity,
+    chat, context_mixing, decontaminate, language, mixture, odd_sketch, prefix_hash, quality, secret_battery, toxicity,
 )
 from candidate_funnel.llm.common import held_out, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.planted(table(spark, sf_dir, "conversations"))
     return chat.digest(chat.format_chat(rows))
@@ -59,6 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_chat_format": op2_chat_format,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candidate_funnel.llm.common import per_text
+from candidate_funnel.llm.common import Plain, per_text
 from candidate_funnel.session import cut
 
 # The patterns, their order, and the least lengths.
@@ -280,11 +280,9 @@ def redact(docs: DataFrame, q: float = 0.01, text: str = "text") -> DataFrame:
 
     All columns and rows stay; ``n_chars``, where there is one, is the new length.
     """
-    columns = docs.columns
-    names = [f"_k{i}" for i in range(len(columns))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
-    held = names[columns.index(text)]
-    found = scan(plain, held, names, q)
+    plain = Plain(docs)
+    held = plain.name(text)
+    found = scan(plain.frame, held, plain.names, q)
     start = F.lit(1).cast("long")
     step = F.aggregate(
         "finds",
@@ -307,12 +305,8 @@ def redact(docs: DataFrame, q: float = 0.01, text: str = "text") -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring(held, acc["at"].cast("int"), F.length(held))),
     )
     new = F.when(F.size("finds") > 0, step).otherwise(F.col(held))
-    picked = []
-    for c, n in zip(columns, names, strict=True):
-        if c == text:
-            picked.append(new.alias(c))
-        elif c == "n_chars":
-            picked.append(F.when(F.size("finds") > 0, F.length(new)).otherwise(F.col(n)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            picked.append(F.col(n).alias(c))
-    return found.select(*picked)
+    hit = F.size("finds") > 0
+    changed = {text: new}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.length(new)).otherwise(F.col(plain.name("n_chars")))
+    return plain.back(found, changed)

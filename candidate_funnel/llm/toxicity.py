@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candidate_funnel.llm.common import Memo, labelled_sample, per_text, sigmoid
+from candidate_funnel.llm.common import Memo, Plain, labelled_sample, per_text, sigmoid
 
 SAMPLE = 10_000
 LEXICON = 400
@@ -327,8 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPLE)
     return Model(matcher, logistic(x, (y > 0).astype(float)))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, the probability of label 1 and the hits that speak for it."""
+def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` and the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(texts: list[bytes]) -> list[pa.Array]:
@@ -337,7 +337,15 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             return [pa.array([0.0] * len(texts), pa.float64())]
         return [pa.array([model.score(t.decode("utf-8", "surrogatepass")) for t in texts], pa.float64())]
 
-    return per_text(docs, "text", work, "score double", keep)
+    return per_text(docs, text, work, "score double", keep)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the model, fitted on all labels, does not reject."""
+    plain = Plain(docs)
+    model = fit(docs, labels, F.lit(True))
+    scored = score(plain.frame, model, plain.names, plain.name("text"))
+    return plain.back(scored.where(F.col("score") < at))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held: Column, allowed: Column, at: float = 0.5) -> DataFrame:
