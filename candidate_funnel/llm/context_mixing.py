@@ -47,7 +47,7 @@ TABLE_BITS = (22, 22, 24)
 # Rows of a table that are merged and sent as one.
 SLICE = 1 << 16
 END = 255
-BACK = 4
+BACK = max(CONTEXTS)
 SEGMENT = 512
 # Starting weights by gate, unknown and known longest context, for each predictor.
 WEIGHTS = ((0.6, 0.05, 0.4), (0.2, 0.6, 0.3))
@@ -281,11 +281,11 @@ def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndar
         np.clip(z, -7.9, 7.9, out=z)
         p = 1 / (1 + np.exp(-z))
         cell = mine * MAP + (z * 1.5 + MAP / 2).astype(np.int64)
-        refined = 0.6 * p + 0.4 * (ones / seen).take(cell)
+        refined = 0.6 * p + 0.4 * (ones / seen).astype(np.float32).take(cell)
         right = np.where(bit == 1, refined, 1 - refined)
-        out += np.bincount(mine, weights=-np.log2(right), minlength=n)
+        out -= np.bincount(mine, weights=np.log2(right), minlength=n)
         # What this segment teaches is for the next one.
-        error = bit - p
+        error = bit.astype(np.float32) - p
         used = np.bincount(gate, minlength=n * gates)
         rate = RATE / np.sqrt(np.maximum(used, 1) * (used + 400.0))
         for k in range(k_all):

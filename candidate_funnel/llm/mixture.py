@@ -139,10 +139,17 @@ def materialise(docs: DataFrame, id_column: str = "doc_id", source: str = "sourc
     taken, with ``epoch``, ``size``, ``target`` and ``taken`` of that row. The
     document at its source's cut keeps only its taken words.
     """
+    def numbered(rows: DataFrame, *order) -> DataFrame:
+        # Rows of one id and size are told apart by their number.
+        own = Window.partitionBy("_mix_key", "_mix_size").orderBy(*order)
+        return rows.withColumn("_mix_n", F.row_number().over(own))
+
+    own_key = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("null")).alias("_mix_key")
     plan = mix(docs, id_column, source, text).where("taken > 0")
-    plan = plan.select(F.col(id_column).alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("taken").alias("_mix_taken"))
-    plan = plan.dropDuplicates(["_mix_id"])
-    joined = docs.join(plan, F.col(id_column).eqNullSafe(F.col("_mix_id")))
+    plan = plan.select(own_key, F.col("size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("taken").alias("_mix_taken"))
+    rows = docs.select("*", own_key, n_words(F.col(f"`{text}`")).alias("_mix_size"))
+    rows = numbered(rows.where("_mix_size > 0"), F.xxhash64(F.col(f"`{text}`")))
+    joined = rows.join(numbered(plan, F.desc("_mix_taken")), ["_mix_key", "_mix_size", "_mix_n"])
     epochs = F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
     each = joined.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), epochs)))
     own = F.least(F.col("_mix_size"), F.col("_mix_taken") - (F.col("_mix_epoch") - 1) * F.col("_mix_size"))

@@ -238,7 +238,8 @@ def score(docs: DataFrame, model: tuple | None, keep: list[str]) -> DataFrame:
         if model is None:
             return [pa.array([0.5] * len(texts), pa.float64())]
         shared, net = model
-        return [pa.array(net.probability(pooled(texts, shared.value)), pa.float64())]
+        # Rounded, as the last bits of a product depend on the batch around a row.
+        return [pa.array(np.round(net.probability(pooled(texts, shared.value)), 9), pa.float64())]
 
     return per_text(docs, "text", work, "score double", keep)
 
