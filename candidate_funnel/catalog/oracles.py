@@ -403,6 +403,15 @@ union all select label, (192 + pos)::int, round(std, 8) from s""",
     "agg_validate": """select vec_id // 10 grp,
        case when grp % 3 = 0 and bool_or(vec_id % 10 = 4) then 'not_a_matrix'
             when grp % 2 = 1 then 'count_mismatch' else 'ok' end outcome
+from embeddings group by 1""",
+    "agg_validate_ids": """select vec_id // 10 grp,
+       case when grp % 3 = 0 and bool_or(vec_id % 10 = 4) then 'id_mismatch'
+            when grp % 3 = 1 and bool_or(vec_id % 10 = 5) then 'id_mismatch' else 'ok' end outcome
+from embeddings group by 1""",
+    "outcome_bad_coords": """select vec_id // 10 grp,
+       case when grp % 5 = 0 then 'bad_score' when grp % 4 = 1 then 'bad_coords'
+            when grp % 4 = 2 and bool_or(vec_id % 10 = 4) and count(*) > 1 then 'ragged_coords'
+            else 'ok' end outcome
 from embeddings group by 1""",
     "fingerprint_2048": f"{bits(2, 2048)} select * from bits",
     "fingerprint_64": f"{bits(1, 64)} select * from bits",

@@ -416,6 +416,25 @@ def outcome_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.outcomes(pool_.select("grp").distinct(), stages, ["grp"])
 
 
+@query
+def outcome_bad_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of ten in which scores are missing, or vectors are broken or of two lengths."""
+    grp, member = F.floor(F.col("cand_id") / 10), F.col("cand_id") % 10
+    broken = F.transform("coords", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x))
+    nan = (F.col("grp") % 4 == 1) | ((F.col("grp") % 4 == 3) & (member == 2))
+    short = (F.col("grp") % 4 == 2) & (member == 4)
+    coords = F.when(nan, broken).when(short, F.slice("coords", 1, 60)).otherwise(F.col("coords"))
+    rows = embedding_pool(spark, sf_dir).drop("converged").withColumn("grp", grp)
+    rows = rows.withColumns(
+        {
+            "coords": coords,
+            "status": F.lit(0),
+            "score": F.when(F.col("grp") % 5 != 0, F.col("score")),
+        }
+    )
+    return run_funnel(rows, ["grp"], dims=1, bound=10, keep_stages=False).outcomes()
+
+
 def _open_mean_square():
     def run(batch: pd.DataFrame, **limits: float) -> pd.DataFrame:
         mean_square = [float((c * c).mean()) for c in batch["coords"]]
@@ -590,6 +609,20 @@ def agg_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.validate(vectors, pool_, ["grp"])
 
 
+@query
+def agg_validate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third group has a foreign id among its vectors, the next one an id twice."""
+    pool_ = embedding_pool(spark, sf_dir).withColumn("grp", F.floor(F.col("cand_id") / 10))
+    member = F.col("cand_id") % 10
+    ident = (
+        F.when((F.col("grp") % 3 == 0) & (member == 4), F.col("cand_id") + 1_000_000_000)
+        .when((F.col("grp") % 3 == 1) & (member == 5), F.col("cand_id") - 1)
+        .otherwise(F.col("cand_id"))
+    )
+    vectors = pool_.select("grp", ident.alias("cand_id"), F.col("coords").alias("features"))
+    return features.validate(vectors, pool_, ["grp"])
+
+
 @query
 def fingerprint_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(*chains(spark, sf_dir))

@@ -47,6 +47,12 @@ def squared_norm(vec: str | Column) -> Column:
     return F.aggregate(column(vec), F.lit(0.0), lambda total, x: total + x * x)
 
 
+def finite(vec: str | Column) -> Column:
+    """Whether a vector is there and all its values are finite numbers."""
+    ok = F.forall(column(vec), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(ok, F.lit(False))
+
+
 def dot_sum(vec: str | Column) -> Column:
     return F.aggregate(column(vec), F.lit(0.0), lambda total, x: total + x)
 

@@ -83,6 +83,8 @@ def pair_best_rmsd(
         x, y = (matrix(t[coords]).reshape(t.num_rows, -1, dims) for t in (a, b))
         if maps is not None and maps.num_rows:
             orders = matrix(maps["perm"]).astype(np.int64)
+            if orders.shape[1] != x.shape[1] or orders.max() >= x.shape[1]:
+                raise ValueError("mappings number other atoms than the metric has")
         else:
             orders = np.arange(x.shape[1])[None, :]
         parts = [

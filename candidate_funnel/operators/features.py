@@ -14,7 +14,7 @@ from candidate_funnel.operators.skew import hot_join
 
 def _known(mode: str) -> None:
     if mode not in AGGREGATIONS:
-        raise ValueError(f"unknown aggregation {mode!r}, expected one of {AGGREGATIONS}")
+        raise ValueError(f"no such way to pool features: {mode!r}; there are {', '.join(AGGREGATIONS)}")
 
 
 def aggregated_width(n_features: int, mode: str) -> int:
@@ -35,23 +35,35 @@ def validate(
     ensemble: DataFrame,
     keys: Sequence[str],
     vector: str = "features",
+    ident: str = "cand_id",
 ) -> DataFrame:
-    """``(keys, outcome)``: ok, not_a_matrix, or count_mismatch."""
+    """``(keys, outcome)``: ok, not_a_matrix, count_mismatch, or id_mismatch.
+
+    Ids mismatch where some candidate has not exactly one row on either side.
+    """
     rows = features.select(
-        *keys, F.coalesce(F.size(vector), F.lit(-1)).alias("_w"), F.lit(1).alias("_f"), F.lit(0).alias("_e")
+        *keys, F.col(ident).alias("_id"), F.coalesce(F.size(vector), F.lit(-1)).alias("_w"), F.lit(1).alias("_f"), F.lit(0).alias("_e")
     )
     members = ensemble.select(
-        *keys, F.lit(None).cast("int").alias("_w"), F.lit(0).alias("_f"), F.lit(1).alias("_e")
+        *keys, F.col(ident).alias("_id"), F.lit(None).cast("int").alias("_w"), F.lit(0).alias("_f"), F.lit(1).alias("_e")
     )
-    found = rows.unionByName(members).groupBy(*keys).agg(
+    each = rows.unionByName(members).groupBy(*keys, "_id").agg(
         F.min("_w").alias("_low"),
         F.max("_w").alias("_high"),
         F.sum("_f").alias("_f"),
         F.sum("_e").alias("_e"),
     )
+    found = each.groupBy(*keys).agg(
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        F.bool_and((F.col("_f") == 1) & (F.col("_e") == 1)).alias("_paired"),
+        F.sum("_f").alias("_f"),
+        F.sum("_e").alias("_e"),
+    )
     outcome = (
         F.when((F.col("_low") != F.col("_high")) | (F.col("_low") < 1), "not_a_matrix")
         .when(F.col("_f") != F.col("_e"), "count_mismatch")
+        .when(~F.col("_paired"), "id_mismatch")
         .otherwise("ok")
     )
     return found.select(*keys, outcome.alias("outcome"))
@@ -75,7 +87,7 @@ def aggregate(
     """
     _known(mode)
     keys = list(keys)
-    checked = validate(features, ensemble, keys, vector)
+    checked = validate(features, ensemble, keys, vector, ident)
     if strict:
         ok = F.when(F.col("outcome") == "ok", True).otherwise(F.raise_error(F.col("outcome")))
         valid = checked.where(ok).select(*keys)
@@ -125,6 +137,9 @@ def vectors(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 def to_columns(
     packed: DataFrame, keys: Sequence[str], n_features: int, mode: str, vector: str = "features"
 ) -> DataFrame:
-    """Array vectors as one labelled column per value."""
+    """Array vectors as one labelled column per value; other lengths are an error."""
     labels = feature_columns(n_features, mode)
-    return packed.select(*keys, *[F.get(vector, F.lit(i)).alias(c) for i, c in enumerate(labels)])
+    message = F.format_string("%d values for %d labels", F.size(vector), F.lit(len(labels)))
+    fits = F.when(F.size(vector) == len(labels), F.col(vector)).otherwise(F.raise_error(message))
+    held = packed.select(*keys, fits.alias("_v"))
+    return held.select(*keys, *[F.get("_v", F.lit(i)).alias(c) for i, c in enumerate(labels)])

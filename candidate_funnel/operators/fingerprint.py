@@ -157,6 +157,9 @@ def fingerprint(
 
 def densify(bits: DataFrame, graphs: DataFrame, n_bits: int = 2048) -> DataFrame:
     """One float array of zeros and ones per graph, also for graphs without bits."""
+    message = F.format_string("bit %d does not fit into %d", F.col("bit"), F.lit(n_bits))
+    fits = F.when(F.col("bit") < n_bits, F.col("bit")).otherwise(F.raise_error(message).cast("int"))
+    bits = bits.withColumn("bit", fits)
     ordered = bits.groupBy("graph_id").agg(F.sort_array(F.collect_set("bit")).alias("_bits"))
     stops = F.concat(F.coalesce("_bits", F.array().cast("array<int>")), F.array(F.lit(n_bits)))
 

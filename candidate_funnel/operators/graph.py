@@ -89,18 +89,21 @@ def node_coords(
 ) -> DataFrame:
     """Add ``name``, the coordinates of the kept nodes only, in node order.
 
-    ``kept(keys, node_id)`` numbers the atoms from 0. Nodes past the end of the
-    coordinates of their key have none to keep, so the list of a key is never
-    longer than one of its arrays.
+    ``kept(keys, node_id)`` numbers the atoms from 0. A row whose coordinates
+    end before or inside one of its key's nodes gets a null.
     """
     keys = list(keys)
+    # Lists of nodes are made for keys at hand, and no longer than their arrays plus one.
     atoms = df.groupBy(*keys).agg(F.max(F.size(coords) / dims).alias("_size"))
-    inside = hot_join(kept.select(*keys, "node_id"), atoms, keys).where("node_id < _size")
+    placed = hot_join(kept.select(*keys, "node_id"), atoms, keys)
+    inside = placed.select(*keys, F.least("node_id", F.ceil("_size")).alias("node_id"))
     listed = inside.groupBy(*keys).agg(F.sort_array(F.collect_set("node_id")).alias("_atoms"))
     chosen = F.flatten(
         F.transform("_atoms", lambda a: F.slice(coords, (a * dims + 1).cast("int"), F.lit(dims)))
     )
     empty = F.slice(coords, 1, 0)
+    whole = (F.array_max("_atoms") + 1) * dims <= F.size(coords)
+    chosen = F.when(whole, chosen)
     return (
         hot_join(df, listed, keys, "left")
         .withColumn(name, F.when(F.col("_atoms").isNull(), empty).otherwise(chosen))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candidate_funnel.functions.scalars import finite
 from candidate_funnel.operators.neighbours import (
     GROUP_LIMIT,
     Gate,
@@ -30,7 +31,7 @@ from candidate_funnel.operators.neighbours import (
     with_cells,
 )
 from candidate_funnel.operators.select import rank
-from candidate_funnel.operators.skew import largest_group
+from candidate_funnel.operators.skew import keyed, largest_group
 from candidate_funnel.session import cut
 
 # Growth of the prefixes a large key is de-duplicated in.
@@ -58,6 +59,7 @@ def crowded_first(near: np.ndarray, weight: np.ndarray) -> np.ndarray:
     while open_rows.any():
         busiest = int(np.argmax(np.where(open_rows, count, -1)))
         members = near[busiest] & open_rows
+        members[busiest] = True
         centre[members] = busiest
         open_rows &= ~members
         count = count - near[:, members] @ weight[members]
@@ -171,6 +173,8 @@ def keep_in_rounds(
         first = (F.col("value") == F.col("pos")).cast("bigint").alias("value")
         marked = cut(state.join(earliest.select(*spot, first), spot))
         kept.append(marked.where("value = 1").drop("value"))
+        if kept[-1].isEmpty():
+            raise RuntimeError("no row comes before all its neighbours; ids or positions repeat")
         untouched = near.reach(marked, "max").where("value = 0").select(*spot)
         state = cut(marked.drop("value").join(untouched, spot, "left_semi"))
     return [*kept, cut(_follow(state, keys, "pos", state.schema, decide, pairs))]
@@ -237,6 +241,8 @@ def cluster_in_rounds(
         done.append(
             taken.where(F.col("value") < none).select(*spot, F.col("value").alias("centre"))
         )
+        if done[-1].isEmpty():
+            raise RuntimeError("no row outranks its neighbours; ids or positions repeat")
         rest = taken.where(F.col("value") == none).select(*spot)
         state = cut(state.join(rest, spot, "left_semi"))
     schema = T.StructType([*state.schema.fields, T.StructField("centre", T.LongType())])
@@ -244,6 +250,15 @@ def cluster_in_rounds(
     return cut(_any(done))
 
 
+def _sound(
+    df: DataFrame, coords: str, pairs: DataFrame | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with finite coordinates, and the others where coordinates are compared."""
+    if pairs is not None:
+        return df, None
+    return df.where(finite(coords)), df.where(~finite(coords))
+
+
 def keep_first(
     df: DataFrame,
     keys: Sequence[str],
@@ -260,10 +275,12 @@ def keep_first(
 
     Likeness is the fixed-frame distance of ``coords``, or comes from
     ``pairs(keys, a, b, dist)`` when another metric was used. ``bound`` is a
-    row count per key the caller has already enforced.
+    row count per key the caller has already enforced. Rows without finite
+    coordinates are alike to none and stay; rows without a key go.
     """
     keys = list(keys)
     score = score if gate.score is not None else None
+    df, odd = _sound(keyed(df, keys), coords, pairs)
     small, large = split_by_size(df, keys, group_limit, bound)
     ordered = rank(small, keys, order, "pos", bound=group_limit)
 
@@ -291,7 +308,8 @@ def keep_first(
             near, decide = by_pairs(ends, keys), _keeper(gate, "pos", coords, None)
         kept = keep_in_prefixes(state, keys, near, decide, ends, group_limit)
         result = result.unionByName(placed.join(kept, [*keys, "pos"], "left_semi"))
-    return result.drop("pos")
+    result = result.drop("pos")
+    return result if odd is None else result.unionByName(odd)
 
 
 def leader_cluster(
@@ -309,9 +327,10 @@ def leader_cluster(
     """Add ``cluster_id``, the id of the row's cluster centre.
 
     ``weight`` counts the copies a row stands for. Other arguments are those
-    of ``keep_first``.
+    of ``keep_first``. Rows without finite coordinates are their own cluster.
     """
     keys = list(keys)
+    df, odd = _sound(keyed(df, keys), coords, pairs)
     small, large = split_by_size(df, keys, group_limit, bound)
     ordered = rank(small, keys, order, "pos", bound=group_limit)
     schema = T.StructType([*ordered.schema.fields, T.StructField("cluster_id", T.LongType())])
@@ -342,4 +361,7 @@ def leader_cluster(
             members = placed.join(centres, [*keys, "pos"])
         names = placed.select(*keys, F.col("pos").alias("centre"), F.col(ident).alias("cluster_id"))
         result = result.unionByName(members.join(names, [*keys, "centre"]).drop("centre"))
-    return result.drop("pos")
+    result = result.drop("pos")
+    if odd is None:
+        return result
+    return result.unionByName(odd.withColumn("cluster_id", F.col(ident).cast("bigint")))

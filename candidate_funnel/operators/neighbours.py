@@ -15,12 +15,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candidate_funnel.functions.scalars import dot_sum, squared_norm
-from candidate_funnel.operators.skew import hot_join, largest_group
+from candidate_funnel.functions.scalars import dot_sum, finite, squared_norm
+from candidate_funnel.operators.skew import hot_join, keyed, largest_group
 from candidate_funnel.session import cut
 
 # Rows of one key (or one block of a large key) that a single task compares.
@@ -63,7 +64,10 @@ class Gate:
 
 
 def matrix(values: pa.ChunkedArray) -> np.ndarray:
-    """Equal-length lists as a float matrix."""
+    """Equal-length lists as a float matrix; others are an error, not a mix-up."""
+    lengths = pa.compute.list_value_length(values)
+    if lengths.null_count or (len(values) and len(lengths.unique()) > 1):
+        raise ValueError("the vectors of a key differ in length or are missing")
     flat = values.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64, copy=False).reshape(len(values), -1)
 
@@ -114,8 +118,10 @@ def split_by_size(
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """Separate the keys of at most ``limit`` rows from the larger ones.
 
-    ``bound`` is a row count per key the caller has already enforced.
+    ``bound`` is a row count per key the caller has already enforced. A null
+    key is none; its rows are in neither part, whatever their number.
     """
+    df = keyed(df, keys)
     if bound is not None and bound <= limit:
         return df, None
     if largest_group(df, keys) <= limit:
@@ -380,6 +386,8 @@ def near_pairs(
     numbers of each pair, and the rows of ``per_key`` of that key.
     """
     keys = list(keys)
+    # A vector with a gap or without a finite value is near nothing.
+    df = df.where(finite(index))
     schema = T.StructType(
         [
             *[df.schema[k] for k in keys],

@@ -38,12 +38,15 @@ def route(items: DataFrame, keys: Sequence[str], item: str, table: DataFrame) ->
 def apply_route(
     primary: DataFrame, fallback: DataFrame, routes: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Take every row of a key from the one table its route names."""
+    """Take every row of a key from the one table its route names.
 
-    def chosen(rows: DataFrame, name: str) -> DataFrame:
-        return hot_join(rows, routes.where(F.col("route") == name), keys, "left_semi")
-
-    return chosen(primary, "primary").unionByName(chosen(fallback, "fallback"))
+    Both tables meet the routes, worked out once, in one join on key and route.
+    """
+    tagged = primary.withColumn("_route", F.lit("primary")).unionByName(
+        fallback.withColumn("_route", F.lit("fallback"))
+    )
+    named = routes.select(*keys, F.col("route").alias("_route"))
+    return tagged.join(named, [*keys, "_route"], "left_semi").select(primary.columns)
 
 
 def zip_strict(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -36,10 +36,20 @@ def with_lowest(
     ``bound``, here and below, is a row count per key that the caller has
     enforced or measured; small ones let a window replace the join.
     """
+    df = skew.keyed(df, keys)
     if _bounded(bound):
         return df.withColumn(name, F.min(score).over(Window.partitionBy(*keys)))
-    lowest = df.groupBy(*keys).agg(F.min(score).alias(name))
-    return skew.hot_join(df, lowest, keys)
+    lowest, hot = _lowest(df, keys, score, name)
+    return skew.hot_join(df, lowest, keys, hot=hot)
+
+
+def _lowest(
+    df: DataFrame, keys: Sequence[str], score: str, name: str
+) -> tuple[DataFrame, DataFrame | bool]:
+    """Minimum per key, and from the same pass the keys whose joins need salt."""
+    counted = cut(df.groupBy(*keys).agg(F.min(score).alias(name), F.count("*").alias("_n")))
+    hot = skew.slots(counted, keys)
+    return counted.drop("_n"), False if hot.isEmpty() else hot
 
 
 def within(
@@ -88,20 +98,23 @@ def boltzmann(
         lowered = with_lowest(df, keys, score, "_lowest", bound).withColumn("_factor", factor)
         total = F.sum("_factor").over(Window.partitionBy(*keys))
         return lowered.withColumn(name, F.col("_factor") / total).drop("_lowest", "_factor")
+    df = skew.keyed(df, keys)
+    lowest, hot = _lowest(df, keys, score, "_lowest")
     totals = (
-        with_lowest(df.select(*keys, score), keys, score, "_lowest")
+        skew.hot_join(df.select(*keys, score), lowest, keys, hot=hot)
         .groupBy(*keys)
         .agg(F.min("_lowest").alias("_lowest"), F.sum(factor).alias("_total"))
     )
     return (
-        skew.hot_join(df, totals, keys)
+        skew.hot_join(df, totals, keys, hot=hot)
         .withColumn(name, factor / F.col("_total"))
         .drop("_lowest", "_total")
     )
 
 
 def _ordering(order: Sequence[str | Column]) -> list[Column]:
-    return [column(c) for c in order]
+    """Ascending, what is missing last, unless a column says otherwise."""
+    return [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order]
 
 
 def rank(
@@ -170,14 +183,18 @@ def cap_per_key(
     order: Sequence[str | Column],
     cap: int = 500,
 ) -> DataFrame:
-    """Keep at most ``allowance`` rows of each key; ``cap`` bounds every allowance.
+    """Keep at most ``allowance`` rows of each key, which ``cap`` must bound.
 
-    The constant bound lets Spark trim each key before the shuffle.
+    The constant bound lets Spark trim each key before the shuffle; an
+    allowance above it is an error.
     """
+    allowed = column(allowance)
+    message = F.format_string("allowance %s is above the cap %s", allowed.cast("string"), F.lit(str(cap)))
+    allowed = F.when(allowed > cap, F.raise_error(message).cast("bigint")).otherwise(allowed)
     window = Window.partitionBy(*keys).orderBy(*_ordering(order))
     return (
         df.withColumn("_place", F.row_number().over(window))
-        .where((F.col("_place") <= cap) & (F.col("_place") <= column(allowance)))
+        .where((F.col("_place") <= cap) & (F.col("_place") <= allowed))
         .drop("_place")
     )
 
@@ -193,6 +210,7 @@ def representatives(
     """The lowest-scored member of each cluster."""
     if _bounded(bound):
         return top_k(df, [*keys, cluster], [score, tie], 1)
-    best = df.groupBy(*keys, cluster).agg(F.min(F.struct(score, tie)).alias("_best"))
+    first = F.min(F.struct(F.col(score).isNull().alias("_none"), score, tie))
+    best = df.groupBy(*keys, cluster).agg(first.alias("_best"))
     chosen = best.select(*keys, F.col(f"_best.{tie}").alias(tie))
     return df.join(chosen, [*keys, tie], "left_semi")

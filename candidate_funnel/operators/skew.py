@@ -18,6 +18,13 @@ from candidate_funnel.session import cut
 HOT_ROWS = 1_000_000
 
 
+def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key has no null part: the others belong to no key."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the most frequent key (one narrow, map-side combined job)."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -31,8 +38,14 @@ def hot_keys(df: DataFrame, on: Sequence[str], limit: int | None = None) -> Data
     some hundred thousand for 100 TB, which is what makes them fit a broadcast.
     """
     limit = limit or HOT_ROWS
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    return counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_slots"))
+    return slots(df.groupBy(*on).agg(F.count("*").alias("_n")), on, limit)
+
+
+def slots(counts: DataFrame, on: Sequence[str], limit: int | None = None) -> DataFrame:
+    """``hot_keys`` from row counts ``_n`` that are at hand already."""
+    limit = limit or HOT_ROWS
+    found = counts.where(F.col("_n") > limit)
+    return found.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_slots"))
 
 
 def find_hot(df: DataFrame, on: Sequence[str]) -> DataFrame | bool:
@@ -58,7 +71,8 @@ def hot_join(
     if hot is False:
         return df.join(right, on, how)
     hot = F.broadcast(hot_keys(df, on) if hot is None else hot)
-    slot = F.pmod(F.xxhash64(*df.columns), F.col("_slots")).cast("int")
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    slot = F.pmod(F.xxhash64(*plain), F.col("_slots")).cast("int")
     salted = df.join(hot, on, "left").withColumn(
         "_slot", F.when(F.col("_slots").isNull(), 0).otherwise(slot)
     )

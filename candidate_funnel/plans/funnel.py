@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candidate_funnel.functions.scalars import DEFAULTS, EV_TO_KCAL
+from candidate_funnel.functions.scalars import DEFAULTS, EV_TO_KCAL, finite
 from candidate_funnel.operators.alignment import pair_best_rmsd
 from candidate_funnel.operators.ensemble import assemble
 from candidate_funnel.operators.graph import (
@@ -27,7 +27,8 @@ from candidate_funnel.operators.select import (
     top_k,
     within,
 )
-from candidate_funnel.operators.skew import hot_join, largest_group
+from candidate_funnel.operators.skew import HOT_ROWS, hot_join, largest_group
+from candidate_funnel.operators.skew import keyed as keyed_rows
 from candidate_funnel.session import cut
 
 
@@ -40,11 +41,17 @@ class Funnel:
 
     keys: tuple[str, ...]
     pool: DataFrame
+    scored: DataFrame
     converged: DataFrame
+    sound: DataFrame
+    even: DataFrame
+    fitting: DataFrame
     in_window: DataFrame
     clusters: DataFrame
     selected: DataFrame
+    rescored: DataFrame
     relaxed: DataFrame
+    compared: DataFrame
     unique: DataFrame
     ensemble: DataFrame
 
@@ -64,14 +71,36 @@ class Funnel:
         """``ok`` or the first failing stage of every key in ``keyed``."""
         stages = {
             "no_candidate": self.pool,
-            "bad_score": self.pool.where(~F.isnan("score")),
+            "null_key": keyed_rows(self.pool, self.keys),
+            "bad_score": self.scored,
             "none_converged_first": self.converged,
+            "bad_coords": self.sound,
+            "ragged_coords": self.even,
+            "coords_mismatch": self.fitting,
             "empty_metric": self.in_window,
+            "bad_score_second": self.rescored,
             "none_converged_second": self.relaxed,
+            "bad_coords_second": self.compared,
         }
         return outcomes(self.pool if keyed is None else keyed, stages, self.keys, strict)
 
 
+def numeric(score: str) -> Column:
+    """Whether a score is there and a number."""
+    return F.col(score).isNotNull() & ~F.isnan(score)
+
+
+def even_keys(df: DataFrame, keys: Sequence[str], vector: str, bound: int) -> DataFrame:
+    """Rows of the keys whose vectors all have one length."""
+    size = F.size(vector)
+    if bound <= HOT_ROWS:
+        whole = Window.partitionBy(*keys)
+        sized = df.withColumn("_low", F.min(size).over(whole)).withColumn("_high", F.max(size).over(whole))
+        return sized.where("_low = _high").drop("_low", "_high")
+    sizes = df.groupBy(*keys).agg(F.min(size).alias("_low"), F.max(size).alias("_high"))
+    return hot_join(df, sizes.where("_low = _high").select(*keys), keys, "left_semi")
+
+
 def run_funnel(
     candidates: DataFrame,
     keys: Sequence[str],
@@ -79,6 +108,8 @@ def run_funnel(
     cluster_metric: Metric | None = None,
     dedup_metric: Metric | None = None,
     mappings: DataFrame | None = None,
+    cluster_mappings: DataFrame | None = None,
+    dedup_mappings: DataFrame | None = None,
     align: bool = False,
     dims: int = 3,
     factor: float = 1.0,
@@ -99,6 +130,11 @@ def run_funnel(
     column is used and the score carries over. The two metrics add a column
     ``metric`` with the coordinates that distances are measured on, for
     instance of heavy atoms or a stripped core; ensembles keep all atoms.
+    ``mappings`` number the atoms of the metric from 0; where the two metrics
+    measure different atoms, each takes its own (``cluster_mappings``,
+    ``dedup_mappings``). Rows without a number for a score, without finite
+    coordinates, of keys with coordinates of several lengths, or whose
+    coordinates end before an atom of the metric go, and ``outcomes`` says so.
     ``factor`` converts the first score to the unit of ``window``; the second
     is in eV. ``bound`` is a pool size per key that ``cap_per_key`` or
     ``expand`` has enforced; without it the largest key is counted once.
@@ -108,19 +144,25 @@ def run_funnel(
     save = cut if keep_stages else (lambda df: df)
     if bound is None:
         bound = largest_group(candidates, keys)
+    cluster_mappings = mappings if cluster_mappings is None else cluster_mappings
+    dedup_mappings = mappings if dedup_mappings is None else dedup_mappings
 
-    first = converged(candidates.where(~F.isnan("score")), "status")
-    near = within(first, keys, "score", window, factor, bound)
+    numbered = keyed_rows(candidates, keys).where(numeric("score"))
+    first = converged(numbered, "status")
+    sound = first.where(finite("coords"))
+    even = even_keys(sound, keys, "coords", bound)
+    near = within(even, keys, "score", window, factor, bound)
     coords = "coords" if cluster_metric is None else "metric"
-    measured = near if cluster_metric is None else cluster_metric(near)
-    measured = save(measured.where(F.size(coords) > 0))
+    fitting = near if cluster_metric is None else cluster_metric(near)
+    fitting = fitting.where(F.col(coords).isNotNull())
+    measured = save(fitting.where(F.size(coords) > 0))
     gate = Gate(cluster_rmsd, dims=dims)
-    if mappings is None and not align:
+    if cluster_mappings is None and not align:
         members = leader_cluster(
             measured, keys, ["score", "cand_id"], gate, coords=coords, bound=bound
         )
     else:
-        members = _mapped_clusters(measured, keys, mappings, align, gate, coords, bound)
+        members = _mapped_clusters(measured, keys, cluster_mappings, align, gate, coords, bound)
     clusters = save(representatives(members, keys, "cluster_id", "score", bound=bound))
 
     selected = top_k(clusters, keys, ["score", "cand_id"], max_selected).select(candidates.columns)
@@ -132,15 +174,19 @@ def run_funnel(
         scored = selected.withColumn("score2", F.col("score")).withColumn("converged", F.lit(True))
 
     # From here on max_selected bounds every key.
-    relaxed = relative(
-        converged(scored.where(~F.isnan("score2")), "converged"), keys, "score2", EV_TO_KCAL, "rel", max_selected
+    rescored = scored.where(numeric("score2"))
+    relaxed = converged(rescored, "converged")
+    fit = relaxed.where(finite("coords"))
+    fit = relative(
+        even_keys(fit, keys, "coords", max_selected), keys, "score2", EV_TO_KCAL, "rel", max_selected
     )
     coords = "coords" if dedup_metric is None else "metric"
-    compared = relaxed if dedup_metric is None else dedup_metric(relaxed)
+    compared = fit if dedup_metric is None else dedup_metric(fit)
+    compared = compared.where(F.col(coords).isNotNull())
     pairs = None
-    if mappings is not None or align:
+    if dedup_mappings is not None or align:
         pairs = pair_best_rmsd(
-            compared, keys, dedup_rmsd, mappings, align, "cand_id", coords, dims, max_selected
+            compared, keys, dedup_rmsd, dedup_mappings, align, "cand_id", coords, dims, max_selected
         )
     unique = save(
         keep_first(
@@ -156,8 +202,9 @@ def run_funnel(
     )
     ensemble = assemble(unique, keys, "score2", totals=totals, max_final=max_final)
     return Funnel(
-        tuple(keys), candidates, first, measured, clusters, selected, relaxed, unique, ensemble
-    )
+        tuple(keys), candidates, numbered, first, sound, even, fitting, measured, clusters,
+        selected, rescored, relaxed, compared, unique, ensemble,
+    )
 
 
 def guarded_metric(
@@ -173,12 +220,19 @@ def guarded_metric(
 
     Distances use the ``heavy`` nodes, or those without leaves for keys that
     reach ``cap`` mappings. Graphs carry the candidates' ``key`` as graph_id,
-    and so do ``mappings``, one row per symmetry mapping.
+    and so do ``mappings``, one row per symmetry mapping. The report has the
+    numbers of measured, core and dropped nodes (``n_heavy, n_core, n_dropped``).
     """
     if heavy is not None:
         nodes, edges = induced(nodes, edges, heavy)
     core, _ = strip_leaves(nodes, edges)
     guard = symmetry_guard(nodes.select("graph_id"), mappings, ["graph_id"], cap)
+    heavy_nodes = nodes.groupBy("graph_id").agg(F.count("*").alias("n_heavy"))
+    core_nodes = core.groupBy("graph_id").agg(F.count("*").alias("n_core"))
+    guard = guard.join(heavy_nodes, "graph_id", "left").join(core_nodes, "graph_id", "left")
+    guard = guard.withColumn("n_core", F.coalesce("n_core", F.lit(0).cast("bigint")))
+    dropped = F.when(F.col("use_core"), F.col("n_heavy") - F.col("n_core")).otherwise(F.lit(0))
+    guard = guard.withColumn("n_dropped", dropped.cast("bigint"))
 
     def chosen(rows: DataFrame, use_core: bool) -> DataFrame:
         picked = guard.where(F.col("use_core") == use_core)

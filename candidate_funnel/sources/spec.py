@@ -66,9 +66,14 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def load(spark: SparkSession, spec: SourceSpec, root: str = ".") -> DataFrame:
+def load(
+    spark: SparkSession, spec: SourceSpec, root: str = ".", tokens: DataFrame | None = None
+) -> DataFrame:
     """Read a spec's file as ``objective``, its compounds and its numeric columns.
 
+    A spec with ``allowed`` keeps rows all of whose compounds consist of allowed
+    tokens; ``tokens(key, token)`` lists those of every compound.
+
     CSV fields are read as text and cast without raising, so one malformed
     number becomes a null instead of failing the scan.
     """
@@ -79,7 +84,16 @@ def load(spark: SparkSession, spec: SourceSpec, root: str = ".") -> DataFrame:
         columns.insert(0, F.col(_quoted(spec.row_id)).alias("row_id"))
     columns += [F.col(_quoted(c)).cast("string").alias(c) for c in spec.compounds]
     columns += [F.col(_quoted(c)).try_cast("double").alias(c) for c in spec.numeric]
-    return raw.select(*columns)
+    rows = raw.select(*columns)
+    if spec.allowed is None:
+        return rows
+    if tokens is None:
+        raise ValueError(f"{spec.name} restricts its compounds, so their tokens are needed")
+    known = F.coalesce(F.col("token").isin(*sorted(spec.allowed)), F.lit(False))
+    foreign = tokens.where(~known).select("key").distinct()
+    for c in spec.compounds:
+        rows = hot_join(rows, foreign.select(F.col("key").alias(c)), [c], "left_anti")
+    return rows.select(*raw.select(*columns).columns)
 
 
 def orient(df: DataFrame, spec: SourceSpec, name: str = "signed") -> DataFrame:
@@ -98,12 +112,17 @@ def best(df: DataFrame, spec: SourceSpec, n: int, ties: Sequence[str] = ()) -> D
 
 
 def restrict(df: DataFrame, tokens: str, allowed: Iterable | None) -> DataFrame:
-    """Drop rows whose token array holds anything outside ``allowed``."""
+    """Drop rows whose token array holds anything outside ``allowed``.
+
+    A null token is outside; a null or empty array holds none.
+    """
     if allowed is None:
         return df
     known = F.array(*[F.lit(t) for t in sorted(allowed)])
     element = df.schema[tokens].dataType.elementType
-    return df.where(F.forall(tokens, lambda t: F.array_contains(known.cast(f"array<{element.simpleString()}>"), t)))
+    known = known.cast(f"array<{element.simpleString()}>")
+    inside = F.forall(tokens, lambda t: F.coalesce(F.array_contains(known, t), F.lit(False)))
+    return df.where(F.coalesce(inside, F.lit(True)))
 
 
 def restrict_long(
@@ -112,7 +131,8 @@ def restrict_long(
     """The same for tokens kept in a long table: one row per (key, token)."""
     if allowed is None:
         return df
-    foreign = tokens.where(~F.col(token).isin(*sorted(allowed))).select(*keys).distinct()
+    known = F.coalesce(F.col(token).isin(*sorted(allowed)), F.lit(False))
+    foreign = tokens.where(~known).select(*keys).distinct()
     return hot_join(df, foreign, keys, "left_anti")
 
 
@@ -121,12 +141,13 @@ def sweep(
     names: Sequence[str] = DEFAULT_SWEEP,
     root: str = ".",
     registry: Mapping[str, SourceSpec] = REGISTRY,
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """Union of several datasets, labelled by name; absent columns are null."""
     unknown = [n for n in names if n not in registry]
     if unknown:
         raise KeyError(f"unknown dataset {unknown[0]!r}, expected one of {tuple(registry)}")
-    frames = [load(spark, registry[n], root).withColumn("dataset", F.lit(n)) for n in names]
+    frames = [load(spark, registry[n], root, tokens).withColumn("dataset", F.lit(n)) for n in names]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

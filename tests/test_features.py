@@ -84,13 +84,13 @@ def test_width_and_labels():
     labels = ft.feature_columns(2, "ensemble_stats")
     assert labels == ["min_0", "min_1", "max_0", "max_1", "mean_0", "mean_1", "std_0", "std_1"]
     for call in (ft.aggregated_width, ft.feature_columns):
-        with pytest.raises(ValueError, match="unknown aggregation"):
+        with pytest.raises(ValueError, match="no such way to pool"):
             call(3, "median")
 
 
 def test_validation(spark, members):
     _, df = members
-    with pytest.raises(ValueError, match="unknown aggregation"):
+    with pytest.raises(ValueError, match="no such way to pool"):
         ft.aggregate(df, df, ["key"], "median")
     rows = [
         ("ragged", 0, [1.0]),

@@ -80,7 +80,8 @@ def test_cap_per_key(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("key"), "id", F.lit(7).alias("budget"))
     kept = select.cap_per_key(df, ["key"], "budget", ["id"], cap=500)
     assert [r["count"] for r in kept.groupBy("key").count().collect()] == [7, 7]
-    assert select.cap_per_key(df, ["key"], "budget", ["id"], cap=3).count() == 6
+    with pytest.raises(Exception, match="allowance 7 is above the cap 3"):
+        select.cap_per_key(df, ["key"], "budget", ["id"], cap=3).collect()
 
 
 @pytest.mark.parametrize("bound", [None, 20])
