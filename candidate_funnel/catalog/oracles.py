@@ -199,6 +199,43 @@ def spec_row(dataset: str, source: str, ident: str, target: str, columns: dict[s
     return f"select '{dataset}' dataset, {ident} row_id, {target} objective, {cells} from {source}"
 
 
+# The aligned distance from the largest root of the characteristic quartic of the
+# key matrix (Theobald 2005), by Newton steps from above.
+ALIGNED = """with atoms as (
+  select label, vec_id, i // 3 as atom,
+         max(v) filter (where i % 3 = 0) as x, max(v) filter (where i % 3 = 1) as y, max(v) filter (where i % 3 = 2) as z
+  from (select label, vec_id, unnest(range(66)) as i,
+               unnest(list_concat(list_transform(embedding, lambda e: e::double), [0.0::double, 0.0::double])) as v
+        from embeddings) group by all
+), centred as (
+  select label, vec_id, atom, x - avg(x) over own as x, y - avg(y) over own as y, z - avg(z) over own as z
+  from atoms window own as (partition by vec_id)
+), sums as (
+  select a.label, a.vec_id as a, b.vec_id as b, count(*) as n,
+         sum(a.x * a.x + a.y * a.y + a.z * a.z) as ga, sum(b.x * b.x + b.y * b.y + b.z * b.z) as gb,
+         sum(a.x * b.x) as xx, sum(a.x * b.y) as xy, sum(a.x * b.z) as xz,
+         sum(a.y * b.x) as yx, sum(a.y * b.y) as yy, sum(a.y * b.z) as yz,
+         sum(a.z * b.x) as zx, sum(a.z * b.y) as zy, sum(a.z * b.z) as zz
+  from centred a join centred b on a.label = b.label and a.atom = b.atom and a.vec_id < b.vec_id
+  group by all
+), quartic as (
+  select *, -2 * (xx*xx + xy*xy + xz*xz + yx*yx + yy*yy + yz*yz + zx*zx + zy*zy + zz*zz) as c2,
+    8 * (xx*yz*zy + yy*zx*xz + zz*xy*yx - xx*yy*zz - yz*zx*xy - zy*yx*xz) as c1,
+    (xy*xy + xz*xz - yx*yx - zx*zx) ** 2
+    + (-xx*xx + yy*yy + zz*zz + yz*yz + zy*zy - 2 * (yy*zz - yz*zy)) * (-xx*xx + yy*yy + zz*zz + yz*yz + zy*zy + 2 * (yy*zz - yz*zy))
+    + (-(xz+zx)*(yz-zy) + (xy-yx)*(xx-yy-zz)) * (-(xz-zx)*(yz+zy) + (xy-yx)*(xx-yy+zz))
+    + (-(xz+zx)*(yz+zy) - (xy+yx)*(xx+yy-zz)) * (-(xz-zx)*(yz-zy) - (xy+yx)*(xx+yy+zz))
+    + ((xy+yx)*(yz+zy) + (xz+zx)*(xx-yy+zz)) * (-(xy-yx)*(yz-zy) + (xz+zx)*(xx+yy+zz))
+    + ((xy+yx)*(yz-zy) + (xz-zx)*(xx-yy-zz)) * (-(xy-yx)*(yz+zy) + (xz-zx)*(xx+yy-zz)) as c0
+  from sums
+), solved as (
+  select *, list_reduce(list_transform(range(60), lambda k: (ga + gb) / 2),
+    lambda e, k: e - (e*e*e*e + c2*e*e + c1*e + c0) / (4*e*e*e + 2*c2*e + c1)) as top
+  from quartic
+)
+select label, a, b, round(dist, 7) as dist
+from (select *, sqrt(greatest(ga + gb - 2 * top, 0) / n) as dist from solved) where dist <= 0.2"""
+
 ORACLES: dict[str, str] = {
     "flagship_funnel": f"""{FUNNEL}
 select label, row_number() over (partition by label order by p) - 1 as "position", vec_id,
@@ -404,6 +441,7 @@ union all select label, (192 + pos)::int, round(std, 8) from s""",
        case when grp % 3 = 0 and bool_or(vec_id % 10 = 4) then 'not_a_matrix'
             when grp % 2 = 1 then 'count_mismatch' else 'ok' end outcome
 from embeddings group by 1""",
+    "pair_aligned_rmsd": ALIGNED,
     "agg_validate_ids": """select vec_id // 10 grp,
        case when grp % 3 = 0 and bool_or(vec_id % 10 = 4) then 'id_mismatch'
             when grp % 3 = 1 and bool_or(vec_id % 10 = 5) then 'id_mismatch' else 'ok' end outcome
