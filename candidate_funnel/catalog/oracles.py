@@ -403,6 +403,10 @@ qualify place <= 20""",
 select label, "position", vec_id, round(e, 9) energy, count(*) over (partition by label) n,
        round(emb[64]::double, 8) last_value, charge, multiplicity
 from ens""",
+    "ensemble_packed": f"""with {ENSEMBLE}
+select label, "position"::int as "position", round(e, 9) energy, (i // 4)::int atom,
+       (1 + (label + (i // 4) * 5) % 17)::int as number, (i % 4)::int axis, round(emb[i + 1]::double, 8) v
+from ens, range(64) t(i)""",
     "ensemble_size": f"with {ENSEMBLE} select label, count(*) n from ens group by 1",
     "ensemble_lowest": f"""with {ENSEMBLE} select label, vec_id, round(e, 9) energy from ens where "position" = 0""",
     "ensemble_atoms": f"""with {ENSEMBLE}

@@ -519,6 +519,26 @@ def ensemble_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def ensemble_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the packed ensembles: 16 atoms of four values each, with numbers."""
+    labels = embedding_pool(spark, sf_dir).select("label").distinct()
+    atoms = labels.select(F.col("label").alias("graph_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("node_id"))
+    atoms = atoms.withColumn("number", 1 + F.pmod(F.col("graph_id") + F.col("node_id") * 5, F.lit(17)))
+    numbers = graph.atom_numbers(atoms).withColumnRenamed("graph_id", "label")
+    ens = _ensemble(spark, sf_dir).drop("numbers").join(numbers, "label")
+    packed = ensemble.pack(ens, KEY, dims=4)
+    member = packed.select(
+        "label", "numbers", F.posexplode(F.arrays_zip("energies", "coords")).alias("position", "m")
+    )
+    atom = member.select(
+        "label", "position", F.round("m.energies", 9).alias("energy"),
+        F.posexplode(F.arrays_zip(F.col("numbers").alias("number"), F.col("m.coords").alias("xyz"))).alias("atom", "a"),
+    )
+    value = atom.select("label", "position", "energy", "atom", F.col("a.number").alias("number"), F.posexplode("a.xyz").alias("axis", "v"))
+    return value.withColumn("v", F.round(F.col("v").cast("double"), 8))
+
+
 @query
 def ensemble_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.size_of(_ensemble(spark, sf_dir), KEY)

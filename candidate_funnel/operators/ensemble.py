@@ -16,6 +16,10 @@ from candidate_funnel.operators.select import top_k
 from candidate_funnel.operators.skew import hot_join
 
 
+# What a key has besides its members.
+TOTALS = ("charge", "multiplicity", "numbers")
+
+
 def assemble(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,7 +32,8 @@ def assemble(
     """The ``max_final`` lowest candidates of each key, in energy order.
 
     Coordinates become single precision here and not before. ``totals`` holds
-    ``(keys, charge, multiplicity)``.
+    ``(keys, charge, multiplicity)`` and, if at hand, ``numbers``, the atomic
+    numbers in atom order.
     """
     keys = list(keys)
     members = top_k(df, keys, [score, ident], max_final, "_rank")
@@ -42,17 +47,26 @@ def assemble(
         F.count("*").over(whole).alias("n"),
     )
     if totals is not None:
-        result = result.join(totals.select(*keys, "charge", "multiplicity"), keys, "left")
+        held = [c for c in TOTALS if c in totals.columns]
+        result = result.join(totals.select(*keys, *held), keys, "left")
     return result
 
 
-def pack(ens: DataFrame, keys: Sequence[str], width: int = 20) -> DataFrame:
+def shaped(coords: Column, dims: int) -> Column:
+    """Flat coordinates atom by atom."""
+    atoms = F.sequence(F.lit(0), (F.size(coords) / dims).cast("int") - 1)
+    return F.transform(atoms, lambda i: F.slice(coords, i * dims + 1, F.lit(dims)))
+
+
+def pack(ens: DataFrame, keys: Sequence[str], width: int = 20, dims: int | None = None) -> DataFrame:
     """One row per key with the members as arrays.
 
+    With ``dims`` coordinates are nested: members, atoms, values of an atom.
+
     ``width`` must be the ``max_final`` the ensemble was assembled with: a
     longer one is an error, so no array outgrows it.
     """
-    totals = [c for c in ("charge", "multiplicity") if c in ens.columns]
+    totals = [c for c in TOTALS if c in ens.columns]
     listed = F.sort_array(F.collect_list(F.struct("position", "energy", "coords"))).alias("_m")
     first = [F.max(c).alias(c) for c in totals]
     fits = F.col("position") < width
@@ -64,7 +78,9 @@ def pack(ens: DataFrame, keys: Sequence[str], width: int = 20) -> DataFrame:
         .select(
             *keys,
             F.transform("_m", lambda m: m["energy"]).alias("energies"),
-            F.transform("_m", lambda m: m["coords"]).alias("coords"),
+            F.transform(
+                "_m", lambda m: m["coords"] if dims is None else shaped(m["coords"], dims)
+            ).alias("coords"),
             *totals,
         )
     )

@@ -111,6 +111,16 @@ def node_coords(
     )
 
 
+def atom_numbers(nodes: DataFrame, number: str = "number") -> DataFrame:
+    """``(graph_id, numbers)``: each molecule's numbers in node order.
+
+    Meant for graphs whose coordinates are arrays of one row, as long as these.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("node_id", number)))
+    listed = nodes.groupBy("graph_id").agg(ordered.alias("_l"))
+    return listed.select("graph_id", F.transform("_l", lambda x: x[number]).alias("numbers"))
+
+
 def graph_totals(nodes: DataFrame) -> DataFrame:
     """Total charge, spin multiplicity and node count of each graph."""
     return nodes.groupBy("graph_id").agg(
