@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import AGGREGATIONS, STATISTICS
 from candidate_funnel.operators.select import boltzmann
-from candidate_funnel.operators.skew import hot_join
+from candidate_funnel.operators.skew import hot_join, slots
+from candidate_funnel.session import cut
 
 
 def _known(mode: str) -> None:
@@ -41,6 +42,13 @@ def validate(
 
     Ids mismatch where some candidate has not exactly one row on either side.
     """
+    return _checked(features, ensemble, keys, vector, ident).select(*keys, "outcome")
+
+
+def _checked(
+    features: DataFrame, ensemble: DataFrame, keys: Sequence[str], vector: str, ident: str
+) -> DataFrame:
+    """``validate`` with the number of feature rows of each key, ``_n``."""
     rows = features.select(
         *keys, F.col(ident).alias("_id"), F.coalesce(F.size(vector), F.lit(-1)).alias("_w"), F.lit(1).alias("_f"), F.lit(0).alias("_e")
     )
@@ -66,7 +74,7 @@ def validate(
         .when(~F.col("_paired"), "id_mismatch")
         .otherwise("ok")
     )
-    return found.select(*keys, outcome.alias("outcome"))
+    return found.select(*keys, outcome.alias("outcome"), F.col("_f").alias("_n"))
 
 
 def aggregate(
@@ -87,13 +95,16 @@ def aggregate(
     """
     _known(mode)
     keys = list(keys)
-    checked = validate(features, ensemble, keys, vector, ident)
+    # Written once: outcomes pick the rows, counts tell which keys need salt.
+    checked = cut(_checked(features, ensemble, keys, vector, ident))
+    hot = slots(checked, keys)
+    hot = False if hot.isEmpty() else hot
     if strict:
         ok = F.when(F.col("outcome") == "ok", True).otherwise(F.raise_error(F.col("outcome")))
         valid = checked.where(ok).select(*keys)
     else:
         valid = checked.where(F.col("outcome") == "ok").select(*keys)
-    rows = hot_join(features.select(*keys, ident, F.col(vector).alias("_v")), valid, keys, "left_semi")
+    rows = hot_join(features.select(*keys, ident, F.col(vector).alias("_v")), valid, keys, "left_semi", hot)
     scores = ensemble.select(*keys, ident, score)
     values = F.posexplode("_v").alias("pos", "value")
 
