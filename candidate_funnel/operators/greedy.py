@@ -32,7 +32,7 @@ from candidate_funnel.operators.neighbours import (
 )
 from candidate_funnel.operators.select import rank
 from candidate_funnel.operators.skew import keyed, largest_group
-from candidate_funnel.session import cut
+from candidate_funnel.session import cut, discard
 
 # Growth of the prefixes a large key is de-duplicated in.
 PREFIX_GROWTH = 4
@@ -168,6 +168,7 @@ def keep_in_rounds(
     """
     spot = [*keys, "pos"]
     kept = []
+    given = state
     while largest_group(state, keys) > limit:
         earliest = near.reach(state.withColumn("value", F.col("pos")), "min")
         first = (F.col("value") == F.col("pos")).cast("bigint").alias("value")
@@ -176,7 +177,9 @@ def keep_in_rounds(
         if kept[-1].isEmpty():
             raise RuntimeError("no row comes before all its neighbours; ids or positions repeat")
         untouched = near.reach(marked, "max").where("value = 0").select(*spot)
-        state = cut(marked.drop("value").join(untouched, spot, "left_semi"))
+        before, state = state, cut(marked.drop("value").join(untouched, spot, "left_semi"))
+        if before is not given:
+            discard(before)
     return [*kept, cut(_follow(state, keys, "pos", state.schema, decide, pairs))]
 
 
@@ -229,6 +232,7 @@ def cluster_in_rounds(
     if int(heaviest).bit_length() + shift > 62:
         raise ValueError("a key has too many distinct candidates to cluster")
     done = []
+    given = state
     while largest_group(state, keys) > limit:
         count = near.reach(state.withColumn("value", F.col("weight")), "sum")
         priority = F.shiftleft(F.col("value"), shift).bitwiseOR(F.lit(last) - F.col("pos"))
@@ -244,7 +248,10 @@ def cluster_in_rounds(
         if done[-1].isEmpty():
             raise RuntimeError("no row outranks its neighbours; ids or positions repeat")
         rest = taken.where(F.col("value") == none).select(*spot)
-        state = cut(state.join(rest, spot, "left_semi"))
+        before, state = state, cut(state.join(rest, spot, "left_semi"))
+        discard(ranked, centres)
+        if before is not given:
+            discard(before)
     schema = T.StructType([*state.schema.fields, T.StructField("centre", T.LongType())])
     done.append(_follow(state, keys, "pos", schema, decide, pairs).select(*spot, "centre"))
     return cut(_any(done))

@@ -58,4 +58,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.__dict__["_cut_path"] = path
+    return held
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again; others are left alone.
+
+    For loops: a round's tables go once the next state, itself a table, is written.
+    """
+    for df in frames:
+        path = df.__dict__.pop("_cut_path", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
