@@ -75,6 +75,15 @@ def per_text(
     return kept.mapInArrow(run, schema)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]]:
+    """Texts of batches of one column in lists of at most ``most`` bytes or of one."""
+    for batch in batches:
+        texts = batch.column(0)
+        for start, stop in spans_of_bytes(texts, most):
+            part = texts.slice(start, stop - start).cast(pa.large_binary())
+            yield [t or b"" for t in part.to_pylist()]
+
+
 def spans_of_bytes(texts: pa.Array, most: int) -> list[tuple[int, int]]:
     """Row ranges of an array of texts, each of at most ``most`` bytes or of one row."""
     if len(texts) == 0:
@@ -133,8 +142,11 @@ def labelled_sample(
     Ids are drawn by hash from the labels alone, so only their texts are read
     further. Of several labels of one id the largest holds; null ones do not.
     """
+    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
+    # Ids far beyond those needed are left out before they meet in one place.
+    chance = min(1.0, 4.0 * most / max(known.count(), 1))
     ids = (
-        labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
+        known.where(by_hash(id_column).cast("double") <= chance * 2.0**64 - 2.0**63)
         .groupBy(id_column)
         .agg(F.max(label).cast("int").alias("label"))
         .where(allowed)
