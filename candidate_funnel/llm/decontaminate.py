@@ -47,6 +47,9 @@ RADIUS = 11
 BLOCKS = 4
 # Bytes of item texts that one pass over the documents looks for.
 BLOCK_BYTES = 2 << 20
+# Words of texts whose sums are held at once, and words whose signs are kept.
+PART_WORDS = 40_000
+MOST_WORDS = 150_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -85,6 +88,10 @@ class Index:
         self.shingle_weight = {s: math.log2(1 + n / c) for s, c in counted.items()}
         self.shingle_other = math.log2(1 + n) if n else 1.0
         self.bags = [Counter(shingles(ws)) for _, ws in self.items]
+        longest = max((len(ws) for _, ws in self.items), default=0)
+        wide = longest * max(self.other, 4 * math.ceil(math.log2(1 + max(n, 1)))) >= 1 << 15
+        self.kind = np.int32 if wide else np.int16
+        self.memo, self.known, self.rows = None, 0, None
         self.groups = []
         left = sorted(range(n), key=lambda i: len(self.items[i][1]))
         while left:
@@ -113,22 +120,41 @@ class Index:
             tables.append((starts, rows[order].astype(np.int32)))
         return window, stride, prints, np.array(owner), np.array(offset), tables
 
+    def enlist(self, word: bytes) -> int:
+        """Row of a word's weighted signs; ``settle`` fills it in."""
+        self.new.append(bits(word))
+        self.new_weight.append(self.word_weight.get(word, self.other))
+        return self.known + len(self.new) - 1
+
+    def settle(self) -> None:
+        hashes = np.array(self.new, dtype=np.uint64)
+        made = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        made = made.astype(self.kind)
+        made *= 2
+        made -= 1
+        made *= np.array(self.new_weight, dtype=self.kind)[:, None]
+        while self.known + len(made) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.known : self.known + len(made)] = made
+        self.known += len(made)
+        self.new, self.new_weight = [], []
+
     def signs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums of weighted signs over all words, and where texts end."""
-        memo = getattr(self, "_memo", None)
-        if memo is None:
-            memo = self._memo = Memo(bits)
-            self._weights = Memo(lambda w: self.word_weight.get(w, self.other))
-        flat = [memo[w] for ws in texts for w in ws]
-        weight = np.array([self._weights[w] for ws in texts for w in ws], dtype=np.int32)
-        hashes = np.array(flat, dtype=np.uint64)
-        one = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        value = one.astype(np.int32)
-        value *= 2
-        value -= 1
-        value *= weight[:, None]
-        total = np.zeros((len(flat) + 1, 64), dtype=np.int32)
-        np.cumsum(value, axis=0, out=total[1:])
+        """Prefix sums of weighted signs over all words, and where texts end.
+
+        The sums wrap around at 16 bits; differences over a window, below 2^15 as
+        long as weights stay below ``2^15 / words``, come out right all the same.
+        """
+        if self.memo is None or self.known > MOST_WORDS:
+            # Started afresh between parts only, so rows in use stay.
+            self.memo, self.known = Memo(self.enlist, 1 << 62), 0
+            self.new, self.new_weight = [], []
+            self.rows = np.empty((1024, 64), dtype=self.kind)
+        flat = np.array([self.memo[w] for ws in texts for w in ws], dtype=np.int64)
+        if self.new:
+            self.settle()
+        total = np.zeros((len(flat) + 1, 64), dtype=self.kind)
+        np.cumsum(self.rows[flat], axis=0, out=total[1:], dtype=self.kind)
         return total, np.concatenate([[0], np.cumsum([len(ws) for ws in texts])]).astype(np.int64)
 
     @staticmethod
@@ -212,9 +238,16 @@ class Index:
         out = [[] for _ in texts]
         if not self.groups:
             return out
-        for d, pairs in self.candidates(cut).items():
-            best = self.verify(cut[d], pairs)
-            out[d] = sorted((self.items[i][0], v) for i, v in best.items())
+        start = 0
+        while start < len(cut):
+            stop, held = start + 1, len(cut[start])
+            while stop < len(cut) and held + len(cut[stop]) <= PART_WORDS:
+                held += len(cut[stop])
+                stop += 1
+            for d, pairs in self.candidates(cut[start:stop]).items():
+                best = self.verify(cut[start + d], pairs)
+                out[start + d] = sorted((self.items[i][0], v) for i, v in best.items())
+            start = stop
         return out
 
 
