@@ -9,8 +9,8 @@ the bit at a tree node was 0 or 1 there. All training texts are counted; the
 statistics are frozen for scoring. A slot's prediction is the logit of its
 frequency, near zero where little was seen.
 
-*Mixer.* Predictions are summed under weights chosen by a gate (what kind of
-byte came before, whether the longest context is known), and squashed.
+*Mixer.* Predictions are summed under weights chosen by a gate (whether the
+longest context of bytes is known), and squashed.
 
 *Refinement.* A map from the mixer's output to what followed it in this text is
 averaged in. Weights and map start alike for every text and adapt online, after
@@ -38,27 +38,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candidate_funnel.llm.common import mix64, per_text
+from candidate_funnel.llm.common import mix64, parts_of, per_text
 from candidate_funnel.session import cut
 
 # Bytes before that a context covers; 0 is the word so far.
 CONTEXTS = (3, 5, 0)
-TABLE_BITS = (22, 22, 24)
+TABLE_BITS = (22, 22, 23)
 # Rows of a table that are merged and sent as one.
 SLICE = 1 << 16
 END = 255
 BACK = max(CONTEXTS)
 SEGMENT = 512
+# What every bit has been seen before anything is.
+PRIOR = 0.1
 # Starting weights by gate, unknown and known longest context, for each predictor.
-WEIGHTS = ((0.6, 0.05, 0.4), (0.2, 0.6, 0.3))
+WEIGHTS = ((0.6, 0.05, 0.4), (0.3, 0.6, 0.3))
 RATE = 0.6
 MAP = 24
 MAP_PRIOR = 30.0
 HOT_WORDS = 100_000
 # Bytes of texts that are coded together.
-TOGETHER = 96 << 10
+TOGETHER = 48 << 10
 # Bytes of texts that are counted together.
-COUNT_BYTES = 1 << 20
+COUNT_BYTES = 512 << 10
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,16 +97,12 @@ _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13, END]] = True
-_KIND = np.zeros(256, dtype=np.int64)
-_KIND[97:123] = 1
-_KIND[128:255] = 1
-_KIND[[32, 9, 10, 11, 12, 13, END]] = 2
 _NODE = (mix64(np.arange(7000, 7256, dtype=np.uint64)) >> np.uint64(40)).astype(np.int64)
 _MASK = [(1 << b) - 1 for b in TABLE_BITS]
 
 
 class Bytes:
-    """Symbols of some texts with their contexts' hashes and gates."""
+    """Symbols of some texts with their contexts' hashes."""
 
     def __init__(self, texts: list[bytes]):
         pad = bytes([END]) * BACK
@@ -126,9 +124,6 @@ class Bytes:
                 run = self.words(whole, wide)
             hashes.append((mix64(run ^ seed)[keep] & np.uint64(_MASK[k])).astype(np.int64))
         self.hashes = hashes
-        before = np.empty_like(whole)
-        before[0], before[1:] = END, whole[:-1]
-        self.kind = _KIND[before[keep]]
         self.symbols = whole[keep].astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
@@ -178,16 +173,8 @@ def counted(code: tuple):
                 place = (((pair >> 8)[which] + _NODE[node]) & _MASK[k]) * 2 + bit
                 np.add.at(total[k], place, times[which])
 
-        held, size = [], 0
-        for batch in batches:
-            for t in batch.column(0).cast(pa.large_binary()).to_pylist():
-                held.append(t or b"")
-                size += len(t or b"")
-                if size > COUNT_BYTES:
-                    add(held)
-                    held, size = [], 0
-        if held:
-            add(held)
+        for texts in parts_of(batches, COUNT_BYTES):
+            add(texts)
         for k in range(len(CONTEXTS)):
             rows = []
             for s in range(0, len(total[k]), SLICE):
@@ -215,7 +202,7 @@ def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done():
         pair = total.reshape(-1, 2).astype(np.float64)
-        value = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)).astype(np.float16)
+        value = np.log((pair[:, 1] + PRIOR) / (pair[:, 0] + PRIOR)).astype(np.float16)
         return pa.RecordBatch.from_arrays(
             [pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int32()), pa.array([value.tobytes()], pa.binary())],
             names=["table", "slice", "values"],
@@ -255,10 +242,12 @@ def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndar
     b = Bytes(texts)
     n, k_all = len(texts), len(CONTEXTS)
     out = np.zeros(n)
-    gates = 2 * 3
+    first, length, nodes, bits = code
+    shifts = _NODE[nodes]
+    gates = 2
     weights = np.empty((k_all, n * gates), dtype=np.float32)
     for k in range(k_all):
-        weights[k] = np.tile(np.repeat([WEIGHTS[0][k], WEIGHTS[1][k]], 3), n)
+        weights[k] = np.tile([WEIGHTS[0][k], WEIGHTS[1][k]], n)
     middle = 1 / (1 + np.exp(-(np.arange(MAP) - MAP / 2 + 0.5) / 1.5))
     seen = np.full(n * MAP, MAP_PRIOR)
     ones = np.tile(middle * MAP_PRIOR, n)
@@ -267,31 +256,53 @@ def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndar
         span = np.minimum(b.sizes[texts_on] - r, SEGMENT)
         owner = np.repeat(texts_on, span)
         at = np.arange(len(owner)) + np.repeat(b.starts[texts_on] + r - (np.cumsum(span) - span), span)
-        which, node, bit = spread(code, b.symbols[at])
-        shift = _NODE[node]
-        s = [
-            logit[k].take((b.hashes[k][at][which] + shift) & _MASK[k]).astype(np.float32)
-            for k in range(k_all)
-        ]
-        mine = owner[which]
-        gate = (mine * 2 + (np.abs(s[1]) > 0.05)) * 3 + b.kind[at][which]
-        z = weights[0].take(gate) * s[0]
+        # What holds for a byte is repeated for each of its bits.
+        symbol = b.symbols[at]
+        times = length[symbol]
+        ends = np.cumsum(times)
+        path = np.arange(ends[-1])
+        path += np.repeat(first[symbol] - ends + times, times)
+        shift, bit = shifts[path], bits[path].astype(np.float32)
+        s = []
+        for k in range(k_all):
+            place = np.repeat(b.hashes[k][at], times)
+            place += shift
+            place &= _MASK[k]
+            s.append(logit[k].take(place).astype(np.float32))
+        known = np.abs(s[1]) > 0.05
+        gate = np.repeat(owner * gates, times)
+        gate += known
+        z = weights[0].take(gate)
+        z *= s[0]
         for k in range(1, k_all):
             z += weights[k].take(gate) * s[k]
         np.clip(z, -7.9, 7.9, out=z)
-        p = 1 / (1 + np.exp(-z))
-        cell = mine * MAP + (z * 1.5 + MAP / 2).astype(np.int64)
-        refined = 0.6 * p + 0.4 * (ones / seen).astype(np.float32).take(cell)
-        right = np.where(bit == 1, refined, 1 - refined)
-        out -= np.bincount(mine, weights=np.log2(right), minlength=n)
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
+        cell = np.repeat(owner * MAP, times)
+        z *= 1.5
+        z += MAP / 2
+        cell += z.astype(np.int64)
+        refined = (ones / seen).astype(np.float32).take(cell)
+        refined *= 0.4
+        refined += 0.6 * p
+        right = np.where(bit > 0, refined, 1 - refined).astype(np.float64)
+        right = np.log2(np.multiply.reduceat(right, ends - times))  # one value per byte
+        first_bytes = np.cumsum(span) - span
+        out[texts_on] -= np.add.reduceat(right, first_bytes)
         # What this segment teaches is for the next one.
-        error = bit.astype(np.float32) - p
-        used = np.bincount(gate, minlength=n * gates)
-        rate = RATE / np.sqrt(np.maximum(used, 1) * (used + 400.0))
-        for k in range(k_all):
-            weights[k] += (np.bincount(gate, weights=error * s[k], minlength=n * gates) * rate).astype(np.float32)
+        starts = (ends - times)[first_bytes]
+        error = bit - p
+        totals = [np.ones_like(error), *[error * x for x in s]]
+        sums = [np.add.reduceat(x, starts, dtype=np.float64) for x in totals]
+        if_known = [np.add.reduceat(x * known, starts, dtype=np.float64) for x in totals]
+        for g, parts in enumerate(([a - c for a, c in zip(sums, if_known, strict=True)], if_known)):
+            rate = RATE / np.sqrt(np.maximum(parts[0], 1) * (parts[0] + 400.0))
+            for k in range(k_all):
+                weights[k][texts_on * gates + g] += (parts[k + 1] * rate).astype(np.float32)
         seen += np.bincount(cell, minlength=n * MAP)
-        ones += np.bincount(cell, weights=bit, minlength=n * MAP)
+        ones += np.bincount(cell[bit > 0], minlength=n * MAP)
     return out
 
 
@@ -327,13 +338,13 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                 names=["token", "n"],
             )
 
-        for batch in batches:
-            for t in batch.column(0).cast(pa.large_binary()).to_pylist():
-                t = (t or b"").lower()
+        for texts in parts_of(batches, COUNT_BYTES):
+            for t in texts:
+                t = t.lower()
                 words.update(t.split())
                 codes += np.bincount(np.frombuffer(t, dtype=np.uint8), minlength=256)
                 stops += 1
-                if len(words) > 400_000:  # what a task holds; sums are made after
+                if len(words) > 200_000:  # what a task holds; sums are made after
                     yield rows([(w.decode("utf-8", "surrogatepass"), n) for w, n in words.items()])
                     words.clear()
         codes[END] += stops

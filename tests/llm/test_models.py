@@ -34,7 +34,7 @@ def mixer():
     for p in parts:
         for k, s, places, n in zip(*(c.to_pylist() for c in p.columns), strict=True):
             dense[k][s * C.SLICE + np.frombuffer(places, np.uint16).astype(int)] += np.frombuffer(n, np.int32)
-    logit = [np.log((d[1::2] + 0.4) / (d[::2] + 0.4)).astype(np.float16) for d in dense]
+    logit = [np.log((d[1::2] + C.PRIOR) / (d[::2] + C.PRIOR)).astype(np.float16) for d in dense]
     return texts, code, dense, logit
 
 
@@ -75,18 +75,18 @@ def test_mixer_by_definition(mixer):
     first, length, nodes, bits = code
     text = texts[0] + b" unseen words here " + texts[1]
     b = C.Bytes([text])
-    weights = np.array([[C.WEIGHTS[g // 3][k] for g in range(6)] for k in range(3)], dtype=np.float32)
+    weights = np.array([[C.WEIGHTS[g][k] for g in range(2)] for k in range(3)], dtype=np.float32)
     seen = np.full(C.MAP, C.MAP_PRIOR)
     ones = C.MAP_PRIOR / (1 + np.exp(-(np.arange(C.MAP) - C.MAP / 2 + 0.5) / 1.5))
     total = 0.0
     for start in range(0, len(b.symbols), C.SEGMENT):
-        grad, used = np.zeros((3, 6)), np.zeros(6)
+        grad, used = np.zeros((3, 2)), np.zeros(2)
         met, one = np.zeros(C.MAP), np.zeros(C.MAP)
         for i in range(start, min(start + C.SEGMENT, len(b.symbols))):
             s = int(b.symbols[i])
             for j in range(int(first[s]), int(first[s] + length[s])):
                 x = [float(logit[k][(b.hashes[k][i] + C._NODE[nodes[j]]) & C._MASK[k]]) for k in range(3)]
-                g = 3 * (abs(x[1]) > 0.05) + int(b.kind[i])
+                g = int(abs(x[1]) > 0.05)
                 z = min(7.9, max(-7.9, sum(float(weights[k][g]) * x[k] for k in range(3))))
                 p = 1 / (1 + math.exp(-z))
                 cell = int(z * 1.5 + C.MAP / 2)
