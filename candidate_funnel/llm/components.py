@@ -7,11 +7,16 @@ is rows of (node, smallest node).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.session import cut
 
+# Edges a task of a step handles; few edges need few tasks.
+TASK_EDGES = 20_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every linked node; the root is its component's smallest node.
@@ -21,18 +26,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pair = links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
     edges = cut(pair.where("x > y").distinct())
-    seen = None
+    tasks = max(1, math.ceil(edges.count() / TASK_EDGES))
+
+    def written(frame: DataFrame) -> DataFrame:
+        return cut(frame.coalesce(tasks))
+
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
+        # Minima are written out, so that a join on a node of many links reads two
+        # shuffles and can be split where it is skewed.
+        least = written(edges.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")))
+        # Stars: every node has one edge down, and what it leads to has none.
+        above = edges.select(F.col("y").alias("x")).join(least.select("x"), "x", "left_semi")
+        if least.where("n > 1").isEmpty() and above.isEmpty():
             return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        seen = now
-        both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        # Written out, so that a join on a node of many links reads two shuffles and can
-        # be split where it is skewed.
-        least = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        large = cut(large.where("x > y").distinct())
-        least = cut(large.groupBy("x").agg(F.min("y").alias("m")))
-        small = large.join(least, "x").where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = cut(small.union(least.select("x", F.col("m").alias("y"))).distinct())
+        small = edges.join(least.select("x", "m"), "x").where("y > m")
+        small = small.select(F.col("y").alias("x"), F.col("m").alias("y"))
+        edges = written(small.union(least.select("x", F.col("m").alias("y"))).distinct())
+        down = edges.groupBy("x").agg(F.min("y").alias("m"))
+        ends = edges.select(F.col("y").alias("x")).distinct().withColumn("m", F.col("x"))
+        least = written(down.union(ends).groupBy("x").agg(F.min("m").alias("m")))
+        # Every edge from a node's smaller end to that end's smallest neighbour.
+        large = edges.join(least.select(F.col("x").alias("y"), "m"), "y")
+        large = large.select("x", F.col("m").alias("y")).where("x > y")
+        edges = written(large.distinct())

@@ -254,9 +254,8 @@ def all_links(members: DataFrame, hundredths: int) -> DataFrame:
     if large.isEmpty():
         return found
     for deal in range(1, DEALS):
-        now = joined(large, found)
         block = F.pmod(F.xxhash64("node", F.lit(deal)), F.ceil(F.col("_n") / (BLOCK * 0.75)))
-        more = verify(now.withColumn("group", F.xxhash64("cluster", block)), hundredths)
+        more = verify(large.withColumn("group", F.xxhash64("cluster", block)), hundredths)
         found = cut(found.union(more))
     # Every node outside of its cluster's main component against all others.
     now = joined(large, found)
