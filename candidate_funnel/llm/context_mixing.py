@@ -49,6 +49,7 @@ SLICE = 1 << 16
 END = 255
 BACK = max(CONTEXTS)
 SEGMENT = 512
+SCALE = 1024
 # What every bit has been seen before anything is.
 PRIOR = 0.1
 # Starting weights by gate, unknown and known longest context, for each predictor.
@@ -196,13 +197,18 @@ def counted(code: tuple):
     return work
 
 
+def fixed(value: np.ndarray) -> np.ndarray:
+    """Logits in steps of 1 / ``SCALE``, two bytes each."""
+    return np.clip(np.round(value * SCALE), -32767, 32767).astype(np.int16)
+
+
 def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the parts of each (table, slice), sorted, into half-precision logits."""
+    """Sum the parts of each (table, slice), sorted, into logits."""
     held, total = None, None
 
     def done():
         pair = total.reshape(-1, 2).astype(np.float64)
-        value = np.log((pair[:, 1] + PRIOR) / (pair[:, 0] + PRIOR)).astype(np.float16)
+        value = fixed(np.log((pair[:, 1] + PRIOR) / (pair[:, 0] + PRIOR)))
         return pa.RecordBatch.from_arrays(
             [pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int32()), pa.array([value.tobytes()], pa.binary())],
             names=["table", "slice", "values"],
@@ -230,10 +236,10 @@ def tables(texts: DataFrame, code: tuple) -> list[np.ndarray]:
         .sortWithinPartitions("table", "slice")
         .mapInArrow(logits, "table int, slice int, values binary")
     )
-    out = [np.zeros(1 << b, dtype=np.float16) for b in TABLE_BITS]
+    out = [np.zeros(1 << b, dtype=np.int16) for b in TABLE_BITS]
     half = SLICE // 2
     for r in merged.toLocalIterator():
-        out[r["table"]][r["slice"] * half : (r["slice"] + 1) * half] = np.frombuffer(r["values"], dtype=np.float16)
+        out[r["table"]][r["slice"] * half : (r["slice"] + 1) * half] = np.frombuffer(r["values"], dtype=np.int16)
     return out
 
 
@@ -262,13 +268,15 @@ def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndar
         ends = np.cumsum(times)
         path = np.arange(ends[-1])
         path += np.repeat(first[symbol] - ends + times, times)
-        shift, bit = shifts[path], bits[path].astype(np.float32)
+        shift, taken = shifts[path], bits[path]
+        bit = taken.astype(np.float32)
         s = []
         for k in range(k_all):
             place = np.repeat(b.hashes[k][at], times)
             place += shift
             place &= _MASK[k]
             s.append(logit[k].take(place).astype(np.float32))
+            s[k] *= 1 / SCALE
         known = np.abs(s[1]) > 0.05
         gate = np.repeat(owner * gates, times)
         gate += known
@@ -287,22 +295,29 @@ def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndar
         refined = (ones / seen).astype(np.float32).take(cell)
         refined *= 0.4
         refined += 0.6 * p
-        right = np.where(bit > 0, refined, 1 - refined).astype(np.float64)
+        # The chance of what came: refined for a 1, the rest for a 0.
+        right = np.abs(1 - bit - refined).astype(np.float64)
         right = np.log2(np.multiply.reduceat(right, ends - times))  # one value per byte
         first_bytes = np.cumsum(span) - span
         out[texts_on] -= np.add.reduceat(right, first_bytes)
         # What this segment teaches is for the next one.
         starts = (ends - times)[first_bytes]
         error = bit - p
-        totals = [np.ones_like(error), *[error * x for x in s]]
-        sums = [np.add.reduceat(x, starts, dtype=np.float64) for x in totals]
-        if_known = [np.add.reduceat(x * known, starts, dtype=np.float64) for x in totals]
+        if_known = known.astype(np.float32)
+        slopes = [error * x for x in s]
+        sums = [np.diff(starts, append=len(bit)), *[np.add.reduceat(x, starts) for x in slopes]]
+        for x in slopes:
+            x *= if_known
+        if_known = [np.add.reduceat(x, starts) for x in (if_known, *slopes)]
         for g, parts in enumerate(([a - c for a, c in zip(sums, if_known, strict=True)], if_known)):
             rate = RATE / np.sqrt(np.maximum(parts[0], 1) * (parts[0] + 400.0))
             for k in range(k_all):
                 weights[k][texts_on * gates + g] += (parts[k + 1] * rate).astype(np.float32)
-        seen += np.bincount(cell, minlength=n * MAP)
-        ones += np.bincount(cell[bit > 0], minlength=n * MAP)
+        cell *= 2
+        cell += taken
+        met = np.bincount(cell, minlength=2 * n * MAP).reshape(-1, 2)
+        seen += met.sum(axis=1)
+        ones += met[:, 1]
     return out
 
 

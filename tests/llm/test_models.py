@@ -34,7 +34,7 @@ def mixer():
     for p in parts:
         for k, s, places, n in zip(*(c.to_pylist() for c in p.columns), strict=True):
             dense[k][s * C.SLICE + np.frombuffer(places, np.uint16).astype(int)] += np.frombuffer(n, np.int32)
-    logit = [np.log((d[1::2] + C.PRIOR) / (d[::2] + C.PRIOR)).astype(np.float16) for d in dense]
+    logit = [C.fixed(np.log((d[1::2] + C.PRIOR) / (d[::2] + C.PRIOR))) for d in dense]
     return texts, code, dense, logit
 
 
@@ -85,7 +85,7 @@ def test_mixer_by_definition(mixer):
         for i in range(start, min(start + C.SEGMENT, len(b.symbols))):
             s = int(b.symbols[i])
             for j in range(int(first[s]), int(first[s] + length[s])):
-                x = [float(logit[k][(b.hashes[k][i] + C._NODE[nodes[j]]) & C._MASK[k]]) for k in range(3)]
+                x = [logit[k][(b.hashes[k][i] + C._NODE[nodes[j]]) & C._MASK[k]] / C.SCALE for k in range(3)]
                 g = int(abs(x[1]) > 0.05)
                 z = min(7.9, max(-7.9, sum(float(weights[k][g]) * x[k] for k in range(3))))
                 p = 1 / (1 + math.exp(-z))
