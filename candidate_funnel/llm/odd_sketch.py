@@ -9,9 +9,12 @@
    only unequal samples are left in the XOR of two sketches and its population
    count estimates how similar the sets are.
 3. *Candidates.* Each bucket of a band names one of its nodes, another in every
-   band, and its members are paired with that one only. Pairs whose sketches
+   band, and its members are paired with that one first. Pairs whose sketches
    say less than ``LOOSE`` are dropped, far below what the estimate can err.
-   The connected components of the rest are *clusters*.
+   Where that leaves a bucket's members in several components, tiles compare
+   the sketches of all its pairs that are apart, so that any pair sharing a
+   bucket is sketched itself or in one component already. The connected
+   components of all these links are *clusters*.
 4. *Verification.* Clusters are dealt into blocks of at most ``BLOCK`` nodes, and
    all pairs of a block are compared on full sets as a product of incidence
    matrices. A block returns only links that join what was apart, fewer than
@@ -28,7 +31,7 @@ one id are one document; a row without an id is linked with nothing and kept.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,7 @@ MISS = 1e-7
 SKETCH_BITS = 512
 LOOSE = 0.35
 BLOCK = 160
+SKETCH_BLOCK = 2000
 DEALS = 2
 
 _WORD = Memo(lambda w: xxhash.xxh3_64_intdigest(w))
@@ -107,6 +111,11 @@ def estimate(differing: F.Column, samples: int) -> F.Column:
     return 1 + F.lit(SKETCH_BITS / (4 * samples)) * F.log(1 - share)
 
 
+def differing_most(similarity: float, samples: int) -> int:
+    """Differing sketch bits up to which ``estimate`` says ``similarity`` or more."""
+    return math.floor(SKETCH_BITS / 2 * (1 - math.exp((similarity - 1) * 4 * samples / SKETCH_BITS)))
+
+
 def differing(a: str, b: str) -> F.Column:
     """Population count of the XOR of two sketches held as arrays of longs."""
     return F.aggregate(
@@ -141,19 +150,32 @@ def sign(docs: DataFrame, id_column: str, text: str, size: int, n_bands: int) ->
 
 
 def clusters(nodes: DataFrame, n_bands: int) -> DataFrame:
-    """(node, root) of nodes that share a bucket with a node not far from them."""
+    """(node, root) of nodes that share a bucket with a node not far from them.
+
+    Any two nodes of a bucket whose sketches say ``LOOSE`` or more have one root.
+    """
     each = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     named = each.groupBy("band", "key").agg(
         F.count("*").alias("n"),
         F.min(F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("rep"))).alias("m"),
     )
     named = cut(named.where("n > 1").select("band", "key", F.col("m.rep").alias("rep")))
-    pairs = each.join(named, ["band", "key"]).where("node <> rep").select("node", "rep").distinct()
+    met = cut(each.join(named, ["band", "key"]).select("band", "key", "node", "rep"))
+    pairs = met.where("node <> rep").select("node", "rep").distinct()
     light = nodes.select("node", "sketch")
     other = light.select(F.col("node").alias("rep"), F.col("sketch").alias("other"))
     close = estimate(differing("sketch", "other"), n_bands * ROWS) >= LOOSE
     near = pairs.join(light, "node").join(other, "rep").where(close)
-    return cut(components(near.select("node", "rep"), "node", "rep"))
+    first = cut(components(near.select("node", "rep"), "node", "rep"))
+    # Members that the named node left apart meet each other; a key holds its band.
+    placed = met.select(F.col("key").alias("cluster"), "node").join(first, "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    sent = tiles(placed, SKETCH_BLOCK).join(light.withColumnRenamed("sketch", "shingles"), "node")
+    most = differing_most(LOOSE, n_bands * ROWS)
+    more = cut(verify(sent, lambda ids, roots, own: alike(ids, roots, own, most)))
+    if more.isEmpty():
+        return first
+    return cut(components(first.select("node", "root").union(more), "node", "root"))
 
 
 class Roots:
@@ -208,10 +230,26 @@ def links(ids: list[int], roots: list[int], own: list[np.ndarray], hundredths: i
     ]
 
 
-def verify(members: DataFrame, hundredths: int) -> DataFrame:
+def alike(ids: list[int], roots: list[int], own: list[np.ndarray], most: int) -> list[tuple[int, int]]:
+    """As ``links``, of nodes whose sketches differ in at most ``most`` bits."""
+    n = len(ids)
+    if n < 2 or len(set(roots)) < 2:
+        return []
+    groups = Roots(sorted(set(roots)))
+    held = np.stack(own)
+    top = np.array(roots)
+    out = []
+    for i in range(n - 1):
+        apart = i + 1 + np.flatnonzero(top[i + 1 :] != top[i])
+        bits = np.bitwise_count(held[apart] ^ held[i]).sum(axis=1, dtype=np.int64)
+        out += [(ids[i], ids[j]) for j in apart[bits <= most].tolist() if groups.join(roots[i], roots[j])]
+    return out
+
+
+def verify(members: DataFrame, compare: Callable) -> DataFrame:
     """(a, b): links found inside groups of (group, node, root, shingles) rows.
 
-    Rows are dealt by ``group`` and sorted; a task holds one group at a time.
+    ``compare`` gets a group's nodes, roots and sets (or sketches). Rows are dealt by ``group`` and sorted; a task holds one group at a time.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +258,15 @@ def verify(members: DataFrame, hundredths: int) -> DataFrame:
             groups, nodes, tops, raw = (batch.column(i).to_pylist() for i in range(4))
             for g, node, root, s in zip(groups, nodes, tops, raw, strict=True):
                 if g != held:
-                    found += links(ids, roots, own, hundredths)
+                    found += compare(ids, roots, own)
                     held, ids, roots, own = g, [], [], []
                 ids.append(node)
                 roots.append(root)
-                own.append(np.frombuffer(s, dtype=np.uint64))
+                own.append(np.frombuffer(s, dtype=np.uint64) if isinstance(s, bytes) else np.array(s, dtype=np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
                 found = []
-        found += links(ids, roots, own, hundredths)
+        found += compare(ids, roots, own)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
 
@@ -243,29 +281,16 @@ def joined(members: DataFrame, found: DataFrame) -> DataFrame:
     return plain.withColumn("root", F.coalesce("_r", "node")).drop("_r")
 
 
-def all_links(members: DataFrame, hundredths: int) -> DataFrame:
-    """(a, b): links that span the components of (node, cluster, _n, shingles) rows;
-    ``_n`` is the number of nodes of the row's cluster."""
-    members = members.withColumn("root", F.col("node"))
-    block = F.pmod(F.xxhash64("node", F.lit(0)), F.ceil(F.col("_n") / (BLOCK * 0.75)))
-    group = F.xxhash64("cluster", F.when(F.col("_n") <= BLOCK, 0).otherwise(block))
-    found = cut(verify(members.withColumn("group", group), hundredths))
-    large = members.where(F.col("_n") > BLOCK)
-    if large.isEmpty():
-        return found
-    for deal in range(1, DEALS):
-        block = F.pmod(F.xxhash64("node", F.lit(deal)), F.ceil(F.col("_n") / (BLOCK * 0.75)))
-        more = verify(large.withColumn("group", F.xxhash64("cluster", block)), hundredths)
-        found = cut(found.union(more))
-    # Every node outside of its cluster's main component against all others.
-    now = joined(large, found)
+def tiles(now: DataFrame, block: int) -> DataFrame:
+    """(cluster, node, root) rows dealt by ``group`` into tiles of at most about
+    ``block`` nodes, in which all nodes of one cluster and different roots meet."""
     counts = now.groupBy("cluster", "root").agg(F.count("*").alias("_c"))
     main = counts.groupBy("cluster").agg(
         F.max(F.struct("_c", "root")).alias("m"), F.sum("_c").alias("_all")
     )
     main = main.select("cluster", F.col("m.root").alias("_main"), (F.col("_all") - F.col("m._c")).alias("_rest"), F.col("m._c").alias("_most"))
     now = now.join(cut(main.where("_rest > 0")), "cluster")
-    half = BLOCK // 2
+    half = block // 2
     rest_blocks = F.ceil(F.col("_rest") / half).cast("int")
     main_blocks = F.ceil(F.col("_most") / half).cast("int")
     outside = F.col("root") != F.col("_main")
@@ -278,10 +303,31 @@ def all_links(members: DataFrame, hundredths: int) -> DataFrame:
         lambda j: F.struct(F.least(j, F.col("_own")).alias("i"), (-1 - F.greatest(j, F.col("_own"))).alias("j")),
     )
     from_main = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda i: F.struct(i.alias("i"), F.col("_own").alias("j")))
-    tiles = F.when(outside, F.concat(with_main, with_rest)).otherwise(from_main)
-    sent = now.withColumn("_tile", F.explode(tiles))
-    sent = sent.withColumn("group", F.xxhash64("cluster", "_tile.i", "_tile.j"))
-    return found.union(cut(verify(sent, hundredths)))
+    dealt = F.when(outside, F.concat(with_main, with_rest)).otherwise(from_main)
+    sent = now.withColumn("_tile", F.explode(dealt))
+    return sent.withColumn("group", F.xxhash64("cluster", "_tile.i", "_tile.j"))
+
+
+def all_links(members: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b): links that span the components of (node, cluster, _n, shingles) rows;
+    ``_n`` is the number of nodes of the row's cluster."""
+    members = members.withColumn("root", F.col("node"))
+    block = F.pmod(F.xxhash64("node", F.lit(0)), F.ceil(F.col("_n") / (BLOCK * 0.75)))
+    group = F.xxhash64("cluster", F.when(F.col("_n") <= BLOCK, 0).otherwise(block))
+
+    def compare(ids: list[int], roots: list[int], own: list[np.ndarray]) -> list[tuple[int, int]]:
+        return links(ids, roots, own, hundredths)
+
+    found = cut(verify(members.withColumn("group", group), compare))
+    large = members.where(F.col("_n") > BLOCK)
+    if large.isEmpty():
+        return found
+    for deal in range(1, DEALS):
+        block = F.pmod(F.xxhash64("node", F.lit(deal)), F.ceil(F.col("_n") / (BLOCK * 0.75)))
+        more = verify(large.withColumn("group", F.xxhash64("cluster", block)), compare)
+        found = cut(found.union(more))
+    # Every node outside of its cluster's main component against all others.
+    return found.union(cut(verify(tiles(joined(large, found), BLOCK), compare)))
 
 
 def near_duplicates(

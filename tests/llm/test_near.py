@@ -90,3 +90,24 @@ def test_one_document_of_a_group_stays(spark):
     df = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     root, _ = brute(texts, 5, 80)
     assert sorted(r["doc_id"] for r in S.deduplicate(df).collect()) == sorted({r + 10 for r in root})
+
+
+def test_members_of_a_bucket_meet_without_its_named_node(spark):
+    # One bucket of three like pairs: at most one pair holds the node it names.
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(3):
+        own = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+        other = np.concatenate([own[:380], rng.integers(0, 1 << 62, 20).astype(np.uint64)])
+        _, sketches = S.signatures([np.sort(own), np.sort(other)], S.bands(0.8))
+        rows += [(len(rows) + k, [77], sketches[k].view(np.int64).tolist()) for k in range(2)]
+    df = spark.createDataFrame(rows, "node bigint, keys array<bigint>, sketch array<bigint>")
+    got = {r["node"]: r["root"] for r in S.clusters(df, S.bands(0.8)).collect()}
+    assert got == {1: 0, 3: 2, 5: 4}
+
+
+def test_alike_has_the_limit_of_the_estimate(spark):
+    samples = S.bands(0.8) * S.ROWS
+    most = S.differing_most(S.LOOSE, samples)
+    row = spark.range(1).select(*[S.estimate(S.F.lit(d), samples).alias(str(d)) for d in (most, most + 1)]).first()
+    assert row[0] >= S.LOOSE > row[1]
