@@ -5,8 +5,11 @@ access key, a long hexadecimal run) are always reported. *Tokens*, runs of key
 characters that no pattern covers, are reported if they look drawn by a random
 generator:
 
-1. An encoding is inferred from the characters that occur: hexadecimal, base 32,
-   base 64 or its URL form. Its alphabet is what uniformity is tested against.
+1. A run is cut at ``=``; a piece that mixes ``+/`` with ``-_`` gives the longest
+   runs of base 64 and those of its URL form, and of overlapping ones the more
+   surprising is reported, its ratio divided by their number. An encoding is
+   inferred from the characters that occur: hexadecimal, base 32, base 64 or its
+   URL form. Its alphabet is what uniformity is tested against.
 2. The battery: chi-squared uniformity over the alphabet, the number of runs
    above and below the alphabet's middle, and lag-one serial correlation. Their
    p-values are combined by Fisher's rule; a token the battery rejects as not
@@ -49,7 +52,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 # Runs that may be keys: at least this long, of at least two kinds of characters.
 LEAST_TOKEN = 20
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN)
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST_TOKEN)
+# No encoding mixes the signs of these two.
+WHOLE = tuple(re.compile(r"[A-Za-z0-9%s]{%d,}" % (signs, LEAST_TOKEN)) for signs in ("+/", "_-"))
 
 # Encodings by name, the smallest that holds a token's characters is taken.
 ENCODINGS = (
@@ -144,19 +149,25 @@ def tokens(
     start, end, encoding, the battery's p-value and the log10 likelihood ratio."""
     out = []
     for m in TOKEN.finditer(text):
-        start, token = m.start(), m.group()
-        bare = token.rstrip("=")
-        end = start + len(bare)
-        if len(bare) < LEAST_TOKEN or not mixed(bare):
-            continue
-        if any(a < end and start < b for a, _, b in covered):
-            continue
-        kind = infer(bare)
-        if kind is None:
-            continue
-        p = battery(bare, kind[1])
-        if p >= alpha:
-            out.append((start, end, kind[0], p, surprise(bare, kind[1], log_natural)))
+        pieces = [m.span()]
+        if infer(m.group()) is None:
+            pieces = [p.span() for rx in WHOLE for p in rx.finditer(text, *m.span())]
+        found = []
+        for start, end in pieces:
+            bare = text[start:end]
+            if not mixed(bare) or any(a < end and start < b for a, _, b in covered):
+                continue
+            name, alphabet = infer(bare)
+            p = battery(bare, alphabet)
+            if p >= alpha:
+                value = surprise(bare, alphabet, log_natural) - math.log10(len(pieces))
+                found.append((start, end, name, p, value))
+        # Runs of both forms may overlap; the more surprising one stays.
+        held = []
+        for f in sorted(found, key=lambda f: (-f[4], f[0])):
+            if all(f[1] <= h[0] or h[1] <= f[0] for h in held):
+                held.append(f)
+        out += sorted(held)
     return out
 
 
