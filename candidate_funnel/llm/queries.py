@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candidate_funnel.llm import (
-    chat, context_mixing, decontaminate, language, mixture, odd_sketch, prefix_hash, quality, secret_battery, toxicity,
+    chat, context_mixing, decontaminate, hard_negatives, language, mixture, odd_sketch, prefix_hash, quality,
+    secret_battery, toxicity,
 )
 from candidate_funnel.llm.common import held_out, table
 
@@ -62,6 +64,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(docs, items))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_chat_format": op2_chat_format,
@@ -73,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op13_hard_negatives": op13_hard_negatives,
 }
