@@ -7,7 +7,7 @@ from candidate_funnel.llm.queries import QUERIES
 
 from .conftest import DOCS
 
-PER_DOCUMENT = [q for q in QUERIES if q != "op2_chat_format"]
+PER_DOCUMENT = [q for q in QUERIES if q not in ("op2_chat_format", "op11_structure_repair", "op13_hard_negatives")]
 
 
 @pytest.mark.parametrize("name", PER_DOCUMENT)

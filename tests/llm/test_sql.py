@@ -9,7 +9,7 @@ from candidate_funnel.llm.queries import QUERIES
 
 def both(spark, name, folder):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         p = f"{folder}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}{'' if folder.startswith('/root') else '/*.parquet'}')")
     theirs = con.execute(ORACLES[name])
