@@ -90,6 +90,74 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.co
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.x = d.doc_id
 """
 
+MEASURED = {
+    "word_length": ("word_chars", "n_words", True, 400),
+    "symbols": ("n_symbols", "n_words", False, 10),
+    "dup_lines": ("n_dup_lines", "n_lines", False, 200),
+    "repeats": ("n_repeat_words", "n_words", False, 50),
+}
+VALUES = ", ".join(f"{count} * 1000 // greatest({of}, 1) AS {name}" for name, (count, of, _, _) in MEASURED.items())
+ENTRIES = " UNION ALL ".join(
+    f"SELECT o, i, '{name}' AS measure, {name} AS v, {str(both).upper()} AS two_sided, {least} AS least FROM valued WHERE NOT base_failed"
+    for name, (_, _, both, least) in MEASURED.items()
+)
+OWN = " ".join(f"WHEN '{name}' THEN {name}" for name in MEASURED)
+
+RULES = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce('=' || lang, '') AS o, coalesce('=' || source, '') AS i
+  FROM documents
+), cut AS (
+  SELECT k, regexp_extract_all(text, '{WORD}') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
+  FROM docs
+), words AS (
+  SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM cut
+), stretches AS (
+  SELECT k, p, count(*) OVER (PARTITION BY k, s) > 1 AS again
+  FROM (SELECT k, p, word || ' ' || lead(word) OVER (PARTITION BY k ORDER BY p) || ' ' || lead(word, 2) OVER (PARTITION BY k ORDER BY p) AS s FROM words)
+  WHERE s IS NOT NULL
+), covered AS (
+  SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest([p, p + 1, p + 2]) AS q FROM stretches WHERE again) GROUP BY k
+), counted AS (
+  SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM docs d JOIN cut USING (k) LEFT JOIN covered USING (k)
+), valued AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {VALUES} FROM counted
+), entries AS ({ENTRIES}
+), placed AS (
+  SELECT *, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS b FROM entries
+), levels AS (
+  SELECT o, i, measure, b, two_sided, least, 0 AS level FROM placed
+  UNION ALL SELECT o, NULL, measure, b, two_sided, least, 1 FROM placed
+  UNION ALL SELECT NULL, NULL, measure, b, two_sided, least, 2 FROM placed
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY level, o, i, measure ORDER BY b) AS r,
+         count(*) OVER (PARTITION BY level, o, i, measure) AS n FROM levels
+), quartiles AS (
+  SELECT level, o, i, measure, any_value(two_sided) AS two_sided, any_value(least) AS least, any_value(n) AS n,
+         min(b) FILTER (WHERE 4 * r >= n) AS q1, min(b) FILTER (WHERE 4 * r >= 3 * n) AS q3
+  FROM ordered GROUP BY ALL
+), fences AS (
+  SELECT *, CASE WHEN two_sided THEN q1 - 3 * greatest(q3 - q1, least) ELSE 0 END AS low,
+         q3 + 3 * greatest(q3 - q1, least) AS high FROM quartiles
+), chosen AS (
+  SELECT d.k, f.measure, f.low, f.high
+  FROM docs d JOIN fences f ON (f.level = 2 OR f.o = d.o) AND (f.level > 0 OR f.i = d.i)
+  WHERE f.n >= 100 OR f.level = 2
+  QUALIFY row_number() OVER (PARTITION BY d.k, f.measure ORDER BY f.level) = 1
+), verdicts AS (
+  SELECT k, bool_and(CASE measure {OWN} END BETWEEN low AND high) AS inside FROM valued JOIN chosen USING (k) GROUP BY k
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(inside, FALSE) AS kept
+FROM valued LEFT JOIN verdicts USING (k)
+"""
+
 NEGATIVES = """
 WITH v AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -113,4 +181,4 @@ WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": CHAT, "op3_mix_sources": MIX, "op8_minhash": NEAR, "op13_hard_negatives": NEGATIVES}
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT, "op3_mix_sources": MIX, "op8_minhash": NEAR, "op12_quality_rules": RULES, "op13_hard_negatives": NEGATIVES}

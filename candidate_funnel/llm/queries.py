@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candidate_funnel.llm import (
     chat, context_mixing, decontaminate, hard_negatives, language, mixture, odd_sketch, prefix_hash, quality,
-    secret_battery, toxicity,
+    quality_rules, secret_battery, toxicity,
 )
 from candidate_funnel.llm.common import held_out, table
 
@@ -64,6 +64,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(docs, items))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -81,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op12_quality_rules": op12_quality_rules,
     "op13_hard_negatives": op13_hard_negatives,
 }
