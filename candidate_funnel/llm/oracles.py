@@ -158,6 +158,76 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM valued LEFT JOIN verdicts USING (k)
 """
 
+# Bytes of a text, each followed by eight shifts, folded into its crc32.
+CRC32 = """xor(list_reduce([4294967295] || flatten(list_transform(string_split({0}, ''), lambda c: [ord(c)] || list_transform(range(8), lambda _: -1))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+REPAIR = f"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations
+), broken AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM marked WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+         count(*) OVER (PARTITION BY c) AS n, rtrim(text, {BLANKS}) AS tail
+  FROM broken
+), judged AS (
+  SELECT *, left(role, 1) AS initial,
+         CASE WHEN tail = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM placed
+), costs AS (
+  SELECT c, n + 1 AS i, 0 AS f0, 6 AS f1, 3 AS f2, 0 AS f3 FROM judged WHERE i = n
+  UNION ALL
+  SELECT c, i, least(x0, 3 + x2, 6 + x3), least(x1, 3 + x2, 6 + x3), least(x2, 3 + x3), least(x3, 3 + x2)
+  FROM (
+    SELECT j.c, j.i, least(4 + f0, may + least(3 + f2, CASE initial WHEN 's' THEN f1 WHEN 'u' THEN f2 ELSE 1000000000 END)) AS x0,
+           least(4 + f1, may + least(3 + f2, CASE initial WHEN 'u' THEN f2 ELSE 1000000000 END)) AS x1,
+           least(4 + f2, may + least(3 + f3, CASE initial WHEN 'a' THEN f3 ELSE 1000000000 END)) AS x2,
+           least(4 + f3, may + least(3 + f2, CASE initial WHEN 'u' THEN f2 ELSE 1000000000 END)) AS x3
+    FROM costs o JOIN (SELECT *, CASE fault WHEN 't' THEN 3 WHEN '' THEN 0 ELSE 1000000000 END AS may FROM judged) j
+      ON j.c = o.c AND j.i = o.i - 1
+  )
+), rules AS (
+  SELECT c, i, unnest([0, 1, 2, 3]) AS p, unnest([f0, f1, f2, f3]) AS f, unnest([2, 2, 3, 2]) AS q, unnest([f2, f2, f3, f2]) AS g FROM costs
+), choices AS (
+  SELECT r.c, r.i, r.p, r.q, j.role, j.text, j.fault,
+         CASE WHEN j.i IS NULL THEN CASE WHEN r.p IN (0, 3) THEN '' ELSE 'I' END
+              WHEN 4 + a.f = r.f THEN 'D' WHEN 3 + r.g = r.f THEN 'I'
+              WHEN j.fault IN ('', 't') AND (initial = 's' AND r.p = 0 AND e + s.f = r.f
+                OR initial = 'u' AND r.p <> 2 AND e + a.g = r.f OR initial = 'a' AND r.p = 2 AND e + a.g = r.f) THEN 'K'
+              ELSE 'R' END AS edit
+  FROM rules r LEFT JOIN (SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS e FROM judged) j ON j.c = r.c AND j.i = r.i
+    LEFT JOIN rules a ON a.c = r.c AND a.i = r.i + 1 AND a.p = r.p LEFT JOIN rules s ON s.c = r.c AND s.i = r.i + 1 AND s.p = 1
+), walked AS (
+  SELECT c, CAST(1 AS BIGINT) AS i, 0 AS p, '' AS audit, CAST([] AS VARCHAR[]) AS said, FALSE AS done FROM costs GROUP BY c
+  UNION ALL
+  SELECT w.c, w.i + CASE WHEN edit IN ('D', 'K', 'R') THEN 1 ELSE 0 END,
+         CASE WHEN edit = 'K' AND starts_with(role, 's') THEN 1 WHEN edit IN ('', 'D') THEN w.p ELSE q END,
+         audit || edit,
+         CASE edit WHEN '' THEN said WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+              ELSE list_append(said, CASE q WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE edit WHEN 'R' THEN text ELSE '' END) END,
+         edit = ''
+  FROM walked w JOIN choices h ON h.c = w.c AND h.i = w.i AND h.p = w.p WHERE NOT done
+), faults AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+         count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM judged) GROUP BY c
+)
+SELECT m.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(f0, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM marked) m LEFT JOIN faults ON faults.c = m.c
+  LEFT JOIN costs ON costs.c = m.c AND costs.i = 1 LEFT JOIN walked ON walked.c = m.c AND done
+"""
+
 NEGATIVES = """
 WITH v AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -181,4 +251,4 @@ WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": CHAT, "op3_mix_sources": MIX, "op8_minhash": NEAR, "op12_quality_rules": RULES, "op13_hard_negatives": NEGATIVES}
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT, "op3_mix_sources": MIX, "op8_minhash": NEAR, "op11_structure_repair": REPAIR, "op12_quality_rules": RULES, "op13_hard_negatives": NEGATIVES}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candidate_funnel.llm import (
     chat, context_mixing, decontaminate, hard_negatives, language, mixture, odd_sketch, prefix_hash, quality,
-    quality_rules, secret_battery, toxicity,
+    quality_rules, secret_battery, structure_repair, toxicity,
 )
 from candidate_funnel.llm.common import held_out, table
 
@@ -64,6 +64,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(docs, items))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure_repair.damaged(table(spark, sf_dir, "conversations"))
+    return structure_repair.report(rows, gone=F.col("gone"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("n_lines")
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op11_structure_repair": op11_structure_repair,
     "op12_quality_rules": op12_quality_rules,
     "op13_hard_negatives": op13_hard_negatives,
 }
