@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 FACTOR = "23.06054783061903::double"
 LINE_TIES = (
     "l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, "
@@ -92,6 +94,41 @@ UNIQUE = f"""with recursive {POOL},
     f"and abs(x.e - y.e) * {FACTOR} < 1.2 and {rmsd('x.emb', 'y.emb')} < 0.175 group by 1, 2",
 )}"""
 
+
+
+def sorted_ends(values: str) -> str:
+    """Three values at either end in order: the best match of freely exchanged ones."""
+    return f"list_concat(list_sort({values}[1:3]), {values}[4:61], list_sort({values}[62:64]))"
+
+
+MAPPED = (
+    f"least({rmsd(sorted_ends('a.emb'), sorted_ends('b.emb'))}, "
+    f"{rmsd(sorted_ends('a.emb'), sorted_ends('list_reverse(b.emb)'))})"
+)
+FUNNEL_MAPPED = (
+    FUNNEL.replace(rmsd("a.emb", "b.emb"), MAPPED)
+    .replace("dist <= 0.16", "dist <= 0.14")
+    .replace("dist < 0.175", "dist < 0.155")
+)
+
+# Pruning by id comes first; then some keys carry half the score.
+KEEP_PRUNED = keep(
+    "select label, vec_id, emb, row_number() over (partition by label order by vec_id) p from given",
+    "select y.label, y.p hi, list(x.p) los from cv x join cv y on x.label = y.label and x.p < y.p "
+    f"and {rmsd('x.emb', 'y.emb')} < 0.15 group by 1, 2",
+)
+for _name in ("cv", "cf", "k", "f"):
+    KEEP_PRUNED = re.sub(rf"\b{_name}\b", f"{_name}_", KEEP_PRUNED)
+ROUTED_POOL = f"""
+given as (
+  select label, vec_id, embedding[1]::double *
+           case when label in (select p_partkey % 7 from part) and label <> 3 then 1.0 else 0.5 end as e,
+         embedding as emb, vec_id % 7 = 0 as bad, vec_id % 11 <> 0 as conv
+  from embeddings
+),
+{KEEP_PRUNED},
+pool as (select given.* from given join cv_ using (label, vec_id) join f_ using (label, p))"""
+
 CHAIN = """
 nodes as (select conv_id graph_id, turn node_id, role as label from conversations),
 edges as (
@@ -236,7 +273,51 @@ ALIGNED = """with atoms as (
 select label, a, b, round(dist, 7) as dist
 from (select *, sqrt(greatest(ga + gb - 2 * top, 0) / n) as dist from solved) where dist <= 0.2"""
 
+LEAVES = """
+inside as (
+  select e.* from edges e
+  join nodes a on a.graph_id = e.graph_id and a.node_id = e.src and a.label <> 'system'
+  join nodes b on b.graph_id = e.graph_id and b.node_id = e.dst and b.label <> 'system'
+),
+leaves as (
+  select graph_id, node_id from (
+    select graph_id, src node_id from inside union all select graph_id, dst from inside
+  ) group by all having count(*) = 1
+)"""
+TURNED = (
+    "list_min(list_transform(range(len(a.emb) // 3), lambda k: sqrt(list_sum(list_transform(range(len(a.emb)), lambda t: "
+    "(a.emb[t + 1] - b.emb[((t // 3 + k) % (len(a.emb) // 3)) * 3 + t % 3 + 1]) ** 2)) / (len(a.emb) // 3))))"
+)
+GUARDED_POOL = f"""
+{CHAIN}, {LEAVES},
+heavy as (select graph_id, node_id, count(*) over (partition by graph_id) n from nodes where label <> 'system'),
+atoms as (
+  select graph_id, list(node_id order by node_id) ids from heavy h
+  where n < 4 or not exists (select 1 from leaves l where l.graph_id = h.graph_id and l.node_id = h.node_id)
+  group by 1
+),
+pool as (
+  select label::bigint as label, vec_id, embedding[1]::double as e,
+         flatten(list_transform(ids, lambda i: embedding[3 * i + 1:3 * i + 3]::double[])) as emb,
+         vec_id % 7 = 0 as bad, vec_id % 11 <> 0 as conv
+  from embeddings join atoms on graph_id = label
+)"""
+
 ORACLES: dict[str, str] = {
+    "flagship_mapped": f"""{FUNNEL_MAPPED}
+select label, row_number() over (partition by label order by p) - 1 as "position", vec_id, round(e, 9) energy
+from f join cv using (label, p)""",
+    "funnel_routed": f"""{FUNNEL.replace(POOL, ROUTED_POOL)}
+select label, row_number() over (partition by label order by p) - 1 as "position", vec_id, round(e, 9) energy
+from f join cv using (label, p)""",
+    "guarded_funnel": f"""with recursive {GUARDED_POOL}, {
+        CLUSTERS.replace(rmsd("a.emb", "b.emb"), TURNED).replace("dist <= 0.16", "dist <= 0.15")
+    }
+select m.label, c.vec_id cluster_id, x.vec_id, round(x.e, 9) score
+from reps m join r x on x.label = m.label and x.rk = m.rk
+join r c on c.label = m.label and c.rk = m.cen""",
+    "outcome_mappings": """select label, case when label % 2 = 0 then 'mappings_mismatch' else 'ok' end outcome
+from embeddings group by 1""",
     "flagship_funnel": f"""{FUNNEL}
 select label, row_number() over (partition by label order by p) - 1 as "position", vec_id,
        round(e, 9) energy, round(gap * {FACTOR}, 6) rel,

@@ -23,7 +23,7 @@ from candidate_funnel.operators import (
     select,
 )
 from candidate_funnel.operators.neighbours import Gate
-from candidate_funnel.plans.funnel import run_funnel
+from candidate_funnel.plans.funnel import guarded_metric, guarded_symmetry, run_funnel
 from candidate_funnel.session import tune
 from candidate_funnel.sources import spec
 from candidate_funnel.sources.spec import SourceSpec
@@ -390,6 +390,107 @@ def _funnel(spark: SparkSession, sf_dir: str):
     )
 
 
+def _mapped_symmetry(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As given and reversed; three values at either end may be exchanged freely."""
+    whole = F.sequence(F.lit(0), F.lit(63))
+    mappings = keyed.select("label", F.explode(F.array(whole, F.reverse(whole))).alias("perm"))
+    ends = F.array(F.array(*map(F.lit, (0, 1, 2))), F.array(*map(F.lit, (61, 62, 63))))
+    return mappings, keyed.select("label", F.explode(ends).alias("block"))
+
+
+@query
+def flagship_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel under the best RMSD over 72 mappings, given as factors."""
+    pool_ = embedding_pool(spark, sf_dir)
+    symmetry = alignment.pack_symmetry(KEY, *_mapped_symmetry(pool_.select("label").distinct()))
+    done = run_funnel(
+        pool_,
+        KEY,
+        dims=1,
+        factor=EV_TO_KCAL,
+        cluster_rmsd=0.14,
+        dedup_score=1.2,
+        dedup_rmsd=0.155,
+        cluster_symmetry=symmetry,
+        dedup_symmetry=symmetry,
+        keep_stages=False,
+    )
+    return done.ensemble.select(
+        "label", "position", F.col("cand_id").alias("vec_id"), F.round("energy", 9).alias("energy")
+    )
+
+
+def _rotations(nodes: DataFrame) -> DataFrame:
+    """Every rotation of the order of a graph's nodes, as mappings."""
+    sizes = nodes.groupBy("graph_id").agg(F.count("*").cast("int").alias("n"))
+    turn = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("turn")
+    perm = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(i + F.col("turn"), F.col("n")))
+    return sizes.select("graph_id", "n", turn).select("graph_id", perm.alias("perm"))
+
+
+def _guarded(spark: SparkSession, sf_dir: str):
+    """Chains of turns as graphs of the labels; four mappings or more measure the core."""
+    heavy = F.col("label") != "system"
+    nodes, edges = chains(spark, sf_dir)
+    inner = graph.induced(nodes, edges, heavy)
+    mappings = _rotations(inner[0])
+    metric, guard = guarded_metric(nodes, edges, mappings, "label", heavy, cap=4)
+    symmetry = guarded_symmetry(guard, mappings, _rotations(graph.strip_leaves(*inner)[0]), key="label")
+    pool_ = embedding_pool(spark, sf_dir).withColumn("label", F.col("label").cast("bigint"))
+    return run_funnel(
+        pool_,
+        KEY,
+        cluster_metric=metric,
+        cluster_symmetry=symmetry,
+        factor=EV_TO_KCAL,
+        cluster_rmsd=0.15,
+        dedup_score=1.2,
+        dedup_rmsd=0.3,
+    )
+
+
+@query
+def guarded_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters on all heavy atoms or on the core, each key with mappings that fit."""
+    return _guarded(spark, sf_dir).clusters.select(
+        "label", F.col("cand_id").alias("vec_id"), F.col("cluster_id"), F.round("score", 9).alias("score")
+    )
+
+
+@query
+def outcome_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of even labels have mappings that number one atom too few."""
+    pool_ = embedding_pool(spark, sf_dir)
+    last = F.when(F.col("label") % 2 == 0, 62).otherwise(63)
+    mappings = pool_.select("label").distinct().select("label", F.sequence(F.lit(0), last).alias("perm"))
+    done = run_funnel(pool_, KEY, dims=1, factor=EV_TO_KCAL, mappings=mappings, dedup_mappings=mappings)
+    return done.outcomes()
+
+
+@query
+def funnel_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel with both pool stages: keys routed to a second score, near candidates pruned."""
+    pool_ = embedding_pool(spark, sf_dir)
+    other = pool_.withColumn("score", F.col("score") * 0.5)
+    covered = table(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(7)).cast("int").alias("label"))
+    routes = pool.route(pool_.select("label"), KEY, "label", covered.where("label <> 3"))
+    done = run_funnel(
+        pool_,
+        KEY,
+        dims=1,
+        factor=EV_TO_KCAL,
+        cluster_rmsd=0.16,
+        dedup_score=1.2,
+        dedup_rmsd=0.175,
+        prune_rmsd=0.15,
+        routes=routes,
+        fallback=other,
+    )
+    return done.ensemble.select(
+        "label", "position", F.col("cand_id").alias("vec_id"), F.round("energy", 9).alias("energy")
+    )
+
+
 @query
 def funnel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _funnel(spark, sf_dir).report().withColumn("span", F.round("span", 6))

@@ -1,19 +1,29 @@
-"""Best RMSD of candidate pairs over atom mappings and rigid motion."""
+"""Best RMSD of candidate pairs over atom mappings and rigid motion.
+
+Mappings come as a product: orders of all atoms, times sets of atoms that may be
+exchanged freely among themselves (the leaves of one node, say). A graph of 31,104
+mappings is 24 orders and four sets of three. In a fixed frame the least distance
+splits over the sets, so the product is never multiplied out.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
+from itertools import permutations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import atom_radii, axis_sorted
-from candidate_funnel.operators.neighbours import Gate, matrix, near_pairs, pair_rmsd
+from candidate_funnel.operators.neighbours import Gate, Metric, matrix, near_pairs, numbers, pair_rmsd
 
 # Rows of a key (or block of one) per task: comparing takes one decomposition
-# per pair and mapping, so tasks are smaller than for plain distances.
-GROUP_LIMIT = 256
+# per pair and mapping, so tasks are smaller than for plain distances. Keys of
+# the usual pool size (500) stay whole.
+GROUP_LIMIT = 512
 
 # Pairs measured at a time inside a task.
 CHUNK_PAIRS = 8192
@@ -21,6 +31,17 @@ CHUNK_PAIRS = 8192
 # Headroom of the index distance over the exact one, for rounding.
 INDEX_SLACK = 1e-9
 
+# Rows that all others of a task are measured against first, and how many pairs
+# a row must have at least for that to pay.
+PIVOTS = 6
+PIVOT_PAIRS = 3
+
+# Sets of exchangeable atoms are matched over all their subsets.
+LARGEST_SWAP = 14
+
+# Orders of a key up to which it is checked that they form a group.
+GROUP_ORDERS = 64
+
 
 def aligned_rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """RMSD of each pair after moving ``b`` onto ``a``; shapes (P, N, 3).
@@ -38,19 +59,224 @@ def aligned_rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - moved) ** 2).sum(axis=(1, 2)) / a.shape[1])
 
 
-def best_rmsd(a: np.ndarray, b: np.ndarray, maps: np.ndarray, align: bool) -> np.ndarray:
+@dataclass(frozen=True)
+class Orders:
+    """The mappings of one key: ``perms`` (one order per row) times free ``swaps``."""
+
+    perms: np.ndarray
+    swaps: tuple[np.ndarray, ...] = ()
+
+    @staticmethod
+    def of(symmetry: pa.Table | None, atoms: int) -> Orders:
+        """From the packed row of a key; keys without one have the identity."""
+        identity = np.arange(atoms)[None, :]
+        if symmetry is None or not symmetry.num_rows:
+            return Orders(identity)
+        listed = symmetry["_perms"][0].as_py() or identity.tolist()
+        swaps = tuple(np.array(b) for b in symmetry["_swaps"][0].as_py() or () if len(b) > 1)
+        if any(len(p) != atoms for p in listed) or max(map(max, listed)) >= atoms:
+            raise ValueError("mappings number other atoms than the metric has")
+        if any(b.max() >= atoms for b in swaps):
+            raise ValueError("exchangeable atoms lie beyond those of the metric")
+        if any(len(b) > LARGEST_SWAP for b in swaps):
+            raise ValueError(f"more than {LARGEST_SWAP} atoms may be exchanged at once")
+        return Orders(np.array(listed, dtype=np.int64), swaps)
+
+    def each(self) -> Iterator[np.ndarray]:
+        """Every mapping of the product, one at a time."""
+        for perm in self.perms:
+            for chosen in product(*(permutations(b.tolist()) for b in self.swaps)):
+                order = np.arange(len(perm))
+                for own, other in zip(self.swaps, chosen, strict=True):
+                    order[own] = other
+                yield perm[order]
+
+    def closed(self) -> bool:
+        """Whether the mappings are known to form a group, so distances are a metric."""
+        if len(self.perms) > GROUP_ORDERS:
+            return False
+        known = {tuple(p) for p in self.perms.tolist()}
+        sets = {frozenset(b.tolist()) for b in self.swaps}
+        return all(tuple(p[q]) in known for p in self.perms for q in self.perms) and all(
+            frozenset(p[b].tolist()) in sets for p in self.perms for b in self.swaps
+        )
+
+
+def matched(cost: np.ndarray) -> np.ndarray:
+    """Least cost of matching rows with columns; costs have shape (P, k, k)."""
+    k = cost.shape[1]
+    best = {0: np.zeros(len(cost))}
+    for row in range(k):
+        grown: dict[int, np.ndarray] = {}
+        for used, total in best.items():
+            for column in range(k):
+                if not used >> column & 1:
+                    with_it = total + cost[:, row, column]
+                    key = used | 1 << column
+                    grown[key] = np.minimum(grown[key], with_it) if key in grown else with_it
+        best = grown
+    return best[(1 << k) - 1]
+
+
+def fixed_rmsd(a: np.ndarray, b: np.ndarray, swaps: Sequence[np.ndarray]) -> np.ndarray:
+    """Fixed-frame RMSD of each pair, sets of exchangeable atoms matched at their best."""
+    square = (a - b) ** 2
+    total = square.sum(axis=(1, 2))
+    for own in swaps:
+        x, y = a[:, own], b[:, own]
+        total -= square[:, own].sum(axis=(1, 2))
+        total += matched(((x[:, :, None] - y[:, None, :]) ** 2).sum(axis=3))
+    return np.sqrt(np.maximum(total, 0.0) / a.shape[1])
+
+
+def distances(
+    a: np.ndarray, b: np.ndarray, orders: Orders, align: bool
+) -> Iterator[Callable[[np.ndarray], np.ndarray]]:
+    """For each mapping, a function from pair numbers to their RMSD under it."""
+    if align:
+        for order in orders.each():
+            yield lambda at, order=order: aligned_rmsd(a[at], b[at][:, order])
+    else:
+        for perm in orders.perms:
+            yield lambda at, perm=perm: fixed_rmsd(a[at], b[at][:, perm], orders.swaps)
+
+
+def best_rmsd(a: np.ndarray, b: np.ndarray, orders: Orders, align: bool) -> np.ndarray:
     """Smallest RMSD of each pair over the mappings of the second structure."""
     best = np.full(len(a), np.inf)
-    for mapping in maps:
-        probe = b[:, mapping]
-        if align:
-            dist = aligned_rmsd(a, probe)
-        else:
-            dist = np.sqrt(((a - probe) ** 2).sum(axis=(1, 2)) / a.shape[1])
-        np.minimum(best, dist, out=best)
+    for at in chunks(len(a)):
+        for distance in distances(a, b, orders, align):
+            best[at] = np.minimum(best[at], distance(at))
     return best
 
 
+def chunks(n: int) -> Iterator[np.ndarray]:
+    for start in range(0, n, CHUNK_PAIRS):
+        yield np.arange(start, min(start + CHUNK_PAIRS, n))
+
+
+def any_in_range(a: np.ndarray, b: np.ndarray, orders: Orders, align: bool, gate: Gate) -> np.ndarray:
+    """Whether some mapping brings a pair into range; no more are tried then."""
+    found = np.zeros(len(a), dtype=bool)
+    for at in chunks(len(a)):
+        for distance in distances(a, b, orders, align):
+            dist = distance(at)
+            hit = dist < gate.rmsd if gate.strict else dist <= gate.rmsd
+            found[at[hit]] = True
+            at = at[~hit]
+            if not len(at):
+                break
+    return found
+
+
+def in_range(x: np.ndarray, i: np.ndarray, j: np.ndarray, orders: Orders, align: bool, gate: Gate) -> np.ndarray:
+    """Which pairs of rows of ``x`` are in range of each other.
+
+    Where rows have many pairs and the distance is a metric, all rows are first
+    measured against a few pivots. A pair whose distances to some pivot differ
+    by more than the limit is out of range, one whose distances add up to less
+    is in range; only the rest is measured.
+    """
+    near = np.zeros(len(i), dtype=bool)
+    open_pairs = np.arange(len(i))
+    rows = np.unique(np.concatenate([i, j]))
+    if len(i) > PIVOT_PAIRS * PIVOTS * len(rows) and orders.closed():
+        slack = 1e-9 * (1.0 + gate.rmsd)
+        least = np.full(len(x), np.inf)
+        pivot = rows[0]
+        low, high = np.zeros(len(i)), np.full(len(i), np.inf)
+        for _ in range(PIVOTS):
+            away = np.full(len(x), np.inf)
+            away[rows] = best_rmsd(np.broadcast_to(x[pivot], x[rows].shape), x[rows], orders, align)
+            np.maximum(low, np.abs(away[i] - away[j]), out=low)
+            np.minimum(high, away[i] + away[j], out=high)
+            np.minimum(least, away, out=least)
+            pivot = rows[int(np.argmax(least[rows]))]
+        near = high < gate.rmsd - slack
+        open_pairs = np.nonzero(~near & (low <= gate.rmsd + slack))[0]
+    near[open_pairs] = any_in_range(x[i[open_pairs]], x[j[open_pairs]], orders, align, gate)
+    return near
+
+
+def pack_symmetry(
+    keys: Sequence[str], mappings: DataFrame | None = None, swaps: DataFrame | None = None
+) -> DataFrame | None:
+    """(keys, _perms, _swaps): one row per key with mappings.
+
+    ``mappings(keys, perm)`` lists atom orders, ``swaps(keys, block)`` sets of
+    atoms that may be exchanged freely besides. Their number per key is bounded
+    by the symmetry guard, not by the candidates.
+    """
+    keys = list(keys)
+    if mappings is None and swaps is None:
+        return None
+    parts = []
+    for df, column, name in ((mappings, "perm", "_perms"), (swaps, "block", "_swaps")):
+        if df is not None:
+            parts.append(df.groupBy(*keys).agg(F.collect_list(F.col(column).cast("array<int>")).alias(name)))
+    packed = parts[0] if len(parts) == 1 else parts[0].join(parts[1], keys, "full")
+    for name in ("_perms", "_swaps"):
+        if name not in packed.columns:
+            packed = packed.withColumn(name, F.array().cast("array<array<int>>"))
+    return packed.select(*keys, "_perms", "_swaps")
+
+
+def fits(atoms: Column) -> Column:
+    """Whether a packed row numbers exactly the given atoms; none fits always."""
+    whole = F.sequence(F.lit(0), atoms.cast("int") - 1)
+    perms = F.coalesce(F.col("_perms"), F.array().cast("array<array<int>>"))
+    blocks = F.coalesce(F.col("_swaps"), F.array().cast("array<array<int>>"))
+    return F.forall(perms, lambda p: F.array_sort(p) == whole) & F.forall(
+        blocks, lambda b: F.forall(b, lambda x: (x >= 0) & (x < atoms)) & (F.size(b) <= LARGEST_SWAP)
+    )
+
+
+@dataclass(frozen=True)
+class BestRmsd(Metric):
+    """Best RMSD as the distance of de-duplication and clusters.
+
+    ``symmetry`` comes from ``pack_symmetry``. An index distance that never
+    exceeds the best RMSD finds the pairs worth measuring.
+    """
+
+    coords: str = "coords"
+    dims: int = 3
+    align: bool = True
+    symmetry: DataFrame | None = None
+    group_limit: int = GROUP_LIMIT
+
+    def __post_init__(self) -> None:
+        if self.align and self.dims != 3:
+            raise ValueError("alignment needs three values per atom")
+
+    def index(self) -> Column:
+        return (atom_radii if self.align else axis_sorted)(self.coords, self.dims)
+
+    def index_gate(self, gate: Gate) -> Gate:
+        limit = gate.rmsd * (1 + INDEX_SLACK) + INDEX_SLACK
+        return replace(gate, rmsd=limit, strict=False, dims=1 if self.align else self.dims)
+
+    def within(
+        self, a: pa.Table, b: pa.Table, near: np.ndarray, same: bool, gate: Gate, symmetry: pa.Table | None
+    ) -> np.ndarray:
+        rows = [a] if same else [a, b]
+        x = np.concatenate([matrix(t[self.coords]) for t in rows])
+        x = x.reshape(len(x), -1, self.dims)
+        pos = np.concatenate([numbers(t["pos"]) for t in rows])
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        right = j if same else j + a.num_rows
+        # A pair is measured the same way round whichever task meets it.
+        turned = pos[i] > pos[right]
+        first, second = np.where(turned, right, i), np.where(turned, i, right)
+        out = np.zeros_like(near)
+        orders = Orders.of(symmetry, x.shape[1])
+        out[i, j] = in_range(x, first, second, orders, self.align, gate)
+        if same:
+            out |= out.T
+            np.fill_diagonal(out, True)
+        return out
+
+
 def pair_best_rmsd(
     df: DataFrame,
     keys: Sequence[str],
@@ -62,39 +288,32 @@ def pair_best_rmsd(
     dims: int = 3,
     bound: int | None = None,
     group_limit: int = GROUP_LIMIT,
+    swaps: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs ``(keys, a, b, dist)``, ``a < b``, whose best RMSD is in range.
 
     ``mappings(keys, mapping_id, perm)`` lists atom orders (from 0) under
-    which a structure is the same; keys without any use the identity. An index
-    distance that never exceeds the best RMSD finds the pairs worth measuring.
+    which a structure is the same; keys without any use the identity.
+    ``swaps(keys, block)`` lists sets of atoms that may be exchanged freely
+    besides. Clusters and de-duplication need no such rows (``BestRmsd``).
     """
     keys = list(keys)
     if align and dims != 3:
         raise ValueError("alignment needs three values per atom")
-    if mappings is None and not align:
+    if mappings is None and swaps is None and not align:
         return pair_rmsd(df, keys, ident, coords, max_dist, dims, bound)
-    index = atom_radii(coords, dims) if align else axis_sorted(coords, dims)
-    gate = Gate(max_dist * (1 + INDEX_SLACK) + INDEX_SLACK, dims=1 if align else dims)
+    metric = BestRmsd(coords, dims, align, pack_symmetry(keys, mappings, swaps))
 
     def measure(
-        a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, maps: pa.Table | None
+        a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, symmetry: pa.Table | None
     ) -> np.ndarray:
         x, y = (matrix(t[coords]).reshape(t.num_rows, -1, dims) for t in (a, b))
-        if maps is not None and maps.num_rows:
-            orders = matrix(maps["perm"]).astype(np.int64)
-            if orders.shape[1] != x.shape[1] or orders.max() >= x.shape[1]:
-                raise ValueError("mappings number other atoms than the metric has")
-        else:
-            orders = np.arange(x.shape[1])[None, :]
-        parts = [
-            best_rmsd(x[i[at : at + CHUNK_PAIRS]], y[j[at : at + CHUNK_PAIRS]], orders, align)
-            for at in range(0, len(i), CHUNK_PAIRS)
-        ]
+        orders = Orders.of(symmetry, x.shape[1])
+        parts = [best_rmsd(x[i[at]], y[j[at]], orders, align) for at in chunks(len(i))]
         return np.concatenate(parts)
 
-    rows = df.select(*keys, ident, coords, index.alias("_index"))
-    perms = None if mappings is None else mappings.select(*keys, "perm")
+    rows = df.select(*keys, ident, coords, metric.index().alias("_index"))
+    gate = metric.index_gate(Gate(max_dist, dims=dims))
     return near_pairs(
-        rows, keys, ident, "_index", gate, measure, max_dist, perms, bound, group_limit
+        rows, keys, ident, "_index", gate, measure, max_dist, metric.symmetry, bound, group_limit
     )

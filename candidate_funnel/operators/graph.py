@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candidate_funnel.operators.skew import hot_join
@@ -61,22 +61,40 @@ def strip_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return kept, inner.select(*edges.columns)
 
 
+def exchangeable_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, block): leaves of one node that bear one label, two or more.
+
+    They may be exchanged freely, so they stand for the product of all their
+    orders. Nodes are named by their place in node order, from 0.
+    """
+    degrees = both_ways(edges).groupBy(*NODE).agg(F.count("*").alias("_degree"), F.min("other").alias("_hub"))
+    order = Window.partitionBy("graph_id").orderBy("node_id")
+    placed = nodes.select(*NODE, "label", (F.row_number().over(order) - 1).alias("_place"))
+    leaves = placed.join(degrees.where("_degree = 1"), NODE)
+    found = leaves.groupBy("graph_id", "_hub", "label").agg(F.sort_array(F.collect_list("_place")).alias("block"))
+    return found.where(F.size("block") > 1).select("graph_id", "block")
+
+
 def symmetry_guard(
-    keyed: DataFrame, mappings: DataFrame, keys: Sequence[str], cap: int = 5000
+    keyed: DataFrame, mappings: DataFrame, keys: Sequence[str], cap: int = 5000, swaps: DataFrame | None = None
 ) -> DataFrame:
     """``(keys, n_capped, use_core)``: whether a key has too many mappings.
 
     Counts stop at ``cap``; at the cap the stripped core is to be measured.
+    ``swaps(keys, block)`` multiplies a key's mappings by the orders of each set.
     """
     counted = mappings.groupBy(*keys).agg(F.count("*").alias("_n"))
-    capped = F.least(F.coalesce(F.col("_n"), F.lit(0)), F.lit(cap)).cast("bigint")
-    return (
-        keyed.select(*keys)
-        .distinct()
-        .join(counted, list(keys), "left")
-        .select(*keys, capped.alias("n_capped"))
-        .withColumn("use_core", F.col("n_capped") >= cap)
-    )
+    joined = keyed.select(*keys).distinct().join(counted, list(keys), "left")
+    total = F.coalesce(F.col("_n"), F.lit(0)).cast("double")
+    if swaps is not None:
+        # Beyond 20 atoms the orders exceed any cap, and the largest long.
+        orders = F.factorial(F.least(F.size("block"), F.lit(20)))
+        factors = swaps.groupBy(*keys).agg(F.product(orders.cast("double")).alias("_f"))
+        joined = joined.join(factors, list(keys), "left")
+        # A graph without listed mappings still has the identity.
+        total = F.when(F.col("_f").isNull(), total).otherwise(F.greatest(total, F.lit(1.0)) * F.col("_f"))
+    capped = F.least(total, F.lit(float(cap))).cast("bigint")
+    return joined.select(*keys, capped.alias("n_capped")).withColumn("use_core", F.col("n_capped") >= cap)
 
 
 def node_coords(

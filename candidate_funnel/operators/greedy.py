@@ -9,6 +9,7 @@ so the result is the sequential one.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -21,11 +22,12 @@ from candidate_funnel.functions.scalars import finite
 from candidate_funnel.operators.neighbours import (
     GROUP_LIMIT,
     Gate,
+    Metric,
     Neighbourhood,
-    alike,
     by_distance,
     by_pairs,
-    matrix,
+    grouped,
+    near_rows,
     numbers,
     split_by_size,
     with_cells,
@@ -99,55 +101,67 @@ def _follow(
     schema: T.StructType,
     decide: Decide,
     pairs: DataFrame | None,
+    metric: Metric | None = None,
 ) -> DataFrame:
-    """Run ``decide`` over each small key in order, with its pairs if listed."""
-    if pairs is None:
-        return ordered.groupBy(*keys).applyInArrow(
-            lambda points: decide(points.sort_by("pos"), None), schema
-        )
-    for end in ("a", "b"):
-        present = ordered.select(*keys, F.col(ident).alias(end))
-        pairs = pairs.join(present, [*keys, end], "left_semi")
-    return (
-        ordered.groupBy(*keys)
-        .cogroup(pairs.select(*keys, "a", "b").groupBy(*keys))
-        .applyInArrow(lambda points, listed: decide(points.sort_by("pos"), listed), schema)
-    )
+    """Run ``decide`` over each small key in order.
+
+    It also gets the key's listed pairs, or what the metric needs of the key.
+    """
+    extra = None if metric is None else metric.symmetry
+    if pairs is not None:
+        for end in ("a", "b"):
+            present = ordered.select(*keys, F.col(ident).alias(end))
+            pairs = pairs.join(present, [*keys, end], "left_semi")
+        extra = pairs.select(*keys, "a", "b")
+    return grouped(ordered, keys, lambda points, x: decide(points.sort_by("pos"), x), schema, extra)
 
 
 def _any(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _keeper(gate: Gate, ident: str, coords: str, score: str | None) -> Decide:
+@dataclass(frozen=True)
+class Likeness:
+    """How the rows of one small key are compared: by pairs, a metric or coordinates."""
+
+    gate: Gate
+    ident: str
+    coords: str
+    score: str | None = None
+    listed: bool = False
+    metric: Metric | None = None
+
+    def near(self, points: pa.Table, extra: pa.Table | None) -> np.ndarray:
+        if not self.listed:
+            return near_rows(points, points, True, self.gate, self.coords, self.score, self.metric, extra)
+        near = _listed(points, extra, self.ident)
+        if self.score:
+            s = numbers(points[self.score])
+            near &= np.abs(s[:, None] - s[None, :]) < self.gate.score
+        return near
+
+
+def _keeper(likeness: Likeness) -> Decide:
     """De-duplication of one small key."""
 
-    def decide(points: pa.Table, listed: pa.Table | None) -> pa.Table:
-        s = numbers(points[score]) if score else None
-        if listed is None:
-            x = matrix(points[coords])
-            near = alike(x, x, gate, s, s)
-        else:
-            near = _listed(points, listed, ident)
-            if score:
-                near &= np.abs(s[:, None] - s[None, :]) < gate.score
-        return points.filter(pa.array(first_kept(near)))
+    def decide(points: pa.Table, extra: pa.Table | None) -> pa.Table:
+        if not points.num_rows:
+            return points
+        return points.filter(pa.array(first_kept(likeness.near(points, extra))))
 
     return decide
 
 
-def _clusterer(gate: Gate, ident: str, coords: str, weight: str | None, name: str) -> Decide:
+def _clusterer(likeness: Likeness, weight: str | None, name: str) -> Decide:
     """Clustering of one small key; ``name`` is filled with the centre's id."""
 
-    def decide(points: pa.Table, listed: pa.Table | None) -> pa.Table:
-        if listed is None:
-            x = matrix(points[coords])
-            near = alike(x, x, gate)
-        else:
-            near = _listed(points, listed, ident)
+    def decide(points: pa.Table, extra: pa.Table | None) -> pa.Table:
+        if not points.num_rows:
+            return points.append_column(name, pa.array([], pa.int64()))
+        near = likeness.near(points, extra)
         heavy = numbers(points[weight]) if weight else np.ones(points.num_rows, dtype=np.int64)
         centre = pa.array(crowded_first(near, heavy))
-        return points.append_column(name, points[ident].take(centre))
+        return points.append_column(name, points[likeness.ident].take(centre))
 
     return decide
 
@@ -159,6 +173,7 @@ def keep_in_rounds(
     decide: Decide,
     pairs: DataFrame | None,
     limit: int,
+    metric: Metric | None = None,
 ) -> list[DataFrame]:
     """Rows kept among ``state`` alone.
 
@@ -180,7 +195,7 @@ def keep_in_rounds(
         before, state = state, cut(marked.drop("value").join(untouched, spot, "left_semi"))
         if before is not given:
             discard(before)
-    return [*kept, cut(_follow(state, keys, "pos", state.schema, decide, pairs))]
+    return [*kept, cut(_follow(state, keys, "pos", state.schema, decide, pairs, metric))]
 
 
 def keep_in_prefixes(
@@ -190,6 +205,7 @@ def keep_in_prefixes(
     decide: Decide,
     pairs: DataFrame | None,
     limit: int,
+    metric: Metric | None = None,
 ) -> DataFrame:
     """Positions to keep, settled in prefixes of growing length.
 
@@ -203,7 +219,7 @@ def keep_in_prefixes(
         part = state.where((F.col("pos") > low) & (F.col("pos") <= high))
         if kept:
             part = cut(part.join(near.touch(part, _any(kept)), [*keys, "pos"], "left_anti"))
-        kept += keep_in_rounds(part, keys, near, decide, pairs, limit)
+        kept += keep_in_rounds(part, keys, near, decide, pairs, limit, metric)
         low, high = high, high * PREFIX_GROWTH
     return _any(kept).select(*keys, "pos")
 
@@ -215,6 +231,7 @@ def cluster_in_rounds(
     decide: Decide,
     pairs: DataFrame | None,
     limit: int,
+    metric: Metric | None = None,
 ) -> DataFrame:
     """Centre position of every row: ``(keys, pos, centre)``.
 
@@ -253,7 +270,7 @@ def cluster_in_rounds(
         if before is not given:
             discard(before)
     schema = T.StructType([*state.schema.fields, T.StructField("centre", T.LongType())])
-    done.append(_follow(state, keys, "pos", schema, decide, pairs).select(*spot, "centre"))
+    done.append(_follow(state, keys, "pos", schema, decide, pairs, metric).select(*spot, "centre"))
     return cut(_any(done))
 
 
@@ -266,6 +283,19 @@ def _sound(
     return df.where(finite(coords)), df.where(~finite(coords))
 
 
+def _indexed(df: DataFrame, metric: Metric | None) -> DataFrame:
+    return df if metric is None else df.withColumn("_index", metric.index())
+
+
+def _celled(
+    first: DataFrame, keys: list[str], gate: Gate, coords: str, score: str | None, limit: int, metric: Metric | None
+) -> DataFrame:
+    """Rows with their index and cells, written out for the rounds."""
+    if metric is None:
+        return cut(with_cells(first, keys, gate, coords, score, limit))
+    return cut(with_cells(_indexed(first, metric), keys, metric.index_gate(gate), "_index", score, limit))
+
+
 def keep_first(
     df: DataFrame,
     keys: Sequence[str],
@@ -276,32 +306,35 @@ def keep_first(
     score: str | None = None,
     pairs: DataFrame | None = None,
     bound: int | None = None,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = None,
+    metric: Metric | None = None,
 ) -> DataFrame:
     """Drop each row that is alike to one already kept, in the given order.
 
-    Likeness is the fixed-frame distance of ``coords``, or comes from
-    ``pairs(keys, a, b, dist)`` when another metric was used. ``bound`` is a
-    row count per key the caller has already enforced. Rows without finite
+    Likeness is the fixed-frame distance of ``coords``, another ``metric`` that
+    tasks measure, or comes from listed ``pairs(keys, a, b, dist)``. ``bound``
+    is a row count per key the caller has already enforced. Rows without finite
     coordinates are alike to none and stay; rows without a key go.
     """
     keys = list(keys)
     score = score if gate.score is not None else None
     df, odd = _sound(keyed(df, keys), coords, pairs)
+    group_limit = group_limit or (GROUP_LIMIT if metric is None else metric.group_limit)
     small, large = split_by_size(df, keys, group_limit, bound)
-    ordered = rank(small, keys, order, "pos", bound=group_limit)
+    ordered = _indexed(rank(small, keys, order, "pos", bound=group_limit), metric)
 
-    decide = _keeper(gate, ident, coords, score)
+    likeness = Likeness(gate, ident, coords, score, pairs is not None, metric)
     near_pairs = None if pairs is None else _in_range(pairs, gate)
-    result = _follow(ordered, keys, ident, ordered.schema, decide, near_pairs)
+    result = _follow(ordered, keys, ident, ordered.schema, _keeper(likeness), near_pairs, metric)
+    result = result.drop("_index")
     if large is not None:
         placed = cut(rank(large, keys, order, "pos"))
         if pairs is None:
             same = [*keys, coords, *([score] if score else [])]
             first = placed.groupBy(*same).agg(F.min("pos").alias("pos"))
-            state = cut(with_cells(first, keys, gate, coords, score, group_limit))
-            near, ends = by_distance(keys, gate, coords, score, group_limit), None
-            decide = _keeper(gate, "pos", coords, score)
+            state = _celled(first, keys, gate, coords, score, group_limit, metric)
+            near, ends = by_distance(keys, gate, coords, score, group_limit, metric), None
+            decide = _keeper(replace(likeness, ident="pos"))
         else:
             state = placed.select(*keys, "pos")
             ends = _present(near_pairs, placed, keys, ident)
@@ -312,8 +345,8 @@ def keep_first(
                 ).join(scores.withColumnsRenamed({"pos": "pos_b", score: "_sb"}), [*keys, "pos_b"])
                 ends = ends.where(F.abs(F.col("_sa") - F.col("_sb")) < gate.score)
             ends = cut(ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b")))
-            near, decide = by_pairs(ends, keys), _keeper(gate, "pos", coords, None)
-        kept = keep_in_prefixes(state, keys, near, decide, ends, group_limit)
+            near, decide = by_pairs(ends, keys), _keeper(replace(likeness, ident="pos", score=None))
+        kept = keep_in_prefixes(state, keys, near, decide, ends, group_limit, metric)
         result = result.unionByName(placed.join(kept, [*keys, "pos"], "left_semi"))
     result = result.drop("pos")
     return result if odd is None else result.unionByName(odd)
@@ -329,7 +362,8 @@ def leader_cluster(
     weight: str | None = None,
     pairs: DataFrame | None = None,
     bound: int | None = None,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = None,
+    metric: Metric | None = None,
 ) -> DataFrame:
     """Add ``cluster_id``, the id of the row's cluster centre.
 
@@ -338,25 +372,27 @@ def leader_cluster(
     """
     keys = list(keys)
     df, odd = _sound(keyed(df, keys), coords, pairs)
+    group_limit = group_limit or (GROUP_LIMIT if metric is None else metric.group_limit)
     small, large = split_by_size(df, keys, group_limit, bound)
-    ordered = rank(small, keys, order, "pos", bound=group_limit)
+    ordered = _indexed(rank(small, keys, order, "pos", bound=group_limit), metric)
     schema = T.StructType([*ordered.schema.fields, T.StructField("cluster_id", T.LongType())])
 
-    decide = _clusterer(gate, ident, coords, weight, "cluster_id")
+    likeness = Likeness(gate, ident, coords, None, pairs is not None, metric)
+    decide = _clusterer(likeness, weight, "cluster_id")
     near_pairs = None if pairs is None else _in_range(pairs, gate)
-    result = _follow(ordered, keys, ident, schema, decide, near_pairs)
+    result = _follow(ordered, keys, ident, schema, decide, near_pairs, metric).drop("_index")
     if large is not None:
         placed = cut(rank(large, keys, order, "pos"))
         heavy = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-        decide = _clusterer(gate, "pos", coords, "weight", "centre")
+        decide = _clusterer(replace(likeness, ident="pos"), "weight", "centre")
         if pairs is None:
             # Copies share their neighbours, so one row stands for all of them.
             first = placed.groupBy(*keys, coords).agg(
                 F.min("pos").alias("pos"), F.sum(heavy).alias("weight")
             )
-            state = cut(with_cells(first, keys, gate, coords, block_rows=group_limit))
-            near = by_distance(keys, gate, coords, block_rows=group_limit)
-            centres = cluster_in_rounds(state, keys, near, decide, None, group_limit)
+            state = _celled(first, keys, gate, coords, None, group_limit, metric)
+            near = by_distance(keys, gate, coords, None, group_limit, metric)
+            centres = cluster_in_rounds(state, keys, near, decide, None, group_limit, metric)
             spots = state.join(centres, [*keys, "pos"]).select(*keys, coords, "centre")
             members = placed.join(spots, [*keys, coords])
         else:

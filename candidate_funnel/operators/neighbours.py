@@ -188,6 +188,40 @@ def _cells(placed: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     return placed.groupBy(*keys, "_cell").agg(blocks)
 
 
+def touching_cells(
+    df: DataFrame, keys: Sequence[str], lanes: int, block_rows: int, against: DataFrame | None = None
+) -> DataFrame:
+    """(keys, _cell_a, _cell_b, _blocks_a, _blocks_b): cells that may hold neighbours."""
+    keys = list(keys)
+    itself = against is None
+    steps = [s for s in product((-1, 0, 1), repeat=lanes) if not itself or s >= (0,) * lanes]
+    moves = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in steps])
+    shifted = F.transform(moves, lambda s: F.zip_with("_cell_a", s, lambda x, y: x + y))
+    return (
+        _cells(df, keys, block_rows)
+        .withColumnsRenamed({"_cell": "_cell_a", "_blocks": "_blocks_a"})
+        .withColumn("_cell_b", F.explode(shifted))
+        .join(
+            _cells(df if itself else against, keys, block_rows).withColumnsRenamed(
+                {"_cell": "_cell_b", "_blocks": "_blocks_b"}
+            ),
+            [*keys, "_cell_b"],
+        )
+    )
+
+
+def tile_names(touching: DataFrame, keys: Sequence[str], itself: bool) -> DataFrame:
+    """(keys, tile): the tiles of ``touching`` cells, from the cells alone."""
+    named = touching.withColumn(
+        "_block_a", F.explode(F.sequence(F.lit(0), F.col("_blocks_a") - 1))
+    ).withColumn("_block_b", F.explode(F.sequence(F.lit(0), F.col("_blocks_b") - 1)))
+    if itself:
+        named = named.where(
+            (F.col("_cell_a") != F.col("_cell_b")) | (F.col("_block_a") <= F.col("_block_b"))
+        )
+    return named.select(*keys, *TILE)
+
+
 def tiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -207,20 +241,7 @@ def tiles(
     keys = list(keys)
     itself = against is None
     placed_a, placed_b = df, df if itself else against
-    steps = [s for s in product((-1, 0, 1), repeat=lanes) if not itself or s >= (0,) * lanes]
-    moves = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in steps])
-    shifted = F.transform(moves, lambda s: F.zip_with("_cell_a", s, lambda x, y: x + y))
-    touching = (
-        _cells(placed_a, keys, block_rows)
-        .withColumnsRenamed({"_cell": "_cell_a", "_blocks": "_blocks_a"})
-        .withColumn("_cell_b", F.explode(shifted))
-        .join(
-            _cells(placed_b, keys, block_rows).withColumnsRenamed(
-                {"_cell": "_cell_b", "_blocks": "_blocks_b"}
-            ),
-            [*keys, "_cell_b"],
-        )
-    )
+    touching = touching_cells(df, keys, lanes, block_rows, against)
 
     def side(cell: str, own: str, other: str, first: bool) -> DataFrame:
         return touching.select(
@@ -278,6 +299,78 @@ def _scores(table: pa.Table, score: str | None) -> np.ndarray | None:
     return numbers(table[score]) if score else None
 
 
+class Metric:
+    """A distance that tasks measure themselves, found through an index.
+
+    ``index`` vectors of rows in range of each other pass ``index_gate``.
+    ``symmetry`` holds one row per key that tasks need to measure, or is None.
+    """
+
+    coords: str
+    symmetry: DataFrame | None
+    group_limit: int = GROUP_LIMIT
+
+    def __getstate__(self) -> dict:
+        # Tasks get the rows they need; the table stays on the driver.
+        return {**self.__dict__, "symmetry": None}
+
+    def index(self) -> Column:
+        raise NotImplementedError
+
+    def index_gate(self, gate: Gate) -> Gate:
+        raise NotImplementedError
+
+    def within(
+        self, a: pa.Table, b: pa.Table, near: np.ndarray, same: bool, gate: Gate, symmetry: pa.Table | None
+    ) -> np.ndarray:
+        """Which of the pairs ``near`` by index are in range."""
+        raise NotImplementedError
+
+
+def near_rows(
+    a: pa.Table,
+    b: pa.Table,
+    same: bool,
+    gate: Gate,
+    coords: str,
+    score: str | None = None,
+    metric: Metric | None = None,
+    symmetry: pa.Table | None = None,
+) -> np.ndarray:
+    """Boolean matrix of the pairs of rows that pass the gate."""
+    s, t = _scores(a, score), _scores(b, score)
+    if metric is None:
+        return alike(matrix(a[coords]), matrix(b[coords]), gate, s, t)
+    near = alike(matrix(a["_index"]), matrix(b["_index"]), metric.index_gate(gate), s, t)
+    return metric.within(a, b, near, same, gate, symmetry)
+
+
+def grouped(
+    rows: DataFrame,
+    by: Sequence[str],
+    run: Callable[[pa.Table, pa.Table | None], pa.Table],
+    schema: T.StructType,
+    extra: DataFrame | None = None,
+) -> DataFrame:
+    """``run`` per group, with the group's rows of ``extra``, whose columns start like ``by``."""
+    if extra is None:
+        return rows.groupBy(*by).applyInArrow(lambda t: run(t, None), schema)
+    # Both sides may come from one table; new names keep their columns apart.
+    named = [f"_by{n}" for n in range(len(by))]
+    extra = extra.toDF(*named, *extra.columns[len(by) :])
+    others = extra.groupBy(*named)
+    return rows.groupBy(*by).cogroup(others).applyInArrow(lambda t, x: run(t, x), schema)
+
+
+def per_tile(extra: DataFrame, touching: DataFrame, keys: Sequence[str], itself: bool) -> DataFrame:
+    """One copy of a key's rows of ``extra`` for each of its tiles.
+
+    A key with many tiles is spread, so no task serves all of them.
+    """
+    values = [c for c in extra.columns if c not in keys]
+    return hot_join(tile_names(touching, keys, itself), extra, keys).select(*keys, *TILE, *values)
+
+
 @dataclass(frozen=True)
 class Neighbourhood:
     """How the rows of ``(keys, pos, ...)`` tables reach their neighbours.
@@ -298,26 +391,36 @@ def by_distance(
     coords: str,
     score: str | None = None,
     block_rows: int = GROUP_LIMIT,
+    metric: Metric | None = None,
 ) -> Neighbourhood:
     """Neighbours found by distance, tile by tile.
 
-    Tiles send on at most one partial result per row, never pairs.
+    Tiles send on at most one partial result per row, never pairs. Under a
+    ``metric``, rows carry its ``_index`` and tiles measure what that lets pass.
     """
     keys = list(keys)
     spot = [*keys, "pos"]
-    carried = [*spot, "_cell", coords, *([score] if score else [])]
-
-    def near(a: pa.Table, b: pa.Table) -> np.ndarray:
-        return alike(matrix(a[coords]), matrix(b[coords]), gate, _scores(a, score), _scores(b, score))
+    index = [] if metric is None else ["_index"]
+    carried = [*spot, "_cell", coords, *index, *([score] if score else [])]
+
+    def compared(
+        df: DataFrame, run: Callable, schema: T.StructType, others: DataFrame | None = None
+    ) -> DataFrame:
+        spread = tiles(df, keys, "pos", gate.lanes, block_rows, others)
+        extra = None
+        if metric is not None and metric.symmetry is not None:
+            touching = touching_cells(df, keys, gate.lanes, block_rows, others)
+            extra = per_tile(metric.symmetry, touching, keys, others is None)
+        return grouped(spread, [*keys, *TILE], run, schema, extra)
 
     def reach(df: DataFrame, how: str) -> DataFrame:
         fold, blank = FOLDS[how]
 
-        def compare(table: pa.Table) -> pa.Table:
+        def compare(table: pa.Table, symmetry: pa.Table | None) -> pa.Table:
             a, b, same = _sides(table)
             parts = [table.select(spot).slice(0, 0).append_column("value", pa.array([], pa.int64()))]
             if a.num_rows and b.num_rows:
-                mask = near(a, b)
+                mask = near_rows(a, b, same, gate, coords, score, metric, symmetry)
                 sides = [(a, mask, b)] if same else [(a, mask, b), (b, mask.T, a)]
                 for rows, within, others in sides:
                     values = np.where(within, numbers(others["value"])[None, :], blank)
@@ -326,22 +429,19 @@ def by_distance(
             return pa.concat_tables(parts)
 
         schema = T.StructType([*[df.schema[c] for c in spot], T.StructField("value", T.LongType())])
-        spread = tiles(df.select(*carried, "value"), keys, "pos", gate.lanes, block_rows)
-        partial = spread.groupBy(*keys, *TILE).applyInArrow(compare, schema)
+        partial = compared(df.select(*carried, "value"), compare, schema)
         return partial.groupBy(*spot).agg(AGGREGATES[how]("value").alias("value"))
 
     def touch(df: DataFrame, others: DataFrame) -> DataFrame:
-        def compare(table: pa.Table) -> pa.Table:
+        def compare(table: pa.Table, symmetry: pa.Table | None) -> pa.Table:
             a, b, _ = _sides(table)
             if not a.num_rows or not b.num_rows:
                 return table.select(spot).slice(0, 0)
-            return a.select(spot).filter(pa.array(near(a, b).any(axis=1)))
+            mask = near_rows(a, b, False, gate, coords, score, metric, symmetry)
+            return a.select(spot).filter(pa.array(mask.any(axis=1)))
 
-        spread = tiles(
-            df.select(*carried), keys, "pos", gate.lanes, block_rows, others.select(*carried)
-        )
         schema = T.StructType([df.schema[c] for c in spot])
-        return spread.groupBy(*keys, *TILE).applyInArrow(compare, schema).distinct()
+        return compared(df.select(*carried), compare, schema, others.select(*carried)).distinct()
 
     return Neighbourhood(reach, touch)
 
@@ -413,26 +513,16 @@ def near_pairs(
         columns["dist"] = pa.array(dist, pa.float64())
         return pa.table(columns)
 
-    def grouped(rows: DataFrame, by: list[str], run: Callable, extra: DataFrame | None) -> DataFrame:
-        if extra is None:
-            return rows.groupBy(*by).applyInArrow(lambda t: run(t), schema)
-        # The other side's grouping columns stand first, in the same order.
-        others = extra.groupBy(*extra.columns[: len(by)])
-        return rows.groupBy(*by).cogroup(others).applyInArrow(lambda t, x: run(t, x), schema)
-
-    values = [] if per_key is None else [c for c in per_key.columns if c not in keys]
-    extra = None if per_key is None else per_key.select(*keys, *values)
+    extra = None if per_key is None else per_key.select(*keys, *[c for c in per_key.columns if c not in keys])
     small, large = split_by_size(df, keys, group_limit, bound)
-    result = grouped(small, keys, lambda t, x=None: emit(t, t, True, x), extra)
+    result = grouped(small, keys, lambda t, x: emit(t, t, True, x), schema, extra)
     if large is not None:
         placed = with_cells(large, keys, gate, index, block_rows=group_limit)
         spread = tiles(placed, keys, ident, gate.lanes, group_limit)
         if extra is not None:
-            # Every tile of a key gets its own copy, so no task serves a whole key.
-            named = {c: f"{c}_of" for c in TILE}
-            each = spread.select(*keys, *TILE).distinct().withColumnsRenamed(named)
-            extra = extra.join(each, keys).select(*keys, *named.values(), *values)
-        tiled = grouped(spread, [*keys, *TILE], lambda t, x=None: emit(*_sides(t), x), extra)
+            touching = touching_cells(placed, keys, gate.lanes, group_limit)
+            extra = per_tile(extra, touching, keys, True)
+        tiled = grouped(spread, [*keys, *TILE], lambda t, x: emit(*_sides(t), x), schema, extra)
         result = result.unionByName(tiled)
     return result
 

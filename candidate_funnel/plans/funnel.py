@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import DEFAULTS, EV_TO_KCAL, finite
-from candidate_funnel.operators.alignment import pair_best_rmsd
+from candidate_funnel.operators.alignment import BestRmsd, fits, pack_symmetry
 from candidate_funnel.operators.ensemble import assemble
 from candidate_funnel.operators.graph import (
     induced,
@@ -20,6 +20,7 @@ from candidate_funnel.operators.graph import (
 from candidate_funnel.operators.greedy import keep_first, leader_cluster
 from candidate_funnel.operators.neighbours import Gate
 from candidate_funnel.operators.outcomes import funnel_report, outcomes
+from candidate_funnel.operators.pool import apply_route
 from candidate_funnel.operators.select import (
     converged,
     relative,
@@ -41,17 +42,21 @@ class Funnel:
 
     keys: tuple[str, ...]
     pool: DataFrame
+    routed: DataFrame
+    whole: DataFrame
     scored: DataFrame
     converged: DataFrame
     sound: DataFrame
     even: DataFrame
     fitting: DataFrame
+    measured: DataFrame
     in_window: DataFrame
     clusters: DataFrame
     selected: DataFrame
     rescored: DataFrame
     relaxed: DataFrame
     compared: DataFrame
+    mapped: DataFrame
     unique: DataFrame
     ensemble: DataFrame
 
@@ -72,15 +77,19 @@ class Funnel:
         stages = {
             "no_candidate": self.pool,
             "null_key": keyed_rows(self.pool, self.keys),
+            "no_route": self.routed,
+            "malformed_graph": self.whole,
             "bad_score": self.scored,
             "none_converged_first": self.converged,
             "bad_coords": self.sound,
             "ragged_coords": self.even,
             "coords_mismatch": self.fitting,
-            "empty_metric": self.in_window,
+            "empty_metric": self.measured,
+            "mappings_mismatch": self.in_window,
             "bad_score_second": self.rescored,
             "none_converged_second": self.relaxed,
             "bad_coords_second": self.compared,
+            "mappings_mismatch_second": self.mapped,
         }
         return outcomes(self.pool if keyed is None else keyed, stages, self.keys, strict)
 
@@ -122,6 +131,12 @@ def run_funnel(
     max_final: int = DEFAULTS["max_final"],
     bound: int | None = None,
     keep_stages: bool = True,
+    cluster_symmetry: DataFrame | None = None,
+    dedup_symmetry: DataFrame | None = None,
+    prune_rmsd: float | None = None,
+    routes: DataFrame | None = None,
+    fallback: DataFrame | None = None,
+    malformed: DataFrame | None = None,
 ) -> Funnel:
     """Narrow ``candidates(keys, cand_id, status, score, coords)`` to ensembles.
 
@@ -132,7 +147,12 @@ def run_funnel(
     instance of heavy atoms or a stripped core; ensembles keep all atoms.
     ``mappings`` number the atoms of the metric from 0; where the two metrics
     measure different atoms, each takes its own (``cluster_mappings``,
-    ``dedup_mappings``). Rows without a number for a score, without finite
+    ``dedup_mappings``, or packed with exchangeable atoms: ``cluster_symmetry``,
+    ``dedup_symmetry``). Keys whose mappings number other atoms go.
+    With ``routes(keys, route)``, rows of keys routed to ``fallback`` come from
+    that table, scored by a second model. ``prune_rmsd`` first drops candidates
+    closer than that to one of a lower id. ``malformed(keys)`` lists keys whose
+    graphs are not to be trusted. Rows without a number for a score, without finite
     coordinates, of keys with coordinates of several lengths, or whose
     coordinates end before an atom of the metric go, and ``outcomes`` says so.
     ``factor`` converts the first score to the unit of ``window``; the second
@@ -147,7 +167,18 @@ def run_funnel(
     cluster_mappings = mappings if cluster_mappings is None else cluster_mappings
     dedup_mappings = mappings if dedup_mappings is None else dedup_mappings
 
-    numbered = keyed_rows(candidates, keys).where(numeric("score"))
+    symmetry = [
+        pack_symmetry(keys, m) if given is None else given
+        for given, m in ((cluster_symmetry, cluster_mappings), (dedup_symmetry, dedup_mappings))
+    ]
+
+    pool = keyed_rows(candidates, keys)
+    routed = pool if routes is None else save(apply_route(pool, fallback.select(pool.columns), routes, keys))
+    whole = routed if malformed is None else hot_join(routed, malformed.select(*keys).distinct(), keys, "left_anti")
+    if prune_rmsd is not None:
+        prune = Gate(prune_rmsd, strict=True, dims=dims)
+        whole = save(keep_first(whole, keys, ["cand_id"], prune, bound=bound))
+    numbered = whole.where(numeric("score"))
     first = converged(numbered, "status")
     sound = first.where(finite("coords"))
     even = even_keys(sound, keys, "coords", bound)
@@ -156,13 +187,16 @@ def run_funnel(
     fitting = near if cluster_metric is None else cluster_metric(near)
     fitting = fitting.where(F.col(coords).isNotNull())
     measured = save(fitting.where(F.size(coords) > 0))
-    gate = Gate(cluster_rmsd, dims=dims)
-    if cluster_mappings is None and not align:
-        members = leader_cluster(
-            measured, keys, ["score", "cand_id"], gate, coords=coords, bound=bound
-        )
-    else:
-        members = _mapped_clusters(measured, keys, cluster_mappings, align, gate, coords, bound)
+    mapped_first, metric = _metric(measured, keys, symmetry[0], align, coords, dims, save)
+    members = leader_cluster(
+        mapped_first,
+        keys,
+        ["score", "cand_id"],
+        Gate(cluster_rmsd, dims=dims),
+        coords=coords,
+        bound=bound,
+        metric=metric,
+    )
     clusters = save(representatives(members, keys, "cluster_id", "score", bound=bound))
 
     selected = top_k(clusters, keys, ["score", "cand_id"], max_selected).select(candidates.columns)
@@ -183,27 +217,23 @@ def run_funnel(
     coords = "coords" if dedup_metric is None else "metric"
     compared = fit if dedup_metric is None else dedup_metric(fit)
     compared = compared.where(F.col(coords).isNotNull())
-    pairs = None
-    if dedup_mappings is not None or align:
-        pairs = pair_best_rmsd(
-            compared, keys, dedup_rmsd, dedup_mappings, align, "cand_id", coords, dims, max_selected
-        )
+    mapped, metric = _metric(compared, keys, symmetry[1], align, coords, dims, lambda df: df)
     unique = save(
         keep_first(
-            compared,
+            mapped,
             keys,
             ["score2", "cand_id"],
             Gate(dedup_rmsd, strict=True, score=dedup_score, dims=dims),
             coords=coords,
             score="rel",
-            pairs=pairs,
             bound=max_selected,
+            metric=metric,
         ).drop("metric")
     )
     ensemble = assemble(unique, keys, "score2", totals=totals, max_final=max_final)
     return Funnel(
-        tuple(keys), candidates, numbered, first, sound, even, fitting, measured, clusters,
-        selected, rescored, relaxed, compared, unique, ensemble,
+        tuple(keys), candidates, routed, whole, numbered, first, sound, even, fitting, measured, mapped_first,
+        clusters, selected, rescored, relaxed, compared, mapped, unique, ensemble,
     )
 
 
@@ -215,18 +245,20 @@ def guarded_metric(
     heavy: Column | None = None,
     cap: int = DEFAULTS["max_mappings"],
     dims: int = 3,
+    swaps: DataFrame | None = None,
 ) -> tuple[Metric, DataFrame]:
     """The cluster metric under the symmetry guard, and the guard's report.
 
     Distances use the ``heavy`` nodes, or those without leaves for keys that
     reach ``cap`` mappings. Graphs carry the candidates' ``key`` as graph_id,
-    and so do ``mappings``, one row per symmetry mapping. The report has the
+    and so do ``mappings``, one row per symmetry mapping, and ``swaps``, sets of
+    exchangeable nodes that multiply them (``exchangeable_leaves``). The report has the
     numbers of measured, core and dropped nodes (``n_heavy, n_core, n_dropped``).
     """
     if heavy is not None:
         nodes, edges = induced(nodes, edges, heavy)
     core, _ = strip_leaves(nodes, edges)
-    guard = symmetry_guard(nodes.select("graph_id"), mappings, ["graph_id"], cap)
+    guard = symmetry_guard(nodes.select("graph_id"), mappings, ["graph_id"], cap, swaps)
     heavy_nodes = nodes.groupBy("graph_id").agg(F.count("*").alias("n_heavy"))
     core_nodes = core.groupBy("graph_id").agg(F.count("*").alias("n_core"))
     guard = guard.join(heavy_nodes, "graph_id", "left").join(core_nodes, "graph_id", "left")
@@ -242,35 +274,51 @@ def guarded_metric(
     return (lambda df: node_coords(df, [key], kept, dims=dims)), guard
 
 
-def _mapped_clusters(
-    measured: DataFrame,
+def _metric(
+    rows: DataFrame,
     keys: list[str],
-    mappings: DataFrame | None,
+    symmetry: DataFrame | None,
     align: bool,
-    gate: Gate,
     coords: str,
-    bound: int,
+    dims: int,
+    save: Callable[[DataFrame], DataFrame],
+) -> tuple[DataFrame, BestRmsd | None]:
+    """Rows whose key's mappings fit its atoms, and the best RMSD under these.
+
+    Without mappings or motion the plain distance serves: no metric.
+    """
+    if symmetry is None:
+        return rows, (BestRmsd(coords, dims, align) if align else None)
+    symmetry = save(symmetry)
+    atoms = rows.groupBy(*keys).agg(F.max(F.size(coords) / dims).cast("int").alias("_atoms"))
+    misfits = atoms.join(symmetry, keys).where(~fits(F.col("_atoms"))).select(*keys)
+    fitting = save(hot_join(rows, misfits, keys, "left_anti"))
+    usable = symmetry.join(misfits, keys, "left_anti")
+    return fitting, BestRmsd(coords, dims, align, usable)
+
+
+def guarded_symmetry(
+    guard: DataFrame,
+    mappings: DataFrame,
+    core_mappings: DataFrame,
+    swaps: DataFrame | None = None,
+    core_swaps: DataFrame | None = None,
+    key: str = "key",
 ) -> DataFrame:
-    """Clusters under the best RMSD.
+    """The mappings that go with each key's guarded metric, packed.
 
-    Exact copies are compared once: they share all neighbours, so the lowest
-    of them stands for the rest and is the only one that can represent them.
+    Keys on the core take ``core_mappings(graph_id, perm)``, the others
+    ``mappings``, which number the measured atoms from 0 in node order. Those
+    beyond the cap are left out before anything is gathered by key.
     """
-    best = measured.groupBy(*keys, coords).agg(
-        F.min(F.struct("score", "cand_id")).alias("_best"), F.count("*").alias("n")
-    )
-    points = cut(best.select(*keys, coords, "n", "_best.score", "_best.cand_id"))
-    pairs = pair_best_rmsd(
-        points, keys, gate.rmsd, mappings, align, "cand_id", coords, gate.dims, bound
-    )
-    led = leader_cluster(
-        points,
-        keys,
-        ["score", "cand_id"],
-        gate,
-        coords=coords,
-        weight="n",
-        pairs=cut(pairs),
-        bound=bound,
-    )
-    return measured.join(led.select(*keys, "cand_id", "cluster_id"), [*keys, "cand_id"])
+
+    def chosen(listed: DataFrame | None, use_core: bool) -> DataFrame | None:
+        if listed is None:
+            return None
+        return hot_join(listed, guard.where(F.col("use_core") == use_core).select("graph_id"), ["graph_id"], "left_semi")
+
+    parts = [
+        pack_symmetry(["graph_id"], chosen(m, core), chosen(b, core))
+        for core, m, b in ((False, mappings, swaps), (True, core_mappings, core_swaps))
+    ]
+    return parts[0].unionByName(parts[1]).withColumnRenamed("graph_id", key)
