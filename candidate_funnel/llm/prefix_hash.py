@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,10 @@ BASES = (1_000_003, 911_382_323)
 WINDOW = 24
 SKETCH = 64
 
+# Bytes of text in a range of ids, and how many ranges there are at most.
+RANGE_BYTES = 32 << 20
+MOST_RANGES = 65_536
+
 _M = np.uint64(P)
 _S = np.uint64(31)
 
@@ -178,44 +182,78 @@ def parse(fingerprint: str) -> np.ndarray:
     return np.frombuffer(raw, dtype=">u4").astype(np.uint32)
 
 
-def in_order(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
-    """(_bucket, _id, _text, _guest): rows dealt by ascending id into ``n`` ranges.
+def numbers(values: list[int | None]) -> Column:
+    """An array literal, however long, in one small expression."""
+    texts = ",".join("" if v is None else str(v) for v in values)
+    return F.transform(F.split(F.lit(texts), ","), lambda x: F.when(x != "", x).cast("bigint"))
+
+
+def n_below(bounds: Column, n: int, value: Column, inclusive: bool) -> Column:
+    """How many of ``n`` ascending bounds lie below a value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(n, 1).bit_length()))])
+
+    def step(found: Column, width: Column) -> Column:
+        bound = F.get(bounds, found + width - 1)
+        below = bound <= value if inclusive else bound < value
+        return F.when((found + width <= n) & below, found + width).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
 
-    The first row of a range is also sent, as a guest, to the end of the range
-    before it (that of the first range to the last), so that a task finds every
-    row's successor among its own rows. Only ids are read to find the ranges.
+
+def in_order(docs: DataFrame, id_column: str, text: str, n: int | None = None) -> DataFrame:
+    """(_bucket, _id, _text, _guest): rows dealt by id, then hash of the text, into ranges.
+
+    ``n`` ranges, or one for ``RANGE_BYTES`` of text. An id (or null) of more
+    rows than a range takes several. The first row of a range is also sent, as a
+    guest, to the end of the range before it (that of the first range to the
+    last), so that a task finds every row's successor among its own rows. Only
+    ids and sizes are read to find the ranges; the driver holds two numbers per
+    range, of which there are ``MOST_RANGES`` at most: beyond, ranges grow, and
+    tasks still stream them.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("_id"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+    ).withColumn("_hash", F.xxhash64("_text"))
+    total, nulls, size = rows.agg(
+        F.count("*"), F.count(F.when(F.col("_id").isNull(), 1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))
+    ).first()
+    n = n or min(MOST_RANGES, max(int(size) // RANGE_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism))
     ids = rows.select("_id").where("_id is not null")
     share = [i / n for i in range(1, n)]
-    cuts = sorted(set(ids.stat.approxQuantile("_id", share, 0.2 / n))) if n > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    # Null ids come last.
-    bucket = F.when(F.col("_id").isNull(), len(cuts) + 1).otherwise(
-        F.size(F.filter(bounds, lambda c: c < F.col("_id"))) if cuts else F.lit(0)
-    )
-    placed = rows.withColumn("_bucket", bucket.cast("int"))
-    # One row per range, n + 1 at most.
+    # An id of many rows is several of the bounds.
+    cuts = sorted(int(c) for c in ids.stat.approxQuantile("_id", share, 0.2 / n)) if n > 1 else []
+    bounds = numbers(cuts)
+    place = F.col("_hash") / F.lit(2.0**64) + 0.5
+
+    def among(first: Column, last: Column) -> Column:
+        """The range of a row's hash among those of its id."""
+        return F.least(first + F.floor(place * (last - first + 1)), last)
+
+    by_id = among(n_below(bounds, len(cuts), F.col("_id"), False), n_below(bounds, len(cuts), F.col("_id"), True))
+    of_null = max(1, -(-nulls * n // max(total, 1)))
+    by_null = among(F.lit(len(cuts) + 1), F.lit(len(cuts) + of_null))
+    placed = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), by_null).otherwise(by_id if cuts else F.lit(0)).cast("int"))
+    # One row per range.
     firsts = {
-        r["_bucket"]: r["_id"]
-        for r in placed.groupBy("_bucket").agg(F.min("_id").alias("_id")).collect()
+        r["_bucket"]: r["_first"]
+        for r in placed.groupBy("_bucket").agg(F.min(F.struct("_id", "_hash")).alias("_first")).collect()
     }
     order = sorted(firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    home = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest")))
-    both = home
-    for b in order:
-        if firsts[b] is not None or b == order[-1]:
-            guest = F.array(F.struct(F.lit(before[b]).cast("int").alias("b"), F.lit(1).alias("guest")))
-            both = F.when(
-                (F.col("_bucket") == b) & F.col("_id").eqNullSafe(F.lit(firsts[b])),
-                F.concat(home, guest),
-            ).otherwise(both)
-    sent = placed.withColumn("_to", F.explode(both))
+    every = range(order[-1] + 1 if order else 0)
+    at = F.col("_bucket")
+    leads = F.col("_id").eqNullSafe(F.get(numbers([firsts[b]["_id"] if b in firsts else None for b in every]), at)) & (
+        F.col("_hash") == F.get(numbers([firsts[b]["_hash"] if b in firsts else None for b in every]), at)
+    )
+    home = F.struct(at.alias("b"), F.lit(0).alias("guest"))
+    away = F.struct(F.get(numbers([before.get(b) for b in every]), at).cast("int").alias("b"), F.lit(1).alias("guest"))
+    sent = placed.withColumn("_to", F.explode(F.when(leads, F.array(home, away)).otherwise(F.array(home))))
     return (
-        sent.select(F.col("_to.b").alias("_bucket"), "_id", "_text", F.col("_to.guest").alias("_guest"))
+        sent.select(F.col("_to.b").alias("_bucket"), "_id", "_text", F.col("_to.guest").alias("_guest"), "_hash")
         .repartition(max(len(order), 1), "_bucket")
-        .sortWithinPartitions("_bucket", "_guest", F.asc_nulls_last("_id"), "_text")
+        .sortWithinPartitions("_bucket", "_guest", F.asc_nulls_last("_id"), "_hash", "_text")
+        .drop("_hash")
     )
 
 
@@ -231,11 +269,9 @@ def edited(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: in
 
     The last ``n_chars // 2`` code points are replaced by the first as many (or
     all) of the next document by ascending id (the last is followed by the
-    first; null ids come last, rows of one id go by text). ``same_as_edited``
+    first; null ids come last, rows of one id go by a hash of their text). ``same_as_edited``
     and ``same_as_next`` are the longest common extensions from position 0.
     """
-    spark = docs.sparkSession
-    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = T.StructType.fromDDL(RESULT).names
 
     def rows(batches: Iterator[pa.RecordBatch]):

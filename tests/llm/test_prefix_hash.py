@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from candidate_funnel.llm import prefix_hash as P
 
@@ -61,3 +62,23 @@ def test_whole_query(spark):
         assert rows[i]["edited_fingerprint"] == P.Printed(P.codes(new)).text()
         assert rows[i]["fingerprint"] == P.Printed(P.codes(t)).text()
         assert 0 <= rows[i]["near_next"] <= 1
+
+
+def test_thousands_of_ranges_and_hot_ids(spark):
+    """2,000 ranges; one id and null of many rows, each spread over several."""
+    rows = [(i, f"text number {i} of many") for i in range(600)]
+    rows += [(77, f"the same id {i}") for i in range(400)] + [(None, f"no id {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = P.in_order(docs, "doc_id", "text", 2000)
+    parts = placed.where("_guest = 0").groupBy("_id").agg(F.count_distinct("_bucket").alias("n")).collect()
+    spread = {r["_id"]: r["n"] for r in parts}
+    assert spread[77] > 50 and spread[None] > 50
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    own = [r["text"] for r in sorted(hashed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))]
+    for n in (2000, 3):
+        got = {r["fingerprint"]: r["edited_sha256"] for r in P.edited(docs, n=n).collect()}
+        assert len(got) == len(own)
+        for t, following in zip(own, own[1:] + own[:1], strict=True):
+            half = len(t) // 2
+            new = t[: len(t) - half] + following[:half]
+            assert got[P.Printed(P.codes(t)).text()] == hashlib.sha256(new.encode()).hexdigest()
