@@ -2,8 +2,9 @@
 
 *Lexicon.* Words, and stems (first letters, marked ``*``), that occur in many
 different surroundings of documents labelled toxic and hardly elsewhere. It is
-learned from at most ``sample`` labelled rows and has at most ``LEXICON``
-entries. Counting surroundings instead of documents keeps copies of one
+learned from at most ``SAMPLE`` labelled rows, which alone bound its size: every
+entry that passes the tests of support and ratio stays. Words of any length are
+entries; those of up to three letters have no stems. Counting surroundings instead of documents keeps copies of one
 document from making its words look toxic.
 
 *Automata.* The lexicon is a trie. A Levenshtein automaton of one error runs
@@ -19,7 +20,8 @@ and misspelled hits are summed apart, by weight, and a logistic model fitted on
 the same sample turns the sums into a probability.
 
 Defined results: null and empty texts have no hit and the score of none; if the
-labels lack one of the classes nothing is learned and every score is 0.
+labels lack one of the classes, or no word passes the tests, nothing is learned
+and every score is 0.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 from candidate_funnel.llm.common import Memo, Plain, labelled_sample, per_text, sigmoid
 
 SAMPLE = 10_000
-LEXICON = 400
 STEMS = range(4, 8)
 FUZZY = 5
 SPAN = 6
@@ -220,14 +221,14 @@ def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if label:
                 seen = set()
                 for i, w in enumerate(words):
-                    if len(w) > 3:
+                    if w:
                         near = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
                         key = xxhash.xxh3_64_intdigest(near) >> 1
                         seen.update((e, key) for e in entries(w))
                 entry += [e for e, _ in seen]
                 place += [k for _, k in seen]
             else:
-                clean.update({e for w in set(words) if len(w) > 3 for e in entries(w)})
+                clean.update({e for w in set(words) if w for e in entries(w)})
         yield pa.RecordBatch.from_arrays(
             [pa.array(entry, pa.string()), pa.array(place, pa.int64()), pa.array([0] * len(entry), pa.int64())],
             names=["entry", "place", "clean"],
@@ -238,6 +239,25 @@ def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def without_redundant(held: dict[str, int]) -> set[str]:
+    """Entries without the stems that say no more than one longer entry.
+
+    Such a longer entry has 0.8 times the stem's surroundings or more.
+    """
+    longer: dict[str, list[tuple[int, str]]] = {}
+    for entry, n in held.items():
+        letters = entry.rstrip("*")
+        for k in STEMS:
+            if k <= len(letters):
+                # The two best are enough: one of them is not the stem itself.
+                longer[letters[:k]] = sorted([*longer.get(letters[:k], []), (n, entry)], reverse=True)[:2]
+    return {
+        e
+        for e, n in held.items()
+        if not e.endswith("*") or all(o == e or m < 0.8 * n for m, o in longer[e[:-1]])
+    }
+
+
 class Model:
     def __init__(self, matcher: Matcher, weights: np.ndarray):
         self.matcher, self.weights = matcher, weights
@@ -287,21 +307,18 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPLE)
         .cache()
     )
     ratio = (F.col("toxic") / n[1]) / ((F.col("clean") + 0.5) / n[0])
+    # An entry has LEAST surroundings or more in the sample, which bounds their number.
     rows = (
         counted.where((F.col("toxic") >= LEAST) & (ratio >= 20))
         .select("entry", "toxic", F.log(ratio).alias("weight"))
-        .orderBy(F.desc("toxic"), "entry")
-        .limit(LEXICON)
         .collect()
     )
-    # A stem says no more than the one word it was seen in.
-    held = {r["entry"]: r["toxic"] for r in rows}
-    lexicon = [
-        (r["entry"], round(float(r["weight"]), 6))
-        for r in sorted(rows, key=lambda r: r["entry"])
-        if not r["entry"].endswith("*")
-        or not any(w != r["entry"] and w.startswith(r["entry"][:-1]) and t >= 0.8 * r["toxic"] for w, t in held.items())
-    ]
+    kept = without_redundant({r["entry"]: r["toxic"] for r in rows})
+    lexicon = sorted((r["entry"], round(float(r["weight"]), 6)) for r in rows if r["entry"] in kept)
+    if not lexicon:
+        counted.unpersist()
+        sample.unpersist()
+        return None
     matcher = Matcher(lexicon)
 
     def misspelled(batches):
