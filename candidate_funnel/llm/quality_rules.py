@@ -158,11 +158,18 @@ def thresholds(measured: DataFrame, outer: str, inner: str) -> DataFrame:
     """
     own = cut(sketch(measured, [outer, inner]))
     middle = merge(own, [outer])
-    pairs, groups, all_ = fences(own, [outer, inner]), fences(middle, [outer]), fences(merge(middle, []), [])
-    wider = groups.join(F.broadcast(all_.select(F.col("fences").alias("_all"))))  # one row
-    wider = wider.select(
-        outer, F.when(F.col("n") >= ENOUGH, F.col("fences")).otherwise(F.col("_all")).alias("_wider")
+    pairs, groups = fences(own, [outer, inner]), fences(middle, [outer])
+    # One row: the fences of all texts.
+    whole = fences(merge(middle, []), []).first()
+    ends = whole["fences"] if whole else {}
+    of_all = F.create_map(
+        *[
+            part
+            for name in MEASURES
+            for part in (F.lit(name), F.struct(*[F.lit(ends[name][e] if ends else None).cast("bigint").alias(e) for e in ("low", "high")]))
+        ]
     )
+    wider = groups.select(outer, F.when(F.col("n") >= ENOUGH, F.col("fences")).otherwise(of_all).alias("_wider"))
     return pairs.join(wider, outer).select(
         outer, inner, "n", F.when(F.col("n") >= ENOUGH, F.col("fences")).otherwise(F.col("_wider")).alias("fences")
     )
