@@ -8,6 +8,7 @@ so the result is the sequential one.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -36,6 +37,9 @@ from candidate_funnel.operators.select import rank
 from candidate_funnel.operators.skew import keyed, largest_group
 from candidate_funnel.session import cut, discard
 
+# Share of the open rows that regions must tell for a round over tiles to wait.
+SETTLED_SHARE = 0.02
+
 # Growth of the prefixes a large key is de-duplicated in.
 PREFIX_GROWTH = 4
 
@@ -224,6 +228,60 @@ def keep_in_prefixes(
     return _any(kept).select(*keys, "pos")
 
 
+def settled(near: np.ndarray, weight: np.ndarray, pos: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Centres (row numbers, or -1) that a region can tell without the rest of its key.
+
+    Rows come up by priority, as in ``crowded_first``. One is a centre if no row
+    within two steps is open that outranks it or whose neighbours are partly
+    elsewhere (not ``core``). Otherwise it waits until a row around it changes.
+    Selections further than two steps apart do not affect each other, so any
+    order of them, in any regions, ends in the same clusters.
+    """
+    n = len(near)
+    ahead = np.argsort(np.argsort(pos))
+    two_steps = (near.astype(np.float32) @ near.astype(np.float32)) > 0
+    count = near @ weight
+    open_rows = np.ones(n, dtype=bool)
+    waiting = np.zeros(n, dtype=bool)
+    centre = np.full(n, -1)
+    heap = [(-int(count[r]), int(ahead[r]), int(r)) for r in np.nonzero(core)[0]]
+    heapq.heapify(heap)
+    while heap:
+        minus, _, r = heapq.heappop(heap)
+        if not open_rows[r] or waiting[r] or -minus != count[r]:
+            continue
+        if (two_steps[r] & open_rows & (waiting | ~core)).any():
+            waiting[r] = True
+            continue
+        members = near[r] & open_rows
+        centre[members] = r
+        open_rows &= ~members
+        lost = near[:, members] @ weight[members]
+        count = count - lost
+        changed = (lost > 0) & open_rows
+        again = (changed & core) | (waiting & open_rows & two_steps[changed | members].any(axis=0))
+        waiting &= ~again
+        for q in np.nonzero(again)[0].tolist():
+            heapq.heappush(heap, (-int(count[q]), int(ahead[q]), q))
+    return centre
+
+
+def settle(state: DataFrame, keys: list[str], near: Neighbourhood, shifted: bool) -> DataFrame:
+    """``(keys, pos, centre)`` of all rows that regions tell by themselves."""
+
+    def run(rows: pa.Table, mask: np.ndarray) -> pa.Table:
+        pos = numbers(rows["pos"])
+        core = rows["_core"].to_numpy()
+        centre = settled(mask, numbers(rows["weight"]), pos, core)
+        told = centre >= 0
+        found = rows.select([*keys, "pos"]).filter(pa.array(told))
+        return found.append_column("centre", pa.array(pos[centre[told]], pa.int64()))
+
+    schema = T.StructType([*[state.schema[c] for c in (*keys, "pos")], T.StructField("centre", T.LongType())])
+    # Regions overlap; what two of them tell of a row is the same.
+    return near.gather(state, shifted, run, schema).distinct()
+
+
 def cluster_in_rounds(
     state: DataFrame,
     keys: list[str],
@@ -237,7 +295,9 @@ def cluster_in_rounds(
 
     A row becomes a centre when it outranks every open row up to two steps
     away. Clusters change neighbour counts only that far, and counts only
-    fall, so its turn would come with exactly these members. Once no key has
+    fall, so its turn would come with exactly these members. Regions first
+    follow the sequence as far as it stays inside them (``settled``), so a long
+    chain of rows does not cost a round for each. Once no key has
     more than ``limit`` open rows, the rest is settled at once.
     """
     spot = [*keys, "pos"]
@@ -250,7 +310,21 @@ def cluster_in_rounds(
         raise ValueError("a key has too many distinct candidates to cluster")
     done = []
     given = state
+    shifted, n_open = False, state.count() if near.gather else 0
     while largest_group(state, keys) > limit:
+        if near.gather is not None:
+            told = cut(settle(state, keys, near, shifted))
+            shifted = not shifted
+            n_told = told.count()
+            if n_told:
+                done.append(told)
+                before, state = state, cut(state.join(told, spot, "left_anti"))
+                if before is not given:
+                    discard(before)
+            n_open -= n_told
+            # A round over all pairs of tiles is for what regions cannot tell.
+            if n_told > SETTLED_SHARE * (n_open + n_told):
+                continue
         count = near.reach(state.withColumn("value", F.col("weight")), "sum")
         priority = F.shiftleft(F.col("value"), shift).bitwiseOR(F.lit(last) - F.col("pos"))
         ranked = cut(count.select(*spot, priority.alias("priority")))
@@ -266,6 +340,8 @@ def cluster_in_rounds(
             raise RuntimeError("no row outranks its neighbours; ids or positions repeat")
         rest = taken.where(F.col("value") == none).select(*spot)
         before, state = state, cut(state.join(rest, spot, "left_semi"))
+        if near.gather is not None:
+            n_open = state.count()
         discard(ranked, centres)
         if before is not given:
             discard(before)

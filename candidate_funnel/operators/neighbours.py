@@ -33,6 +33,10 @@ SLICE_PAIRS = 65_536
 # Factors by which thinly filled cells are merged.
 MERGES = (1, 2, 4, 8, 16, 32, 64)
 
+# Rows of a region that one task works off by itself, and widths of regions in cells.
+REGION_ROWS = 2048
+WIDENINGS = tuple(1 << k for k in range(13))
+
 # Widening of a cell that keeps rounding from separating true neighbours.
 CELL_SLACK = 1.001
 
@@ -371,6 +375,38 @@ def per_tile(extra: DataFrame, touching: DataFrame, keys: Sequence[str], itself:
     return hot_join(tile_names(touching, keys, itself), extra, keys).select(*keys, *TILE, *values)
 
 
+def regions(df: DataFrame, keys: Sequence[str], lanes: int, shifted: bool) -> DataFrame:
+    """Copy rows to ``_region``: wider cells, each with a rim of the touching cells.
+
+    ``_core`` is true in the region a row lies in. Regions are as wide as it
+    takes to hold about half of ``REGION_ROWS``; those with more than that,
+    counted first, are left out. ``shifted`` moves all borders by half a region.
+    """
+    keys = list(keys)
+
+    def wide(cell: Column, factor: Column) -> Column:
+        half = F.call_function("div", factor, F.lit(2)) if shifted else F.lit(0)
+        return F.transform(cell, lambda x: F.floor((x + half) / factor).cast("bigint"))
+
+    occupied = [F.approx_count_distinct(wide(F.col("_cell"), F.lit(f))).alias(f"_at{f}") for f in WIDENINGS]
+    filled = [F.when(F.col("_n") >= F.col(f"_at{f}") * (REGION_ROWS / 2), F.lit(f)) for f in WIDENINGS]
+    factors = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), *occupied)
+        .select(*keys, F.coalesce(*filled, F.lit(WIDENINGS[-1])).alias("_factor"))
+    )
+    moves = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in product((-1, 0, 1), repeat=lanes)])
+    own = wide(F.col("_cell"), F.col("_factor"))
+    around = F.array_distinct(
+        F.transform(moves, lambda s: wide(F.zip_with("_cell", s, lambda x, y: x + y), F.col("_factor")))
+    )
+    copied = hot_join(df, factors, keys).withColumn("_own", own).withColumn("_region", F.explode(around))
+    copied = copied.withColumn("_core", F.col("_own") == F.col("_region")).drop("_own", "_factor")
+    sizes = copied.groupBy(*keys, "_region").agg(F.count("*").alias("_n"), F.max("_core").alias("_held"))
+    fitting = sizes.where((F.col("_n") <= REGION_ROWS) & F.col("_held")).select(*keys, "_region")
+    return hot_join(copied, fitting, [*keys, "_region"], "left_semi")
+
+
 @dataclass(frozen=True)
 class Neighbourhood:
     """How the rows of ``(keys, pos, ...)`` tables reach their neighbours.
@@ -379,10 +415,14 @@ class Neighbourhood:
 
     ``reach(df, how)`` aggregates ``value`` over each row's neighbours, itself
     included. ``touch(df, others)`` lists the rows near any of the others.
+    ``gather(df, shifted, run, schema)``, where there is one, runs ``run(rows,
+    near)`` on regions of bounded size that cover the rows; ``_core`` tells the
+    rows of a region whose neighbours are all there.
     """
 
     reach: Callable[[DataFrame, str], DataFrame]
     touch: Callable[[DataFrame, DataFrame], DataFrame]
+    gather: Callable[[DataFrame, bool, Callable, T.StructType], DataFrame] | None = None
 
 
 def by_distance(
@@ -443,7 +483,17 @@ def by_distance(
         schema = T.StructType([df.schema[c] for c in spot])
         return compared(df.select(*carried), compare, schema, others.select(*carried)).distinct()
 
-    return Neighbourhood(reach, touch)
+    def gather(df: DataFrame, shifted: bool, run: Callable, schema: T.StructType) -> DataFrame:
+        def local(table: pa.Table, _: None) -> pa.Table:
+            return run(table, near_rows(table, table, True, gate, coords, score, metric))
+
+        columns = [c for c in df.columns if c not in carried]
+        spread = regions(df.select(*carried, *columns), keys, gate.lanes, shifted)
+        return grouped(spread, [*keys, "_region"], local, schema)
+
+    # What a metric needs of a key is sent to tiles only.
+    local = metric is None or metric.symmetry is None
+    return Neighbourhood(reach, touch, gather if local else None)
 
 
 def by_pairs(pairs: DataFrame, keys: Sequence[str]) -> Neighbourhood:
