@@ -239,7 +239,6 @@ def settled(near: np.ndarray, weight: np.ndarray, pos: np.ndarray, core: np.ndar
     """
     n = len(near)
     ahead = np.argsort(np.argsort(pos))
-    two_steps = (near.astype(np.float32) @ near.astype(np.float32)) > 0
     count = near @ weight
     open_rows = np.ones(n, dtype=bool)
     waiting = np.zeros(n, dtype=bool)
@@ -250,16 +249,18 @@ def settled(near: np.ndarray, weight: np.ndarray, pos: np.ndarray, core: np.ndar
         minus, _, r = heapq.heappop(heap)
         if not open_rows[r] or waiting[r] or -minus != count[r]:
             continue
-        if (two_steps[r] & open_rows & (waiting | ~core)).any():
+        two_steps = near[near[r] & open_rows].any(axis=0)
+        if (two_steps & open_rows & (waiting | ~core)).any():
             waiting[r] = True
             continue
         members = near[r] & open_rows
         centre[members] = r
         open_rows &= ~members
-        lost = near[:, members] @ weight[members]
+        lost = weight[members] @ near[members]
         count = count - lost
         changed = (lost > 0) & open_rows
-        again = (changed & core) | (waiting & open_rows & two_steps[changed | members].any(axis=0))
+        around = near[near[changed | members].any(axis=0)].any(axis=0)
+        again = (changed & core) | (waiting & open_rows & around)
         waiting &= ~again
         for q in np.nonzero(again)[0].tolist():
             heapq.heappush(heap, (-int(count[q]), int(ahead[q]), q))

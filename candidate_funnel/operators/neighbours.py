@@ -2,14 +2,14 @@
 
 Small keys are compared inside one group. A key too large for that is cut into
 cells by values that can differ no more than the distance itself (vector norm,
-mean coordinate and, where there is a score gate, the score), so only touching
-cells can hold neighbours; crowded cells are cut again into blocks. Every pair
+the key's principal directions and, where there is a score gate, the score), so
+only touching cells can hold neighbours; crowded cells are cut again into blocks. Every pair
 of touching blocks is one bounded task, and no candidate is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candidate_funnel.functions.scalars import dot_sum, finite, squared_norm
+from candidate_funnel.functions.scalars import finite, squared_norm
 from candidate_funnel.operators.skew import hot_join, keyed, largest_group
 from candidate_funnel.session import cut
 
@@ -37,6 +37,15 @@ MERGES = (1, 2, 4, 8, 16, 32, 64)
 REGION_ROWS = 2048
 WIDENINGS = tuple(1 << k for k in range(13))
 
+# Principal directions whose values place rows in cells, and how many coordinates
+# they may use: of longer vectors, as many at even steps.
+AXES = 2
+AXIS_COORDS = 256
+# Keys whose moments a task adds up before it sends them on, and partial sums of
+# a key that meet in one place at a time.
+HELD_KEYS = 64
+SUM_PARTS = 64
+
 # Widening of a cell that keeps rounding from separating true neighbours.
 CELL_SLACK = 1.001
 
@@ -64,7 +73,8 @@ class Gate:
 
     @property
     def lanes(self) -> int:
-        return 2 if self.score is None else 3
+        """Values that place a row in a cell: its norm, directions, and its score."""
+        return 1 + AXES + (self.score is not None)
 
 
 def matrix(values: pa.ChunkedArray) -> np.ndarray:
@@ -142,13 +152,108 @@ def structures(
     return df.groupBy(*keys, coords).agg(F.min(ident).alias(ident), F.count("*").alias("n"))
 
 
+def _moments(keys: list[str], coords: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Number, sum and outer products of each key's vectors, added up inside a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def sent() -> pa.RecordBatch:
+            columns = [pa.array([k[n] for k in held], types[n]) for n in range(len(keys))]
+            sums = list(held.values())
+            columns.append(pa.array([v[0] for v in sums], pa.int64()))
+            columns += [pa.array([v[n].ravel() for v in sums], pa.list_(pa.float64())) for n in (1, 2)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, "_n", "_sum", "_outer"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            types = [table.schema.field(k).type for k in keys]
+            rows: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*(table[k].to_pylist() for k in keys), strict=True)):
+                rows.setdefault(key, []).append(at)
+            for key, own in rows.items():
+                x = spaced(matrix(table[coords].take(pa.array(own))))
+                n, total, outer = held.get(key, (0, 0.0, 0.0))
+                held[key] = [n + len(x), total + x.sum(axis=0), outer + x.T @ x]
+                if len(held) >= HELD_KEYS:
+                    yield sent()
+        if held:
+            yield sent()
+
+    return run
+
+
+def spaced(x: np.ndarray) -> np.ndarray:
+    """At most ``AXIS_COORDS`` columns at even steps."""
+    return x if x.shape[1] <= AXIS_COORDS else x[:, spaced_at(x.shape[1])]
+
+
+def spaced_at(width: int) -> np.ndarray:
+    if width <= AXIS_COORDS:
+        return np.arange(width)
+    return np.floor(np.arange(AXIS_COORDS) * ((width - 1) / (AXIS_COORDS - 1.0))).astype(np.int64)
+
+
+def directions(df: DataFrame, keys: Sequence[str], coords: str) -> DataFrame:
+    """(keys, _axes): the ``AXES`` directions along which a key's vectors differ most.
+
+    They come from second moments over all rows, added up inside tasks first.
+    Being orthonormal, no direction shows two rows further apart than they are,
+    so cells by them lose no neighbour, whatever the vectors.
+    """
+    keys = list(keys)
+    key_fields = [df.schema[k] for k in keys]
+    sums = T.StructType(
+        [
+            *key_fields,
+            T.StructField("_n", T.LongType()),
+            *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_sum", "_outer")],
+        ]
+    )
+    parts = df.select(*keys, coords).mapInArrow(_moments(keys, coords), sums)
+
+    def added(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+        return sum(numbers(table["_n"]).tolist()), matrix(table["_sum"]).sum(axis=0), matrix(table["_outer"]).sum(axis=0)
+
+    def add(table: pa.Table) -> pa.Table:
+        n, total, outer = added(table)
+        columns = {k: table[k].slice(0, 1) for k in keys}
+        columns |= {"_n": pa.array([n], pa.int64())}
+        columns |= {c: pa.array([v], pa.list_(pa.float64())) for c, v in (("_sum", total), ("_outer", outer))}
+        return pa.table(columns)
+
+    def solve(table: pa.Table) -> pa.Table:
+        n, total, outer = added(table)
+        width = len(total)
+        spread = outer.reshape(width, width) / n - np.outer(total, total) / n**2
+        axes = np.zeros((AXES, width))
+        found = np.linalg.eigh(spread)[1][:, ::-1][:, :AXES].T
+        axes[: len(found)] = found
+        columns = {k: table[k].slice(0, 1) for k in keys}
+        return pa.table({**columns, "_axes": pa.array([axes.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SUM_PARTS)))
+    once = salted.groupBy(*keys, "_salt").applyInArrow(add, sums)
+    schema = T.StructType([*key_fields, T.StructField("_axes", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    return once.groupBy(*keys).applyInArrow(solve, schema)
+
+
 def _lanes(gate: Gate, coords: str, score: str | None) -> Column:
     atoms = F.size(coords) / gate.dims
-    width = F.lit(gate.rmsd * CELL_SLACK)
-    lanes = [
-        F.sqrt(squared_norm(coords) / atoms) / width,
-        dot_sum(coords) / F.sqrt(F.size(coords) * atoms) / width,
-    ]
+    width = F.lit(gate.rmsd * CELL_SLACK) * F.sqrt(atoms)
+    # The coordinates that directions use, as ``spaced`` picks them.
+    n = F.size(coords)
+    used = F.when(n <= AXIS_COORDS, F.col(coords)).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(AXIS_COORDS - 1)),
+            lambda k: F.get(F.col(coords), F.floor(k * ((n - 1) / F.lit(AXIS_COORDS - 1.0))).cast("int")),
+        )
+    )
+    lanes = [F.sqrt(squared_norm(coords)) / width]
+    for axis in range(AXES):
+        products = F.zip_with(used, F.get("_axes", F.lit(axis)), lambda x, u: x * u)
+        lanes.append(F.aggregate(products, F.lit(0.0), lambda total, x: total + x) / width)
     if gate.score is not None:
         lanes.append(F.col(score) / F.lit(gate.score * CELL_SLACK))
     return F.array(*[F.floor(lane).cast("bigint") for lane in lanes])
@@ -169,7 +274,9 @@ def with_cells(
     that fills them.
     """
     keys = list(keys)
-    fine = df.withColumn("_lane", _lanes(gate, coords, score))
+    # Written out: a second run could add the moments in another order.
+    axes = cut(directions(df, keys, coords))
+    fine = hot_join(df, axes, keys).withColumn("_lane", _lanes(gate, coords, score)).drop("_axes")
 
     def merged(factor: int | Column) -> Column:
         return F.transform("_lane", lambda x: F.floor(x / factor).cast("bigint"))
@@ -388,23 +495,26 @@ def regions(df: DataFrame, keys: Sequence[str], lanes: int, shifted: bool) -> Da
         half = F.call_function("div", factor, F.lit(2)) if shifted else F.lit(0)
         return F.transform(cell, lambda x: F.floor((x + half) / factor).cast("bigint"))
 
+    # Cells decide, so that rows are only joined to what their cell belongs to.
+    cells = cut(df.groupBy(*keys, "_cell").agg(F.count("*").alias("_rows")))
     occupied = [F.approx_count_distinct(wide(F.col("_cell"), F.lit(f))).alias(f"_at{f}") for f in WIDENINGS]
     filled = [F.when(F.col("_n") >= F.col(f"_at{f}") * (REGION_ROWS / 2), F.lit(f)) for f in WIDENINGS]
     factors = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), *occupied)
+        cells.groupBy(*keys)
+        .agg(F.sum("_rows").alias("_n"), *occupied)
         .select(*keys, F.coalesce(*filled, F.lit(WIDENINGS[-1])).alias("_factor"))
     )
     moves = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in product((-1, 0, 1), repeat=lanes)])
-    own = wide(F.col("_cell"), F.col("_factor"))
     around = F.array_distinct(
         F.transform(moves, lambda s: wide(F.zip_with("_cell", s, lambda x, y: x + y), F.col("_factor")))
     )
-    copied = hot_join(df, factors, keys).withColumn("_own", own).withColumn("_region", F.explode(around))
-    copied = copied.withColumn("_core", F.col("_own") == F.col("_region")).drop("_own", "_factor")
-    sizes = copied.groupBy(*keys, "_region").agg(F.count("*").alias("_n"), F.max("_core").alias("_held"))
+    own = wide(F.col("_cell"), F.col("_factor"))
+    placed = hot_join(cells, factors, keys).withColumn("_own", own).withColumn("_region", F.explode(around))
+    placed = cut(placed.withColumn("_core", F.col("_own") == F.col("_region")).drop("_own", "_factor"))
+    sizes = placed.groupBy(*keys, "_region").agg(F.sum("_rows").alias("_n"), F.max("_core").alias("_held"))
     fitting = sizes.where((F.col("_n") <= REGION_ROWS) & F.col("_held")).select(*keys, "_region")
-    return hot_join(copied, fitting, [*keys, "_region"], "left_semi")
+    chosen = hot_join(placed.drop("_rows"), fitting, [*keys, "_region"], "left_semi")
+    return hot_join(df, chosen, [*keys, "_cell"])
 
 
 @dataclass(frozen=True)
