@@ -5,7 +5,7 @@ from candidate_funnel.functions.scalars import BOLTZMANN_EV_PER_K, EV_TO_KCAL
 from candidate_funnel.operators import ensemble as ens
 from candidate_funnel.operators import features as ft
 
-LADDER = np.array([-100.0, -99.96, -99.93, -99.88, -99.80])
+LADDER = np.array([-41.3, -41.27, -41.21, -41.15, -41.02])
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def members(spark):
 
 @pytest.fixture(scope="module")
 def totals(spark):
-    return spark.createDataFrame([("m", -1, 1), ("lone", 0, 1)], "key string, charge int, multiplicity int")
+    return spark.createDataFrame([("m", 2, 3), ("lone", 0, 1)], "key string, charge int, multiplicity int")
 
 
 def test_ensemble_is_ordered_single_precision(members, totals):
@@ -28,7 +28,7 @@ def test_ensemble_is_ordered_single_precision(members, totals):
     out = ens.assemble(df, ["key"], totals=totals)
     rows = out.where("key = 'm'").orderBy("position").collect()
     assert [r.energy for r in rows] == LADDER.tolist()
-    assert all(r.n == 5 and r.charge == -1 and r.multiplicity == 1 for r in rows)
+    assert all(r.n == 5 and r.charge == 2 and r.multiplicity == 3 for r in rows)
     assert dict(out.dtypes)["coords"] == "array<float>"
     assert np.array(rows[0].coords) == pytest.approx(coords[0].astype(np.float32))
     assert ens.lowest(out).where("key = 'm'").first().cand_id == 4
@@ -48,12 +48,12 @@ def test_packed_relative_energies(members):
 def test_calculator_rows(spark, members, totals):
     coords, df = members
     nodes = spark.createDataFrame(
-        [("m", i, n) for i, n in enumerate((6, 6, 8))], "key string, node_id int, number bigint"
+        [("m", i, n) for i, n in enumerate((16, 7, 1))], "key string, node_id int, number bigint"
     )
     rows = ens.as_atoms(ens.assemble(df, ["key"], totals=totals), nodes, ["key"]).orderBy("node_id").collect()
-    assert [r.number for r in rows] == [6, 6, 8]
+    assert [r.number for r in rows] == [16, 7, 1]
     assert np.array([r.xyz for r in rows]).ravel() == pytest.approx(coords[0].astype(np.float32))
-    assert all(r.charge == -1 for r in rows)
+    assert all(r.charge == 2 for r in rows)
 
 
 def test_cap_on_the_ensemble(members):
