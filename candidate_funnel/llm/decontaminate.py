@@ -1,25 +1,28 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by SimHash over windows sized by the items.
 
 1. Benchmark items are grouped by length, lengths of one group differing by
-   less than a third. A group's window is a little shorter than its shortest
-   item, and every window of every item is fingerprinted: 64 bits, each the
-   sign of the sum of +-1 over the window's words, weighted by how rare a word
-   is among the items.
-2. A document is fingerprinted at a stride: an item of the group has at least
-   as many windows as the stride is long, so one of a copy's windows is met
-   exactly, wherever the copy starts.
+   less than a third. A group's window is three quarters of the longest run of
+   words that a near copy of its shortest item must keep whole (``whole_run``),
+   and every window of every item is fingerprinted: 64 bits, each the sign of
+   the sum of +-1 over the window's words, weighted by how rare a word is among
+   the items.
+2. A document is fingerprinted at a stride: a run kept whole has at least as many
+   windows as the stride is long, so one of them is met exactly, wherever the
+   copy starts. Copies with several changes are met within the radius.
 3. Multi-index Hamming blocks: 64 bits are four blocks of 16. Two fingerprints
    within ``RADIUS`` bits agree in some block but for ``RADIUS // 4`` bits, and
    the tables list items under all such block values. Thus no fingerprint
    within the radius is missed; the rest of each bucket is discarded by XOR and
    population count.
-4. A candidate is verified exactly: around the window, the stretch of the
-   document as long as the item that shares most shingle weight with it, in a
-   weighted Jaccard similarity of five-word shingles. Shingle weights are the
-   rarity of the shingle among the items.
+4. A candidate is verified exactly: of all stretches of the document around the
+   window, the one of the highest weighted Jaccard similarity of five-word
+   shingles, whatever its length. Shingle weights are the rarity of the shingle
+   among the items; shingles that the item lacks weigh as much as the rarest.
 
-The benchmark is a stated query set. It is read in blocks of bounded size, one
-pass over the documents per block, so nothing that grows is broadcast.
+The benchmark is a stated query set. Up to ``BLOCK_BYTES`` of it are one block. A
+larger one is read in blocks of that size, one pass over the documents after the
+other: the driver and the tasks hold one block at a time, with the rarities of
+its words and shingles counted over the whole benchmark.
 
 Defined results: null or empty texts hold nothing; an item without words is
 never found; items shorter than five words are one shingle; equal items are all
@@ -31,7 +34,8 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +44,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.llm.common import Memo, Plain, per_text
+from candidate_funnel.session import cut, discard
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 11
 BLOCKS = 4
+# Part of a run kept whole that a window covers.
+WINDOW = 0.75
+# What a similarity may lack by rounding.
+SLIP = 1e-9
 # Bytes of item texts that one pass over the documents looks for.
 BLOCK_BYTES = 2 << 20
+# Tables of finds that are read together.
+MOST_PARTS = 64
 # Words of texts whose sums are held at once, and words whose signs are kept.
 PART_WORDS = 40_000
 MOST_WORDS = 150_000
@@ -67,6 +78,31 @@ def shingles(w: Sequence[bytes]) -> list[tuple]:
     return [tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
 
 
+def run_bits(run: tuple) -> int:
+    """Hash of a shingle, apart from those of words."""
+    return bits(b" " + b" ".join(run))
+
+
+def tokens_of(w: list[bytes]) -> set[int]:
+    """Hashes of the distinct words and shingles of an item."""
+    return {bits(x) for x in w} | {run_bits(s) for s in shingles(w)}
+
+
+def whole_run(least: int, longest: int, similarity: float) -> int:
+    """Words that a copy of an item of ``least`` words or more keeps in one run.
+
+    A copy cut at its ends keeps the share ``similarity`` of the shingles. A
+    word put into the middle costs ``SHINGLE - 1`` shingles and adds ``SHINGLE``;
+    items long enough for that (``longest`` is) keep at least one half.
+    """
+    if least < SHINGLE:
+        return least
+    most = longest - SHINGLE + 1
+    if SHINGLE - 1 + SHINGLE * similarity <= most * (1 - similarity):
+        return max(SHINGLE, (least - 1) // 2)
+    return min(least, math.ceil(similarity * (least - SHINGLE + 1)) + SHINGLE - 1)
+
+
 def near_values(radius: int) -> np.ndarray:
     """All 16-bit patterns of at most ``radius`` ones."""
     values = np.arange(1 << 16, dtype=np.uint32)
@@ -76,30 +112,38 @@ def near_values(radius: int) -> np.ndarray:
 class Index:
     """Items of one block, by length group, with their fingerprints and tables."""
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY):
+    def __init__(
+        self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY,
+        n: int | None = None, counts: dict[int, int] | None = None,
+    ):
+        """``n`` items hold words in the whole benchmark, ``counts`` of them each
+        token of ``tokens_of``; left out, ``items`` are the whole benchmark."""
         self.similarity = similarity
         self.items = [(i, words(t)) for i, t in items if t and words(t)]
-        n = len(self.items)
-        seen = Counter(w for _, ws in self.items for w in set(ws))
+        if counts is None:
+            n = len(self.items)
+            counts = Counter(h for _, ws in self.items for h in tokens_of(ws))
         # Words of no item weigh as much as the rarest.
-        self.word_weight = {w: int(round(4 * math.log2(1 + n / c))) for w, c in seen.items()}
+        own = {w for _, ws in self.items for w in ws}
+        self.word_weight = {w: int(round(4 * math.log2(1 + n / counts[bits(w)]))) for w in own}
         self.other = int(round(4 * math.log2(1 + n))) or 4
-        counted = Counter(s for _, ws in self.items for s in set(shingles(ws)))
-        self.shingle_weight = {s: math.log2(1 + n / c) for s, c in counted.items()}
-        self.shingle_other = math.log2(1 + n) if n else 1.0
         self.bags = [Counter(shingles(ws)) for _, ws in self.items]
+        self.shingle_weight = {s: math.log2(1 + n / counts[run_bits(s)]) for bag in self.bags for s in bag}
+        self.shingle_other = math.log2(1 + n) if n else 1.0
+        self.total = [sum(self.shingle_weight[s] * k for s, k in bag.items()) for bag in self.bags]
         longest = max((len(ws) for _, ws in self.items), default=0)
         wide = longest * max(self.other, 4 * math.ceil(math.log2(1 + max(n, 1)))) >= 1 << 15
         self.kind = np.int32 if wide else np.int16
         self.memo, self.known, self.rows = None, 0, None
         self.groups = []
-        left = sorted(range(n), key=lambda i: len(self.items[i][1]))
+        left = sorted(range(len(self.items)), key=lambda i: len(self.items[i][1]))
         while left:
             least = len(self.items[left[0]][1])
             group = [i for i in left if len(self.items[i][1]) < least * 1.33]
             left = left[len(group) :]
-            window = max(1, int(least * 0.85))
-            self.groups.append(self._group(group, window, least - window + 1))
+            run = whole_run(least, len(self.items[group[-1]][1]), similarity)
+            window = max(1, int(run * WINDOW))
+            self.groups.append(self._group(group, window, run - window + 1))
 
     def _group(self, group: list[int], window: int, stride: int) -> tuple:
         prints, owner, offset = [], [], []
@@ -208,29 +252,83 @@ class Index:
         bag, other = self.bags[item], Counter(shingles(part))
         both = either = 0.0
         for s in bag.keys() | other.keys():
-            weight = self.shingle_weight.get(s, self.shingle_other)
+            weight = self.shingle_weight[s] if s in bag else self.shingle_other
             both += weight * min(bag[s], other[s])
             either += weight * max(bag[s], other[s])
         return both / either
 
+    def best(self, item: int, part: list[bytes]) -> float:
+        """Highest likeness of an item to any stretch of ``part``, 0 below the bar.
+
+        A ratio is reached where the sum of shared weight less the ratio times
+        foreign weight is; the stretch of the largest such sum gives the next
+        ratio, until it grows no more.
+        """
+        own = self.items[item][1]
+        if len(own) < SHINGLE:
+            n = len(own)
+            return float(any(part[a : a + n] == own for a in range(len(part) - n + 1)))
+        bag, total = self.bags[item], self.total[item]
+        bar = self.similarity - SLIP
+        made = shingles(part)
+        held = Counter(s for s in made if s in bag)
+        if sum(self.shingle_weight[s] * min(n, bag[s]) for s, n in held.items()) < bar * total:
+            return 0.0
+        shared = np.array([self.shingle_weight[s] if s in bag else 0.0 for s in made])
+        foreign = np.where(shared > 0, 0.0, self.shingle_other)
+        ratio, found, at = bar, 0.0, (0, 0)
+        while True:
+            run = np.concatenate([[0.0], np.cumsum(shared - ratio * foreign)])
+            stop = int(np.argmax(run - np.minimum.accumulate(run)))
+            start = int(np.argmin(run[: stop + 1]))
+            value = float(shared[start:stop].sum() / (total + foreign[start:stop].sum()))
+            if value <= found + SLIP:
+                break
+            ratio = found = value
+            at = start, stop
+        if found < bar:
+            return 0.0
+        if all(n <= bag[s] for s, n in Counter(s for s in made[at[0] : at[1]] if s in bag).items()):
+            return min(found, 1.0)
+        # A shingle occurs more often than in the item: only so many count, from
+        # each possible start on.
+        places: dict[tuple, list[int]] = {}
+        before = np.full(len(made), -1)
+        for j, s in enumerate(made):
+            if s in bag:
+                seen = places.setdefault(s, [])
+                seen.append(j)
+                if len(seen) > bag[s]:
+                    before[j] = seen[-1 - bag[s]]
+        found = 0.0
+        for i in np.flatnonzero(shared).tolist():
+            counts = before[i:] < i
+            both = np.cumsum(np.where(counts, shared[i:], 0.0))
+            rest = np.cumsum(np.where(counts, foreign[i:], shared[i:] + foreign[i:]))
+            found = max(found, float((both / (total + rest)).max()))
+        return min(found, 1.0) if found >= bar else 0.0
+
     def verify(self, ws: list[bytes], pairs: set[tuple[int, int]]) -> dict[int, float]:
         """Best similarity by item, where it is high enough."""
-        best: dict[int, float] = {}
-        tried = set()
+        starts: dict[int, list[int]] = {}
         for item, start in pairs:
+            starts.setdefault(item, []).append(start)
+        out: dict[int, float] = {}
+        for item, at in starts.items():
             size = len(self.items[item][1])
-            # The exact place first, then shifted and stretched ones.
-            for shift in (0, -1, 1, -2, 2):
-                for longer in (0, -1, 1, -2, 2):
-                    a = max(0, start + shift)
-                    b = min(len(ws), max(start + shift, 0) + size + longer)
-                    if b <= a or (item, a, b) in tried or best.get(item) == 1.0:
-                        continue
-                    tried.add((item, a, b))
-                    value = self.likeness(item, ws[a:b])
-                    if value >= self.similarity:
-                        best[item] = max(best.get(item, 0.0), value)
-        return best
+            # No stretch that is alike enough has more foreign shingles than this.
+            slack = int(size * (1 / self.similarity - 1)) + 1
+            regions: list[list[int]] = []
+            for start in sorted(at):
+                a, b = max(0, start - slack), min(len(ws), start + size + slack)
+                if regions and a <= regions[-1][1]:
+                    regions[-1][1] = max(b, regions[-1][1])
+                else:
+                    regions.append([a, b])
+            value = max(self.best(item, ws[a:b]) for a, b in regions)
+            if value:
+                out[item] = value
+        return out
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, float]]]:
         """By text: (item id, similarity) of the items it holds, by id."""
@@ -251,18 +349,53 @@ class Index:
         return out
 
 
-def blocks(benchmark: DataFrame, id_column: str, text: str) -> list[list[tuple[int, bytes]]]:
-    """Items in blocks of ``BLOCK_BYTES`` of text; each passes the driver alone."""
-    rows = benchmark.select(id_column, F.col(text).cast("string").cast("binary")).orderBy(id_column)
-    out, held = [[]], 0
-    for item, t in rows.toLocalIterator():
-        size = len(t or b"")
-        if held and held + size > BLOCK_BYTES:
-            out.append([])
-            held = 0
-        out[-1].append((item, bytes(t or b"")))
-        held += size
-    return out
+def numbered(df: DataFrame) -> DataFrame:
+    """``df``, written, with a number of each row."""
+    return cut(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def rarities(items: DataFrame) -> DataFrame:
+    """(_row, tokens): of each row of (_row, _t), how many rows hold each token."""
+
+    def work(texts: list[bytes]) -> list[pa.Array]:
+        made = [sorted(np.array(list(tokens_of(words(t))), dtype=np.uint64).view(np.int64).tolist()) for t in texts]
+        return [pa.array(made, pa.list_(pa.int64()))]
+
+    held = cut(
+        per_text(items, "_t", work, "tokens array<bigint>", ["_row"]).select("_row", F.explode("tokens").alias("token"))
+    )
+    # Written, so that adaptive execution can split what a frequent token meets.
+    counts = cut(held.groupBy("token").agg(F.count("*").alias("n")))
+    return held.join(counts, "token").groupBy("_row").agg(F.collect_list(F.struct("token", "n")).alias("tokens"))
+
+
+def blocks(benchmark: DataFrame, id_column: str, text: str) -> Iterator[tuple]:
+    """(items, n, counts) for ``Index``, block by block of ``BLOCK_BYTES`` of text.
+
+    The driver holds one block, and one partition of the sorted items, at a time.
+    """
+    t = F.col(f"`{text}`").cast("string")
+    items = benchmark.select(F.col(f"`{id_column}`").alias("_item"), t.alias("_t"))
+    items = items.where(F.col("_t").rlike(r"[^\x20\x09-\x0D]"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
+    if size <= BLOCK_BYTES:
+        rows = items.select("_item", F.col("_t").cast("binary")).orderBy("_item", "_t").collect()
+        yield [(i, bytes(t)) for i, t in rows], None, None
+        return
+    items = numbered(items)
+    n = items.count()
+    rows = items.join(rarities(items), "_row").select("_item", F.col("_t").cast("binary"), "tokens")
+    rows = cut(rows.repartitionByRange(max(1, size // BLOCK_BYTES), "_item", "_t").sortWithinPartitions("_item", "_t"))
+    held, counts, bulk = [], {}, 0
+    for item, t, tokens in rows.orderBy("_item", "_t").toLocalIterator():
+        if held and bulk + len(t) > BLOCK_BYTES:
+            yield held, n, counts
+            held, counts, bulk = [], {}, 0
+        held.append((item, bytes(t)))
+        counts.update((h % (1 << 64), c) for h, c in tokens)
+        bulk += len(t)
+    yield held, n, counts
+    discard(rows, items)
 
 
 def find(
@@ -272,21 +405,36 @@ def find(
     """Columns ``keep`` and ``hits``, an array of (item_id, similarity) by item id."""
     hit = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())])
     fields = "array<struct<item_id:bigint,similarity:double>>"
-    kept = docs.select(*keep, F.col(text).cast("string").alias("_held"))
-    parts = []
-    for k, items in enumerate(blocks(benchmark, item_id, item_text)):
-        name = uuid.uuid4().hex
-        shared = docs.sparkSession.sparkContext.broadcast((name, items, similarity))
-
-        def work(texts: list[bytes], shared=shared) -> list[pa.Array]:
-            index = _INDEX.get(shared)
-            rows = index.search(texts)
+    context = docs.sparkSession.sparkContext
+
+    def searched(rows: DataFrame, column: str, block: tuple, names: Sequence[str]):
+        shared = context.broadcast((uuid.uuid4().hex, similarity, *block))
+
+        def work(texts: list[bytes]) -> list[pa.Array]:
+            rows = _INDEX.get(shared).search(texts)
             return [pa.array([[{"item_id": i, "similarity": v} for i, v in r] for r in rows], pa.list_(hit))]
 
-        names = [c for c in kept.columns]
-        kept = per_text(kept, "_held", work, f"_hits{k} {fields}", names)
-        parts.append(f"_hits{k}")
-    return kept.select(*keep, F.array_sort(F.concat(*parts)).alias("hits"))
+        return per_text(rows, column, work, f"hits {fields}", names), shared
+
+    kept = docs.select(*keep, F.col(text).cast("string").alias("_held"))
+    each = blocks(benchmark, item_id, item_text)
+    block, following = next(each), next(each, None)
+    if following is None:
+        return searched(kept, "_held", block, list(keep))[0]
+    rows = numbered(kept)
+    parts: list[DataFrame] = []
+    while block is not None:
+        made, shared = searched(rows, "_held", block, ["_row"])
+        parts.append(cut(made.select("_row", F.explode("hits").alias("hit"))))
+        shared.destroy()
+        if len(parts) == MOST_PARTS:
+            merged = cut(reduce(DataFrame.union, parts))
+            discard(*parts)
+            parts = [merged]
+        block, following = following, next(each, None)
+    found = reduce(DataFrame.union, parts).groupBy("_row").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    none = F.array().cast(fields)
+    return rows.join(found, "_row", "left").select(*keep, F.coalesce("hits", none).alias("hits"))
 
 
 class _Held:
@@ -296,9 +444,9 @@ class _Held:
         self.key, self.index = None, None
 
     def get(self, shared) -> Index:
-        key, items, similarity = shared.value
+        key, similarity, items, n, counts = shared.value
         if self.key != key:
-            self.key, self.index = key, Index(items, similarity)
+            self.key, self.index = key, Index(items, similarity, n, counts)
         return self.index
 
 
