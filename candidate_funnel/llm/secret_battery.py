@@ -13,14 +13,15 @@ generator:
 2. The battery: chi-squared uniformity over the alphabet, the number of runs
    above and below the alphabet's middle, and lag-one serial correlation. Their
    p-values are combined by Fisher's rule; a token the battery rejects as not
-   random is no secret.
+   random is no secret, its p-value below is one.
 3. Under natural text a token's likelihood ratio of *uniform over the alphabet*
-   to *characters as frequent as in the corpus* exceeds x with a probability of
-   at most 1/x, so 1/ratio is a valid p-value. It takes the token's length into
-   account by itself: short tokens cannot reach small values.
-4. Benjamini-Hochberg over the tokens of the whole corpus, weighted by length
-   (the weights have mean one), bounds the expected share of false reports by
-   ``q``. The step-up runs on a histogram of weighted p-values, of fixed size.
+   to *each byte as likely as after the one before it in the corpus* exceeds x
+   with a probability of at most 1/x, so 1/ratio is a valid p-value. It takes the
+   token's length into account by itself: short tokens cannot reach small values.
+4. Benjamini-Hochberg over all tokens of the whole corpus that were tested,
+   rejected ones too, weighted by length (the weights have mean one), bounds the
+   expected share of false reports by ``q``. The step-up runs on a histogram of
+   weighted p-values, of fixed size.
 
 Defined results: null is the empty text; a text without finds has empty
 ``spans``; rows are independent, so repeated rows and null ids are kept.
@@ -30,14 +31,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candidate_funnel.llm.common import Plain, per_text
+from candidate_funnel.llm.common import Plain, parts_of, per_text
 from candidate_funnel.session import cut
 
 # The patterns, their order, and the least lengths.
@@ -66,6 +67,12 @@ ENCODINGS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 
+# Bytes that are counted together, and what a byte's own frequency weighs against
+# the pairs counted after the byte before it: enough that after a rare byte a
+# key's own pairs do not make the key natural.
+COUNT_BYTES = 4 << 20
+PAIR_PRIOR = 256.0
+
 # Weighted -log10 p is counted in this many bins of a tenth.
 BINS = 1000
 
@@ -127,10 +134,15 @@ def battery(token: str, alphabet: str) -> float:
     return chi_tail(fisher, 6)
 
 
+# Row of ``natural`` for a token's first byte.
+FIRST = 256
+
+
 def surprise(token: str, alphabet: str, log_natural: np.ndarray) -> float:
     """log10 of the likelihood ratio of a uniform generator to natural text."""
-    codes = np.frombuffer(token.encode(), dtype=np.uint8)
-    return float(-len(codes) * math.log10(len(alphabet)) - log_natural[codes].sum())
+    codes = np.frombuffer(token.encode(), dtype=np.uint8).astype(int)
+    natural_ = log_natural[FIRST, codes[0]] + log_natural[codes[:-1], codes[1:]].sum()
+    return float(-len(codes) * math.log10(len(alphabet)) - natural_)
 
 
 def mixed(token: str) -> bool:
@@ -144,10 +156,11 @@ def mixed(token: str) -> bool:
 
 def tokens(
     text: str, covered: Sequence[tuple[int, int, int]], log_natural: np.ndarray, alpha: float
-) -> list[tuple[int, int, str, float, float]]:
+) -> tuple[list[tuple[int, int, str, float, float]], list[int]]:
     """Tokens that no pattern touches and that the battery takes for random:
-    start, end, encoding, the battery's p-value and the log10 likelihood ratio."""
-    out = []
+    start, end, encoding, the battery's p-value and the log10 likelihood ratio.
+    Then the lengths of all tokens that were tested."""
+    out, tested = [], []
     for m in TOKEN.finditer(text):
         pieces = [m.span()]
         if infer(m.group()) is None:
@@ -159,6 +172,7 @@ def tokens(
                 continue
             name, alphabet = infer(bare)
             p = battery(bare, alphabet)
+            tested.append(end - start)
             if p >= alpha:
                 value = surprise(bare, alphabet, log_natural) - math.log10(len(pieces))
                 found.append((start, end, name, p, value))
@@ -168,37 +182,42 @@ def tokens(
             if all(f[1] <= h[0] or h[1] <= f[0] for h in held):
                 held.append(f)
         out += sorted(held)
-    return out
+    return out, tested
 
 
 def natural(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """log10 frequency of each byte over all texts, from 256 counts per task."""
-
-    def count(texts: list[bytes]) -> list[pa.Array]:
-        total = np.zeros(256, dtype=np.int64)
-        for t in texts:
-            total += np.bincount(np.frombuffer(t, dtype=np.uint8), minlength=256)
-        empty = [[]] * (len(texts) - 1)
-        return [pa.array([total.tolist(), *empty], pa.list_(pa.int64()))]
+    """log10 probability of each byte after each byte, from all texts; the row
+    ``FIRST`` has the bytes' own. At most 65,536 counts leave a task or meet here.
 
-    each = per_text(docs, text, count, "counts array<bigint>")
-    sums = each.select(
-        *[F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(256)]
-    ).first()
-    counts = np.array([c or 0 for c in sums], dtype=float) + 1
-    return np.log10(counts / counts.sum())
-
-
-def threshold(found: DataFrame, q: float) -> tuple[float, float]:
-    """Least ``surprise + log10(weight)`` to report, and the mean length.
+    Pairs seldom seen lean on the frequency of their second byte.
+    """
 
-    ``found`` has one row per token with ``surprise`` and ``length``. The
-    step-up compares bin by bin: a bin is reported if, with all tokens at least
-    as surprising, p <= q * reported / all.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for texts in parts_of(batches, COUNT_BYTES):
+            codes = np.frombuffer(b"\n".join(texts), dtype=np.uint8).astype(np.int64)
+            total += np.bincount(codes[:-1] << 8 | codes[1:], minlength=1 << 16)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met], pa.int64())], names=["pair", "n"])
+
+    each = docs.select(F.col(text).cast("string")).mapInArrow(count, "pair int, n bigint")
+    counts = np.zeros(1 << 16)
+    for r in each.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    counts = counts.reshape(256, 256)
+    own = (counts.sum(axis=0) + 1) / (counts.sum() + 256)
+    after = (counts + PAIR_PRIOR * own) / (counts.sum(axis=1, keepdims=True) + PAIR_PRIOR)
+    return np.log10(np.vstack([after, own]))
+
+
+def threshold(found: DataFrame, all_: int, mean: float, q: float) -> float:
+    """Least ``surprise + log10(weight)`` to report.
+
+    ``found`` has one row per token that may be reported, with ``surprise`` and
+    ``length``, of ``all_`` tokens tested, ``mean`` long. The step-up compares bin
+    by bin: a bin is reported if, with all tokens at least as surprising,
+    p <= q * reported / all.
     """
-    all_, mean = found.agg(F.count("*"), F.avg("length")).first()
-    if not all_:
-        return math.inf, 1.0
     weighted = F.col("surprise") + F.log10(F.col("length") / F.lit(mean))
     bin_ = F.least(F.greatest(F.floor(weighted * 10), F.lit(-1)), F.lit(BINS - 1))
     rows = found.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
@@ -208,7 +227,7 @@ def threshold(found: DataFrame, q: float) -> tuple[float, float]:
         reported += counts[b]
         if 10 ** (-b / 10) <= q * reported / all_:
             least = b / 10
-    return least, mean
+    return least
 
 
 def scan(
@@ -221,37 +240,42 @@ def scan(
     positions are code points, the end exclusive. Kinds are numbered as in
     ``KINDS``; pattern finds have neither encoding nor values.
     """
-    log_natural = natural(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast(natural(docs, text))  # 0.5 MB
     find = pa.struct(
         [("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()),
          ("encoding", pa.string()), ("p_random", pa.float64()), ("surprise", pa.float64())]
     )
 
     def work(texts: list[bytes]) -> list[pa.Array]:
-        out = []
+        out, tested = [], []
         for raw in texts:
             t = raw.decode("utf-8", "surrogatepass")
             base = patterns(t)
             rows = [(s, k, e, None, None, None) for s, k, e in base]
-            rows += [(s, 3, e, n, p, v) for s, e, n, p, v in tokens(t, base, log_natural, alpha)]
+            random_, lengths = tokens(t, base, shared.value, alpha)
+            rows += [(s, 3, e, n, p, v) for s, e, n, p, v in random_]
+            tested.append(lengths)
             rows.sort(key=lambda r: (r[0], r[1]))
             out.append([dict(zip(("start", "kind", "end", "encoding", "p_random", "surprise"), r, strict=True)) for r in rows])
-        return [pa.array(out, pa.list_(find))]
+        n = pa.array([len(x) for x in tested], pa.int64())
+        return [pa.array(out, pa.list_(find)), n, pa.array([sum(x) for x in tested], pa.int64())]
 
     fields = (
         "finds array<struct<start:bigint,kind:int,end:bigint,"
-        "encoding:string,p_random:double,surprise:double>>"
+        "encoding:string,p_random:double,surprise:double>>, _n_tested bigint, _tested_length bigint"
     )
     every = cut(per_text(docs, text, work, fields, keep))
     found = every.select(F.explode("finds").alias("f")).where("f.kind = 3")
     found = found.select("f.surprise", (F.col("f.end") - F.col("f.start")).alias("length"))
-    least, mean = threshold(found, q)
+    all_, length = every.agg(F.sum("_n_tested"), F.sum("_tested_length")).first()
+    mean = length / all_ if all_ else 1.0
+    least = threshold(found, all_, mean, q) if all_ else math.inf
 
     def shown(f):
         weight = F.log10((f["end"] - f["start"]) / F.lit(mean))
         return (f["kind"] < 3) | (F.floor((f["surprise"] + weight) * 10) / 10 >= F.lit(least))
 
-    return every.withColumn("finds", F.filter("finds", shown))
+    return every.select(*keep, F.filter("finds", shown).alias("finds"))
 
 
 def listed(finds, start, kind, end):

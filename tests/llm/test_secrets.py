@@ -76,7 +76,7 @@ def test_redact_overlaps(spark):
 
 def test_random_keys_after_names_and_in_paths():
     rng = random.Random(11)
-    log_natural = np.full(256, -2.0)
+    log_natural = np.full((257, 256), -2.0)
     letters = string.ascii_letters + string.digits
     std = "".join(rng.choice(letters + "+/") for _ in range(40))
     url = "".join(rng.choice(letters) for _ in range(20)) + "-" + "".join(rng.choice(letters + "-_") for _ in range(30)) + "_x"
@@ -86,5 +86,30 @@ def test_random_keys_after_names_and_in_paths():
         (f"/get?sig={url}&user=one", url),
         (f"see /v1/a-b/{url}/list", url),
     ]:
-        got = S.tokens(text, S.patterns(text), log_natural, 0.001)
-        assert [text[a:b] for a, b, *_ in got] == [key], text
+        got, tested = S.tokens(text, S.patterns(text), log_natural, 0.001)
+        assert [text[a:b] for a, b, *_ in got] == [key] and len(key) in tested, text
+
+
+def test_pairs_by_definition(spark):
+    texts = ["abab", "ba", None, "", "é"]
+    got = S.natural(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    whole = b"\n".join((t or "").encode() for t in texts)
+    pairs = list(zip(whole, whole[1:], strict=False))
+    own = (sum(b == 98 for _, b in pairs) + 1) / (len(pairs) + 256)
+    after = (pairs.count((97, 98)) + S.PAIR_PRIOR * own) / (sum(a == 97 for a, _ in pairs) + S.PAIR_PRIOR)
+    assert np.isclose(got[97, 98], np.log10(after)) and np.isclose(got[S.FIRST, 98], np.log10(own))
+    assert np.allclose((10.0**got).sum(axis=1), 1.0)
+
+
+def test_rejected_tokens_count_as_tests(spark):
+    rng = random.Random(9)
+    letters = string.ascii_letters + string.digits
+    prose = " ".join("getUserAccountByIdentifierFromDatabase2024" for _ in range(40))
+    key = "".join(rng.choice(letters) for _ in range(44))
+    ordered = "xyzxyzxyzxyz1xyzxyzxyzxyzxyz1xyz"
+    rows = [(0, prose), (1, f"see {key} there"), (2, " ".join([ordered] * 50)), (3, None)]
+    found = {r["doc_id"]: r["spans"] for r in S.digest(S.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert found[1] == "random:4:48" and found[0] == found[2] == found[3] == ""
+    one = spark.createDataFrame([(3.05, 40)], "surprise double, length bigint")
+    assert S.threshold(one, 1, 40.0, 0.01) == 3.0  # 10^-3 <= 0.01 / 1
+    assert S.threshold(one, 1000, 40.0, 0.01) == float("inf")  # 10^-3 > 0.01 / 1000
