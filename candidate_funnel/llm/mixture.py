@@ -136,8 +136,10 @@ def mix(
 
 def materialise(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: a row of ``docs`` per document and epoch in which it is
-    taken, with ``epoch``, ``size``, ``target`` and ``taken`` of that row. The
-    document at its source's cut keeps only its taken words.
+    taken, with ``epoch``, ``size``, ``target`` and ``taken`` of that row; where
+    ``docs`` has a column of one of these names, all four are prefixed ``mix_``
+    (again, until none clashes). The document at its source's cut keeps only its
+    taken words.
     """
     def numbered(rows: DataFrame, *order) -> DataFrame:
         # Rows of one id and size are told apart by their number.
@@ -167,4 +169,7 @@ def materialise(docs: DataFrame, id_column: str = "doc_id", source: str = "sourc
         else:
             columns.append(F.col(f"`{c}`"))
     extra = [("epoch", F.col("_mix_epoch")), ("size", F.col("_mix_size")), ("target", F.col("_mix_target")), ("taken", own.cast("long"))]
-    return each.select(*columns, *[v.alias(n) for n, v in extra if n not in docs.columns])
+    held = {c.lower() for c in docs.columns}
+    while held & {n for n, _ in extra}:
+        extra = [(f"mix_{n}", v) for n, v in extra]
+    return each.select(*columns, *[v.alias(n) for n, v in extra])

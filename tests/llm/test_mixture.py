@@ -63,3 +63,11 @@ def test_materialised_words(spark):
         assert len(r["text"].encode().split()) == r["taken"]
         seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + r["taken"]
     assert seen == {k: v for k, v in taken.items() if v}
+
+
+def test_materialised_names_that_clash(spark):
+    rows = [(1, "a", "one two", "x", "y"), (2, "a", "three", "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, Size string, mix_taken string")
+    out = mixture.materialise(docs)
+    assert out.columns == [*docs.columns, *[f"mix_mix_{n}" for n in ("epoch", "size", "target", "taken")]]
+    assert all(r["mix_mix_taken"] == len(r["text"].split()) and r["Size"] == "x" for r in out.collect())
