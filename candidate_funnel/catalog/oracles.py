@@ -335,6 +335,8 @@ from part""",
  order by s_acctbal desc, s_suppkey limit 25)
 union all
 (select 'min', s_suppkey, s_acctbal from supplier order by s_acctbal, s_suppkey limit 25)""",
+    "spec_filtered": """select p_partkey row_id, p_retailprice objective, p_brand, p_type from part
+where regexp_full_match(p_brand || p_type, '[Brand#1234ECONOMYPRLAGDIU]*')""",
     "set_restrict": """select p_partkey from part
 where list_has_all(['large', 'small', 'hot', 'ring', 'bolt', 'gear'], string_split(p_name, ' '))""",
     "set_restrict_long": """select conv_id from conversations group by 1
@@ -471,6 +473,10 @@ from embeddings""",
     "apply_scorer": f"""with {POOL}
 select label, vec_id,
        round(e + list_sum(list_transform(emb, lambda x: x::double ** 2)) / 64, 8) score2, conv converged
+from pool""",
+    "score_resumed": f"""with {POOL}
+select label, vec_id,
+       round(e + list_sum(list_transform(emb, lambda x: x::double ** 2)) / 64, 8) score2, conv converged
 from pool""",
     "converged_sort": f"""with {POOL}
 select label, vec_id, row_number() over (partition by label order by e, vec_id) as rank from pool where conv""",
@@ -537,6 +543,7 @@ from embeddings group by 1""",
             else 'ok' end outcome
 from embeddings group by 1""",
     "fingerprint_2048": f"{bits(2, 2048)} select * from bits",
+    "fingerprint_radius3": f"{bits(3, 2048)} select * from bits",
     "fingerprint_64": f"{bits(1, 64)} select * from bits",
     "fingerprint_dense": f"""{bits(2, 64)}
 select g.graph_id, i::int bit, (b.bit is not null)::int::double as value

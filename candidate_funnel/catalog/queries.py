@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,7 +25,7 @@ from candidate_funnel.operators import (
 )
 from candidate_funnel.operators.neighbours import Gate
 from candidate_funnel.plans.funnel import guarded_metric, guarded_symmetry, run_funnel
-from candidate_funnel.session import tune
+from candidate_funnel.session import checkpoint_root, tune
 from candidate_funnel.sources import spec
 from candidate_funnel.sources.spec import SourceSpec
 
@@ -156,6 +157,17 @@ def spec_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def spec_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = SourceSpec(
+        "parts", "part.parquet", "p_retailprice", "max", ("p_brand", "p_type"),
+        row_id="p_partkey", allowed=frozenset(map(ord, "Brand#1234ECONOMYPRLAGDIU")),
+    )
+    keys = table(spark, sf_dir, "part").select(F.explode(F.array("p_brand", "p_type")).alias("key")).distinct()
+    tokens = keys.select("key", F.explode(F.transform(F.split("key", ""), F.ascii)).alias("token"))
+    return spec.load(spark, one, sf_dir, tokens)
+
+
 @query
 def set_restrict(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
@@ -563,6 +575,19 @@ def apply_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def score_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool_ = embedding_pool(spark, sf_dir)
+    by, path = ["label", "cand_id"], f"{checkpoint_root(spark)}/scores-{uuid.uuid4().hex}"
+    limits = {"fmax": 0.05, "steps": 500}
+    # A first run over some keys, then one over all that goes on from its results.
+    score.score_into(pool_.where("label < 5"), by, _open_mean_square, SCORED, path, **limits)
+    scored = score.score_into(pool_, by, _open_mean_square, SCORED, path, **limits)
+    return scored.select(
+        "label", F.col("cand_id").alias("vec_id"), F.round("score2", 8).alias("score2"), "converged"
+    )
+
+
 @query
 def converged_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = select.converged(embedding_pool(spark, sf_dir), "converged").select("label", "cand_id", "score")
@@ -749,6 +774,11 @@ def fingerprint_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(*chains(spark, sf_dir))
 
 
+@query
+def fingerprint_radius3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(*chains(spark, sf_dir), radius=3, strict=True)
+
+
 @query
 def fingerprint_64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(*chains(spark, sf_dir), radius=1, n_bits=64)

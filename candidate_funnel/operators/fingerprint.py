@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candidate_funnel.operators.graph import NODE, both_ways
+from candidate_funnel.operators.graph import NODE, both_ways, malformed
 from candidate_funnel.operators.skew import find_hot, hot_join
 from candidate_funnel.session import cut
 
 
+# Edges of a node, where an environment's edges are listed as rows.
+MOST_DEGREE = 1000
+
+
 def code(*parts: Column) -> Column:
     """60-bit code of a text, from the leading hex digits of its md5."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])
@@ -61,17 +65,32 @@ def _closing(edges: DataFrame, degrees: DataFrame, hubs: DataFrame | bool) -> Da
     )
 
 
-def _listed(links: DataFrame, radius: int) -> DataFrame:
-    """Number and code sum of the edges within ``radius``, listed as rows.
+class _Listed:
+    """Edges that each node covers, as rows, round by round.
 
-    The rows grow with the product of degrees; only radii above 2 need them.
+    A round joins only the edges first reached in the round before: what a node
+    reaches at distance r + 1, one of its neighbours reaches at r and no sooner.
+    The rows grow with the product of degrees; only radii above 2 need them, and
+    a node of more than ``MOST_DEGREE`` edges is refused there.
     """
-    covered = links.select(*NODE, "edge")
-    for _ in range(radius - 1):
-        nearer = covered.withColumnRenamed("node_id", "other")
-        further = links.select(*NODE, "other").join(nearer, ["graph_id", "other"])
-        covered = covered.unionByName(further.select(*NODE, "edge")).distinct()
-    return covered.groupBy(*NODE).agg(F.count("*").alias("size"), _total("edge").alias("covered"))
+
+    def __init__(self, links: DataFrame):
+        top = links.groupBy(*NODE).count().agg(F.max("count")).first()[0] or 0
+        if top > MOST_DEGREE:
+            raise ValueError(f"a node has {top} edges; radii above 2 take at most {MOST_DEGREE}")
+        self.links = links.select(*NODE, "other")
+        self.frontier = links.select(*NODE, "edge")
+        self.covered, self.reach = self.frontier, 1
+
+    def within(self, radius: int) -> DataFrame:
+        """Number and code sum of the edges within ``radius``, not less than before."""
+        while self.reach < radius:
+            nearer = self.frontier.withColumnRenamed("node_id", "other")
+            met = self.links.join(nearer, ["graph_id", "other"]).select(*NODE, "edge").distinct()
+            self.frontier = cut(met.join(self.covered, [*NODE, "edge"], "left_anti"))
+            self.covered = self.covered.unionByName(self.frontier)
+            self.reach += 1
+        return self.covered.groupBy(*NODE).agg(F.count("*").alias("size"), _total("edge").alias("covered"))
 
 
 def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFrame:
@@ -88,6 +107,7 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
+    listed = None
     labelled = edges.withColumn(
         "edge", code(F.least("src", "dst"), F.greatest("src", "dst"))
     ).withColumnRenamed("label", "bond")
@@ -124,7 +144,8 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
             size = F.col("size") + F.col("_sizes") - F.col("_n") - F.coalesce("_closing", none)
             covered = F.col("covered") + F.col("_covers") - F.col("_edges") - F.coalesce("_closed", none)
         else:
-            grown = grown.drop("size", "covered").join(_listed(links, reach), NODE)
+            listed = listed or _Listed(links)
+            grown = grown.drop("size", "covered").join(listed.within(reach), NODE)
             size, covered = F.col("size"), F.col("covered")
         current = grown.select(
             *NODE,
@@ -148,9 +169,17 @@ def environments(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFra
 
 
 def fingerprint(
-    nodes: DataFrame, edges: DataFrame, radius: int = 2, n_bits: int = 2048
+    nodes: DataFrame, edges: DataFrame, radius: int = 2, n_bits: int = 2048, strict: bool = False
 ) -> DataFrame:
-    """Set bits of every graph: ``(graph_id, bit)``."""
+    """Set bits of every graph: ``(graph_id, bit)``.
+
+    ``strict`` raises on the first graph with an edge to a node that is not
+    listed; otherwise such edges count for the end that is.
+    """
+    if strict:
+        first = malformed(nodes, edges).agg(F.min("graph_id"), F.count("*")).first()
+        if first[1]:
+            raise ValueError(f"{first[1]} graphs have edges to unlisted nodes, the first is {first[0]}")
     found = environments(nodes, edges, radius)
     return found.select("graph_id", (F.col("code") % n_bits).cast("int").alias("bit")).distinct()
 
