@@ -126,7 +126,9 @@ def fit(docs: DataFrame, allowed: Column, most: int = SAMPLE) -> dict[str, Tree]
     ids = ids.select("doc_id", "lang")
     many = ids.groupBy("lang").agg(F.count("*").alias("_n"))  # one row per language
     chance = (F.lit(2.0 * most) / F.col("_n")) * 2.0**64 - 2.0**63
-    few = ids.join(many, "lang").where(by_hash("doc_id").cast("double") <= chance)
+    # Sent to the ids, as the trees are to the texts, so that of a large language
+    # only the ids within the range are dealt by language.
+    few = ids.join(F.broadcast(many), "lang").where(by_hash("doc_id").cast("double") <= chance)
     first = Window.partitionBy("lang").orderBy(by_hash("doc_id"), "doc_id")
     few = few.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most)
     few = few.select("doc_id", "lang").distinct()
