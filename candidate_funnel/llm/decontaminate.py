@@ -331,7 +331,7 @@ class Index:
         return out
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, float]]]:
-        """By text: (item id, similarity) of the items it holds, by id."""
+        """By text: (item id, similarity) of the items it holds, by id, null first."""
         cut = [words(t) for t in texts]
         out = [[] for _ in texts]
         if not self.groups:
@@ -344,7 +344,8 @@ class Index:
                 stop += 1
             for d, pairs in self.candidates(cut[start:stop]).items():
                 best = self.verify(cut[start + d], pairs)
-                out[start + d] = sorted((self.items[i][0], v) for i, v in best.items())
+                hits = [(self.items[i][0], v) for i, v in best.items()]
+                out[start + d] = sorted(hits, key=lambda h: (h[0] is not None, h[0] or 0, h[1]))
             start = stop
         return out
 

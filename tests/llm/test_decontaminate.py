@@ -144,3 +144,10 @@ def test_changed_words(corpus):
             w[30] = "changed"
             hits = dict(index.search([("before it " + " ".join(w) + " after").encode()])[0])
             assert 0.8 <= hits[i] < 1
+
+
+def test_items_without_an_id_and_repeated_ones():
+    own = b" ".join(b"w%d" % i for i in range(20))
+    index = D.Index([(3, own), (None, own), (3, own), (1, b"w1 w2")])
+    hits = index.search([b"x " + own + b" y", b"", b"x y"])
+    assert hits == [[(None, 1.0), (1, 1.0), (3, 1.0), (3, 1.0)], [], []]
