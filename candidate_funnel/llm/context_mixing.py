@@ -1,21 +1,22 @@
 """Language-model scoring by online logistic mixing of hashed contexts.
 
 A text (A-Z in lower case, one end symbol) is coded bit by bit. Bytes are split
-into bits by a Huffman tree of the corpus, so frequent bytes take few bits.
+into bits by Huffman trees of the corpus, one for each byte before, so what often
+follows that byte takes few bits.
 
 *Predictors.* For each context in ``CONTEXTS`` (the bytes before, or the letters
-of the word so far) a table of ``1 << TABLE_BITS`` hashed slots each holds how often
-the bit at a tree node was 0 or 1 there. All training texts are counted; the
-statistics are frozen for scoring. A slot's prediction is the logit of its
-frequency, near zero where little was seen.
+of the word so far and the space before them) a table of ``1 << TABLE_BITS``
+hashed slots holds how often the bit at a tree node was 0 or 1 there. All training
+texts are counted; the statistics are frozen for scoring. A slot's prediction is
+the logit of its frequency, near zero where little was seen.
 
 *Mixer.* Predictions are summed under weights chosen by a gate (whether the
 longest context of bytes is known), and squashed.
 
 *Refinement.* A map from the mixer's output to what followed it in this text is
-averaged in. Weights and map start alike for every text and adapt online, after
-every ``SEGMENT`` bytes: what is used to code a segment comes from earlier ones.
-Bits of many texts are coded together, segment by segment.
+averaged in. Weights and map start alike for every text and adapt online after 32,
+64, 128, ... bytes and then after every ``SEGMENT``: what is used to code a segment
+comes from earlier ones. Bits of many texts are coded together, segment by segment.
 
 *Unigram base.* Beside it, every text is scored by training counts of its
 words. The frequent words' counts (``HOT_WORDS``, a bounded table) are looked up
@@ -49,7 +50,10 @@ SLICE = 1 << 16
 END = 255
 BACK = max(CONTEXTS)
 SEGMENT = 512
-SCALE = 1024
+SCALE = 16
+# Levels of a tree whose nodes lie together, and the places they are dealt over.
+DEEP = 4
+GAP = 1 << 18
 # What every bit has been seen before anything is.
 PRIOR = 0.1
 # Starting weights by gate, unknown and known longest context, for each predictor.
@@ -59,15 +63,14 @@ MAP = 24
 MAP_PRIOR = 30.0
 HOT_WORDS = 100_000
 # Bytes of texts that are coded together.
-TOGETHER = 48 << 10
+TOGETHER = 96 << 10
 # Bytes of texts that are counted together.
 COUNT_BYTES = 512 << 10
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For 256 counts: first entry and length of each byte's path, and the flat
-    paths' nodes (1 to 255, the root is 1) and bits."""
-    heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
+def huffman(counts: list[int]) -> list[list[tuple[int, int]]]:
+    """For 256 counts each byte's path of (node, bit); nodes are 1 to 255, the root is 1."""
+    heap = [(c + 1, i, i) for i, c in enumerate(counts)]
     heapq.heapify(heap)
     children = {}
     tag = 256
@@ -87,23 +90,61 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         number[at] = len(number) + 1
         for bit, child in enumerate(children[at]):
             stack.append((child, [*path, (number[at], bit)]))
-    length = np.array([len(p) for p in paths], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
-    nodes = np.array([n for p in paths for n, _ in p], dtype=np.int64)
-    bits = np.array([b for p in paths for _, b in p], dtype=np.int64)
-    return first, length, nodes, bits
+    return paths
+
+
+def trees(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For counts of (byte before, byte), 256 by 256: first entry and length of each
+    pair's path, and the flat paths' places and bits.
+
+    A place is added to the hash of a context. The nodes of a subtree of ``DEEP``
+    levels have places in a row, so that a byte's bits are read close together.
+    """
+    length, places, bits = [], [], []
+    group = mix64(np.arange(256 * 256, dtype=np.uint64)) % np.uint64(GAP - (1 << DEEP))
+    group = group.astype(np.int64).tolist()
+    for before, row in enumerate(counts.tolist()):
+        for path in huffman(row):
+            length.append(len(path))
+            for depth, (node, bit) in enumerate(path):
+                if depth % DEEP == 0:
+                    start, at = group[before * 256 + node], 1
+                places.append(start + at)
+                bits.append(bit)
+                at = 2 * at + bit
+    n = np.array(length, dtype=np.int64)
+    return np.cumsum(n) - n, n, np.array(places, dtype=np.int64), np.array(bits, dtype=np.int8)
 
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+_UP, _DOWN = powers(_ODD, 2 * TOGETHER), powers(_INVERSE, 2 * TOGETHER)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13, END]] = True
-_NODE = (mix64(np.arange(7000, 7256, dtype=np.uint64)) >> np.uint64(40)).astype(np.int64)
-_MASK = [(1 << b) - 1 for b in TABLE_BITS]
+SLOTS = [(1 << b) + GAP for b in TABLE_BITS]
+OFFSET = [sum(SLOTS[:k]) for k in range(len(SLOTS))]
+
+
+def scatter(x: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of some bits, in place of ``x``."""
+    x *= np.uint64(_ODD)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x >>= np.uint64(64 - bits)
+    return x.view(np.int64)
 
 
 class Bytes:
-    """Symbols of some texts with their contexts' hashes."""
+    """Symbols of some texts, as pairs with the byte before, and their contexts' hashes."""
 
     def __init__(self, texts: list[bytes]):
         pad = bytes([END]) * BACK
@@ -114,68 +155,70 @@ class Bytes:
         for e in (ends - self.sizes - BACK).tolist():
             keep[e : e + BACK] = False
         wide = whole.astype(np.uint64)
-        hashes = []
-        for k, back in enumerate(CONTEXTS):
-            seed = np.uint64((k + 1) << 48)
-            if back:
-                run = np.zeros(len(whole), dtype=np.uint64)
-                for j in range(1, back + 1):
-                    run[j:] |= wide[:-j] << np.uint64(8 * (j - 1))
-            else:
-                run = self.words(whole, wide)
-            hashes.append((mix64(run ^ seed)[keep] & np.uint64(_MASK[k])).astype(np.int64))
-        self.hashes = hashes
+        run = np.zeros(len(whole), dtype=np.uint64)
+        for j in range(1, BACK + 1):
+            run[j:] |= wide[:-j] << np.uint64(8 * (j - 1))
+        run = run[keep]
+        self.hashes = []
+        for back, bits in zip(CONTEXTS, TABLE_BITS, strict=True):
+            own = run & np.uint64((1 << 8 * back) - 1) if back else self.words(whole, wide)[keep]
+            self.hashes.append(scatter(own, bits))
         self.symbols = whole[keep].astype(np.int64)
+        self.pairs = (run & np.uint64(255)).view(np.int64) << 8 | self.symbols
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
     @staticmethod
     def words(whole: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        """Hash of the bytes since the last space, by prefix sums modulo 2^64."""
+        """Hash of the bytes from the last space on, by prefix sums modulo 2^64."""
         n = len(whole)
-        up = np.full(n, _ODD, dtype=np.uint64)
-        up[0] = 1
-        np.multiply.accumulate(up, out=up)
-        down = np.full(n, _INVERSE, dtype=np.uint64)
-        down[0] = 1
-        np.multiply.accumulate(down, out=down)
+        up, down = (p[:n] if n <= len(p) else powers(p[1], n) for p in (_UP, _DOWN))
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((wide + np.uint64(1)) * up, out=total[1:])
-        begin = np.zeros(n + 1, dtype=np.int64)
-        begin[1:] = np.where(_SPACE[whole], np.arange(1, n + 1), 0)
+        begin = np.zeros(n, dtype=np.int64)
+        begin[1:] = np.where(_SPACE[whole[:-1]], np.arange(n - 1), 0)
         np.maximum.accumulate(begin, out=begin)
-        begin = np.minimum(begin[:n], n - 1)
-        return (total[:n] - total[begin]) * down[begin] + (np.arange(n) - begin).astype(np.uint64)
+        return (total[:n] - total[begin]) * down[begin]
 
 
-def spread(code: tuple, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of symbols: which symbol, which node, which bit."""
-    first, length, nodes, bits = code
-    n = length[symbols]
-    which = np.repeat(np.arange(len(symbols)), n)
-    at = np.arange(len(which)) + np.repeat(first[symbols] - (np.cumsum(n) - n), n)
-    return which, nodes[at], bits[at]
+def spread(code: tuple, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of pairs: which pair, which place, which bit."""
+    first, length, places, bits = code
+    n = length[pairs]
+    which = np.repeat(np.arange(len(pairs)), n)
+    at = np.arange(len(which)) + (first[pairs] - np.cumsum(n) + n).take(which)
+    return which, places.take(at), bits.take(at)
 
 
 def counted(code: tuple):
     """Task function: sparse sums of (table, slice, places, counts) over its texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(2 << b, dtype=np.int32) for b in TABLE_BITS]
+        total = [np.zeros(2 * n, dtype=np.int32) for n in SLOTS]
 
-        def add(texts: list[bytes]) -> None:
-            b = Bytes(texts)
-            for k, h in enumerate(b.hashes):
+        def add(held: list[list[np.ndarray]]) -> None:
+            for k in range(len(CONTEXTS)):
                 # Each (context, byte) that occurs becomes bits once, with its count.
-                pair = np.sort((h << 8 | b.symbols).astype(np.uint32))
-                new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-                times = np.diff(np.r_[new, len(pair)]).astype(np.int32)
-                pair = pair[new].astype(np.int64)
-                which, node, bit = spread(code, pair & 255)
-                place = (((pair >> 8)[which] + _NODE[node]) & _MASK[k]) * 2 + bit
-                np.add.at(total[k], place, times[which])
-
-        for texts in parts_of(batches, COUNT_BYTES):
-            add(texts)
+                key = np.concatenate([keys[k] for keys in held])
+                key.sort()
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                times = np.diff(np.r_[new, len(key)]).astype(np.int32)
+                key = key[new]
+                which, place, bit = spread(code, key & 0xFFFF)
+                place += (key >> 16).take(which)
+                place *= 2
+                place += bit
+                np.add.at(total[k], place, times.take(which))
+
+        held, size = [], 0
+        for texts in parts_of(batches, TOGETHER):
+            b = Bytes(texts)
+            held.append([h << 16 | b.pairs for h in b.hashes])
+            size += len(b.pairs)
+            if size > COUNT_BYTES:
+                add(held)
+                held, size = [], 0
+        if held:
+            add(held)
         for k in range(len(CONTEXTS)):
             rows = []
             for s in range(0, len(total[k]), SLICE):
@@ -198,8 +241,8 @@ def counted(code: tuple):
 
 
 def fixed(value: np.ndarray) -> np.ndarray:
-    """Logits in steps of 1 / ``SCALE``, two bytes each."""
-    return np.clip(np.round(value * SCALE), -32767, 32767).astype(np.int16)
+    """Logits in steps of 1 / ``SCALE``, a byte each; the mixer's sum has the same limits."""
+    return np.clip(np.round(value * SCALE), -127, 127).astype(np.int8)
 
 
 def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +268,8 @@ def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def tables(texts: DataFrame, code: tuple) -> list[np.ndarray]:
-    """Logits of all tables, from all rows of ``texts`` (one column).
+def tables(texts: DataFrame, code: tuple) -> np.ndarray:
+    """Logits of all tables one after the other, from all rows of ``texts`` (one column).
 
     The result's size is fixed by ``TABLE_BITS``; it is all the driver sees.
     """
@@ -236,20 +279,30 @@ def tables(texts: DataFrame, code: tuple) -> list[np.ndarray]:
         .sortWithinPartitions("table", "slice")
         .mapInArrow(logits, "table int, slice int, values binary")
     )
-    out = [np.zeros(1 << b, dtype=np.int16) for b in TABLE_BITS]
+    out = np.zeros(sum(SLOTS), dtype=np.int8)
     half = SLICE // 2
     for r in merged.toLocalIterator():
-        out[r["table"]][r["slice"] * half : (r["slice"] + 1) * half] = np.frombuffer(r["values"], dtype=np.int16)
+        start = OFFSET[r["table"]] + r["slice"] * half
+        out[start : start + half] = np.frombuffer(r["values"], dtype=np.int8)
     return out
 
 
-def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndarray:
+def segments(size: int) -> Iterator[tuple[int, int]]:
+    """(start, length): 32 bytes, then as many as came before, ``SEGMENT`` at most."""
+    start = 0
+    while start < size:
+        yield start, min(max(start, 32), SEGMENT)
+        start += min(max(start, 32), SEGMENT)
+
+
+def bits_of(texts: list[bytes], code: tuple, logit: np.ndarray) -> np.ndarray:
     """Code length of each text in bits, by the mixer and the map."""
     b = Bytes(texts)
     n, k_all = len(texts), len(CONTEXTS)
     out = np.zeros(n)
-    first, length, nodes, bits = code
-    shifts = _NODE[nodes]
+    first, length, places, bits = code
+    for k in range(k_all):
+        b.hashes[k] += OFFSET[k]
     gates = 2
     weights = np.empty((k_all, n * gates), dtype=np.float32)
     for k in range(k_all):
@@ -257,38 +310,39 @@ def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndar
     middle = 1 / (1 + np.exp(-(np.arange(MAP) - MAP / 2 + 0.5) / 1.5))
     seen = np.full(n * MAP, MAP_PRIOR)
     ones = np.tile(middle * MAP_PRIOR, n)
-    for r in range(0, int(b.sizes.max()), SEGMENT):
+    for r, most in segments(int(b.sizes.max())):
         texts_on = np.flatnonzero(b.sizes > r)
-        span = np.minimum(b.sizes[texts_on] - r, SEGMENT)
+        span = np.minimum(b.sizes[texts_on] - r, most)
+        first_bytes = np.cumsum(span) - span
         owner = np.repeat(texts_on, span)
-        at = np.arange(len(owner)) + np.repeat(b.starts[texts_on] + r - (np.cumsum(span) - span), span)
+        at = np.arange(len(owner)) + np.repeat(b.starts[texts_on] + r - first_bytes, span)
         # What holds for a byte is repeated for each of its bits.
-        symbol = b.symbols[at]
-        times = length[symbol]
+        pair = b.pairs.take(at)
+        times = length.take(pair)
         ends = np.cumsum(times)
+        which = np.repeat(np.arange(len(at)), times)
         path = np.arange(ends[-1])
-        path += np.repeat(first[symbol] - ends + times, times)
-        shift, taken = shifts[path], bits[path]
+        path += (first.take(pair) - ends + times).take(which)
+        place, taken = places.take(path), bits.take(path)
         bit = taken.astype(np.float32)
         s = []
         for k in range(k_all):
-            place = np.repeat(b.hashes[k][at], times)
-            place += shift
-            place &= _MASK[k]
-            s.append(logit[k].take(place).astype(np.float32))
-            s[k] *= 1 / SCALE
-        known = np.abs(s[1]) > 0.05
-        gate = np.repeat(owner * gates, times)
+            path = b.hashes[k].take(at).take(which)
+            path += place
+            s.append(logit.take(path).astype(np.float32))
+        known = s[1] != 0
+        gate = (owner * gates).take(which)
         gate += known
         z = weights[0].take(gate)
         z *= s[0]
         for k in range(1, k_all):
             z += weights[k].take(gate) * s[k]
+        z *= 1 / SCALE
         np.clip(z, -7.9, 7.9, out=z)
         p = np.exp(-z)
         p += 1
         np.reciprocal(p, out=p)
-        cell = np.repeat(owner * MAP, times)
+        cell = (owner * MAP).take(which)
         z *= 1.5
         z += MAP / 2
         cell += z.astype(np.int64)
@@ -296,23 +350,22 @@ def bits_of(texts: list[bytes], code: tuple, logit: list[np.ndarray]) -> np.ndar
         refined *= 0.4
         refined += 0.6 * p
         # The chance of what came: refined for a 1, the rest for a 0.
-        right = np.abs(1 - bit - refined).astype(np.float64)
-        right = np.log2(np.multiply.reduceat(right, ends - times))  # one value per byte
-        first_bytes = np.cumsum(span) - span
-        out[texts_on] -= np.add.reduceat(right, first_bytes)
-        # What this segment teaches is for the next one.
+        right = np.abs(1 - bit - refined)
+        np.log2(right, out=right)
         starts = (ends - times)[first_bytes]
+        out[texts_on] -= np.add.reduceat(right, starts, dtype=np.float64)
+        # What this segment teaches is for the next one.
         error = bit - p
         if_known = known.astype(np.float32)
-        slopes = [error * x for x in s]
-        sums = [np.diff(starts, append=len(bit)), *[np.add.reduceat(x, starts) for x in slopes]]
-        for x in slopes:
-            x *= if_known
-        if_known = [np.add.reduceat(x, starts) for x in (if_known, *slopes)]
-        for g, parts in enumerate(([a - c for a, c in zip(sums, if_known, strict=True)], if_known)):
-            rate = RATE / np.sqrt(np.maximum(parts[0], 1) * (parts[0] + 400.0))
-            for k in range(k_all):
-                weights[k][texts_on * gates + g] += (parts[k + 1] * rate).astype(np.float32)
+        known_error = error * if_known
+        every = np.diff(starts, append=len(bit))
+        of_known = np.add.reduceat(if_known, starts).astype(np.float64)
+        rates = [RATE / SCALE / np.sqrt(np.maximum(m, 1) * (m + 400.0)) for m in (every - of_known, of_known)]
+        for k in range(k_all):
+            whole = np.add.reduceat(error * s[k], starts)
+            part = np.add.reduceat(known_error * s[k], starts)
+            weights[k][texts_on * gates] += ((whole - part) * rates[0]).astype(np.float32)
+            weights[k][texts_on * gates + 1] += (part * rates[1]).astype(np.float32)
         cell *= 2
         cell += taken
         met = np.bincount(cell, minlength=2 * n * MAP).reshape(-1, 2)
@@ -340,11 +393,11 @@ BYTE = " byte "
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(token, n) of all words of a column of texts, of ``STOP`` once per text, and
-    of ``BYTE`` with each byte's number."""
+    of ``BYTE`` with the number of each pair of bytes, the end symbol being one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        codes = np.zeros(256, dtype=np.int64)
+        codes = np.zeros(256 * 256, dtype=np.int64)
         stops = 0
 
         def rows(pairs):
@@ -354,17 +407,18 @@ def vocabulary(texts: DataFrame) -> DataFrame:
             )
 
         for texts in parts_of(batches, COUNT_BYTES):
+            texts = [t.lower() for t in texts]
+            end = bytes([END])
+            whole = np.frombuffer(end + end.join(texts) + end, dtype=np.uint8).astype(np.int64)
+            codes += np.bincount(whole[:-1] << 8 | whole[1:], minlength=256 * 256)
+            stops += len(texts)
             for t in texts:
-                t = t.lower()
                 words.update(t.split())
-                codes += np.bincount(np.frombuffer(t, dtype=np.uint8), minlength=256)
-                stops += 1
                 if len(words) > 200_000:  # what a task holds; sums are made after
                     yield rows([(w.decode("utf-8", "surrogatepass"), n) for w, n in words.items()])
                     words.clear()
-        codes[END] += stops
         pairs = [(w.decode("utf-8", "surrogatepass"), n) for w, n in words.items()]
-        pairs += [(f"{BYTE}{i}", int(n)) for i, n in enumerate(codes) if n]
+        pairs += [(f"{BYTE}{i}", int(codes[i])) for i in np.flatnonzero(codes)]
         yield rows([*pairs, (STOP, stops)] if stops else pairs)
 
     return texts.mapInArrow(work, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
@@ -384,15 +438,15 @@ def score(
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*")
     )
     n_all, v_all = total.first()
-    counts = np.zeros(256, dtype=np.int64)
-    for r in words.where(F.col("token").startswith(BYTE)).collect():  # 256 rows at most
+    counts = np.zeros(256 * 256, dtype=np.int64)
+    for r in words.where(F.col("token").startswith(BYTE)).collect():  # 65,536 rows at most
         counts[int(r["token"][len(BYTE) :])] = r["n"]
     words = words.where(~F.col("token").startswith(BYTE))
     hot = words.orderBy(F.desc("n"), "token").limit(HOT_WORDS)
     known = {r["token"].encode("utf-8", "surrogatepass"): r["n"] for r in hot.collect()}
     stop_known = known.pop(STOP.encode(), 0) or (words.where(F.col("token") == STOP).first() or {"n": 0})["n"]
     least = min(known.values(), default=0)
-    code = huffman(counts)
+    code = trees(counts.reshape(256, 256))
     shared = spark.sparkContext.broadcast((known, code, tables(learn, code)))
     stop_log = float(np.log10(stop_known + 1))
 
