@@ -28,7 +28,7 @@ def route(items: DataFrame, keys: Sequence[str], item: str, table: DataFrame) ->
     """
     covered = table.select(item).distinct().withColumn("_known", F.lit(True))
     return (
-        hot_join(items.select(*keys, item), covered, [item], "left")
+        hot_join(items.select(*keys, item), covered, [item], "left", repeats=True)
         .groupBy(*keys)
         .agg(F.bool_and(F.col("_known").isNotNull()).alias("_all"))
         .select(*keys, F.when(F.col("_all"), "primary").otherwise("fallback").alias("route"))

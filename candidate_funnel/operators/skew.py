@@ -60,23 +60,50 @@ def hot_join(
     on: Sequence[str],
     how: str = "inner",
     hot: DataFrame | bool | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Join ``right`` to ``df``, whose hot keys are spread over several tasks.
 
     Rows of a hot key get a slot from a hash of the whole row, and the rows of
     ``right`` with that key, few by assumption, go to every slot. ``hot`` is
     the ``find_hot`` of ``df`` where several joins share it.
+
+    Equal rows have equal hashes. Where many of them are to be expected,
+    ``repeats`` joins those of hot keys once with their number, at most
+    ``HOT_ROWS`` copies in a slot, and lists them again afterwards.
     """
     on = list(on)
     if hot is False:
         return df.join(right, on, how)
     hot = F.broadcast(hot_keys(df, on) if hot is None else hot)
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    slot = F.pmod(F.xxhash64(*plain), F.col("_slots")).cast("int")
-    salted = df.join(hot, on, "left").withColumn(
-        "_slot", F.when(F.col("_slots").isNull(), 0).otherwise(slot)
-    )
+    if repeats and plain == df.columns:
+        salted = _dealt(df, hot, on)
+    else:
+        slot = F.pmod(F.xxhash64(*plain), F.col("_slots")).cast("int")
+        salted = df.join(hot, on, "left").select(
+            *df.columns, F.when(F.col("_slots").isNull(), 0).otherwise(slot).alias("_slot")
+        )
     every = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
     spread = right.join(hot, on, "left").withColumn("_slot", F.explode(every))
-    joined = salted.drop("_slots").join(spread.drop("_slots"), [*on, "_slot"], how)
-    return joined.drop("_slot")
+    joined = salted.join(spread.drop("_slots"), [*on, "_slot"], how)
+    if "_copies" in salted.columns:
+        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return joined.drop("_slot", "_copies", "_copy")
+
+
+def _dealt(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows with a ``_slot``; equal ones of hot keys as some rows with their ``_copies``."""
+    limit = F.lit(HOT_ROWS)
+    single = df.join(hot, on, "left_anti").select(
+        *df.columns, F.lit(0).alias("_slot"), F.lit(1).cast("bigint").alias("_copies")
+    )
+    # Sums are made before the shuffle, so equal rows leave a task as one.
+    counted = df.join(hot, on).groupBy(*df.columns, "_slots").agg(F.count("*").alias("_n"))
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_n") / limit) - 1))
+    several = counted.withColumn("_part", part).select(
+        *df.columns,
+        F.pmod(F.xxhash64(*df.columns) + F.col("_part"), F.col("_slots")).cast("int").alias("_slot"),
+        F.least(limit.cast("bigint"), F.col("_n") - F.col("_part") * limit).alias("_copies"),
+    )
+    return single.unionByName(several)

@@ -92,7 +92,7 @@ def load(
     known = F.coalesce(F.col("token").isin(*sorted(spec.allowed)), F.lit(False))
     foreign = tokens.where(~known).select("key").distinct()
     for c in spec.compounds:
-        rows = hot_join(rows, foreign.select(F.col("key").alias(c)), [c], "left_anti")
+        rows = hot_join(rows, foreign.select(F.col("key").alias(c)), [c], "left_anti", repeats=True)
     return rows.select(*raw.select(*columns).columns)
 
 
@@ -133,7 +133,7 @@ def restrict_long(
         return df
     known = F.coalesce(F.col(token).isin(*sorted(allowed)), F.lit(False))
     foreign = tokens.where(~known).select(*keys).distinct()
-    return hot_join(df, foreign, keys, "left_anti")
+    return hot_join(df, foreign, keys, "left_anti", repeats=True)
 
 
 def sweep(

@@ -58,6 +58,28 @@ def test_salt_changes_no_result(hot, how):
     assert salted.exceptAll(plain).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_equal_rows_are_spread_too(hot, spark, how):
+    """40,000 equal rows of one key, and rows that are alone, repeated a little or null."""
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    equal = spark.range(0, 40000, 1, 8).select(F.lit(7).alias("key"), F.lit("same").alias("note"))
+    other = spark.range(0, 5000, 1, 4).select(
+        F.when(F.col("id") % 9 > 0, F.col("id") % 40).cast("int").alias("key"), (F.col("id") % 3).cast("string").alias("note")
+    )
+    df = equal.unionByName(other)
+    tops = [0, 3, 50, None] if how == "left_anti" else [0, 3, 7, 50, None]
+    right = spark.createDataFrame([(k,) for k in tops], "key int")
+    right = right if how.startswith("left_") else right.withColumn("top", F.col("key") * 2)
+    salted = skew.hot_join(df, right, ["key"], how, repeats=True)
+    plain = df.join(right, ["key"], how)
+    assert salted.columns == plain.columns
+    assert plain.count() == salted.count() > 40000
+    assert plain.exceptAll(salted).count() == 0
+    used = salted.where("note = 'same'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(used) >= 20
+    assert max(r["count"] for r in used) <= 4000
+
+
 def test_cluster_folder_comes_first(spark, monkeypatch):
     root = session.checkpoint_root(spark)
     assert root == spark.sparkContext.getCheckpointDir()
