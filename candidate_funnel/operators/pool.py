@@ -27,8 +27,10 @@ def route(items: DataFrame, keys: Sequence[str], item: str, table: DataFrame) ->
     ``table`` holds the covered items, one row each.
     """
     covered = table.select(item).distinct().withColumn("_known", F.lit(True))
+    # The item may be one of the keys; a column named twice cannot be joined.
+    columns = dict.fromkeys([*keys, item])
     return (
-        hot_join(items.select(*keys, item), covered, [item], "left", repeats=True)
+        hot_join(items.select(*columns), covered, [item], "left", repeats=True)
         .groupBy(*keys)
         .agg(F.bool_and(F.col("_known").isNotNull()).alias("_all"))
         .select(*keys, F.when(F.col("_all"), "primary").otherwise("fallback").alias("route"))

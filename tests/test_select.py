@@ -111,6 +111,13 @@ def test_expand_is_reproducible(spark):
     assert len({r.seed for r in first}) == 3
 
 
+def test_route_by_items_that_are_the_keys(spark):
+    items = spark.createDataFrame([(1,), (1,), (2,), (3,)], "key int")
+    known = spark.createDataFrame([(1,), (3,)], "key int")
+    routes = pool.route(items, ["key"], "key", known)
+    assert {r.key: r.route for r in routes.collect()} == {1: "primary", 2: "fallback", 3: "primary"}
+
+
 def test_route_is_all_or_nothing(spark):
     items = spark.createDataFrame(
         [("a", 6), ("a", 8), ("b", 6), ("b", 5), ("c", 5)], "key string, element int"
