@@ -34,7 +34,7 @@ from candidate_funnel.operators.neighbours import (
     with_cells,
 )
 from candidate_funnel.operators.select import rank
-from candidate_funnel.operators.skew import keyed, largest_group
+from candidate_funnel.operators.skew import keyed, largest_group, shuffled
 from candidate_funnel.session import cut, discard
 
 # Share of the open rows that regions must tell for a round over tiles to wait.
@@ -191,12 +191,12 @@ def keep_in_rounds(
     while largest_group(state, keys) > limit:
         earliest = near.reach(state.withColumn("value", F.col("pos")), "min")
         first = (F.col("value") == F.col("pos")).cast("bigint").alias("value")
-        marked = cut(state.join(earliest.select(*spot, first), spot))
+        marked = cut(state.join(shuffled(earliest.select(*spot, first)), spot))
         kept.append(marked.where("value = 1").drop("value"))
         if kept[-1].isEmpty():
             raise RuntimeError("no row comes before all its neighbours; ids or positions repeat")
         untouched = near.reach(marked, "max").where("value = 0").select(*spot)
-        before, state = state, cut(marked.drop("value").join(untouched, spot, "left_semi"))
+        before, state = state, cut(marked.drop("value").join(shuffled(untouched), spot, "left_semi"))
         if before is not given:
             discard(before)
     return [*kept, cut(_follow(state, keys, "pos", state.schema, decide, pairs, metric))]
@@ -222,7 +222,7 @@ def keep_in_prefixes(
     while low < last:
         part = state.where((F.col("pos") > low) & (F.col("pos") <= high))
         if kept:
-            part = cut(part.join(near.touch(part, _any(kept)), [*keys, "pos"], "left_anti"))
+            part = cut(part.join(shuffled(near.touch(part, _any(kept))), [*keys, "pos"], "left_anti"))
         kept += keep_in_rounds(part, keys, near, decide, pairs, limit, metric)
         low, high = high, high * PREFIX_GROWTH
     return _any(kept).select(*keys, "pos")
@@ -319,7 +319,7 @@ def cluster_in_rounds(
             n_told = told.count()
             if n_told:
                 done.append(told)
-                before, state = state, cut(state.join(told, spot, "left_anti"))
+                before, state = state, cut(state.join(shuffled(told), spot, "left_anti"))
                 if before is not given:
                     discard(before)
             n_open -= n_told
@@ -329,18 +329,18 @@ def cluster_in_rounds(
         count = near.reach(state.withColumn("value", F.col("weight")), "sum")
         priority = F.shiftleft(F.col("value"), shift).bitwiseOR(F.lit(last) - F.col("pos"))
         ranked = cut(count.select(*spot, priority.alias("priority")))
-        one_step = near.reach(state.join(ranked.withColumnRenamed("priority", "value"), spot), "max")
-        two_steps = near.reach(state.join(one_step, spot), "max").join(ranked, spot)
+        one_step = near.reach(state.join(shuffled(ranked.withColumnRenamed("priority", "value")), spot), "max")
+        two_steps = near.reach(state.join(shuffled(one_step), spot), "max").join(shuffled(ranked), spot)
         chosen = F.when(F.col("value") == F.col("priority"), F.col("pos")).otherwise(F.lit(none))
         centres = cut(two_steps.select(*spot, chosen.alias("value")))
-        taken = cut(near.reach(state.join(centres, spot), "min"))
+        taken = cut(near.reach(state.join(shuffled(centres), spot), "min"))
         done.append(
             taken.where(F.col("value") < none).select(*spot, F.col("value").alias("centre"))
         )
         if done[-1].isEmpty():
             raise RuntimeError("no row outranks its neighbours; ids or positions repeat")
         rest = taken.where(F.col("value") == none).select(*spot)
-        before, state = state, cut(state.join(rest, spot, "left_semi"))
+        before, state = state, cut(state.join(shuffled(rest), spot, "left_semi"))
         if near.gather is not None:
             n_open = state.count()
         discard(ranked, centres)
@@ -424,7 +424,7 @@ def keep_first(
             ends = cut(ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b")))
             near, decide = by_pairs(ends, keys), _keeper(replace(likeness, ident="pos", score=None))
         kept = keep_in_prefixes(state, keys, near, decide, ends, group_limit, metric)
-        result = result.unionByName(placed.join(kept, [*keys, "pos"], "left_semi"))
+        result = result.unionByName(placed.join(shuffled(kept), [*keys, "pos"], "left_semi"))
     result = result.drop("pos")
     return result if odd is None else result.unionByName(odd)
 
@@ -470,17 +470,17 @@ def leader_cluster(
             state = _celled(first, keys, gate, coords, None, group_limit, metric)
             near = by_distance(keys, gate, coords, None, group_limit, metric)
             centres = cluster_in_rounds(state, keys, near, decide, None, group_limit, metric)
-            spots = state.join(centres, [*keys, "pos"]).select(*keys, coords, "centre")
-            members = placed.join(spots, [*keys, coords])
+            spots = state.join(shuffled(centres), [*keys, "pos"]).select(*keys, coords, "centre")
+            members = placed.join(shuffled(spots), [*keys, coords])
         else:
             state = cut(placed.select(*keys, "pos", heavy.alias("weight")))
             ends = _present(near_pairs, placed, keys, ident)
             ends = cut(ends.select(*keys, F.col("pos_a").alias("a"), F.col("pos_b").alias("b")))
             near = by_pairs(ends, keys)
             centres = cluster_in_rounds(state, keys, near, decide, ends, group_limit)
-            members = placed.join(centres, [*keys, "pos"])
+            members = placed.join(shuffled(centres), [*keys, "pos"])
         names = placed.select(*keys, F.col("pos").alias("centre"), F.col(ident).alias("cluster_id"))
-        result = result.unionByName(members.join(names, [*keys, "centre"]).drop("centre"))
+        result = result.unionByName(members.join(shuffled(names), [*keys, "centre"]).drop("centre"))
     result = result.drop("pos")
     if odd is None:
         return result

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candidate_funnel.functions.scalars import finite, squared_norm
-from candidate_funnel.operators.skew import hot_join, keyed, largest_group
+from candidate_funnel.operators.skew import hot_join, keyed, largest_group, shuffled
 from candidate_funnel.session import cut
 
 # Rows of one key (or one block of a large key) that a single task compares.
@@ -313,8 +313,10 @@ def touching_cells(
         .withColumnsRenamed({"_cell": "_cell_a", "_blocks": "_blocks_a"})
         .withColumn("_cell_b", F.explode(shifted))
         .join(
-            _cells(df if itself else against, keys, block_rows).withColumnsRenamed(
-                {"_cell": "_cell_b", "_blocks": "_blocks_b"}
+            shuffled(
+                _cells(df if itself else against, keys, block_rows).withColumnsRenamed(
+                    {"_cell": "_cell_b", "_blocks": "_blocks_b"}
+                )
             ),
             [*keys, "_cell_b"],
         )
@@ -369,11 +371,11 @@ def tiles(
     side_b = side("_cell_b", "_blocks_b", "_blocks_a", False)
     if itself:
         outer = side_b.where(F.col("_cell_a") != F.col("_cell_b"))
-        member = hot_join(placed_a, side_a.unionByName(outer), [*keys, "_cell"])
+        member = hot_join(placed_a, side_a.unionByName(outer), [*keys, "_cell"], grows=True)
         inner = F.col("_cell_a") == F.col("_cell_b")
     else:
-        member = hot_join(placed_a, side_a, [*keys, "_cell"]).unionByName(
-            hot_join(placed_b, side_b, [*keys, "_cell"])
+        member = hot_join(placed_a, side_a, [*keys, "_cell"], grows=True).unionByName(
+            hot_join(placed_b, side_b, [*keys, "_cell"], grows=True)
         )
         inner = F.lit(False)
     own, other, leads = F.col("_block"), F.col("_partner"), F.col("_first")
@@ -513,8 +515,8 @@ def regions(df: DataFrame, keys: Sequence[str], lanes: int, shifted: bool) -> Da
     placed = cut(placed.withColumn("_core", F.col("_own") == F.col("_region")).drop("_own", "_factor"))
     sizes = placed.groupBy(*keys, "_region").agg(F.sum("_rows").alias("_n"), F.max("_core").alias("_held"))
     fitting = sizes.where((F.col("_n") <= REGION_ROWS) & F.col("_held")).select(*keys, "_region")
-    chosen = hot_join(placed.drop("_rows"), fitting, [*keys, "_region"], "left_semi")
-    return hot_join(df, chosen, [*keys, "_cell"])
+    chosen = hot_join(placed.drop("_rows"), fitting, [*keys, "_region"], "left_semi", grows=True)
+    return hot_join(df, chosen, [*keys, "_cell"], grows=True)
 
 
 @dataclass(frozen=True)

@@ -54,6 +54,15 @@ def find_hot(df: DataFrame, on: Sequence[str]) -> DataFrame | bool:
     return False if found.isEmpty() else found
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Never broadcast this side of a join, however small it is at the moment.
+
+    For tables that grow with the rows and are joined round by round: each
+    broadcast passes the driver, and their sum would follow the input.
+    """
+    return df.hint("merge")
+
+
 def hot_join(
     df: DataFrame,
     right: DataFrame,
@@ -61,6 +70,7 @@ def hot_join(
     how: str = "inner",
     hot: DataFrame | bool | None = None,
     repeats: bool = False,
+    grows: bool = False,
 ) -> DataFrame:
     """Join ``right`` to ``df``, whose hot keys are spread over several tasks.
 
@@ -71,10 +81,13 @@ def hot_join(
     Equal rows have equal hashes. Where many of them are to be expected,
     ``repeats`` joins those of hot keys once with their number, at most
     ``HOT_ROWS`` copies in a slot, and lists them again afterwards.
+
+    ``grows`` is for a ``right`` that grows with the rows: see ``shuffled``.
     """
     on = list(on)
+    whole = shuffled if grows else (lambda table: table)
     if hot is False:
-        return df.join(right, on, how)
+        return df.join(whole(right), on, how)
     hot = F.broadcast(hot_keys(df, on) if hot is None else hot)
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     if repeats and plain == df.columns:
@@ -86,7 +99,7 @@ def hot_join(
         )
     every = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
     spread = right.join(hot, on, "left").withColumn("_slot", F.explode(every))
-    joined = salted.join(spread.drop("_slots"), [*on, "_slot"], how)
+    joined = salted.join(whole(spread.drop("_slots")), [*on, "_slot"], how)
     if "_copies" in salted.columns:
         joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return joined.drop("_slot", "_copies", "_copy")

@@ -105,3 +105,14 @@ def test_cluster_folder_comes_first(spark, monkeypatch):
         session.checkpoint_root(Session())
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared/cuts"}
     assert session.checkpoint_root(Session()) == "hdfs://shared/cuts"
+
+
+@pytest.mark.parametrize("hot", [None, False])
+def test_a_table_that_grows_with_the_rows_is_never_broadcast(spark, hot):
+    rows = spark.range(100).select((F.col("id") % 10).alias("key"), "id")
+    few = spark.range(5).select(F.col("id").alias("key"))
+    joined = skew.hot_join(rows, few, ["key"], "left_semi", hot=hot, grows=True)
+    assert joined.count() == 50
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert hot is None or "BroadcastHashJoin" not in plan
