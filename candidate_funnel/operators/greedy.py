@@ -312,6 +312,9 @@ def cluster_in_rounds(
     done = []
     given = state
     shifted, n_open = False, state.count() if near.gather else 0
+    if near.held is not None and largest_group(state, keys) > limit:
+        # Measuring is the dear part of a round, and no pair changes between rounds.
+        near = near.held(state)
     while largest_group(state, keys) > limit:
         if near.gather is not None:
             told = cut(settle(state, keys, near, shifted))

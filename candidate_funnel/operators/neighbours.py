@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candidate_funnel.functions.scalars import finite, squared_norm
-from candidate_funnel.operators.skew import hot_join, keyed, largest_group, shuffled
+from candidate_funnel.operators.skew import find_hot, hot_join, keyed, largest_group, shuffled
 from candidate_funnel.session import cut
 
 # Rows of one key (or one block of a large key) that a single task compares.
@@ -530,11 +530,14 @@ class Neighbourhood:
     ``gather(df, shifted, run, schema)``, where there is one, runs ``run(rows,
     near)`` on regions of bounded size that cover the rows; ``_core`` tells the
     rows of a region whose neighbours are all there.
+    ``held(df)``, where there is one, measures all pairs of ``df`` once: the
+    ``reach`` it returns serves the same rows, or what is left of them.
     """
 
     reach: Callable[[DataFrame, str], DataFrame]
     touch: Callable[[DataFrame, DataFrame], DataFrame]
     gather: Callable[[DataFrame, bool, Callable, T.StructType], DataFrame] | None = None
+    held: Callable[[DataFrame], Neighbourhood] | None = None
 
 
 def by_distance(
@@ -603,9 +606,94 @@ def by_distance(
         spread = regions(df.select(*carried, *columns), keys, gate.lanes, shifted)
         return grouped(spread, [*keys, "_region"], local, schema)
 
+    def held(df: DataFrame) -> Neighbourhood:
+        def measure(table: pa.Table, symmetry: pa.Table | None) -> pa.Table:
+            a, b, same = _sides(table)
+            near = np.zeros((a.num_rows, b.num_rows), dtype=bool)
+            if a.num_rows and b.num_rows:
+                near = near_rows(a, b, same, gate, coords, score, metric, symmetry)
+            # Only rows and columns with a neighbour are written, a bit for each pair.
+            own, other = near.any(axis=1), near.any(axis=0)
+            columns = {c: table[c].slice(0, int(near.any())) for c in (*keys, *TILE)}
+            if near.any():
+                for name, rows, some in (("_pos_a", a, own), ("_pos_b", b, other)):
+                    columns[name] = pa.array([numbers(rows["pos"])[some]], pa.list_(pa.int64()))
+                columns["_near"] = pa.array([np.packbits(near[own][:, other]).tobytes()], pa.binary())
+            else:
+                columns |= {c: pa.array([], pa.list_(pa.int64())) for c in ("_pos_a", "_pos_b")}
+                columns["_near"] = pa.array([], pa.binary())
+            return pa.table(columns)
+
+        listed = T.ArrayType(T.LongType())
+        cell = df.schema["_cell"].dataType
+        named = [*[df.schema[k] for k in keys], T.StructField("_cell_a", cell), T.StructField("_block_a", T.IntegerType())]
+        named += [T.StructField("_cell_b", cell), T.StructField("_block_b", T.IntegerType())]
+        named += [T.StructField(c, listed) for c in ("_pos_a", "_pos_b")]
+        schema = T.StructType([*named, T.StructField("_near", T.BinaryType())])
+        blocks = cut(_cells(df, keys, block_rows))
+        hot = find_hot(df, [*keys, "_cell"])
+        measured = cut(compared(df.select(*carried), measure, schema))
+        return Neighbourhood(lambda rows, how: _recall(rows, how, keys, measured, blocks, hot), touch)
+
     # What a metric needs of a key is sent to tiles only.
     local = metric is None or metric.symmetry is None
-    return Neighbourhood(reach, touch, gather if local else None)
+    return Neighbourhood(reach, touch, gather if local else None, None if local else held)
+
+
+def _recall(
+    df: DataFrame, how: str, keys: list[str], measured: DataFrame, blocks: DataFrame, hot: DataFrame | bool
+) -> DataFrame:
+    """``reach`` over tiles that are measured already; rows gone since count for nothing."""
+    fold, blank = FOLDS[how]
+    block = F.pmod(F.xxhash64("pos"), F.col("_blocks")).cast("int").alias("_block")
+    placed = hot_join(df.select(*keys, "pos", "_cell", "value"), blocks, [*keys, "_cell"], hot=hot, grows=True)
+    packed = placed.select(*keys, "_cell", block, F.struct("pos", "value").alias("_row"))
+    # A block holds a bounded number of rows, so its values travel as one row.
+    packed = packed.groupBy(*keys, "_cell", "_block").agg(F.collect_list("_row").alias("_rows"))
+    tiled = measured
+    for side in ("_a", "_b"):
+        values = packed.select(
+            *keys, *[F.col(c).alias(c + side) for c in ("_cell", "_block", "_rows")]
+        )
+        tiled = tiled.join(shuffled(values), [*keys, "_cell" + side, "_block" + side])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(column: pa.Array, field: str | None = None) -> list[np.ndarray]:
+            flat = column.values if field is None else column.values.field(field)
+            return np.split(flat.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[1:-1])
+
+        def values_of(pos: np.ndarray, given: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(given)
+            at = order[np.minimum(np.searchsorted(given, pos, sorter=order), len(given) - 1)]
+            there = given[at] == pos
+            return there, np.where(there, values[at], blank)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos = {side: lists(batch["_pos" + side]) for side in ("_a", "_b")}
+            rows = {side: (lists(batch["_rows" + side], "pos"), lists(batch["_rows" + side], "value")) for side in pos}
+            cells = [batch[c].to_pylist() for c in TILE]
+            same = [t[:2] == t[2:] for t in zip(*cells, strict=True)]
+            for n in range(batch.num_rows):
+                a, b = pos["_a"][n], pos["_b"][n]
+                bits = np.frombuffer(batch["_near"][n].as_py(), dtype=np.uint8)
+                near = np.unpackbits(bits, count=len(a) * len(b)).reshape(len(a), len(b)).astype(bool)
+                open_a, value_a = values_of(a, rows["_a"][0][n], rows["_a"][1][n])
+                open_b, value_b = values_of(b, rows["_b"][0][n], rows["_b"][1][n])
+                sides = [(a, open_a, near, value_b)]
+                if not same[n]:
+                    sides.append((b, open_b, near.T, value_a))
+                for own, there, within, values in sides:
+                    if there.any():
+                        folded = fold(np.where(within[there], values[None, :], blank), axis=1)
+                        columns = [batch[k].take(pa.array(np.full(len(folded), n))) for k in keys]
+                        columns += [pa.array(own[there], pa.int64()), pa.array(folded, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pos", "value"])
+
+    schema = T.StructType([*[df.schema[k] for k in keys], df.schema["pos"], T.StructField("value", T.LongType())])
+    partial = tiled.select(*measured.columns, "_rows_a", "_rows_b").mapInArrow(run, schema)
+    return partial.groupBy(*keys, "pos").agg(AGGREGATES[how]("value").alias("value"))
 
 
 def by_pairs(pairs: DataFrame, keys: Sequence[str]) -> Neighbourhood:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from candidate_funnel.operators import alignment, graph
 from candidate_funnel.operators.alignment import BestRmsd, Orders, best_rmsd, in_range, matched, pack_symmetry
 from candidate_funnel.operators.greedy import keep_first, leader_cluster
-from candidate_funnel.operators.neighbours import Gate
+from candidate_funnel.operators.neighbours import Gate, by_distance, with_cells
 from candidate_funnel.plans.funnel import guarded_symmetry, run_funnel
+from candidate_funnel.session import cut
 
 SCHEMA = "key string, cand_id bigint, score double, coords array<double>"
 
@@ -154,3 +155,23 @@ def test_misfit_mappings_cost_their_key_only(spark):
 def test_swaps_beyond_the_matrix_are_a_misfit(spark):
     atoms = spark.createDataFrame([(3, [[0, 1, 2]], [[1, 2]]), (3, [[0, 1, 2]], [[1, 3]]), (3, None, None)], "n int, _perms array<array<int>>, _swaps array<array<int>>")
     assert [r[0] for r in atoms.select(alignment.fits(F.col("n"))).collect()] == [True, False, True]
+
+
+def test_pairs_measured_once_serve_all_rounds(spark):
+    """Values reach the same neighbours as with measuring, also after rows have gone."""
+    rng = np.random.default_rng(11)
+    rows = [("k", n, 0.0, rng.normal(size=6).tolist()) for n in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("pos", F.col("cand_id") + 1)
+    maps = spark.createDataFrame([("k", [0, 1]), ("k", [1, 0])], "key string, perm array<int>")
+    metric = BestRmsd("coords", 3, False, pack_symmetry(["key"], maps))
+    gate = Gate(1.0, dims=3)
+    indexed = df.withColumn("_index", metric.index())
+    state = cut(with_cells(indexed, ["key"], metric.index_gate(gate), "_index", block_rows=32))
+    near = by_distance(["key"], gate, "coords", None, 32, metric)
+    kept = near.held(state)
+    for left in (state, state.where("pos % 3 <> 0")):
+        valued = left.withColumn("value", F.col("pos") * 7)
+        for how in ("max", "sum"):
+            want = {r.pos: r.value for r in near.reach(valued, how).collect()}
+            got = {r.pos: r.value for r in kept.reach(valued, how).collect()}
+            assert len(got) == left.count() and got == want
