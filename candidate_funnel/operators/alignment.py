@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import atom_radii, axis_sorted
+from candidate_funnel.operators.neighbours import GROUP_LIMIT as PAIR_LIMIT
 from candidate_funnel.operators.neighbours import Gate, Metric, matrix, near_pairs, numbers, pair_rmsd
+from candidate_funnel.session import cut
 
-# Rows of a key (or block of one) per task: comparing takes one decomposition
-# per pair and mapping, so tasks are smaller than for plain distances. Keys of
-# the usual pool size (500) stay whole.
+# Rows of a key (or block of one) per task under ``BestRmsd``: comparing takes
+# some steps per pair and mapping, so tasks are smaller than for plain distances.
+# Keys of the usual pool size (500) stay whole.
 GROUP_LIMIT = 512
 
 # Pairs measured at a time inside a task.
@@ -36,6 +38,21 @@ INDEX_SLACK = 1e-9
 PIVOTS = 6
 PIVOT_PAIRS = 3
 
+# Share of a block's pairs from which on matrix products over the whole block
+# are cheaper than its pairs one by one.
+DENSE = 1 / 16
+
+# The largest overlap is taken from its quartic where the root is a simple one
+# and the distance no small difference of large numbers; the decomposition does
+# the rest. All three are relative, the last is the change a step may still make.
+SIMPLE_ROOT = 1e-2
+LEAST_REST = 1e-2
+SETTLED = 1e-14
+STEPS = 24
+
+# Headroom of the bounds that spare pairs, for rounding.
+SPARE_SLACK = 1e-9
+
 # Sets of exchangeable atoms are matched over all their subsets.
 LARGEST_SWAP = 14
 
@@ -43,15 +60,13 @@ LARGEST_SWAP = 14
 GROUP_ORDERS = 64
 
 
-def aligned_rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """RMSD of each pair after moving ``b`` onto ``a``; shapes (P, N, 3).
+def moved_rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """RMSD of each pair of centred structures after turning ``b`` onto ``a``.
 
     The rotation comes from a singular value decomposition (Kabsch 1976); its
     last axis is flipped where it would be a reflection. Distances are taken
     from the moved atoms, which keeps near-zero values accurate.
     """
-    a = a - a.mean(axis=1, keepdims=True)
-    b = b - b.mean(axis=1, keepdims=True)
     u, _, vt = np.linalg.svd(np.einsum("pni,pnj->pij", b, a))
     flip = np.ones((len(a), 1, 3))
     flip[:, 0, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
@@ -59,6 +74,58 @@ def aligned_rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - moved) ** 2).sum(axis=(1, 2)) / a.shape[1])
 
 
+def overlap_rmsd(
+    h: np.ndarray,
+    size_a: np.ndarray,
+    size_b: np.ndarray,
+    atoms: int,
+    measure: Callable[[np.ndarray], np.ndarray],
+) -> np.ndarray:
+    """RMSD of pairs from their products of axes ``h`` (3, 3, P) and sums of squares.
+
+    The overlap under the best rotation is the largest root of a quartic whose
+    coefficients are the norm, the determinant and the cofactors of ``h`` (Horn
+    1987, Theobald 2005). All its roots are real, so Newton's steps from a bound
+    above go down to the largest one. ``measure`` takes the pairs (by number)
+    for which that would lose digits.
+    """
+    norm = np.sqrt(np.einsum("ijp,ijp->p", h, h))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        (a, b, c), (d, e, f), (g, i, j) = h / norm
+        rows = (e * j - f * i, f * g - d * j, d * i - e * g)
+        minors = sum(m * m for m in rows)
+        minors += sum(m * m for m in (b * j - c * i, a * j - c * g, a * i - b * g))
+        minors += sum(m * m for m in (b * f - c * e, a * f - c * d, a * e - b * d))
+        slope = -8.0 * (a * rows[0] + b * rows[1] + c * rows[2])
+        start = 1.0 - 4.0 * minors
+        root = np.full(h.shape[2], np.sqrt(3.0))
+        for _ in range(STEPS):
+            square = root * root
+            rise = 4.0 * root * (square - 1.0) + slope
+            change = ((square - 2.0) * square + slope * root + start) / rise
+            root -= change
+            if not (np.abs(change) > SETTLED).any():
+                break
+        whole = size_a + size_b
+        rest = whole - 2.0 * norm * root
+        # Written so that what is no number is measured, too.
+        safe = (rise > SIMPLE_ROOT) & (np.abs(change) <= SETTLED) & (rest > LEAST_REST * whole)
+        out = np.sqrt(rest / atoms)
+    doubtful = np.nonzero(~safe)[0]
+    if len(doubtful):
+        out[doubtful] = measure(doubtful)
+    return out
+
+
+def aligned_rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """RMSD of each pair after moving ``b`` onto ``a``; shapes (P, N, 3)."""
+    a = a - a.mean(axis=1, keepdims=True)
+    b = b - b.mean(axis=1, keepdims=True)
+    h = (a.transpose(0, 2, 1) @ b).transpose(1, 2, 0)
+    size_a, size_b = (np.einsum("pni,pni->p", v, v) for v in (a, b))
+    return overlap_rmsd(h, size_a, size_b, a.shape[1], lambda at: moved_rmsd(a[at], b[at]))
+
+
 @dataclass(frozen=True)
 class Orders:
     """The mappings of one key: ``perms`` (one order per row) times free ``swaps``."""
@@ -150,6 +217,51 @@ def best_rmsd(a: np.ndarray, b: np.ndarray, orders: Orders, align: bool) -> np.n
     return best
 
 
+def block_rmsd(
+    x: np.ndarray, y: np.ndarray, orders: Orders, align: bool, near: np.ndarray, limit: float
+) -> np.ndarray:
+    """Best RMSD of the ``near`` pairs of rows of ``x`` and ``y``, as a matrix.
+
+    Pairs that are not near or that a bound shows to be out of the ``limit`` stay
+    at infinity. Bounds come from matrix products over the whole block.
+    """
+    best = np.full(near.shape, np.inf)
+    if near.mean() < DENSE or not align:
+        i, j = np.nonzero(near)
+        for at in chunks(len(i)):
+            best[i[at], j[at]] = best_rmsd(x[i[at]], y[j[at]], orders, align)
+    else:
+        _turned(x, y, orders, near, limit, best)
+    return best
+
+
+def _turned(
+    x: np.ndarray, y: np.ndarray, orders: Orders, near: np.ndarray, limit: float, best: np.ndarray
+) -> None:
+    """Distances after the best motion, put into ``best``.
+
+    No overlap exceeds the square root of three times the norm of the products
+    of axes, which settles most pairs that are out of range.
+    """
+    atoms = x.shape[1]
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    size_x, size_y = (np.einsum("pni,pni->p", v, v) for v in (x, y))
+    room = atoms * limit**2 * (1 + SPARE_SLACK)
+    # Twice the overlap that a pair in range has at least.
+    needed = np.maximum((size_x - room)[:, None] + size_y[None, :], 0.0) ** 2
+    needed *= (1 - SPARE_SLACK) / 12.0
+    axes = np.ascontiguousarray(x.transpose(2, 0, 1))[:, None]
+    for order in orders.each():
+        turned = y[:, order]
+        h = axes @ np.ascontiguousarray(turned.transpose(2, 1, 0))[None]
+        i, j = np.nonzero(near & (np.einsum("ijkl,ijkl->kl", h, h) >= needed))
+        if len(i):
+            dist = overlap_rmsd(
+                h[:, :, i, j], size_x[i], size_y[j], atoms, lambda at: moved_rmsd(x[i[at]], turned[j[at]])
+            )
+            best[i, j] = np.minimum(best[i, j], dist)
+
+
 def chunks(n: int) -> Iterator[np.ndarray]:
     for start in range(0, n, CHUNK_PAIRS):
         yield np.arange(start, min(start + CHUNK_PAIRS, n))
@@ -287,7 +399,7 @@ def pair_best_rmsd(
     coords: str = "coords",
     dims: int = 3,
     bound: int | None = None,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int = PAIR_LIMIT,
     swaps: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs ``(keys, a, b, dist)``, ``a < b``, whose best RMSD is in range.
@@ -304,15 +416,17 @@ def pair_best_rmsd(
         return pair_rmsd(df, keys, ident, coords, max_dist, dims, bound)
     metric = BestRmsd(coords, dims, align, pack_symmetry(keys, mappings, swaps))
 
-    def measure(
-        a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, symmetry: pa.Table | None
-    ) -> np.ndarray:
+    def measure(a: pa.Table, b: pa.Table, symmetry: pa.Table | None) -> Callable:
         x, y = (matrix(t[coords]).reshape(t.num_rows, -1, dims) for t in (a, b))
         orders = Orders.of(symmetry, x.shape[1])
-        parts = [best_rmsd(x[i[at]], y[j[at]], orders, align) for at in chunks(len(i))]
-        return np.concatenate(parts)
 
-    rows = df.select(*keys, ident, coords, metric.index().alias("_index"))
+        def block(rows: slice, columns: slice, near: np.ndarray) -> np.ndarray:
+            return block_rmsd(x[rows], y[columns], orders, align, near, max_dist)
+
+        return block
+
+    # Written out: sizes, cells and tiles all read the index, which is dear to work out.
+    rows = cut(df.select(*keys, ident, coords, metric.index().alias("_index")))
     gate = metric.index_gate(Gate(max_dist, dims=dims))
     return near_pairs(
         rows, keys, ident, "_index", gate, measure, max_dist, metric.symmetry, bound, group_limit

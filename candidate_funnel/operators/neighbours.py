@@ -30,6 +30,9 @@ GROUP_LIMIT = 2048
 # Pairs whose differences are held at a time.
 SLICE_PAIRS = 65_536
 
+# Pairs of a tile that are looked at together; some matrices of them are held.
+BLOCK_PAIRS = 131_072
+
 # Factors by which thinly filled cells are merged.
 MERGES = (1, 2, 4, 8, 16, 32, 64)
 
@@ -723,7 +726,7 @@ def near_pairs(
     ident: str,
     index: str,
     gate: Gate,
-    measure: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray, pa.Table | None], np.ndarray],
+    measure: Callable[[pa.Table, pa.Table, pa.Table | None], Callable[[slice, slice, np.ndarray], np.ndarray]],
     max_dist: float,
     per_key: DataFrame | None = None,
     bound: int | None = None,
@@ -732,8 +735,10 @@ def near_pairs(
     """Pairs ``(keys, a, b, dist)``, ``a < b``, with a measured distance in range.
 
     ``gate`` on the ``index`` vectors picks the pairs to measure and must let
-    every pair in range pass. ``measure`` gets the rows of both sides, the row
-    numbers of each pair, and the rows of ``per_key`` of that key.
+    every pair in range pass. ``measure`` gets the rows of both sides and the rows
+    of ``per_key`` of that key. It returns a function from a block (its rows, its
+    columns, which of its pairs to measure) to the matrix of their distances;
+    others are infinite.
     """
     keys = list(keys)
     # A vector with a gap or without a finite value is near nothing.
@@ -748,14 +753,22 @@ def near_pairs(
     )
 
     def emit(a: pa.Table, b: pa.Table, same: bool, extra: pa.Table | None = None) -> pa.Table:
-        i = j = np.empty(0, dtype=np.int64)
-        dist = np.empty(0)
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
         if a.num_rows and b.num_rows:
-            near = alike(matrix(a[index]), matrix(b[index]), gate)
-            i, j = np.nonzero(np.triu(near, 1) if same else near)
-        if len(i):
-            dist = measure(a, b, i, j, extra)
-            i, j, dist = (v[dist <= max_dist] for v in (i, j, dist))
+            x, y = matrix(a[index]), matrix(b[index])
+            distances = measure(a, b, extra)
+            step = max(1, BLOCK_PAIRS // b.num_rows)
+            for start in range(0, a.num_rows, step):
+                # Compared with itself, a row meets those behind it only.
+                first = start if same else 0
+                rows, columns = slice(start, start + step), slice(first, b.num_rows)
+                near = alike(x[rows], y[columns], gate)
+                near = np.triu(near, 1) if same else near
+                if near.any():
+                    dist = distances(rows, columns, near)
+                    i, j = np.nonzero(dist <= max_dist)
+                    found.append((i + start, j + first, dist[i, j]))
+        i, j, dist = (np.concatenate(v) for v in zip(*found, strict=True))
         left, right = numbers(a[ident])[i], numbers(b[ident])[j]
         columns = {k: a[k].take(pa.array(i)) for k in keys}
         columns["a"] = pa.array(np.minimum(left, right), pa.int64())
@@ -793,8 +806,16 @@ def pair_rmsd(
     ``structures`` of the candidates when copies may be frequent.
     """
 
-    def measure(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, _: None) -> np.ndarray:
-        return rmsd(matrix(a[coords]), matrix(b[coords]), i, j, dims)
+    def measure(a: pa.Table, b: pa.Table, _: None) -> Callable[[slice, slice, np.ndarray], np.ndarray]:
+        x, y = matrix(a[coords]), matrix(b[coords])
+
+        def block(rows: slice, columns: slice, near: np.ndarray) -> np.ndarray:
+            dist = np.full(near.shape, np.inf)
+            i, j = np.nonzero(near)
+            dist[i, j] = rmsd(x[rows], y[columns], i, j, dims)
+            return dist
+
+        return block
 
     gate = Gate(max_dist, dims=dims)
     rows = df.select(*keys, ident, coords)
