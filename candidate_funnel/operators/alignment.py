@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import atom_radii, axis_sorted
 from candidate_funnel.operators.neighbours import GROUP_LIMIT as PAIR_LIMIT
-from candidate_funnel.operators.neighbours import Gate, Metric, matrix, near_pairs, numbers, pair_rmsd
+from candidate_funnel.operators.neighbours import Gate, Metric, matrix, near_pairs, numbers, pair_rmsd, rmsd
 from candidate_funnel.session import cut
 
 # Rows of a key (or block of one) per task under ``BestRmsd``: comparing takes
@@ -226,12 +226,14 @@ def block_rmsd(
     at infinity. Bounds come from matrix products over the whole block.
     """
     best = np.full(near.shape, np.inf)
-    if near.mean() < DENSE or not align:
+    if near.mean() < DENSE or (orders.swaps and not align):
         i, j = np.nonzero(near)
         for at in chunks(len(i)):
             best[i[at], j[at]] = best_rmsd(x[i[at]], y[j[at]], orders, align)
-    else:
+    elif align:
         _turned(x, y, orders, near, limit, best)
+    else:
+        _fixed(x, y, orders, near, limit, best)
     return best
 
 
@@ -262,6 +264,34 @@ def _turned(
             best[i, j] = np.minimum(best[i, j], dist)
 
 
+def _fixed(
+    x: np.ndarray, y: np.ndarray, orders: Orders, near: np.ndarray, limit: float, best: np.ndarray
+) -> None:
+    """Distances in a fixed frame, put into ``best``.
+
+    Products tell which pairs a mapping may bring into range, and nearer than the
+    mappings before; those are measured from their differences.
+    """
+    atoms = x.shape[1]
+    # One origin for all atoms, so that no mapping moves it.
+    origin = x.mean(axis=(0, 1))
+    # The differences are those of the given values.
+    given, centred, others = x.reshape(len(x), -1), (x - origin).reshape(len(x), -1), y - origin
+    square_x, square_y = (centred * centred).sum(axis=1), (others * others).sum(axis=(1, 2))
+    doubt = SPARE_SLACK * (atoms * limit**2 + square_x.max(initial=0.0) + square_y.max(initial=0.0))
+    room = np.where(near, atoms * limit**2 + doubt, -np.inf)
+    for perm in orders.perms:
+        turned = y[:, perm].reshape(len(y), -1)
+        apart = centred @ others[:, perm].reshape(len(y), -1).T
+        apart *= -2.0
+        apart += square_x[:, None]
+        apart += square_y[None, :]
+        i, j = np.nonzero(apart <= room)
+        dist = rmsd(given, turned, i, j, x.shape[2])
+        best[i, j] = np.minimum(best[i, j], dist)
+        room[i, j] = np.minimum(room[i, j], atoms * dist**2 + doubt)
+
+
 def chunks(n: int) -> Iterator[np.ndarray]:
     for start in range(0, n, CHUNK_PAIRS):
         yield np.arange(start, min(start + CHUNK_PAIRS, n))

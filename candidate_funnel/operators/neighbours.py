@@ -27,8 +27,8 @@ from candidate_funnel.session import cut
 # Rows of one key (or one block of a large key) that a single task compares.
 GROUP_LIMIT = 2048
 
-# Pairs whose differences are held at a time.
-SLICE_PAIRS = 65_536
+# Pairs whose differences are held at a time: few enough to stay in a core's cache.
+SLICE_PAIRS = 2048
 
 # Pairs of a tile that are looked at together; some matrices of them are held.
 BLOCK_PAIRS = 131_072
@@ -98,7 +98,10 @@ def rmsd(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, dims: int)
     out = np.empty(len(i))
     for at in range(0, len(i), SLICE_PAIRS):
         part = slice(at, at + SLICE_PAIRS)
-        out[part] = ((a[i[part]] - b[j[part]]) ** 2).sum(axis=1)
+        apart = a[i[part]]
+        apart -= b[j[part]]
+        apart *= apart
+        out[part] = apart.sum(axis=1)
     return np.sqrt(out / (a.shape[1] / dims))
 
 

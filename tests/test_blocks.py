@@ -85,3 +85,15 @@ def test_pairs_out_of_range_are_spared(monkeypatch):
     x, y = rng.normal(0, 1 / 8, (2, 100, 22, 3))
     block_rmsd(x, y, Orders(np.arange(22)[None]), True, np.ones((100, 100), dtype=bool), 0.2)
     assert sum(counted) < 2000
+
+
+def test_pairs_in_a_fixed_frame_are_measured_once(monkeypatch):
+    counted = []
+    plain = alignment.rmsd
+    monkeypatch.setattr(alignment, "rmsd", lambda a, b, i, *rest: (counted.append(len(i)), plain(a, b, i, *rest))[1])
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(0, 1 / 8, (2, 100, 64, 1))
+    orders = Orders(np.array([np.arange(64), np.arange(64)[::-1], np.roll(np.arange(64), 32)]))
+    near = np.ones((100, 100), dtype=bool)
+    got = block_rmsd(x, y, orders, False, near, 0.155)
+    assert 0 < (got <= 0.155).sum() <= sum(counted) <= 1.2 * (got <= 0.155).sum()
