@@ -12,9 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candidate_funnel.operators.skew import hot_join
+from candidate_funnel.operators.skew import hot_join, parts_for
 
 NODE = ["graph_id", "node_id"]
+EDGE = ["graph_id", "src", "dst"]
+
+# Parts in which the edges of one node are counted, in graphs of many edges.
+HUB_PARTS = 64
 
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
@@ -44,20 +48,34 @@ def malformed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes.select(*NODE), NODE, "left_anti").select("graph_id").distinct()
 
 
-def strip_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def strip_leaves(
+    nodes: DataFrame, edges: DataFrame, bound: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Remove every node of degree one, once, with its edge.
 
     A leaf has a single edge, which the degree count finds along the way; both
     removals are therefore by unique key, whatever the degree of the hubs.
+    ``bound`` is a number of edges the caller knows not to be exceeded; they are
+    counted otherwise, since many of them take more and smaller tasks.
     """
-    leaves = (
-        both_ways(edges, "src", "dst")
-        .groupBy(*NODE)
-        .agg(F.count("*").alias("_degree"), F.min("src").alias("src"), F.min("dst").alias("dst"))
-        .where(F.col("_degree") == 1)
-    )
+    rows = edges.count() if bound is None else bound
+    parts, edge_parts = parts_for(edges, 2 * rows), parts_for(edges, rows)
+    ends = both_ways(edges, *EDGE[1:])
+    firsts = [F.min(c).alias(c) for c in EDGE[1:]]
+    if parts is None:
+        degrees = ends.groupBy(*NODE).agg(F.count("*").alias("_degree"), *firsts)
+    else:
+        # A hub's edges are counted in parts, so that no task gets them all.
+        slot = F.pmod(F.xxhash64("other"), F.lit(HUB_PARTS)).alias("_part")
+        ends = ends.select(*NODE, *EDGE[1:], slot).repartition(parts, *NODE, "_part")
+        counted = ends.groupBy(*NODE, "_part").agg(F.count("*").alias("_n"), *firsts)
+        counted = counted.repartition(parts, *NODE).groupBy(*NODE)
+        degrees = counted.agg(F.sum("_n").alias("_degree"), *firsts)
+    leaves = degrees.where(F.col("_degree") == 1)
     kept = nodes.join(leaves.select(*NODE), NODE, "left_anti")
-    inner = edges.join(leaves.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")
+    # The edges follow the leaves into as many tasks.
+    gone = leaves.select(*EDGE) if edge_parts is None else leaves.select(*EDGE).repartition(edge_parts, *EDGE)
+    inner = edges.join(gone, EDGE, "left_anti")
     return kept, inner.select(*edges.columns)
 
 

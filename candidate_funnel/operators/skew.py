@@ -17,6 +17,10 @@ from candidate_funnel.session import cut
 # Rows of one key that a single task may hold.
 HOT_ROWS = 1_000_000
 
+# Rows of a few numbers each that a task sorts or holds at a time, where their number
+# is known before.
+TASK_ROWS = 1_000_000
+
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key has no null part: the others belong to no key."""
@@ -105,6 +109,15 @@ def hot_join(
     return joined.drop("_slot", "_copies", "_copy")
 
 
+def parts_for(df: DataFrame, rows: int) -> int | None:
+    """Partitions of ``TASK_ROWS`` rows each, or None where the session's number suffices.
+
+    That number is the same for any input, so what a task holds would grow with the rows.
+    """
+    parts = -(-rows // TASK_ROWS)
+    return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def _dealt(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows with a ``_slot``; equal ones of hot keys as some rows with their ``_copies``."""
     limit = F.lit(HOT_ROWS)

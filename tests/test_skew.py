@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candidate_funnel import session
-from candidate_funnel.operators import select, skew
+from candidate_funnel.operators import graph, select, skew
 
 PLAIN = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -116,3 +116,23 @@ def test_a_table_that_grows_with_the_rows_is_never_broadcast(spark, hot):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert hot is None or "BroadcastHashJoin" not in plan
+
+
+def test_leaves_of_many_edges_are_stripped_in_small_tasks(spark, hot, monkeypatch):
+    # Node 0 is a hub of 3,000 leaves, the rest a sparse graph.
+    hub = spark.range(3000).select(F.lit(0).cast("bigint").alias("src"), (F.col("id") + 10**6).alias("dst"))
+    rest = spark.range(20000).select(
+        F.pmod(F.xxhash64("id"), F.lit(5000)).alias("src"), (F.col("id") % 15000 + 5000).alias("dst")
+    )
+    edges = hub.unionByName(rest).distinct().select((F.col("src") % 2).alias("graph_id"), "src", "dst")
+    nodes = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    plain = graph.strip_leaves(nodes, edges)
+    monkeypatch.setattr(skew, "TASK_ROWS", 1000)
+    for bound in (None, 30000):
+        dealt = graph.strip_leaves(nodes, edges, bound)
+        for one, other in zip(plain, dealt, strict=True):
+            assert one.count() == other.count() > 0
+            assert one.exceptAll(other).count() == 0
+        sizes = [r["count"] for r in dealt[1].groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 10
+        assert max(sizes) < 2000
