@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candidate_funnel.functions.scalars import finite, squared_norm
-from candidate_funnel.operators.skew import find_hot, hot_join, keyed, largest_group, shuffled
+from candidate_funnel.operators.skew import find_hot, hot_join, keyed, largest_group, parts_for, shuffled
 from candidate_funnel.session import cut
 
 # Rows of one key (or one block of a large key) that a single task compares.
@@ -33,6 +33,9 @@ SLICE_PAIRS = 2048
 # Pairs of a tile that are looked at together; some matrices of them are held.
 BLOCK_PAIRS = 131_072
 
+# Tiles of pairs that a task sorts at a time; a tile holds two blocks at most.
+TASK_TILES = 32
+
 # Factors by which thinly filled cells are merged.
 MERGES = (1, 2, 4, 8, 16, 32, 64)
 
@@ -783,10 +786,13 @@ def near_pairs(
     small, large = split_by_size(df, keys, group_limit, bound)
     result = grouped(small, keys, lambda t, x: emit(t, t, True, x), schema, extra)
     if large is not None:
-        placed = with_cells(large, keys, gate, index, block_rows=group_limit)
+        placed = cut(with_cells(large, keys, gate, index, block_rows=group_limit))
         spread = tiles(placed, keys, ident, gate.lanes, group_limit)
+        touching = touching_cells(placed, keys, gate.lanes, group_limit)
+        number = touching.agg(F.sum(F.col("_blocks_a").cast("bigint") * F.col("_blocks_b"))).first()[0]
+        if parts := parts_for(spread, number or 0, TASK_TILES):
+            spread = spread.repartition(parts, *keys, *TILE)
         if extra is not None:
-            touching = touching_cells(placed, keys, gate.lanes, group_limit)
             extra = per_tile(extra, touching, keys, True)
         tiled = grouped(spread, [*keys, *TILE], lambda t, x: emit(*_sides(t), x), schema, extra)
         result = result.unionByName(tiled)

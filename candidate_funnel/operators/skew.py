@@ -109,12 +109,12 @@ def hot_join(
     return joined.drop("_slot", "_copies", "_copy")
 
 
-def parts_for(df: DataFrame, rows: int) -> int | None:
-    """Partitions of ``TASK_ROWS`` rows each, or None where the session's number suffices.
+def parts_for(df: DataFrame, rows: int, limit: int | None = None) -> int | None:
+    """Partitions of ``limit`` rows each, or None where the session's number suffices.
 
     That number is the same for any input, so what a task holds would grow with the rows.
     """
-    parts = -(-rows // TASK_ROWS)
+    parts = -(-rows // (limit or TASK_ROWS))
     return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
