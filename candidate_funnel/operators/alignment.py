@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidate_funnel.functions.scalars import atom_radii, axis_sorted
+from candidate_funnel.operators.neighbours import BLOCK_PAIRS, Gate, Metric, matrix, near_pairs, numbers, pair_rmsd, rmsd
 from candidate_funnel.operators.neighbours import GROUP_LIMIT as PAIR_LIMIT
-from candidate_funnel.operators.neighbours import Gate, Metric, matrix, near_pairs, numbers, pair_rmsd, rmsd
 from candidate_funnel.session import cut
 
-# Rows of a key (or block of one) per task under ``BestRmsd``: comparing takes
-# some steps per pair and mapping, so tasks are smaller than for plain distances.
-# Keys of the usual pool size (500) stay whole.
+# Rows of a key (or block of one) per task under ``BestRmsd`` after the best motion:
+# comparing takes some steps per pair and mapping, so tasks are smaller than for plain
+# distances. Keys of the usual pool size (500) stay whole.
 GROUP_LIMIT = 512
 
 # Pairs measured at a time inside a task.
@@ -340,6 +340,51 @@ def in_range(x: np.ndarray, i: np.ndarray, j: np.ndarray, orders: Orders, align:
     return near
 
 
+def _matched_first(x: np.ndarray, swaps: Sequence[np.ndarray]) -> np.ndarray:
+    """Flat structures, the values of exchangeable atoms in order on each axis.
+
+    Such structures are as far apart as at the best match if atoms have one value,
+    and never further.
+    """
+    x = x.copy()
+    for own in swaps:
+        x[:, own] = np.sort(x[:, own], axis=1)
+    return x.reshape(len(x), -1)
+
+
+def fixed_range(
+    x: np.ndarray, y: np.ndarray, orders: Orders, near: np.ndarray, gate: Gate
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``near`` pairs of rows are in range in a fixed frame, and which to measure.
+
+    One matrix product per mapping tells; pairs close to the limit are to be
+    measured, and with exchangeable atoms of several values all that may be in range.
+    """
+    atoms, dims = x.shape[1:]
+    # One origin for all atoms, so that no mapping moves it.
+    origin = x.mean(axis=(0, 1))
+    x, y = x - origin, y - origin
+    left = _matched_first(x, orders.swaps)
+    square_x, square_y = ((v * v).sum(axis=(1, 2)) for v in (x, y))
+    room = atoms * gate.rmsd**2
+    doubt = SPARE_SLACK * (room + square_x.max(initial=0.0) + square_y.max(initial=0.0))
+    known = dims == 1 or not orders.swaps
+    step = max(1, BLOCK_PAIRS // max(1, len(y)))
+    sure, open_pairs = np.zeros(near.shape, dtype=bool), np.zeros(near.shape, dtype=bool)
+    for perm in orders.perms:
+        right = _matched_first(y[:, perm], orders.swaps).T
+        for start in range(0, len(x), step):
+            rows = slice(start, start + step)
+            apart = left[rows] @ right
+            apart *= -2.0
+            apart += square_x[rows, None]
+            apart += square_y[None, :]
+            if known:
+                sure[rows] |= apart < room - doubt
+            open_pairs[rows] |= apart <= room + doubt
+    return sure & near, open_pairs & near & ~sure
+
+
 def pack_symmetry(
     keys: Sequence[str], mappings: DataFrame | None = None, swaps: DataFrame | None = None
 ) -> DataFrame | None:
@@ -385,11 +430,14 @@ class BestRmsd(Metric):
     dims: int = 3
     align: bool = True
     symmetry: DataFrame | None = None
-    group_limit: int = GROUP_LIMIT
+    group_limit: int | None = None
 
     def __post_init__(self) -> None:
         if self.align and self.dims != 3:
             raise ValueError("alignment needs three values per atom")
+        if self.group_limit is None:
+            # In a fixed frame, matrix products compare whole blocks.
+            object.__setattr__(self, "group_limit", GROUP_LIMIT if self.align else PAIR_LIMIT)
 
     def index(self) -> Column:
         return (atom_radii if self.align else axis_sorted)(self.coords, self.dims)
@@ -405,19 +453,34 @@ class BestRmsd(Metric):
         x = np.concatenate([matrix(t[self.coords]) for t in rows])
         x = x.reshape(len(x), -1, self.dims)
         pos = np.concatenate([numbers(t["pos"]) for t in rows])
-        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        out = np.zeros_like(near)
+        orders = Orders.of(symmetry, x.shape[1])
+        near = np.triu(near, 1) if same else near
+        if not self.align and near.mean() >= DENSE:
+            out, near = self._told(x[: a.num_rows], x[-b.num_rows :], pos, orders, near, gate)
+        i, j = np.nonzero(near)
         right = j if same else j + a.num_rows
         # A pair is measured the same way round whichever task meets it.
         turned = pos[i] > pos[right]
         first, second = np.where(turned, right, i), np.where(turned, i, right)
-        out = np.zeros_like(near)
-        orders = Orders.of(symmetry, x.shape[1])
         out[i, j] = in_range(x, first, second, orders, self.align, gate)
         if same:
             out |= out.T
             np.fill_diagonal(out, True)
         return out
 
+    def _told(
+        self, x: np.ndarray, y: np.ndarray, pos: np.ndarray, orders: Orders, near: np.ndarray, gate: Gate
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``fixed_range`` of pairs whose later row is the mapped one."""
+        if orders.closed():
+            # The inverse of every mapping is one, too.
+            return fixed_range(x, y, orders, near, gate)
+        turned = pos[: len(x), None] > pos[None, -len(y) :]
+        sure, open_pairs = fixed_range(x, y, orders, near & ~turned, gate)
+        others = fixed_range(y, x, orders, (near & turned).T, gate)
+        return sure | others[0].T, open_pairs | others[1].T
+
 
 def pair_best_rmsd(
     df: DataFrame,

@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +34,17 @@ from candidate_funnel.operators.neighbours import (
     with_cells,
 )
 from candidate_funnel.operators.select import rank
-from candidate_funnel.operators.skew import keyed, largest_group, shuffled
+from candidate_funnel.operators.skew import hot_join, keyed, largest_group, shuffled
 from candidate_funnel.session import cut, discard
 
 # Share of the open rows that regions must tell for a round over tiles to wait.
 SETTLED_SHARE = 0.02
 
+# Neighbours of one key that a task lists at a time, and position ranges (as a power of
+# two) by which rows of equal neighbour counts are asked for.
+LISTED = 1 << 22
+RANGE_BITS = 10
+
 # Growth of the prefixes a large key is de-duplicated in.
 PREFIX_GROWTH = 4
 
@@ -283,6 +288,106 @@ def settle(state: DataFrame, keys: list[str], near: Neighbourhood, shifted: bool
     return near.gather(state, shifted, run, schema).distinct()
 
 
+def followed(
+    asked: np.ndarray, sizes: np.ndarray, near: np.ndarray, weights: np.ndarray, shift: int, last: int, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows and of their centres, as far as listed neighbours tell the sequence.
+
+    Each ``asked`` row comes with ``sizes`` open neighbours, one after the other in
+    ``near``. Rows that are not asked for have less than the ``least`` priority and
+    counts only fall, so the asked rows above that are taken as in ``crowded_first``.
+    """
+    rows, where = np.unique(near, return_index=True)
+    heavy = weights[where]
+    other = np.searchsorted(rows, near).astype(np.int32)
+    own = np.repeat(np.searchsorted(rows, asked).astype(np.int32), sizes)
+
+    def lists(by: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(by, kind="stable")
+        return of[order], np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(rows)))])
+
+    around, starts = lists(own, other)
+    seen_by, seen_from = lists(other, own)
+    count = np.zeros(len(rows), dtype=np.int64)
+    np.add.at(count, own, heavy[other])
+    first = np.unique(own)
+    priority = count[first] << shift | last - rows[first]
+    order = np.argsort(-priority)
+    first, priority = first[order], priority[order]
+
+    centre = np.full(len(rows), -1)
+    open_rows = np.ones(len(rows), dtype=bool)
+    again: list[tuple[int, int]] = []
+    at = 0
+    while again or at < len(first):
+        if again and (at == len(first) or -again[0][0] > priority[at]):
+            minus, r = heapq.heappop(again)
+            given = -minus
+        else:
+            given, r = int(priority[at]), int(first[at])
+            at += 1
+        if not open_rows[r]:
+            continue
+        now = int(count[r]) << shift | last - int(rows[r])
+        if now < given:
+            # It has lost neighbours since; others may come first now.
+            if now >= least:
+                heapq.heappush(again, (-now, r))
+            continue
+        members = around[starts[r] : starts[r + 1]]
+        members = members[open_rows[members]]
+        centre[members] = r
+        open_rows[members] = False
+        if len(members) > 1:
+            number = seen_from[members + 1] - seen_from[members]
+            before = np.cumsum(number) - number
+            seen = np.arange(number.sum()) + np.repeat(seen_from[members] - before, number)
+            np.subtract.at(count, seen_by[seen], np.repeat(heavy[members], number))
+    told = centre >= 0
+    return rows[told], rows[centre[told]]
+
+
+def follow_listed(state: DataFrame, keys: list[str], near: Neighbourhood, shift: int, last: int) -> DataFrame:
+    """``(keys, pos, centre)`` of the rows that the busiest rows' neighbours tell.
+
+    Of each key, as many rows of the highest priority are asked for as have ``LISTED``
+    neighbours together, so one task follows the sequence of a key, or of the next
+    part of a larger one, in bounded memory.
+    """
+    spot = [*keys, "pos"]
+    fine = max(0, int(last).bit_length() - RANGE_BITS)
+    priority = F.shiftleft(F.col("value"), shift).bitwiseOR(F.lit(last) - F.col("pos")).alias("_priority")
+    count = near.reach(state.withColumn("value", F.col("weight")), "sum")
+    ranked = cut(count.select(*spot, "value", priority))
+
+    level = F.shiftright("_priority", fine).alias("_level")
+    levels = ranked.groupBy(*keys, level).agg(F.count("*").alias("_rows"), F.max("value").alias("_count"))
+    levels = levels.join(ranked.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    # A row has no more neighbours than they weigh or than there are rows.
+    listed = F.col("_rows") * F.least("_count", "_n")
+    so_far = Window.partitionBy(*keys).orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, 0)
+    fitting = levels.withColumn("_listed", F.sum(listed).over(so_far)).where(F.col("_listed") <= LISTED)
+    whole = F.sum("_rows") == F.max("_n")
+    least = F.when(whole, F.lit(0).cast("bigint")).otherwise(F.shiftleft(F.min("_level"), fine))
+    least = cut(fitting.groupBy(*keys).agg(least.alias("_least")))
+
+    wanted = (F.col("_priority") >= F.col("_least")).cast("bigint").alias("_asked")
+    asked = hot_join(ranked, least, keys).select(*spot, wanted)
+    lists = near.listed(state.join(shuffled(asked), spot))
+
+    def follow(rows: pa.Table, bound: pa.Table) -> pa.Table:
+        pos, centre = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if rows.num_rows:
+            flat = [numbers(pa.compute.list_flatten(rows[c])) for c in ("_near", "_weights")]
+            sizes = numbers(pa.compute.list_value_length(rows["_near"]))
+            pos, centre = followed(numbers(rows["pos"]), sizes, *flat, shift, last, bound["_least"][0].as_py())
+        found = {k: rows[k].take(pa.array(np.zeros(len(pos), dtype=np.int64))) for k in keys}
+        return pa.table({**found, "pos": pa.array(pos, pa.int64()), "centre": pa.array(centre, pa.int64())})
+
+    schema = T.StructType([*[state.schema[c] for c in spot], T.StructField("centre", T.LongType())])
+    return grouped(lists, keys, follow, schema, least)
+
+
 def cluster_in_rounds(
     state: DataFrame,
     keys: list[str],
@@ -298,7 +403,8 @@ def cluster_in_rounds(
     away. Clusters change neighbour counts only that far, and counts only
     fall, so its turn would come with exactly these members. Regions first
     follow the sequence as far as it stays inside them (``settled``), so a long
-    chain of rows does not cost a round for each. Once no key has
+    chain of rows does not cost a round for each. Where pairs are held, the sequence
+    is followed over listed neighbours instead (``followed``). Once no key has
     more than ``limit`` open rows, the rest is settled at once.
     """
     spot = [*keys, "pos"]
@@ -316,8 +422,11 @@ def cluster_in_rounds(
         # Measuring is the dear part of a round, and no pair changes between rounds.
         near = near.held(state)
     while largest_group(state, keys) > limit:
-        if near.gather is not None:
-            told = cut(settle(state, keys, near, shifted))
+        if near.gather is not None or near.listed is not None:
+            if near.listed is not None:
+                told = cut(follow_listed(state, keys, near, shift, int(last)))
+            else:
+                told = cut(settle(state, keys, near, shifted))
             shifted = not shifted
             n_told = told.count()
             if n_told:
@@ -326,8 +435,8 @@ def cluster_in_rounds(
                 if before is not given:
                     discard(before)
             n_open -= n_told
-            # A round over all pairs of tiles is for what regions cannot tell.
-            if n_told > SETTLED_SHARE * (n_open + n_told):
+            # A round over all pairs of tiles is for what these cannot tell.
+            if n_told > (0 if near.listed is not None else SETTLED_SHARE * (n_open + n_told)):
                 continue
         count = near.reach(state.withColumn("value", F.col("weight")), "sum")
         priority = F.shiftleft(F.col("value"), shift).bitwiseOR(F.lit(last) - F.col("pos"))

@@ -540,13 +540,15 @@ class Neighbourhood:
     near)`` on regions of bounded size that cover the rows; ``_core`` tells the
     rows of a region whose neighbours are all there.
     ``held(df)``, where there is one, measures all pairs of ``df`` once: the
-    ``reach`` it returns serves the same rows, or what is left of them.
+    ``reach`` it returns serves the same rows, or what is left of them, and so does
+    ``listed(df)``, the neighbours of the rows that are ``_asked`` for.
     """
 
     reach: Callable[[DataFrame, str], DataFrame]
     touch: Callable[[DataFrame, DataFrame], DataFrame]
     gather: Callable[[DataFrame, bool, Callable, T.StructType], DataFrame] | None = None
     held: Callable[[DataFrame], Neighbourhood] | None = None
+    listed: Callable[[DataFrame], DataFrame] | None = None
 
 
 def by_distance(
@@ -642,21 +644,43 @@ def by_distance(
         blocks = cut(_cells(df, keys, block_rows))
         hot = find_hot(df, [*keys, "_cell"])
         measured = cut(compared(df.select(*carried), measure, schema))
-        return Neighbourhood(lambda rows, how: _recall(rows, how, keys, measured, blocks, hot), touch)
+        known = (keys, measured, blocks, hot)
+        return Neighbourhood(
+            lambda rows, how: _recall(rows, how, *known), touch, listed=lambda rows: _listed(rows, *known)
+        )
 
     # What a metric needs of a key is sent to tiles only.
     local = metric is None or metric.symmetry is None
     return Neighbourhood(reach, touch, gather if local else None, None if local else held)
 
 
-def _recall(
-    df: DataFrame, how: str, keys: list[str], measured: DataFrame, blocks: DataFrame, hot: DataFrame | bool
+@dataclass(frozen=True)
+class _Side:
+    """One side of a measured tile: which of its rows are still there, and their values."""
+
+    pos: np.ndarray
+    there: np.ndarray
+    values: dict[str, np.ndarray]
+
+
+def _measured(
+    df: DataFrame,
+    columns: list[str],
+    run: Callable[[np.ndarray, list[_Side]], Iterator[dict[str, pa.Array]]],
+    fields: list[T.StructField],
+    keys: list[str],
+    measured: DataFrame,
+    blocks: DataFrame,
+    hot: DataFrame | bool,
 ) -> DataFrame:
-    """``reach`` over tiles that are measured already; rows gone since count for nothing."""
-    fold, blank = FOLDS[how]
+    """``run`` on each measured tile: its near pairs and its sides, one if they are the same.
+
+    It gives columns of as many rows as it likes, which get the tile's keys. The
+    ``columns`` of ``df`` are the values of rows; rows gone since are not ``there``.
+    """
     block = F.pmod(F.xxhash64("pos"), F.col("_blocks")).cast("int").alias("_block")
-    placed = hot_join(df.select(*keys, "pos", "_cell", "value"), blocks, [*keys, "_cell"], hot=hot, grows=True)
-    packed = placed.select(*keys, "_cell", block, F.struct("pos", "value").alias("_row"))
+    placed = hot_join(df.select(*keys, "pos", "_cell", *columns), blocks, [*keys, "_cell"], hot=hot, grows=True)
+    packed = placed.select(*keys, "_cell", block, F.struct("pos", *columns).alias("_row"))
     # A block holds a bounded number of rows, so its values travel as one row.
     packed = packed.groupBy(*keys, "_cell", "_block").agg(F.collect_list("_row").alias("_rows"))
     tiled = measured
@@ -666,45 +690,82 @@ def _recall(
         )
         tiled = tiled.join(shuffled(values), [*keys, "_cell" + side, "_block" + side])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(column: pa.Array, field: str | None = None) -> list[np.ndarray]:
-            flat = column.values if field is None else column.values.field(field)
-            return np.split(flat.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[1:-1])
-
-        def values_of(pos: np.ndarray, given: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(given)
-            at = order[np.minimum(np.searchsorted(given, pos, sorter=order), len(given) - 1)]
-            there = given[at] == pos
-            return there, np.where(there, values[at], blank)
+    def parts(column: pa.Array, field: str | None = None) -> list[np.ndarray]:
+        flat = column.values if field is None else column.values.field(field)
+        return np.split(flat.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[1:-1])
 
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pos = {side: lists(batch["_pos" + side]) for side in ("_a", "_b")}
-            rows = {side: (lists(batch["_rows" + side], "pos"), lists(batch["_rows" + side], "value")) for side in pos}
+            pos = {side: parts(batch["_pos" + side]) for side in ("_a", "_b")}
+            rows = {side: {c: parts(batch["_rows" + side], c) for c in ("pos", *columns)} for side in pos}
             cells = [batch[c].to_pylist() for c in TILE]
             same = [t[:2] == t[2:] for t in zip(*cells, strict=True)]
             for n in range(batch.num_rows):
+                sides = []
+                for side in ("_a",) if same[n] else ("_a", "_b"):
+                    own, given = pos[side][n], rows[side]["pos"][n]
+                    order = np.argsort(given)
+                    at = order[np.minimum(np.searchsorted(given, own, sorter=order), len(given) - 1)]
+                    sides.append(_Side(own, given[at] == own, {c: rows[side][c][n][at] for c in columns}))
                 a, b = pos["_a"][n], pos["_b"][n]
                 bits = np.frombuffer(batch["_near"][n].as_py(), dtype=np.uint8)
                 near = np.unpackbits(bits, count=len(a) * len(b)).reshape(len(a), len(b)).astype(bool)
-                open_a, value_a = values_of(a, rows["_a"][0][n], rows["_a"][1][n])
-                open_b, value_b = values_of(b, rows["_b"][0][n], rows["_b"][1][n])
-                sides = [(a, open_a, near, value_b)]
-                if not same[n]:
-                    sides.append((b, open_b, near.T, value_a))
-                for own, there, within, values in sides:
-                    if there.any():
-                        folded = fold(np.where(within[there], values[None, :], blank), axis=1)
-                        columns = [batch[k].take(pa.array(np.full(len(folded), n))) for k in keys]
-                        columns += [pa.array(own[there], pa.int64()), pa.array(folded, pa.int64())]
-                        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pos", "value"])
-
-    schema = T.StructType([*[df.schema[k] for k in keys], df.schema["pos"], T.StructField("value", T.LongType())])
-    partial = tiled.select(*measured.columns, "_rows_a", "_rows_b").mapInArrow(run, schema)
+                for found in run(near, sides):
+                    arrays = [pa.array(v, types[c]) if not isinstance(v, pa.Array) else v for c, v in found.items()]
+                    named = [batch[k].take(pa.array(np.full(len(arrays[0]), n))) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*named, *arrays], names=[*keys, *found])
+
+    listed = pa.list_(pa.int64())
+    types = {f.name: listed if isinstance(f.dataType, T.ArrayType) else pa.int64() for f in fields}
+    schema = T.StructType([*[df.schema[k] for k in keys], *fields])
+    return tiled.select(*measured.columns, "_rows_a", "_rows_b").mapInArrow(over, schema)
+
+
+def _facing(near: np.ndarray, sides: list[_Side]) -> Iterator[tuple[_Side, np.ndarray, _Side]]:
+    """Each side of a tile with its neighbours on the other."""
+    yield sides[0], near, sides[-1]
+    if len(sides) > 1:
+        yield sides[1], near.T, sides[0]
+
+
+def _recall(df: DataFrame, how: str, keys: list[str], *known: DataFrame | bool) -> DataFrame:
+    """``reach`` over tiles that are measured already; rows gone since count for nothing."""
+    fold, blank = FOLDS[how]
+
+    def run(near: np.ndarray, sides: list[_Side]) -> Iterator[dict[str, np.ndarray]]:
+        for own, within, other in _facing(near, sides):
+            if own.there.any():
+                values = np.where(other.there, other.values["value"], blank)
+                folded = fold(np.where(within[own.there], values[None, :], blank), axis=1)
+                yield {"pos": own.pos[own.there], "value": folded}
+
+    fields = [df.schema["pos"], T.StructField("value", T.LongType())]
+    partial = _measured(df, ["value"], run, fields, keys, *known)
     return partial.groupBy(*keys, "pos").agg(AGGREGATES[how]("value").alias("value"))
 
 
+def _listed(df: DataFrame, keys: list[str], *known: DataFrame | bool) -> DataFrame:
+    """(keys, pos, _near, _weights): neighbours of the ``_asked`` rows and their ``weight``, in parts."""
+
+    def run(near: np.ndarray, sides: list[_Side]) -> Iterator[dict[str, pa.Array]]:
+        for own, within, other in _facing(near, sides):
+            asked = own.there & (own.values["_asked"] > 0)
+            if asked.any():
+                mask = within[asked] & other.there
+                ends = pa.array(np.concatenate([[0], np.cumsum(mask.sum(axis=1))]), pa.int32())
+                at = np.nonzero(mask)[1]
+                lists = [pa.array(v[at], pa.int64()) for v in (other.pos, other.values["weight"])]
+                yield {
+                    "pos": pa.array(own.pos[asked], pa.int64()),
+                    **{c: pa.ListArray.from_arrays(ends, v) for c, v in zip(("_near", "_weights"), lists, strict=True)},
+                }
+
+    fields = [df.schema["pos"], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("_near", "_weights")]]
+    return _measured(df, ["weight", "_asked"], run, fields, keys, *known)
+
+
 def by_pairs(pairs: DataFrame, keys: Sequence[str]) -> Neighbourhood:
     """Neighbours listed as ``(keys, a, b)`` positions."""
     keys = list(keys)
