@@ -410,6 +410,13 @@ def tiles(
 TILE = ["_cell_a", "_block_a", "_cell_b", "_block_b"]
 
 
+def dealt(spread: DataFrame, touching: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tiles over as many partitions as it takes for ``TASK_TILES`` or fewer in each."""
+    number = touching.agg(F.sum(F.col("_blocks_a").cast("bigint") * F.col("_blocks_b"))).first()[0]
+    parts = parts_for(spread, number or 0, TASK_TILES)
+    return spread.repartition(parts, *keys, *TILE) if parts else spread
+
+
 def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
     side = numbers(table["_side"])
     if (side == 2).all():
@@ -570,12 +577,15 @@ def by_distance(
     carried = [*spot, "_cell", coords, *index, *([score] if score else [])]
 
     def compared(
-        df: DataFrame, run: Callable, schema: T.StructType, others: DataFrame | None = None
+        df: DataFrame, run: Callable, schema: T.StructType, others: DataFrame | None = None, bounded: bool = False
     ) -> DataFrame:
         spread = tiles(df, keys, "pos", gate.lanes, block_rows, others)
         extra = None
-        if metric is not None and metric.symmetry is not None:
+        if bounded or (metric is not None and metric.symmetry is not None):
             touching = touching_cells(df, keys, gate.lanes, block_rows, others)
+        if bounded:
+            spread = dealt(spread, touching, keys)
+        if metric is not None and metric.symmetry is not None:
             extra = per_tile(metric.symmetry, touching, keys, others is None)
         return grouped(spread, [*keys, *TILE], run, schema, extra)
 
@@ -643,7 +653,7 @@ def by_distance(
         schema = T.StructType([*named, T.StructField("_near", T.BinaryType())])
         blocks = cut(_cells(df, keys, block_rows))
         hot = find_hot(df, [*keys, "_cell"])
-        measured = cut(compared(df.select(*carried), measure, schema))
+        measured = cut(compared(df.select(*carried), measure, schema, bounded=True))
         known = (keys, measured, blocks, hot)
         return Neighbourhood(
             lambda rows, how: _recall(rows, how, *known), touch, listed=lambda rows: _listed(rows, *known)
@@ -850,9 +860,7 @@ def near_pairs(
         placed = cut(with_cells(large, keys, gate, index, block_rows=group_limit))
         spread = tiles(placed, keys, ident, gate.lanes, group_limit)
         touching = touching_cells(placed, keys, gate.lanes, group_limit)
-        number = touching.agg(F.sum(F.col("_blocks_a").cast("bigint") * F.col("_blocks_b"))).first()[0]
-        if parts := parts_for(spread, number or 0, TASK_TILES):
-            spread = spread.repartition(parts, *keys, *TILE)
+        spread = dealt(spread, touching, keys)
         if extra is not None:
             extra = per_tile(extra, touching, keys, True)
         tiled = grouped(spread, [*keys, *TILE], lambda t, x: emit(*_sides(t), x), schema, extra)

@@ -186,8 +186,11 @@ def run_funnel(
     coords = "coords" if cluster_metric is None else "metric"
     fitting = near if cluster_metric is None else cluster_metric(near)
     fitting = fitting.where(F.col(coords).isNotNull())
-    measured = save(fitting.where(F.size(coords) > 0))
-    mapped_first, metric = _metric(measured, keys, symmetry[0], align, coords, dims, save)
+    # Clustering reads its rows several times. Where mappings are to fit them, that would
+    # be the whole way from the candidates each time.
+    written = save if symmetry[0] is None else cut
+    measured = written(fitting.where(F.size(coords) > 0))
+    mapped_first, metric = _metric(measured, keys, symmetry[0], align, coords, dims, written)
     members = leader_cluster(
         mapped_first,
         keys,
